@@ -58,12 +58,11 @@ def added(column: str) -> Callable[[WindowSpec], Column]:
     return lambda spec: F.coalesce(F.sum(column).over(spec), F.lit(0)).cast("bigint")
 
 
-def spread_over_blocks(files: DataFrame, last_block: str = "last_block") -> DataFrame:
-    """One row per file and block, so file attributes join to events on
-    ``(file, block)``: the big side stays evenly spread, nothing is broadcast."""
-    return files.withColumn(
-        "block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(last_block).cast("bigint")))
-    ).drop(last_block)
+def spread_over_blocks(files: DataFrame, events: DataFrame, keys: Sequence[str] = ("home", "path")) -> DataFrame:
+    """One row per file and block it has events in, so file attributes join
+    to events on ``(file, block)``: the big side stays evenly spread and
+    nothing is broadcast. The distinct blocks are found map-side first."""
+    return events.select(*keys, "block").distinct().join(files, list(keys))
 
 
 def dense_positions(events: DataFrame, keys: Sequence[str], name: str = "idx") -> DataFrame:

@@ -21,8 +21,17 @@ from tallyspark.operators.timeline import token_events
 from tallyspark.operators.usage import cache_hit_rate, usage_volumes
 from tallyspark.operators.windows import local_date
 from tallyspark.plans.parameters import AS_OF_SPARK, PRICE_ROWS, REFRESH_SECONDS, TZ
-from tallyspark.session import configure
-from tallyspark.sources.event_feed import event_lines
+from tallyspark.operators.forks import parent_state, replay_bounds
+from tallyspark.operators.threads import file_profile, mark_copies, resolve_threads
+from tallyspark.plans.usage_report import (
+    EVENT_COLUMNS,
+    UsageTables,
+    usage_report,
+    usage_tables,
+    window_report,
+)
+from tallyspark.session import configure, settle
+from tallyspark.sources.event_feed import event_files, event_lines
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -195,3 +204,67 @@ def price_issues_by_home(spark, sf_dir):
 
 
 QUERIES["price_issues"] = QUERIES.pop("price_issues_by_home")
+
+
+def _thread_inputs(spark, sf_dir):
+    lines = event_lines(spark, sf_dir, variants=True)
+    events = settle(token_events(lines).select(*EVENT_COLUMNS))
+    files = settle(
+        event_files(lines)
+        .join(file_profile(events), ["home", "path"], "left")
+        .withColumn("n_events", F.coalesce("n_events", F.lit(0).cast("bigint")))
+    )
+    return lines, events, files
+
+
+@query
+def copy_collapse(spark, sf_dir):
+    _, events, files = _thread_inputs(spark, sf_dir)
+    return mark_copies(files, events, ("home", "thread_id")).select("home", "thread_id", "path", "n_events", "is_copy")
+
+
+@query
+def resume_chains(spark, sf_dir):
+    _, events, files = _thread_inputs(spark, sf_dir)
+    resolved = resolve_threads(files, events, ("home", "thread_id"))
+    return resolved.groupBy("home", "thread_id").agg(
+        F.count_if(~F.col("is_copy")).alias("timelines"), F.bool_and("is_sequential").alias("is_sequential")
+    )
+
+
+@query
+def fork_replay(spark, sf_dir):
+    _, events, files = _thread_inputs(spark, sf_dir)
+    children = files.where(F.col("parent_kind") == "parent").select("home", "path", "parent_id", "root_ts")
+    judged, parents = parent_state(children, files, events)
+    bounds = replay_bounds(judged.where("usable"), parents, events)
+    return judged.join(bounds.withColumnRenamed("fork", "path"), ["home", "path"], "left").select(
+        "home", "path", "usable", F.coalesce("replayed_events", F.lit(0)).cast("bigint").alias("replayed_events")
+    )
+
+
+def _tables(spark, sf_dir) -> UsageTables:
+    lines = event_lines(spark, sf_dir, variants=True)
+    return usage_tables(lines, event_files(lines), now(), TZ, REFRESH_SECONDS)
+
+
+@query
+def window_usage(spark, sf_dir):
+    report = window_report(_tables(spark, sf_dir), _prices(spark))
+    return report.select(
+        "home", "window_kind", "reliable", "deferred_files", "tokens", "overflow_tokens",
+        F.round("credits_spent", 4).alias("credits_spent"), F.round("cost", 4).alias("cost"), "hit_tenths",
+    )
+
+
+@query
+def usage_report_by_home(spark, sf_dir):
+    report = usage_report(_tables(spark, sf_dir), _prices(spark), TZ)
+    return report.select(
+        "home", "today_reliable", "period_reliable", "today_tokens", "period_tokens", "period_token_estimate",
+        F.round("period_value_estimate", 4).alias("period_value_estimate"), "today_text", "period_text",
+        "period_label", "plan_label", "headline", "long_reset_text",
+    )
+
+
+QUERIES["usage_report"] = QUERIES.pop("usage_report_by_home")

@@ -263,3 +263,181 @@ SQL["price_issues"] = f"""with {PLAIN}, {volumes_cte('home')}, {priced_ctes()}
 select distinct home, issue_kind, model,
   case when issue_kind = 'gap' or issue = 'context_unknown' then eff_tier when issue = 'unknown_tier' then tier_text end as tier,
   case when issue_kind = 'gap' then band end as band, issue from priced where issue is not null"""
+
+
+# --- threads, forks and the report ----------------------------------------
+def thread_ctes(name: str, members: str, keys: str) -> str:
+    """Copies and sequence of the threads in ``members`` (keys, home, path)."""
+    k = [c.strip() for c in keys.split(",")]
+    same = " and ".join(f"a.{c} = b.{c}" for c in k)
+    return f"""{name}_pairs as (
+  select {', '.join('a.' + c for c in k)}, a.path as path, b.path as other, a.n_events as n
+  from {members} a join {members} b on {same} and a.home = b.home and a.path <> b.path
+    and (a.n_events < b.n_events or (a.n_events = b.n_events and b.path < a.path))),
+{name}_hits as (
+  select p.path, p.other, p.n, {', '.join('p.' + c for c in k)}, count(y.idx) as hits from {name}_pairs p
+  left join numbered x on x.path = p.path
+  left join numbered y on y.path = p.other and y.idx = x.idx and y.ts_nanos is not distinct from x.ts_nanos and y.sig = x.sig
+  group by all),
+{name}_copies as (select distinct {keys}, path from {name}_hits where hits = n),
+{name}_kept as (select m.* from {members} m anti join {name}_copies c using ({keys}, path)),
+{name}_order as (
+  select {keys}, path, first_ts, max_ts, lag(max_ts) over w as before, lag(path) over w is not null as follows
+  from {name}_kept window w as (partition by {keys} order by first_ts nulls first, path)),
+{name}_seq as (
+  select {keys}, bool_and(not follows or coalesce(first_ts > before, false)) as is_sequential, count(*) as timelines
+  from {name}_order group by {keys})"""
+
+
+NUMBERED = f"""numbered as (
+  select home, path, line_no, ts_nanos, sig, row_number() over (partition by home, path order by line_no) - 1 as idx from timeline),
+fstat as (
+  select home, path, count(*) as n_events, arg_min(ts_nanos, line_no) as first_ts, max(ts_nanos) as max_ts from numbered group by home, path),
+files as (
+  select l.home, l.path, l.user_id, regexp_extract(l.path, '^([a-z][0-9]+)', 1) as thread_id, {PROVIDER_RULE.replace('user_id', 'l.user_id')} as provider,
+    case when l.path like 'c%' then {_ts(SPLIT_DAY)} else min(l.ts_nanos) end as root_ts,
+    case when l.path like 'c%' then 'u' || l.user_id end as parent_id, l.user_id % 23 = 0 as uncertain,
+    min(l.ts_nanos) as from_ts, max(l.ts_nanos) as last_line_ts,
+    coalesce(any_value(f.n_events), 0) as n_events, any_value(f.first_ts) as first_ts, any_value(f.max_ts) as max_ts
+  from lines l left join fstat f using (home, path) group by l.home, l.path, l.user_id)"""
+
+FORKS = f"""{thread_ctes('par', 'files', 'home, thread_id')},
+forks as (
+  select c.home, c.path, c.parent_id, c.root_ts,
+    coalesce((select bool_and(not p.uncertain) and max(p.last_line_ts) >= c.root_ts from files p
+      where p.home = c.home and p.thread_id = c.parent_id), false)
+    and coalesce((select s.is_sequential from par_seq s where s.home = c.home and s.thread_id = c.parent_id), false) as usable
+  from files c where c.parent_id is not null),
+parent_sigs as (
+  select f.path as fork, n.sig, row_number() over (partition by f.path order by k.first_ts, k.path, n.idx) as pos
+  from forks f join par_kept k on k.home = f.home and k.thread_id = f.parent_id
+  join numbered n on n.home = k.home and n.path = k.path where f.usable and n.ts_nanos <= f.root_ts),
+walk(fork, i, pos) as (
+  select path, cast(0 as bigint), cast(0 as bigint) from forks where usable
+  union all
+  select w.fork, w.i + 1, (select min(p.pos) from parent_sigs p where p.fork = w.fork and p.pos > w.pos and p.sig = n.sig)
+  from walk w join numbered n on n.path = w.fork and n.idx = w.i
+  where exists (select 1 from parent_sigs p where p.fork = w.fork and p.pos > w.pos and p.sig = n.sig)),
+replay as (select f.home, f.path, f.usable, coalesce((select max(i) from walk w where w.fork = f.path), 0) as replayed_events from forks f)"""
+
+WINDOWED = f"""scope as (
+  select f.*, b.period_start, cast(make_timestamp(b.period_start // 1000) as date) as start_date,
+    cast(make_timestamp(({AS_OF_SQL}) // 1000) as date) as today, cast(make_timestamp(from_ts // 1000) as date) as part_date,
+    cast(make_timestamp(last_line_ts // 1000) as date) as mod_date,
+    case when f.parent_id is null then true else coalesce(r.usable, false) end as replay_ok, coalesce(r.replayed_events, 0) as skip
+  from files f left join boundary b using (home) left join replay r using (home, path)),
+tagged as (
+  select t.*, n.idx, s.skip, cast(make_timestamp(t.ts_nanos // 1000) as date) = s.today as in_today,
+    coalesce(t.ts_nanos >= s.period_start, false) as in_period,
+    coalesce(cast(make_timestamp(t.ts_nanos // 1000) as date) = s.start_date, false) as on_start
+  from timeline t join numbered n using (home, path, line_no) join scope s using (home, path)),
+uses as (
+  select home, path, bool_or(in_today and delta_total <> 0) as use_today, bool_or(in_period and delta_total <> 0) as use_period,
+    bool_or(on_start) as on_start from tagged group by home, path),
+picked as (
+  select s.*, w.window_kind, coalesce(u.on_start, false) as on_start,
+    coalesce(case when w.window_kind = 'today' then u.use_today else u.use_period end, false) as has_use
+  from scope s left join uses u using (home, path) cross join (values ('today'), ('period')) w(window_kind)
+  where case when w.window_kind = 'today' then coalesce(u.use_today, false) or part_date = today or mod_date >= today - 1
+    else period_start is not null and (coalesce(u.use_period, false) or part_date between start_date and today or mod_date >= start_date) end),
+verdicts as (
+  select *, case when provider is null and has_use then 'no_provider' when provider is null or provider <> 'openai' then 'ignored'
+    when uncertain then 'unsound' else 'counted' end as verdict from picked),
+members as (select * from verdicts where verdict = 'counted'),
+{thread_ctes('win', 'members', 'home, window_kind, thread_id')},
+tallied as (
+  select k.* from win_kept k join win_seq s using (home, window_kind, thread_id) where s.is_sequential and k.replay_ok),
+deferrals as (
+  select home, window_kind, sum(d) as deferred from (
+    select home, window_kind, count(distinct thread_id) as d from members join win_seq using (home, window_kind, thread_id)
+      where not is_sequential and has_use group by home, window_kind
+    union all
+    select home, window_kind, count(*) as d from win_kept join win_seq using (home, window_kind, thread_id)
+      where is_sequential and not replay_ok and has_use group by home, window_kind) group by home, window_kind),
+grid as (
+  select h.home, w.window_kind, b.period_start, b.long_used, b.stale, b.long_active, b.plan_type
+  from (select distinct home from files) h cross join (values ('today'), ('period')) w(window_kind) left join boundary b on b.home = h.home),
+trust as (
+  select g.home, g.window_kind, cast(coalesce(v.bad, 0) + coalesce(d.deferred, 0) as bigint) as deferred_files,
+    coalesce(v.bad, 0) + coalesce(d.deferred, 0) = 0 and (g.window_kind = 'today' or (g.period_start is not null
+      and (coalesce(v.n, 0) = 0 or coalesce(v.anchor, false)))) as reliable
+  from grid g left join (
+    select home, window_kind, count(*) as n, count(*) filter (verdict not in ('counted', 'ignored')) as bad,
+      bool_or(provider = 'openai' and (cast(make_timestamp(root_ts // 1000) as date) = start_date or on_start)) as anchor
+    from verdicts group by home, window_kind) v using (home, window_kind)
+  left join deferrals d using (home, window_kind)),
+owned as (
+  select t.*, k.window_kind from tagged t join tallied k using (home, path)
+  where delta_total <> 0 and idx >= t.skip and case when k.window_kind = 'today' then in_today else in_period end),
+sums as (
+  select home, window_kind, sum(delta_total) filter (not overflow) as tokens, sum(delta_total) filter (overflow) as overflow_tokens
+  from owned group by home, window_kind),
+{volumes_cte('home, window_kind', 'owned')},
+{priced_ctes()},
+costs as (
+  select home, window_kind, case when count(issue) > 0 then null else sum(cost) end as cost, true as has_volume,
+    case when sum(cached) + sum(uncached) > 0 then
+      least(1000, (sum(cached) * 1000 + (sum(cached) + sum(uncached)) // 2) // (sum(cached) + sum(uncached))) end as hit_tenths
+  from priced group by home, window_kind),
+readings as (
+  select k.home, k.window_kind, l.balance,
+    lag(l.balance) over (partition by k.home, k.window_kind order by l.ts_nanos, l.path, l.line_no) as prev
+  from lines l join tallied k using (home, path)
+  where l.balance is not null and case when k.window_kind = 'today' then cast(make_timestamp(l.ts_nanos // 1000) as date) = k.today
+    else l.ts_nanos >= k.period_start end),
+spent as (select home, window_kind, sum(case when prev - balance > 1e-6 then prev - balance else 0 end) as credits from readings group by home, window_kind),
+windows as (
+  select g.*, t.reliable, t.deferred_files, case when t.reliable then cast(coalesce(s.tokens, 0) as bigint) end as tokens,
+    case when t.reliable then cast(coalesce(s.overflow_tokens, 0) as bigint) end as overflow_tokens,
+    case when t.reliable then coalesce(p.credits, 0) end as credits_spent,
+    case when t.reliable then case when c.has_volume then c.cost else 0 end end as cost,
+    case when t.reliable then cast(c.hit_tenths as bigint) end as hit_tenths
+  from grid g join trust t using (home, window_kind) left join sums s using (home, window_kind)
+  left join costs c using (home, window_kind) left join spent p using (home, window_kind))"""
+
+THREADS = f"{VARIANT}, {NUMBERED}"
+REPORT = f"{VARIANT}, {NUMBERED}, {FORKS}, {QUOTA}, {WINDOWED}"
+
+SQL["copy_collapse"] = f"""with {THREADS}, {thread_ctes('thr', 'files', 'home, thread_id')}
+select f.home, f.thread_id, f.path, cast(f.n_events as bigint) as n_events, c.path is not null as is_copy
+from files f left join thr_copies c using (home, thread_id, path)"""
+
+SQL["resume_chains"] = f"""with {THREADS}, {thread_ctes('thr', 'files', 'home, thread_id')}
+select home, thread_id, cast(timelines as bigint) as timelines, is_sequential from thr_seq"""
+
+SQL["fork_replay"] = f"""with recursive {THREADS}, {FORKS}
+select home, path, usable, cast(replayed_events as bigint) as replayed_events from replay"""
+
+SQL["window_usage"] = f"""with recursive {REPORT}
+select home, window_kind, reliable, deferred_files, tokens, overflow_tokens, round(credits_spent, 4) as credits_spent,
+  round(cost, 4) as cost, hit_tenths from windows"""
+
+
+def _tokens_text(n: str, hit: str) -> str:
+    def unit(size: int, name: str) -> str:
+        tenths = f"(({n} * 10 + {size // 2}) // {size})"
+        return (
+            f"case when {tenths} % 10 = 0 then cast({tenths} // 10 as varchar) "
+            f"else cast({tenths} // 10 as varchar) || '.' || cast({tenths} % 10 as varchar) end || '{name}'"
+        )
+
+    usage = (
+        f"case when {n} is null then '--' when {n} < 10000 then cast({n} as varchar) "
+        f"when {n} < 100000000 then {unit(10_000, '万')} else {unit(100_000_000, '亿')} end"
+    )
+    return f"{usage} || case when {n} is not null and {hit} is not null then ' · ' || cast({hit} // 10 as varchar) || '.' || cast({hit} % 10 as varchar) || '%' else '' end"
+
+
+SQL["usage_report"] = f"""with recursive {REPORT},
+t as (select * from windows where window_kind = 'today'), p as (select * from windows where window_kind = 'period')
+select t.home, t.reliable as today_reliable, p.reliable as period_reliable, t.tokens as today_tokens, p.tokens as period_tokens,
+  case when not p.stale and p.long_active and p.long_used >= 1 and p.tokens > 0
+    then cast(round(p.tokens * 100.0e0 / p.long_used) as bigint) end as period_token_estimate,
+  case when not p.stale and p.long_active and p.long_used >= 1 and p.cost > 0 then round(p.cost * 100.0e0 / p.long_used, 4) end as period_value_estimate,
+  {_tokens_text('t.tokens', 't.hit_tenths')} as today_text, {_tokens_text('p.tokens', 'p.hit_tenths')} as period_text,
+  '本周' as period_label, case p.plan_type when 'plus' then 'Plus' when 'pro' then 'Pro' when 'team' then 'Team' end as plan_label,
+  case when q.stale or not (q.short_active or q.long_active) then null
+    when (q.short_active and q.short_left <= 0) or (q.long_active and q.long_left <= 0) then 0.0
+    when q.short_active then q.short_left else q.long_left end as headline,
+  strftime(make_timestamp(q.long_resets * 1000000), '%m/%d %H:%M') as long_reset_text
+from t join p using (home) left join quota q using (home)"""

@@ -68,7 +68,7 @@ def _columns(dialect: str) -> tuple[dict[str, str], dict[str, str]]:
     has_total = f"({token} and k % 19 <> 0)"
     has_last = f"({token} and (k % 11 <> 0 or k % 19 = 0))"
     feed = {
-        "home": "user_id % 10",
+        "home": div("user_id", "4"),
         "user_id": "user_id",
         "line_no": "event_id",
         "ts_nanos": "ts_nanos",
@@ -221,3 +221,37 @@ def _pack(rows: DataFrame) -> DataFrame:
         "balance",
         limits.alias("limits"),
     )
+
+
+def event_files(lines: DataFrame) -> DataFrame:
+    """The file table that belongs to ``event_lines(..., variants=True)``."""
+    day = 86_400_000_000_000
+    seen = lines.groupBy("home", "path", "user_id").agg(
+        F.min("ts_nanos").alias("_from"), F.max("ts_nanos").alias("last_line_ts")
+    )
+
+    def date_of(column: str):
+        return F.date_from_unix_date(F.expr(f"cast({column} div {day} as int)"))
+
+    forked = F.col("path").startswith("c")
+    split = F.expr(nanos_literal(SPLIT_DAY, "spark"))
+    thread = F.regexp_extract("path", "^([a-z][0-9]+)", 1)
+    return seen.select(
+        "home",
+        "path",
+        "user_id",
+        thread.alias("filename_thread_id"),
+        thread.alias("thread_id"),
+        F.expr(PROVIDER_RULE).alias("provider"),
+        F.lit(True).alias("has_root"),
+        F.when(forked, split).otherwise(F.col("_from")).alias("root_ts"),
+        F.when(forked, "parent").otherwise("none").alias("parent_kind"),
+        F.when(forked, F.concat(F.lit("u"), "user_id")).alias("parent_id"),
+        (F.col("user_id") % 23 == 0).alias("uncertain"),
+        F.lit(False).alias("token_without_timestamp"),
+        F.lit(False).alias("compacted"),
+        F.lit(False).alias("unread"),
+        date_of("_from").alias("partition_date"),
+        date_of("last_line_ts").alias("modified_date"),
+        "last_line_ts",
+    )
