@@ -39,10 +39,33 @@ def upto(spec: WindowSpec) -> WindowSpec:
 def carry_into_blocks(
     summary: DataFrame, keys: Sequence[str], carried: dict[str, Callable[[WindowSpec], Column]]
 ) -> DataFrame:
-    """Scan block summaries; each ``carried`` entry sees the earlier blocks only."""
-    earlier = before(Window.partitionBy(*keys).orderBy("block"))
-    return summary.select(
-        *keys, "block", *[make(earlier).alias(name) for name, make in carried.items()]
+    """Scan block summaries; each ``carried`` entry sees the earlier blocks only.
+
+    First blocks have nothing carried into them and are left out, so a table
+    of one-block files joins with an empty relation. Join with ``left``.
+    """
+    order = Window.partitionBy(*keys).orderBy("block")
+    return (
+        summary.select(
+            *keys,
+            "block",
+            F.lag("block").over(order).alias("_earlier"),
+            *[make(before(order)).alias(name) for name, make in carried.items()],
+        )
+        .where(F.col("_earlier").isNotNull())
+        .drop("_earlier")
+    )
+
+
+def continued_blocks(events: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Blocks with a later block in their group: the only ones whose end state
+    anybody reads."""
+    order = Window.partitionBy(*keys).orderBy("block")
+    blocks = events.select(*keys, "block").distinct()
+    return (
+        blocks.select(*keys, "block", F.lead("block").over(order).alias("_later"))
+        .where(F.col("_later").isNotNull())
+        .drop("_later")
     )
 
 
@@ -71,8 +94,8 @@ def dense_positions(events: DataFrame, keys: Sequence[str], name: str = "idx") -
     offsets = carry_into_blocks(counts, keys, {"_offset": added("_n")})
     local = events.withColumn("_rn", F.row_number().over(within_block(keys)))
     return (
-        local.join(offsets, [*keys, "block"])
-        .withColumn(name, (F.col("_offset") + F.col("_rn") - 1).cast("bigint"))
+        local.join(offsets, [*keys, "block"], "left")
+        .withColumn(name, (F.coalesce("_offset", F.lit(0)) + F.col("_rn") - 1).cast("bigint"))
         .drop("_offset", "_rn")
     )
 

@@ -39,14 +39,16 @@ def carry_settings(lines: DataFrame, keys: Sequence[str] = FILE) -> DataFrame:
         {"_in_model": last_known("_end_model"), "_in_tier": last_known("_end_tier")},
     )
     spec = upto(within_block(keys))
-    local = marked.withColumn(
-        "_model", F.last("model_set", ignorenulls=True).over(spec)
-    ).withColumn("_tier", F.last("_tier", ignorenulls=True).over(spec))
+    local = marked.select(
+        *lines.columns,
+        F.last("model_set", ignorenulls=True).over(spec).alias("_model"),
+        F.last("_tier", ignorenulls=True).over(spec).alias("_tier"),
+    )
     joined = local.join(carried, [*keys, "block"], "left")
     tier_now = F.coalesce("_tier", "_in_tier")
-    return (
-        joined.withColumn("model", F.coalesce("_model", "_in_model"))
-        .withColumn("tier_kind", tier_now.getField("kind"))
-        .withColumn("tier_text", tier_now.getField("text"))
-        .drop("_model", "_tier", "_in_model", "_in_tier")
+    return joined.select(
+        *lines.columns,
+        F.coalesce("_model", "_in_model").alias("model"),
+        tier_now.getField("kind").alias("tier_kind"),
+        tier_now.getField("text").alias("tier_text"),
     )

@@ -20,9 +20,9 @@ from pyspark.sql import functions as F
 from tallyspark.fixed_values import CAPPED_PERCENT
 from tallyspark.functions.counters import CounterMath, signature
 from tallyspark.operators.blocks import (
-    added,
     before,
     carry_into_blocks,
+    continued_blocks,
     highest,
     last_known,
     upto,
@@ -39,27 +39,34 @@ def is_capped(primary: Column, secondary: Column) -> Column:
     return F.coalesce(primary >= full, F.lit(False)) | F.coalesce(secondary >= full, F.lit(False))
 
 
-def _source_peaks(totals: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Block summaries of the per-source peak, scanned over the blocks.
+def _source_peaks(ends: DataFrame, entries: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Per-source peak carried into each block.
 
-    A peak only lives while the source's model stays the same. ``_run`` counts
-    the model changes inside a block; on block level the changes are numbered
-    through, so "same run" is an equality of run numbers.
+    ``ends``: total-bearing events of blocks that have a successor, with
+    ``_run`` (model changes so far in the block). ``entries``: those of all
+    blocks of the same files, of which only the first one's model matters.
+
+    A peak lives while the source's model stays the same. On block level the
+    runs are numbered through, so "still the same run" is an equality of run
+    numbers and the carried peak is a plain running maximum.
     """
     by_source = [*keys, "_source"]
-    ends = totals.groupBy(*by_source, "block").agg(
-        F.min(F.struct("line_no", "model")).alias("_head"),
+    closing = ends.groupBy(*by_source, "block").agg(
         F.max(F.struct("line_no", "model")).alias("_tail"),
         F.max("_run").alias("_changes"),
         F.max(F.struct("_run", "_teff", "_neg_line", "sig")).alias("_peak"),
     )
+    heads = entries.groupBy(*by_source, "block").agg(F.min(F.struct("line_no", "model")).alias("_head"))
+    blocks = heads.join(closing, [*by_source, "block"], "left")
     order = Window.partitionBy(*by_source).orderBy("block")
-    ends = ends.withColumn("_lag", F.lag(F.struct("_tail", "_changes")).over(order))
+    blocks = blocks.select(
+        *blocks.columns, F.lag(F.struct("_tail", "_changes")).over(order).alias("_lag")
+    )
     changed = F.col("_lag").isNotNull() & ~F.col("_lag._tail.model").eqNullSafe(F.col("_head.model"))
     step = changed.cast("bigint") + F.coalesce(F.col("_lag._changes"), F.lit(0))
-    ends = ends.withColumn("_run_first", F.sum(step).over(upto(order)))
-    ends = ends.withColumn(
-        "_run_peak",
+    blocks = blocks.select(*blocks.columns, F.sum(step).over(upto(order)).alias("_run_first"))
+    run_peak = F.when(
+        F.col("_peak").isNotNull(),
         F.struct(
             (F.col("_run_first") + F.col("_changes")).alias("run"),
             F.col("_peak._teff").alias("teff"),
@@ -67,12 +74,40 @@ def _source_peaks(totals: DataFrame, keys: Sequence[str]) -> DataFrame:
             F.col("_peak.sig").alias("sig"),
         ),
     )
-    ends = ends.withColumn("_in", F.max("_run_peak").over(before(order)))
-    alive = F.col("_in.run") == F.col("_run_first")
-    return ends.select(
+    blocks = blocks.select(*by_source, "block", "_run_first", run_peak.alias("_run_peak"))
+    carried = blocks.select(
+        *by_source, "block", "_run_first", F.max("_run_peak").over(before(order)).alias("_in")
+    )
+    return carried.where(F.col("_in.run") == F.col("_run_first")).select(
         *by_source,
         "block",
-        F.when(alive, F.struct("_in.teff", "_in.neg_line", "_in.sig")).alias("_in_peak"),
+        F.lit(True).alias("_has_total"),
+        F.struct("_in.teff", "_in.neg_line", "_in.sig").alias("_in_peak"),
+    )
+
+
+def _row_parts(events: DataFrame, math: CounterMath) -> DataFrame:
+    """Everything an event needs of its own row, flat, so that the counter
+    structs need not travel through the sorts below."""
+    total, last = F.col("total"), F.col("last")
+
+    def part(counters: Column, name: str) -> Column:
+        return math.or_zero(counters.getField(name))
+
+    return events.select(
+        *events.columns,
+        signature(total, last).alias("sig"),
+        is_capped(F.col("primary_percent"), F.col("secondary_percent")).alias("capped"),
+        F.coalesce(F.concat(F.lit("="), "source"), F.lit("")).alias("_source"),
+        (-F.col("line_no")).alias("_neg_line"),
+        total.isNotNull().alias("_has_total"),
+        last.isNotNull().alias("_has_last"),
+        math.effective(total).alias("_teff"),
+        *[total.getField(name).alias(f"_t_{name}") for name in HIGH_WATER],
+        math.effective(last).alias("_l_total"),
+        math.sub(part(last, "input"), part(last, "cached_input")).alias("_l_uncached"),
+        part(last, "cached_input").alias("_l_cached"),
+        part(last, "output").alias("_l_output"),
     )
 
 
@@ -85,60 +120,55 @@ def token_timeline(events: DataFrame, keys: Sequence[str] = FILE) -> DataFrame:
     overflow``.
     """
     math = CounterMath.of(events)
-    total, last = F.col("total"), F.col("last")
-    base = (
-        events.withColumn("sig", signature(total, last))
-        .withColumn("_teff", math.effective(total))
-        .withColumn("_neg_line", -F.col("line_no"))
-        .withColumn("_has_total", total.isNotNull())
-        .withColumn("_source", F.coalesce(F.concat(F.lit("="), "source"), F.lit("")))
-        .withColumn("capped", is_capped(F.col("primary_percent"), F.col("secondary_percent")))
-    )
+    base = _row_parts(events, math)
 
-    in_file = within_block(keys)
     in_source = Window.partitionBy(*keys, "block", "_source", "_has_total").orderBy("line_no")
     previous_model = F.lag(F.struct("model")).over(in_source)
-    model_changed = previous_model.isNotNull() & ~previous_model.getField("model").eqNullSafe(
-        F.col("model")
-    )
-    runs = base.withColumn("_change", model_changed.cast("bigint")).withColumn(
-        "_run", F.sum("_change").over(upto(in_source))
-    )
-    local_peak = F.max(F.struct("_run", "_teff", "_neg_line", "sig")).over(before(in_source))
-    local = runs.withColumn("_peak", local_peak)
-    local = local.withColumn("_prev", F.lag(F.struct("model", "sig", "capped")).over(in_file))
-    for name in HIGH_WATER:
-        local = local.withColumn(f"_hw_{name}", F.max(total.getField(name)).over(before(in_file)))
-    local = local.withColumn(
-        "_hw_seen", F.coalesce(F.max(F.col("_has_total").cast("int")).over(before(in_file)), F.lit(0))
-    )
+    changed = previous_model.isNotNull() & ~previous_model.getField("model").eqNullSafe(F.col("model"))
 
-    file_ends = base.groupBy(*keys, "block").agg(
-        F.max(F.struct("line_no", "model", "sig", "capped")).alias("_end"),
-        F.max(F.col("_has_total").cast("int")).alias("_seen"),
-        *[F.max(total.getField(name)).alias(f"_{name}") for name in HIGH_WATER],
+    def with_runs(rows: DataFrame) -> DataFrame:
+        marked = rows.select(*rows.columns, changed.cast("bigint").alias("_change"))
+        return marked.select(*rows.columns, F.sum("_change").over(upto(in_source)).alias("_run"))
+
+    in_file = within_block(keys)
+    seen_before = before(in_file)
+    local = base.select(
+        *base.columns,
+        F.lag(F.struct("model", "sig", "capped")).over(in_file).alias("_prev"),
+        *[F.max(f"_t_{name}").over(seen_before).alias(f"_hw_{name}") for name in HIGH_WATER],
+        F.max("_has_total").over(seen_before).alias("_hw_seen"),
     )
+    local = with_runs(local)
+    peak = F.max(F.struct("_run", "_teff", "_neg_line", "sig")).over(before(in_source))
+    local = local.select(*local.columns, peak.alias("_peak"))
+
     file_carry = carry_into_blocks(
-        file_ends,
+        base.groupBy(*keys, "block").agg(
+            F.max(F.struct("line_no", "model", "sig", "capped")).alias("_end"),
+            F.max("_has_total").alias("_seen"),
+            *[F.max(f"_t_{name}").alias(f"_m_{name}") for name in HIGH_WATER],
+        ),
         keys,
         {
             "_in_prev": last_known("_end"),
             "_in_seen": highest("_seen"),
-            **{f"_in_{name}": highest(f"_{name}") for name in HIGH_WATER},
+            **{f"_in_{name}": highest(f"_m_{name}") for name in HIGH_WATER},
         },
     )
-    source_carry = _source_peaks(runs.where("_has_total"), keys).withColumn("_has_total", F.lit(True))
+    # Peaks are scanned per source over all blocks of continued files; files
+    # that fit one block drop out before the sort.
+    open_blocks = continued_blocks(events, keys)
+    ends = base.where("_has_total").join(open_blocks, [*keys, "block"], "left_semi")
+    last_blocks = base.where("_has_total").join(open_blocks.select(*keys).distinct(), list(keys), "left_semi")
+    source_carry = _source_peaks(with_runs(ends), last_blocks, keys)
 
     joined = local.join(file_carry, [*keys, "block"], "left").join(
-        source_carry, [*keys, "_source", "block", "_has_total"], "left"
+        source_carry, [*keys, "block", "_source", "_has_total"], "left"
     )
-
     carried_prev = F.when(
-        F.col("_in_prev").isNotNull(),
-        F.struct("_in_prev.model", "_in_prev.sig", "_in_prev.capped"),
+        F.col("_in_prev").isNotNull(), F.struct("_in_prev.model", "_in_prev.sig", "_in_prev.capped")
     )
-    joined = joined.withColumn("_prev", F.coalesce(F.col("_prev"), carried_prev))
-    local_alive = F.when(
+    own_peak = F.when(
         F.col("_peak._run") == F.col("_run"),
         F.struct(
             F.col("_peak._teff").alias("teff"),
@@ -146,79 +176,67 @@ def token_timeline(events: DataFrame, keys: Sequence[str] = FILE) -> DataFrame:
             F.col("_peak.sig").alias("sig"),
         ),
     )
-    carried_alive = F.when(F.col("_run") == 0, F.col("_in_peak"))
-    joined = joined.withColumn("_peak", F.greatest(local_alive, carried_alive))
-    joined = joined.withColumn("_hw_seen", F.greatest("_hw_seen", F.coalesce("_in_seen", F.lit(0))))
-    for name in HIGH_WATER:
-        joined = joined.withColumn(f"_hw_{name}", F.greatest(f"_hw_{name}", f"_in_{name}"))
-
-    judged = _judge(joined)
-    return _deltas(judged, math).drop(*[c for c in judged.columns if c.startswith("_")])
+    combined = joined.select(
+        *base.columns,
+        F.coalesce(F.col("_prev"), carried_prev).alias("_prev"),
+        F.greatest(own_peak, F.when(F.col("_run") == 0, F.col("_in_peak"))).alias("_peak"),
+        F.coalesce(F.greatest("_hw_seen", "_in_seen"), F.lit(False)).alias("_hw_seen"),
+        *[F.greatest(f"_hw_{name}", f"_in_{name}").alias(f"_hw_{name}") for name in HIGH_WATER],
+    )
+    return _deltas(_judge(combined), math, events.columns)
 
 
 def _judge(df: DataFrame) -> DataFrame:
-    repeats_peak = F.col("_peak.sig") == F.col("sig")
     repeats_previous = (
         F.col("_prev").isNotNull()
         & F.col("_prev.model").eqNullSafe(F.col("model"))
         & (F.col("_prev.sig") == F.col("sig"))
     )
-    duplicate = F.col("_has_total") & (
-        F.coalesce(repeats_peak, F.lit(False)) | F.coalesce(repeats_previous, F.lit(False))
-    )
-    stale = (
-        ~F.col("is_duplicate")
-        & F.col("last").isNotNull()
-        & F.coalesce(F.col("_teff") <= F.col("_peak.teff"), F.lit(False))
-    )
-    df = df.withColumn("is_duplicate", duplicate).withColumn("is_stale", stale)
+    repeats_peak = F.coalesce(F.col("_peak.sig") == F.col("sig"), F.lit(False))
+    duplicate = F.col("_has_total") & (repeats_peak | F.coalesce(repeats_previous, F.lit(False)))
+    behind = F.col("_has_last") & F.coalesce(F.col("_teff") <= F.col("_peak.teff"), F.lit(False))
     # The first event of a file stands on its own reading; later ones overflow
     # only when the reading before them was already full.
-    return df.withColumn(
-        "overflow",
-        F.col("capped") & F.coalesce(F.col("_prev.capped"), F.lit(True)),
+    overflow = F.col("capped") & F.coalesce(F.col("_prev.capped"), F.lit(True))
+    judged = df.select(*df.columns, duplicate.alias("is_duplicate"), behind.alias("_behind"), overflow.alias("overflow"))
+    return judged.select(
+        *df.columns, "is_duplicate", "overflow", (F.col("_behind") & ~F.col("is_duplicate")).alias("is_stale")
     )
 
 
-def _deltas(df: DataFrame, math: CounterMath) -> DataFrame:
-    total, last = F.col("total"), F.col("last")
+def _deltas(df: DataFrame, math: CounterMath, columns: Sequence[str]) -> DataFrame:
     zero = math.zero()
 
-    def part(counters: Column, name: str) -> Column:
-        return math.or_zero(counters.getField(name))
-
     def high(name: str) -> Column:
         return math.or_zero(F.col(f"_hw_{name}"))
 
     def rise(name: str) -> Column:
-        return math.sub(part(total, name), high(name))
+        return math.sub(math.or_zero(F.col(f"_t_{name}")), high(name))
 
-    names_parts = total.getField("input").isNotNull() | total.getField("output").isNotNull()
+    names_parts = F.col("_t_input").isNotNull() | F.col("_t_output").isNotNull()
     high_total = F.coalesce(F.col("_hw_total"), math.add(high("input"), high("output")))
-    total_rise = (
-        F.when(F.col("_hw_seen") == 0, F.col("_teff"))
-        .when(names_parts, math.add(rise("input"), rise("output")))
-        .otherwise(math.sub(F.col("_teff"), high_total))
-    )
-    from_last = {
-        "delta_total": math.effective(last),
-        "delta_uncached": math.sub(part(last, "input"), part(last, "cached_input")),
-        "delta_cached": part(last, "cached_input"),
-        "delta_output": part(last, "output"),
-    }
     from_total = {
-        "delta_total": total_rise,
+        "delta_total": F.when(~F.col("_hw_seen"), F.col("_teff"))
+        .when(names_parts, math.add(rise("input"), rise("output")))
+        .otherwise(math.sub(F.col("_teff"), high_total)),
         "delta_uncached": math.sub(rise("input"), rise("cached_input")),
         "delta_cached": rise("cached_input"),
         "delta_output": rise("output"),
     }
     nothing = F.col("is_duplicate") | F.col("is_stale")
-    for name in DELTAS:
-        df = df.withColumn(
-            name,
+    return df.select(
+        *columns,
+        "sig",
+        "capped",
+        "overflow",
+        "is_duplicate",
+        "is_stale",
+        *[
             F.when(nothing, zero)
-            .when(last.isNotNull(), from_last[name])
-            .when(total.isNotNull(), from_total[name])
-            .otherwise(zero),
-        )
-    return df
+            .when(F.col("_has_last"), F.col(name.replace("delta", "_l")))
+            .when(F.col("_has_total"), from_total[name])
+            .otherwise(zero)
+            .alias(name)
+            for name in DELTAS
+        ],
+    )

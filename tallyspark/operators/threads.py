@@ -66,10 +66,10 @@ def prefix_digests(events: DataFrame, keys: Sequence[str] = FILE) -> DataFrame:
         *[c for c in hashed.columns if c not in DIGEST],
         *[F.sum(d).over(spec).alias(f"_run_{d}") for d in DIGEST],
     )
-    joined = local.join(carried, [*keys, "block"])
+    joined = local.join(carried, [*keys, "block"], "left")
     return joined.select(
         *[c for c in placed.columns if c not in DIGEST],
-        F.struct(*[(F.col(f"_run_{d}") + F.col(f"_in_{d}")).alias(d) for d in DIGEST]).alias("digest"),
+        F.struct(*[(F.col(f"_run_{d}") + F.coalesce(f"_in_{d}", F.lit(0))).alias(d) for d in DIGEST]).alias("digest"),
     )
 
 

@@ -10,12 +10,20 @@ from pyspark.sql import functions as F
 from tallyspark.functions.counters import context_band, details_missing
 from tallyspark.operators.carry import FILE, carry_settings
 from tallyspark.operators.deltas import token_timeline
+from tallyspark.session import settle
 
 
 def token_events(lines: DataFrame, keys: Sequence[str] = FILE) -> DataFrame:
-    """Token events with model, tier, deltas, overflow, band and detail flag."""
+    """Token events with model, tier, deltas, overflow, band and detail flag.
+
+    The events with their settings are written once: the timeline's branches
+    (rows, block ends, source peaks) each read a few columns of that table
+    instead of parsing the logs again.
+    """
     settled = carry_settings(lines, keys).where("is_token")
-    timeline = token_timeline(settled, keys)
-    return timeline.withColumn("band", context_band(F.col("last"))).withColumn(
-        "details_missing", details_missing(F.col("total"), F.col("last"))
+    own = settled.select(
+        *settled.columns,
+        context_band(F.col("last")).alias("band"),
+        details_missing(F.col("total"), F.col("last")).alias("details_missing"),
     )
+    return token_timeline(settle(own.drop("model_set", "sets_tier", "tier_set_kind", "tier_set_text", "limits")), keys)

@@ -17,6 +17,12 @@ def configure(spark: SparkSession) -> SparkSession:
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     spark.conf.set("spark.sql.adaptive.enabled", "true")
     spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
+    # Rows already spread by (file, block) stay where they are when a join adds
+    # further keys; a block bounds how much one task can receive.
+    spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
+    # Methods beyond 8000 bytes of bytecode are never compiled by the JIT; let
+    # Spark split such wide projections instead of running them interpreted.
+    spark.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
     # Logs written by other tools may repeat a JSON key; keep the last value.
     spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
     return spark

@@ -24,10 +24,10 @@ FIRST_HALF_DAY = 39445  # half days from 1970-01-01 to 2024-01-01, minus one
 _DIALECT = {
     "spark": {
         "k": "cast(get_json_object(props, '$.k') as bigint)",
-        "nanos": "timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', cast(ts as timestamp_ntz)) * 1000",
+        "nanos": "unix_micros(cast(ts as timestamp)) * 1000",
         "div": "({0} div {1})",
         "floor": "cast(floor({0}) as bigint)",
-        "ts": "timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', timestamp_ntz'{0}') * 1000",
+        "ts": "unix_micros(timestamp'{0}') * 1000",
     },
     "duckdb": {
         "k": "cast(json_extract_string(props, '$.k') as bigint)",
