@@ -56,7 +56,7 @@ def usage_with_hit(count: Column, hit_tenths: Column, style: str = "zh") -> Colu
 def usd(amount: Column) -> Column:
     return (
         F.when(amount <= 0, "$0.00")
-        .when(amount >= 100, F.format_string("$%.0f", amount.cast("double")))
+        .when(amount >= 100, F.format_string("$%.0f", F.bround(amount.cast("double"))))
         .when(amount.isNotNull(), F.format_string("$%.2f", amount.cast("double")))
         .otherwise(MISSING)
     )
@@ -159,3 +159,16 @@ def reset_column(seconds: Column, now_seconds: Column, tz: str, countdown: bool
         return text
     left = seconds - now_seconds
     return F.when(left > 0, F.concat(text, F.lit(" ("), compact_countdown(left), F.lit(")"))).otherwise(text)
+
+
+def reset_text(seconds: Column, remaining: Column) -> Column:
+    name = window_name(seconds)
+    gap = F.when(name.rlike("[A-Za-z0-9]$"), " ").otherwise("")
+    left = F.format_string("%.0f", F.bround(remaining))
+    return F.concat(name, gap, F.lit("窗口已重置，当前剩余 "), left, F.lit("%"))
+
+
+def overflow_text(period: Column, credits: Column, usd_per_credit: float) -> Column:
+    return F.concat(
+        period, F.lit("已扣 "), credits_text(credits), F.lit(" credits（约 "), usd(credits * usd_per_credit), F.lit("）")
+    )

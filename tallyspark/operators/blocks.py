@@ -16,6 +16,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from tallyspark.session import settle
+
 BLOCK_ROWS = 1 << 20
 
 
@@ -163,3 +165,58 @@ def join_dimension(
         "_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(copies - 1).cast("bigint")))
     )
     return salted_facts.join(salted_dim, [*on, "_salt"], how).drop("_salt")
+
+
+def ordered_slices(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """Rows sorted by ``keys`` and ``order`` and cut into even slices, whose
+    number is kept in ``block``; a hot key gets as many slices as it needs.
+
+    The table is written once, because several branches have to agree on where
+    the range exchange cut it.
+    """
+    ranged = df.repartitionByRange(*keys, *order)
+    return settle(ranged.withColumn("block", F.spark_partition_id().cast("bigint")))
+
+
+def running(
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[str],
+    columns: dict[str, tuple[str, Column, bool]],
+) -> DataFrame:
+    """Add running values over ``keys`` in ``order`` to rows with ``block``.
+
+    ``columns`` maps a name to ``(how, value, with_current)``, ``how`` one of
+    ``last`` (not NULL), ``max``, ``sum``.
+    """
+    inner = Window.partitionBy(*keys, "block").orderBy(*order)
+    aggregate = {
+        "last": lambda v: F.max_by(v, F.when(v.isNotNull(), F.struct(*order))),
+        "max": F.max,
+        "sum": F.sum,
+    }
+    over = {
+        "last": lambda v, w: F.last(v, ignorenulls=True).over(w),
+        "max": lambda v, w: F.max(v).over(w),
+        "sum": lambda v, w: F.sum(v).over(w),
+    }
+    zero = F.lit(0)
+    join = {
+        "last": lambda local, carried: F.coalesce(local, carried),
+        "max": lambda local, carried: F.greatest(local, carried),
+        "sum": lambda local, carried: F.coalesce(local, zero) + F.coalesce(carried, zero),
+    }
+    ends = df.groupBy(*keys, "block").agg(
+        *[aggregate[how](value).alias(f"_end_{n}") for n, (how, value, _) in columns.items()]
+    )
+    carried = carry_into_blocks(
+        ends, keys, {f"_in_{n}": (lambda w, n=n, how=how: over[how](F.col(f"_end_{n}"), w)) for n, (how, _, _) in columns.items()}
+    )
+    local = df.select(
+        *df.columns,
+        *[over[how](v, upto(inner) if now else before(inner)).alias(f"_own_{n}") for n, (how, v, now) in columns.items()],
+    )
+    return local.join(carried, [*keys, "block"], "left").select(
+        *df.columns,
+        *[join[how](F.col(f"_own_{n}"), F.col(f"_in_{n}")).alias(n) for n, (how, _, _) in columns.items()],
+    )

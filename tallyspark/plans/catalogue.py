@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyspark.functions import display
+from tallyspark.operators.alerts import early_restores, overflow_alerts, reset_events
 from tallyspark.operators.carry import carry_settings
+from tallyspark.operators.compaction import compact_events, compactable_files
 from tallyspark.operators.credits import credits_debits
 from tallyspark.operators.pricing import price_frame, price_issues, price_volumes, strict_cost
 from tallyspark.operators.quota import (
@@ -18,10 +21,11 @@ from tallyspark.operators.quota import (
 )
 from tallyspark.operators.blocks import join_dimension
 from tallyspark.operators.timeline import token_events
-from tallyspark.operators.usage import cache_hit_rate, usage_volumes
+from tallyspark.operators.usage import cache_hit_rate, hit_rate_tenths, usage_volumes
 from tallyspark.operators.windows import local_date
-from tallyspark.plans.parameters import AS_OF_SPARK, PRICE_ROWS, REFRESH_SECONDS, TZ
-from tallyspark.operators.forks import parent_state, replay_bounds
+from tallyspark.plans.parameters import AS_OF_SPARK, NEWER_PRICE_ROWS, PRICE_ROWS, REFRESH_SECONDS, TZ
+from tallyspark.operators.forks import ancestor_closure, parent_state, replay_bounds
+from tallyspark.operators.gaps import GAP, follow_gaps
 from tallyspark.operators.threads import file_profile, mark_copies, resolve_threads
 from tallyspark.plans.usage_report import (
     EVENT_COLUMNS,
@@ -31,7 +35,8 @@ from tallyspark.plans.usage_report import (
     window_report,
 )
 from tallyspark.session import configure, settle
-from tallyspark.sources.event_feed import event_files, event_lines
+from tallyspark.sources.event_feed import SPLIT_DAY, event_files, event_lines, nanos_literal
+from tallyspark.sources.manifest import manifest_diff
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -268,3 +273,133 @@ def usage_report_by_home(spark, sf_dir):
 
 
 QUERIES["usage_report"] = QUERIES.pop("usage_report_by_home")
+
+
+@query
+def ancestor_closure_by_thread(spark, sf_dir):
+    """Parent chains: each thread's parent is the one with half its number."""
+    lines = event_lines(spark, sf_dir)
+    edges = lines.select("home", "user_id").distinct().where("user_id > 0").select(
+        F.lit(0).alias("home"), F.col("user_id").alias("thread"), F.expr("user_id div 2").alias("parent")
+    )
+    edges = settle(edges)
+    return ancestor_closure(edges, edges).select("thread", "ancestor")
+
+
+QUERIES["ancestor_closure"] = QUERIES.pop("ancestor_closure_by_thread")
+
+
+@query
+def history_compaction(spark, sf_dir):
+    lines = event_lines(spark, sf_dir, variants=True)
+    events = settle(carry_settings(lines).where("is_token"))
+    files = settle(event_files(lines))
+    start = F.expr(nanos_literal(SPLIT_DAY, "spark"))
+    kept = compact_events(events, compactable_files(files).withColumn("start_nanos", start))
+    return kept.groupBy("home", "path").agg(
+        F.count(F.lit(1)).alias("kept"), F.sum("line_no").alias("line_sum"), F.min("line_no").alias("first_line")
+    )
+
+
+def _observations(spark, sf_dir):
+    lines = event_lines(spark, sf_dir)
+    signed_in = F.when(F.col("line_no") % 3 != 0, F.concat(F.lit("account-"), "home"))
+    return rate_limit_observations(lines).withColumn("account_id", signed_in)
+
+
+@query
+def reset_events_by_home(spark, sf_dir):
+    found = reset_events(_observations(spark, sf_dir), REFRESH_SECONDS)
+    return found.select("home", "ts_nanos", "line_no", "window", "resets_at", "remaining")
+
+
+QUERIES["reset_events"] = QUERIES.pop("reset_events_by_home")
+
+
+@query
+def early_restores_by_home(spark, sf_dir):
+    found = early_restores(_observations(spark, sf_dir), REFRESH_SECONDS)
+    return found.select("home", "ts_nanos", "line_no", "window", "resets_at", "remaining")
+
+
+QUERIES["early_restores"] = QUERIES.pop("early_restores_by_home")
+
+
+@query
+def overflow_alerts_by_home(spark, sf_dir):
+    readings = (
+        event_lines(spark, sf_dir)
+        .where(F.col("balance").isNotNull() & F.col("limits").isNotNull())
+        .withColumn("period", F.col("limits.secondary.resets_at"))
+    )
+    found = overflow_alerts(readings, REFRESH_SECONDS)
+    return found.withColumn("credits", F.round("credits", 4))
+
+
+QUERIES["overflow_alerts"] = QUERIES.pop("overflow_alerts_by_home")
+
+
+@query
+def manifest_diff_by_file(spark, sf_dir):
+    """Yesterday's manifest against today's listing, both taken from the logs."""
+    lines = event_lines(spark, sf_dir)
+    split = F.expr(nanos_literal(SPLIT_DAY, "spark"))
+    user = F.col("user_id")
+
+    def snapshot(rows):
+        sums = rows.groupBy("home", "path", "user_id").agg(
+            F.count(F.lit(1)).alias("length"), F.max("ts_nanos").alias("modified_at")
+        )
+        return sums.withColumn("identity", F.col("path")).withColumn("consumed", F.col("length"))
+
+    stored = snapshot(lines.where(F.col("ts_nanos") < split)).where(user % 6 != 0)
+    cut = (user % 4 != 1) | (F.col("ts_nanos") < split)
+    listing = snapshot(lines.where(cut & ((user % 8 != 3) | (F.col("line_no") % 2 == 0)))).where(user % 9 != 0)
+    # Some untouched files have moved to the archive, keeping their identity.
+    moved = (user % 4 == 1) & (user % 10 == 1)
+    listing = listing.withColumn("path", F.when(moved, F.concat(F.lit("archive/"), "path")).otherwise(F.col("path")))
+    return manifest_diff(listing, stored)
+
+
+QUERIES["manifest_diff"] = QUERIES.pop("manifest_diff_by_file")
+
+
+@query
+def price_gap_lifecycle(spark, sf_dir):
+    """Gaps of the first half followed into the second, with a newer sheet."""
+    split = F.expr(nanos_literal(SPLIT_DAY, "spark"))
+    events = settle(_events(spark, sf_dir))
+    newer = price_frame(spark, NEWER_PRICE_ROWS)
+
+    def gaps(rows, prices):
+        issues = price_issues(price_volumes(usage_volumes(rows, ["home"]), prices), ["home"])
+        return issues.where("issue_kind = 'gap'")
+
+    state = gaps(events.where(F.col("ts_nanos") < split), _prices(spark)).select(
+        *GAP, (now() - F.expr("if(band = 'short', 7L, 1L) * 3600000000000")).alias("first_seen"),
+        F.lit(False).alias("gave_up"),
+    )
+    current = gaps(events.where(F.col("ts_nanos") >= split), newer)
+    return follow_gaps(state, current, newer, now()).select(*GAP, "event", "gave_up", "open")
+
+
+@query
+def display_texts(spark, sf_dir):
+    """Every report text over the usage of each account and day."""
+    events = event_lines(spark, sf_dir).where("is_token")
+    days = events.groupBy("home", F.expr("ts_nanos div 86400000000000").alias("day")).agg(
+        F.sum(F.coalesce("last.total", F.lit(0))).alias("tokens"),
+        F.sum(F.coalesce("last.cached_input", F.lit(0))).alias("cached"),
+        F.sum(F.coalesce("last.input", F.lit(0)) - F.coalesce("last.cached_input", F.lit(0))).alias("uncached"),
+        F.max("ts_nanos").alias("latest"),
+    )
+    seconds = F.expr("latest div 1000000000 % 2000000")
+    return days.select(
+        "home", "day",
+        display.compact_tokens(F.col("tokens"), "en").alias("en"),
+        display.compact_tokens(F.col("tokens") * 1000, "zh").alias("zh"),
+        hit_rate_tenths(F.col("cached"), F.col("uncached")).alias("hit"),
+        display.compact_countdown(seconds).alias("countdown"),
+        display.window_name(F.expr("(latest div 1000000000 % 700) * 3600")).alias("window_name"),
+        display.elapsed_label(F.expr("latest div 1000000000"), F.expr(f"({AS_OF_SPARK}) div 1000000000")).alias("elapsed"),
+    )

@@ -9,6 +9,7 @@ from __future__ import annotations
 from tallyspark.plans.parameters import (
     AS_OF_SQL,
     DAY_START_SQL,
+    NEWER_PRICE_ROWS,
     PRICE_ROWS,
     REFRESH_SECONDS,
     STALE_NANOS,
@@ -113,25 +114,25 @@ timeline as (
   from judged)"""
 
 
-def _price_values() -> str:
+def _price_values(price_rows=PRICE_ROWS, name: str = "prices") -> str:
     def rate(x):
         return "cast(null as double)" if x is None else f"cast({x!r} as double)"
 
     rows = []
-    for model, tier, split, short, long in PRICE_ROWS:
+    for model, tier, split, short, long in price_rows:
         has_long = long is not None
         cells = [rate(x) for x in [*short, *(long or (None, None, None))]]
         rows.append(f"('{model}', '{tier}', {str(split).lower()}, {str(has_long).lower()}, {', '.join(cells)})")
     return (
-        "prices(p_model, p_tier, is_split, has_long, s_in, s_cached, s_out, l_in, l_cached, l_out) as (values "
+        f"{name}(p_model, p_tier, is_split, has_long, s_in, s_cached, s_out, l_in, l_cached, l_out) as (values "
         + ", ".join(rows)
         + ")"
     )
 
 
-def priced_ctes(volumes: str = "volumes") -> str:
+def priced_ctes(volumes: str = "volumes", price_rows=PRICE_ROWS) -> str:
     """CTEs that price ``volumes`` into ``priced``."""
-    return f"""{_price_values()},
+    return f"""{_price_values(price_rows)},
 resolved as (
   select v.*, coalesce(tier_kind, 'standard') as eff_tier,
     case when model in (select p_model from prices) then model
@@ -441,3 +442,163 @@ select t.home, t.reliable as today_reliable, p.reliable as period_reliable, t.to
     when q.short_active then q.short_left else q.long_left end as headline,
   strftime(make_timestamp(q.long_resets * 1000000), '%m/%d %H:%M') as long_reset_text
 from t join p using (home) left join quota q using (home)"""
+
+
+SQL["ancestor_closure"] = f"""with recursive {LINES_PLAIN}, edges as (
+  select distinct user_id as thread, user_id // 2 as parent from lines where user_id > 0),
+reach(thread, ancestor) as (
+  select thread, parent from edges union select r.thread, e.parent from reach r join edges e on e.thread = r.ancestor)
+select thread, ancestor from reach"""
+
+SQL["history_compaction"] = f"""with {VARIANT}, {NUMBERED},
+crowd as (select home, thread_id from files group by home, thread_id having count(*) > 1
+  union select home, parent_id from files where parent_id is not null),
+target as (
+  select home, path from files f where provider = 'openai' and not uncertain and parent_id is null
+    and not exists (select 1 from crowd c where c.home = f.home and c.thread_id = f.thread_id)),
+cut as (
+  select n.home, n.path, min(case when n.ts_nanos >= {_ts(SPLIT_DAY)} then n.idx end) as cut_idx, max(idx) + 1 as n
+  from numbered n join target using (home, path) group by n.home, n.path),
+head as (
+  select e.*, n.idx from ev e join numbered n using (home, path, line_no) join cut c using (home, path) where n.idx < coalesce(c.cut_idx, c.n)),
+head_runs as (
+  select *, sum(brk) over (partition by home, path, source order by line_no) as run from (
+    select *, case when lag(line_no) over w is null or model is distinct from lag(model) over w then 1 else 0 end as brk
+    from head where has_total window w as (partition by home, path, source order by line_no))),
+peak as (
+  select home, path, line_no from (
+    select *, row_number() over (partition by home, path, source order by run desc, teff desc, line_no) as rn from head_runs) where rn = 1),
+keep as (select * from peak union select home, path, max(line_no) from head group by home, path),
+stay as (
+  select n.home, n.path, n.line_no from numbered n
+  where not exists (select 1 from head h where h.home = n.home and h.path = n.path and h.line_no = n.line_no)
+    or exists (select 1 from keep k where k.home = n.home and k.path = n.path and k.line_no = n.line_no))
+select home, path, cast(count(*) as bigint) as kept, cast(sum(line_no) as bigint) as line_sum, min(line_no) as first_line from stay group by home, path"""
+
+BLIND = 2 * REFRESH_SECONDS * 1_000_000_000
+READINGS = f"""obs as (
+  select home, ts_nanos, path, line_no, primary_percent as short_used, primary_resets_at as short_resets,
+    secondary_percent as long_used, secondary_resets_at as long_resets,
+    case when line_no % 3 <> 0 then 'account-' || home end as account_id,
+    (primary_resets_at > ts_nanos // 1000000000 and primary_percent >= 100) or (secondary_resets_at > ts_nanos // 1000000000 and secondary_percent >= 100) as blocked
+  from lines where primary_percent is not null)"""
+
+SQL["reset_events"] = f"""with {LINES_PLAIN}, {READINGS}, seq as (
+  select *, lag(ts_nanos) over w as prev_ts, max(short_resets) over b as short_base, max(long_resets) over b as long_base from obs
+  window w as (partition by home order by ts_nanos, path, line_no),
+    b as (partition by home order by ts_nanos, path, line_no rows between unbounded preceding and 1 preceding)),
+live as (select * from seq where ts_nanos > prev_ts and ts_nanos - prev_ts <= {BLIND} and not blocked)
+select home, ts_nanos, line_no, 'short' as "window", short_resets as resets_at, greatest(0.0, least(100.0, 100.0 - short_used)) as remaining
+from live where abs(short_resets - (short_base + 18000)) <= 1800
+union all
+select home, ts_nanos, line_no, 'long', long_resets, greatest(0.0, least(100.0, 100.0 - long_used))
+from live where abs(long_resets - (long_base + 604800)) <= 60480"""
+
+SQL["early_restores"] = f"""with {LINES_PLAIN}, {READINGS}, seq as (
+  select *, lag(ts_nanos) over (partition by home order by ts_nanos, path, line_no) as seen from obs),
+known as (
+  select *, lag(ts_nanos) over w as prev_ts, lag(account_id) over w as prev_account, lag(short_used) over w as prev_short,
+    lag(short_resets) over w as prev_short_resets, lag(long_used) over w as prev_long, lag(long_resets) over w as prev_long_resets
+  from seq where account_id is not null window w as (partition by home order by ts_nanos, path, line_no)),
+live as (
+  select * from known where account_id = prev_account and ts_nanos > prev_ts and ts_nanos - prev_ts <= {BLIND}
+    and ts_nanos - seen <= {BLIND} and not blocked)
+select home, ts_nanos, line_no, 'short' as "window", short_resets as resets_at, greatest(0.0, least(100.0, 100.0 - short_used)) as remaining
+from live where abs(short_resets - (prev_short_resets + 18000)) > 1800 and short_resets > ts_nanos // 1000000000
+  and prev_short between 0 and 100 and short_used between 0 and 1 and prev_short - short_used >= 5 and short_resets >= prev_short_resets
+union all
+select home, ts_nanos, line_no, 'long', long_resets, greatest(0.0, least(100.0, 100.0 - long_used))
+from live where abs(long_resets - (prev_long_resets + 604800)) > 60480 and long_resets > ts_nanos // 1000000000
+  and prev_long between 0 and 100 and long_used between 0 and 1 and prev_long - long_used >= 5 and long_resets >= prev_long_resets"""
+
+SQL["overflow_alerts"] = f"""with {LINES_PLAIN}, seq as (
+  select home, ts_nanos, path, line_no, secondary_resets_at as period, balance, lag(balance) over w as prev,
+    lag(secondary_resets_at) over w as prev_period, lag(ts_nanos) over w as prev_ts
+  from lines where balance is not null and primary_percent is not null window w as (partition by home order by ts_nanos, path, line_no)),
+sums as (
+  select *, sum(case when prev_period = period and prev - balance > 1e-6 then prev - balance else 0 end) over p as credits,
+    sum(case when coalesce(ts_nanos - prev_ts > {BLIND}, true) then 1 else 0 end) over p as stretch
+  from seq window p as (partition by home, period order by ts_nanos, path, line_no rows between unbounded preceding and current row)),
+armed as (
+  select *, max(case when credits < 0.25 then 1 else 0 end) over (partition by home, period, stretch order by ts_nanos, path, line_no
+    rows between unbounded preceding and 1 preceding) as ready from sums),
+fired as (select *, row_number() over (partition by home, period order by ts_nanos, path, line_no) as rn from armed where credits >= 0.25 and ready = 1)
+select home, period, ts_nanos, round(credits, 4) as credits from fired where rn = 1"""
+
+SQL["manifest_diff"] = f"""with {LINES_PLAIN},
+old as (
+  select home, path, path as identity, count(*) as length, max(ts_nanos) as modified_at from lines
+  where ts_nanos < {_ts(SPLIT_DAY)} and user_id % 6 <> 0 group by home, path),
+new as (
+  select home, case when any_value(user_id) % 4 = 1 and any_value(user_id) % 10 = 1 then 'archive/' || path else path end as path, path as identity,
+    count(*) as length, max(ts_nanos) as modified_at from lines
+  where (user_id % 4 <> 1 or ts_nanos < {_ts(SPLIT_DAY)}) and (user_id % 8 <> 3 or line_no % 2 = 0) and user_id % 9 <> 0 group by home, lines.path),
+both_sides as (
+  select home, path, n.identity as ni, o.identity as oi, n.length as nl, o.length as ol,
+    case when o.identity is null then 'new' when n.identity is null then 'deleted'
+      when n.identity = o.identity and n.length = o.length and n.modified_at = o.modified_at then 'unchanged'
+      when n.identity = o.identity and n.length > o.length then 'appended' else 'rewritten' end as change
+  from new n full join old o using (home, path)),
+moves as (
+  select c.home, min(c.path) as path, min(g.path) as moved_from, min(g.ol) as resume from both_sides c join both_sides g
+    on g.home = c.home and g.oi = c.ni and g.ol = c.nl where c.change = 'new' and g.change = 'deleted' group by c.home, c.ni, c.nl)
+select b.home, b.path, case when m.path is not null then 'renamed' when g.moved_from is not null then 'moved away' else change end as change,
+  m.moved_from, cast(case when change = 'appended' then ol when m.path is not null then m.resume when change in ('new', 'rewritten') then 0 end as bigint) as resume_at
+from both_sides b left join moves m on m.home = b.home and m.path = b.path left join moves g on g.home = b.home and g.moved_from = b.path"""
+
+
+def _gap_part(name: str, where: str, rows) -> str:
+    """The gaps of one half of the events, as a subquery of its own."""
+    return f"""{name} as (
+  with {volumes_cte('home', 'timeline', where)}, {priced_ctes('volumes', rows)}
+  select distinct home, model, eff_tier as tier, band, issue from priced where issue_kind = 'gap')"""
+
+
+SQL["price_gap_lifecycle"] = f"""with {PLAIN},
+{_gap_part('before_gaps', f'ts_nanos < {_ts(SPLIT_DAY)}', PRICE_ROWS)},
+{_gap_part('after_gaps', f'ts_nanos >= {_ts(SPLIT_DAY)}', NEWER_PRICE_ROWS)},
+{_price_values(NEWER_PRICE_ROWS, 'newer')},
+joined as (
+  select home, model, tier, band, issue, b.home is not null as known, a.home is not null as present
+  from (select *, 1 as one from before_gaps) b full join (select *, 1 as one from after_gaps) a using (home, model, tier, band, issue)),
+found as (
+  select j.*, case when model in (select p_model from newer) then model
+    when regexp_matches(model, '^.+-\\d{{4}}-\\d{{2}}-\\d{{2}}$') and try_strptime(right(model, 10), '%Y-%m-%d') is not null
+      and left(model, length(model) - 11) in (select p_model from newer) then left(model, length(model) - 11) end as base from joined j),
+state as (
+  select f.*, coalesce(p.p_model is not null and case when is_split and band = 'unknown' or is_split and band = 'long' and not has_long then false
+    when issue in ('model', 'tier', 'context') then true
+    when issue = 'input' then case when is_split and band = 'long' then l_in else s_in end is not null
+    when issue = 'cached_input' then case when is_split and band = 'long' then l_cached else s_cached end is not null
+    else case when is_split and band = 'long' then l_out else s_out end is not null end, false) as resolved
+  from found f left join newer p on p.p_model = f.base and p.p_tier = f.tier)
+select home, model, tier, band, issue,
+  case when known and resolved and not present then 'resolved' when known and band = 'short' then 'gave_up' when present and not known then 'missing' end as event,
+  known and band = 'short' and not (resolved and not present) as gave_up, not (known and resolved and not present) as open
+from state"""
+
+_MINUTES = "(latest // 1000000000 % 2000000 // 60)"
+SQL["display_texts"] = f"""with {LINES_PLAIN}, days as (
+  select home, ts_nanos // 86400000000000 as day, cast(sum(coalesce(last_total, 0)) as bigint) as tokens,
+    cast(sum(coalesce(last_cached_input, 0)) as bigint) as cached, cast(sum(coalesce(last_input, 0) - coalesce(last_cached_input, 0)) as bigint) as uncached,
+    max(ts_nanos) as latest from lines where is_token group by 1, 2),
+parts as (
+  select *, {_MINUTES} // 1440 as d, {_MINUTES} % 1440 // 60 as h, {_MINUTES} % 60 as m, (latest // 1000000000 % 700) * 60 as wm,
+    ({AS_OF_SQL}) // 1000000000 - latest // 1000000000 as gone,
+    case when tokens < 1000 then null when tokens < 1000000 then (tokens * 10 + 500) // 1000 when tokens < 1000000000 then (tokens * 10 + 500000) // 1000000
+      else (tokens * 10 + 500000000) // 1000000000 end as en10,
+    case when tokens * 1000 < 10000 then null when tokens * 1000 < 100000000 then (tokens * 10000 + 5000) // 10000 else (tokens * 10000 + 50000000) // 100000000 end as zh10
+  from days)
+select home, day,
+  case when en10 is null then cast(tokens as varchar) else cast(en10 // 10 as varchar) || case when en10 % 10 = 0 then '' else '.' || cast(en10 % 10 as varchar) end
+    || case when tokens < 1000000 then 'K' when tokens < 1000000000 then 'M' else 'B' end end as en,
+  case when zh10 is null then cast(tokens * 1000 as varchar) else cast(zh10 // 10 as varchar) || case when zh10 % 10 = 0 then '' else '.' || cast(zh10 % 10 as varchar) end
+    || case when tokens * 1000 < 100000000 then '万' else '亿' end end as zh,
+  case when cached + uncached > 0 then cast(least(1000, (cached * 1000 + (cached + uncached) // 2) // (cached + uncached)) as bigint) end as hit,
+  case when d >= 10 or (d > 0 and h = 0) then d || 'd' when d > 0 then d || 'd' || h || 'h' when h > 0 and m = 0 then h || 'h'
+    when h > 0 then h || 'h' || m || 'm' when m > 0 then m || 'm' else '<1m' end as countdown,
+  case when wm = 300 then '5h' when wm between 40320 and 44640 then '月' when wm = 10080 then '周' when wm <> 0 and wm % 10080 = 0 then wm // 10080 || '周'
+    when wm <> 0 and wm % 1440 = 0 then wm // 1440 || '天' when wm <> 0 and wm % 60 = 0 then wm // 60 || '小时' else wm || '分钟' end as window_name,
+  case when gone < 60 then '刚刚更新' when gone < 3600 then gone // 60 || '分钟前更新' when gone < 86400 then gone // 3600 || '小时前更新'
+    else gone // 86400 || '天前更新' end as elapsed
+from parts"""

@@ -25,3 +25,11 @@ PRICE_ROWS = (
     ("m3", "standard", True, (1.0, 0.1, 4.0), (2.0, 0.2, 6.0)),
     ("m3", "fast", True, (2.0, 0.2, 8.0), None),
 )
+
+# A later sheet: m4 gets standard and fast prices, m3 long prices in fast.
+NEWER_PRICE_ROWS = (
+    *PRICE_ROWS[:9],
+    ("m3", "fast", True, (2.0, 0.2, 8.0), (4.0, 0.4, 12.0)),
+    ("m4", "standard", False, (1.0, 0.1, 5.0), None),
+    ("m4", "fast", False, (2.0, None, 10.0), None),
+)
