@@ -37,7 +37,7 @@ def text(value: Column) -> Column:
 
 
 def filled_text(value: Column) -> Column:
-    return F.when(text(value) != "", text(value))
+    return F.nullif(text(value), F.lit(""))
 
 
 def unsigned(value: Column) -> Column:
@@ -62,20 +62,28 @@ def number(value: Column) -> Column:
     return F.when(numeric, F.try_variant_get(value, "$", "double"))
 
 
-def counters(value: Column) -> Column:
-    """Six optional counters, NULL when the object holds none that count."""
-    keys = {
-        "input": ("$.input_tokens",),
-        "cached_input": ("$.cached_input_tokens", "$.cache_read_input_tokens"),
-        "cache_write_input": ("$.cache_write_input_tokens",),
-        "output": ("$.output_tokens",),
-        "reasoning_output": ("$.reasoning_output_tokens",),
-        "total": ("$.total_tokens",),
-    }
-    packed = F.struct(
-        *[unsigned(first_present_key(value, *keys[name])).alias(name) for name in COUNTER_FIELDS]
-    )
-    return F.when(kind(value).startswith("OBJECT") & has_value(packed), packed)
+# JSON keys of the counters, in the order of COUNTER_FIELDS.
+COUNTER_KEYS = (
+    ("$.input_tokens",),
+    ("$.cached_input_tokens", "$.cache_read_input_tokens"),
+    ("$.cache_write_input_tokens",),
+    ("$.output_tokens",),
+    ("$.reasoning_output_tokens",),
+    ("$.total_tokens",),
+)
+
+
+def counter_values(value: Column) -> Column:
+    """The six counters as an array; NULL when ``value`` is no object. One
+    lambda checks all six, which keeps the generated code small."""
+    values = F.transform(F.array(*[first_present_key(value, *keys) for keys in COUNTER_KEYS]), unsigned)
+    return F.when(kind(value).startswith("OBJECT"), values)
+
+
+def counters(values: Column) -> Column:
+    """Counter struct from ``counter_values``, NULL when none of them counts."""
+    packed = F.struct(*[values.getItem(i).alias(name) for i, name in enumerate(COUNTER_FIELDS)])
+    return F.when(values.isNotNull() & has_value(packed), packed)
 
 
 def rfc3339_nanos(value: Column) -> Column:

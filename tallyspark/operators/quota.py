@@ -29,18 +29,21 @@ def rate_limit_observations(lines: DataFrame) -> DataFrame:
 def latest_quota(observations: DataFrame, live_files: DataFrame | None = None) -> DataFrame:
     """Newest reading per account; on equal times the later line wins.
 
-    With ``live_files`` only readings of files that still exist count. A map-
-    side maximum leaves one row per account and split for the shuffle.
+    With ``live_files`` only readings of files that still exist count. Each
+    file is reduced to its newest reading map-side before anything is joined.
     """
-    if live_files is not None:
-        observations = observations.join(live_files.select("home", "path"), ["home", "path"], "left_semi")
-    newest = observations.groupBy("home").agg(
-        F.max_by(
-            F.struct("ts_nanos", "path", "line_no", "primary", "secondary", "plan_type"),
-            F.struct("ts_nanos", "path", "line_no"),
-        ).alias("_n")
-    )
-    return newest.select("home", "_n.*")
+    fields = ("ts_nanos", "path", "line_no", "primary", "secondary", "plan_type")
+
+    def newest(rows: DataFrame, *keys: str) -> DataFrame:
+        pick = F.max_by(F.struct(*fields), F.struct("ts_nanos", "path", "line_no")).alias("_n")
+        grouped = rows.groupBy(*keys).agg(pick)
+        return grouped.select("home", "_n.*")
+
+    if live_files is None:
+        return newest(observations, "home")
+    per_file = observations.withColumn("_file", F.col("path"))
+    kept = newest(per_file, "home", "_file").join(live_files.select("home", "path"), ["home", "path"], "left_semi")
+    return newest(kept, "home")
 
 
 def merge_snapshots(older: DataFrame, newer: DataFrame) -> DataFrame:

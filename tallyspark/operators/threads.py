@@ -22,6 +22,7 @@ from tallyspark.operators.blocks import (
     carry_into_blocks,
     dense_positions,
     fold_neighbours,
+    join_dimension,
     spread_over_blocks,
     upto,
     within_block,
@@ -74,13 +75,13 @@ def prefix_digests(events: DataFrame, keys: Sequence[str] = FILE) -> DataFrame:
 
 
 def mark_copies(files: DataFrame, events: DataFrame, thread: Sequence[str]) -> DataFrame:
-    """Add ``is_copy`` to ``files``.
+    """Add ``is_copy`` and ``is_crowded`` (thread of several files) to ``files``.
 
     Of equal files the smallest path stays; a file whose events begin a longer
     file goes. Only threads with more than one file look at events at all.
     """
     crowded = files.groupBy(*thread).agg(F.count(F.lit(1)).alias("_n"), F.max("n_events").alias("_max"))
-    several = files.join(crowded.where("_n > 1"), list(thread), "inner")
+    several = join_dimension(files, crowded.where("_n > 1"), thread, ["path"], "inner")
     members = spread_over_blocks(several.select(*FILE).distinct(), events)
     digests = settle(
         prefix_digests(
@@ -115,12 +116,13 @@ def mark_copies(files: DataFrame, events: DataFrame, thread: Sequence[str]) -> D
         "_keeper",
         (F.coalesce("_begins", F.lit(False)) | ((F.col("n_events") == 0) & (F.col("_max") > 0))).alias("_begins"),
     )
-    judged = keyed.join(verdict, [*thread, "n_events", "digest"]).select(
+    judged = join_dimension(keyed, verdict, [*thread, "n_events", "digest"], ["path"], "inner").select(
         *thread, *homes, (F.col("_begins") | (F.col("path") != F.col("_keeper"))).alias("_copy")
     )
     return (
         files.join(judged, [*dict.fromkeys([*thread, *homes])], "left")
         .withColumn("is_copy", F.coalesce("_copy", F.lit(False)))
+        .withColumn("is_crowded", F.col("_copy").isNotNull())
         .drop("_copy")
     )
 
@@ -146,4 +148,8 @@ def sequential_threads(files: DataFrame, thread: Sequence[str]) -> DataFrame:
 def resolve_threads(files: DataFrame, events: DataFrame, thread: Sequence[str]) -> DataFrame:
     """``files`` with ``is_copy`` and ``is_sequential``."""
     marked = settle(mark_copies(files, events, thread))
-    return marked.join(sequential_threads(marked, thread), list(thread), "left")
+    # A thread of one file is in order by itself.
+    order = sequential_threads(marked.where("is_crowded"), thread)
+    return join_dimension(marked, order, thread, ["path"]).withColumn(
+        "is_sequential", F.coalesce("is_sequential", F.lit(True))
+    ).drop("is_crowded")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,7 +20,8 @@ from tallyspark.operators.quota import (
     quota_status,
     rate_limit_observations,
 )
-from tallyspark.operators.blocks import join_dimension
+from tallyspark.operators.blocks import dense_positions, join_dimension
+from tallyspark.operators.deltas import DELTAS
 from tallyspark.operators.timeline import token_events
 from tallyspark.operators.usage import cache_hit_rate, hit_rate_tenths, usage_volumes
 from tallyspark.operators.windows import local_date
@@ -30,13 +32,24 @@ from tallyspark.operators.threads import file_profile, mark_copies, resolve_thre
 from tallyspark.plans.usage_report import (
     EVENT_COLUMNS,
     UsageTables,
+    run_diagnostics,
     usage_report,
     usage_tables,
     window_report,
 )
-from tallyspark.session import configure, settle
+from tallyspark.session import configure, ensure_checkpoint_dir, settle
+from tallyspark.sources.derived_inputs import log_text, response_rows, sheet_rows
 from tallyspark.sources.event_feed import SPLIT_DAY, event_files, event_lines, nanos_literal
 from tallyspark.sources.manifest import manifest_diff
+from tallyspark.sources.price_sheets import parse_price_sheets
+from tallyspark.sources.responses import parse_rate_limits
+from tallyspark.sources.session_logs import parse_text
+from tallyspark.streaming.parse_state import (
+    OUTPUT,
+    configure_streaming,
+    process_lines,
+    stream_lines,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -403,3 +416,78 @@ def display_texts(spark, sf_dir):
         display.window_name(F.expr("(latest div 1000000000 % 700) * 3600")).alias("window_name"),
         display.elapsed_label(F.expr("latest div 1000000000"), F.expr(f"({AS_OF_SPARK}) div 1000000000")).alias("elapsed"),
     )
+
+
+@query
+def log_line_fields(spark, sf_dir):
+    """Usage fields read back from JSON log text."""
+    parsed = parse_text(settle(log_text(spark, sf_dir))).where("is_marked")
+    sides = [
+        F.col(f"{side}.{name}").cast("bigint").alias(f"{side}_{name}")
+        for side in ("total", "last") for name in ("input", "cached_input", "output", "total")
+    ]
+    return parsed.select(
+        "home", "line_no", "is_broken", "ts_nanos", "kind", "model_set", "sets_tier", "tier_set_kind", "tier_set_text", "source",
+        *sides, "primary_percent", F.round("balance", 6).alias("balance"), F.col("limits.primary.resets_at").alias("resets_at"),
+    )
+
+
+@query
+def rate_limit_responses(spark, sf_dir):
+    snapshots, _ = parse_rate_limits(response_rows(spark, sf_dir))
+    return snapshots.select(
+        "home", "account_id", "limit_id", "ts_nanos", F.col("primary.used_percent").alias("used_percent"),
+        F.col("primary.resets_at").alias("resets_at"), F.col("secondary.window_minutes").alias("long_minutes"),
+    )
+
+
+@query
+def rate_limit_rejects(spark, sf_dir):
+    _, rejects = parse_rate_limits(response_rows(spark, sf_dir))
+    return rejects.groupBy("home", "reason").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def price_sheet_rows(spark, sf_dir):
+    prices, _ = parse_price_sheets(sheet_rows(spark, sf_dir))
+    return prices.select(
+        "sheet_id", "model", "tier", "is_split", F.col("short.input").alias("short_input"),
+        F.col("short.cached_input").alias("short_cached"), F.col("short.output").alias("short_output"),
+        F.col("long.input").alias("long_input"), F.col("long.output").alias("long_output"),
+    )
+
+
+@query
+def price_sheet_faults(spark, sf_dir):
+    _, faults = parse_price_sheets(sheet_rows(spark, sf_dir))
+    return faults
+
+
+@query
+def run_diagnostics_by_home(spark, sf_dir):
+    return run_diagnostics(_tables(spark, sf_dir))
+
+
+QUERIES["run_diagnostics"] = QUERIES.pop("run_diagnostics_by_home")
+
+
+@query
+def streamed_deltas(spark, sf_dir):
+    """The incremental parser over the whole table as a stream, in segments."""
+    lines = event_lines(spark, sf_dir)
+    numbered = dense_positions(lines, ["home", "path"]).withColumn("event_line", F.col("line_no")).withColumn("line_no", F.col("idx"))
+    place = settle(numbered.select("path", "line_no", "event_line"))
+    source = settle(stream_lines(numbered).repartition(4, "line_no"))
+    configure_streaming(spark)
+    incoming = spark.readStream.schema(source.schema).option("maxFilesPerTrigger", 2).parquet(source.inputFiles()[0].rsplit("/", 1)[0])
+    target = f"{ensure_checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
+    run = (
+        process_lines(incoming).writeStream.format("parquet").option("checkpointLocation", f"{target}/state")
+        .outputMode("append").trigger(availableNow=True).start(f"{target}/out")
+    )
+    run.awaitTermination()
+    found = spark.read.schema(OUTPUT).parquet(f"{target}/out").join(place, ["path", "line_no"])
+    return found.select(
+        F.col("home").cast("bigint").alias("home"), "path", F.col("event_line").alias("line_no"), "is_duplicate", "is_stale",
+        *[F.col(c).cast("bigint").alias(c) for c in DELTAS],
+    )

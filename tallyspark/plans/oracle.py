@@ -602,3 +602,47 @@ select home, day,
   case when gone < 60 then '刚刚更新' when gone < 3600 then gone // 60 || '分钟前更新' when gone < 86400 then gone // 3600 || '小时前更新'
     else gone // 86400 || '天前更新' end as elapsed
 from parts"""
+
+SQL["streamed_deltas"] = SQL["token_deltas"]
+
+SQL["log_line_fields"] = f"""with {LINES_PLAIN}, cut as (select *, line_no % 97 = 96 as broken, is_token and line_no % 97 <> 96 as tok from lines)
+select home, line_no, broken as is_broken, case when not broken then ts_nanos end as ts_nanos, case when not broken then kind end as kind,
+  case when not broken then model_set end as model_set, sets_tier and not broken as sets_tier,
+  case when not broken then {TIER_KIND} end as tier_set_kind, case when not broken then tier_raw end as tier_set_text, case when tok then source end as source,
+  case when tok then total_input end as total_input, case when tok then total_cached_input end as total_cached_input,
+  case when tok then total_output end as total_output, case when tok then total_total end as total_total,
+  case when tok then last_input end as last_input, case when tok then last_cached_input end as last_cached_input,
+  case when tok then last_output end as last_output, case when tok then last_total end as last_total,
+  case when tok then primary_percent end as primary_percent, case when tok then round(balance, 6) end as balance,
+  case when tok then primary_resets_at end as resets_at
+from cut"""
+
+SQL["rate_limit_responses"] = f"""with {LINES_PLAIN}
+select home, 'account-' || home as account_id, case when k % 10 = 8 then 'general' else 'codex' end as limit_id, ts_nanos,
+  primary_percent as used_percent, primary_resets_at as resets_at, cast(case when k % 10 <> 5 then 10080 end as bigint) as long_minutes
+from lines where source = 'codex' and k % 10 not in (3, 4, 6, 9)"""
+
+SQL["rate_limit_rejects"] = f"""with {LINES_PLAIN}
+select home, case k % 10 when 3 then 'no primary window' when 4 then 'negative reset' when 6 then 'no bucket' else 'malformed' end as reason,
+  cast(count(*) as bigint) as n from lines where source = 'codex' and k % 10 in (3, 4, 6, 9) group by all"""
+
+SQL["price_sheet_rows"] = """with p as (select cast(p_partkey as bigint) as k, cast(floor(p_retailprice) as bigint) as price from part where p_partkey % 5 = 0),
+t(tier, f) as (values ('standard', 1), ('fast', 2), ('ultrafast', 4))
+select cast(k as varchar) as sheet_id, 'part-' || k as model, tier, false as is_split, cast(price * f as double) as short_input,
+  cast(null as double) as short_cached, price * 10 * f + 0.5e0 as short_output, cast(null as double) as long_input, cast(null as double) as long_output
+from p, t
+union all
+select cast(k as varchar), 'wide-' || k, tier, true, 1.0e0, 0.5e0, 2.0e0, cast(price as double), 3.0e0 from p, t"""
+
+SQL["price_sheet_faults"] = """select cast(p_partkey as varchar) as sheet_id,
+  case p_partkey % 5 when 1 then 'no unit line' when 2 then 'context threshold' when 3 then 'missing main table' else 'price cell' end as fault
+from part where p_partkey % 5 <> 0"""
+
+SQL["run_diagnostics"] = f"""with recursive {REPORT}
+select f.home, cast(count(*) as bigint) as files_scanned, cast(count(*) filter (uncertain) as bigint) as files_uncertain,
+  cast(sum(n_events) as bigint) as token_events,
+  cast((select count(distinct path) from verdicts v where v.home = f.home) as bigint) as files_selected,
+  cast((select count(*) from verdicts v where v.home = f.home and verdict not in ('counted', 'ignored')) as bigint) as files_refused,
+  cast((select count(distinct path) from win_copies c where c.home = f.home) as bigint) as copies,
+  cast((select sum(deferred_files) from trust t where t.home = f.home) as bigint) as deferred_files
+from files f group by f.home"""

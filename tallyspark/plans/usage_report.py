@@ -219,3 +219,22 @@ def report_issues(tables: UsageTables, prices: DataFrame) -> DataFrame:
         .where(F.col("_priced") | (F.col("issue_kind") == "diagnostic"))
         .drop("_one", "_priced")
     )
+
+
+def run_diagnostics(tables: UsageTables) -> DataFrame:
+    """What one run looked at, per account: files, events, errors, deferrals."""
+    files = tables.files.groupBy("home").agg(
+        F.count(F.lit(1)).alias("files_scanned"),
+        F.count_if("uncertain").alias("files_uncertain"),
+        F.sum("n_events").alias("token_events"),
+    )
+    selected = tables.judged.groupBy("home").agg(
+        F.count_distinct("path").alias("files_selected"),
+        F.count_if(~F.col("verdict").isin("counted", "ignored")).alias("files_refused"),
+    )
+    copies = tables.roles.groupBy("home").agg(F.count_distinct(F.when(F.col("role") == "copy", F.col("path"))).alias("copies"))
+    deferred = tables.reliability.groupBy("home").agg(F.sum("deferred_files").alias("deferred_files"))
+    df = files
+    for part in (selected, copies, deferred):
+        df = df.join(part, "home", "left")
+    return df.na.fill(0)

@@ -109,68 +109,91 @@ def _mentions(value: Column, markers) -> Column:
 
 
 def _fields(df: DataFrame, others: list[str]) -> DataFrame:
+    """Typed fields in three steps; each reads columns of the one before, so
+    no JSON path is walked twice."""
     doc = F.col("doc")
-    kind = J.text(J.raw(doc, "$.type"))
-    payload = J.raw(doc, "$.payload")
-    payload_kind = J.text(J.raw(doc, "$.payload.type"))
-    settings = J.raw(doc, "$.payload.thread_settings")
-    info = J.raw(doc, "$.payload.info")
-    head = df.select(
+    line = ["is_utf8", "is_marked", "is_empty", "n_bytes", "_vital"]
+    opened = df.select(
         *others,
-        "is_utf8",
-        "is_marked",
-        "is_empty",
-        "n_bytes",
+        *line,
         (F.col("is_marked") & doc.isNull()).alias("is_broken"),
-        "_vital",
-        J.rfc3339_nanos(J.text(J.raw(doc, "$.timestamp"))).alias("ts_nanos"),
-        F.when(kind == "session_meta", "meta")
-        .when(kind == "turn_context", "model")
-        .when((kind == "event_msg") & (payload_kind == "thread_settings_applied"), "settings")
-        .when((kind == "event_msg") & (payload_kind == "token_count"), "token")
+        J.text(J.raw(doc, "$.timestamp")).alias("_stamp"),
+        J.text(J.raw(doc, "$.type")).alias("_type"),
+        J.text(J.raw(doc, "$.payload.type")).alias("_payload_type"),
+        J.raw(doc, "$.payload").alias("_payload"),
+    )
+    payload = F.col("_payload")
+    is_event = F.col("_type") == "event_msg"
+    parts = opened.select(
+        *others,
+        *line,
+        "is_broken",
+        "_stamp",
+        F.when(F.col("_type") == "session_meta", "meta")
+        .when(F.col("_type") == "turn_context", "model")
+        .when(is_event & (F.col("_payload_type") == "thread_settings_applied"), "settings")
+        .when(is_event & (F.col("_payload_type") == "token_count"), "token")
         .alias("kind"),
-        payload.alias("payload"),
-        F.when(J.kind(settings).startswith("OBJECT"), settings).alias("settings"),
-        F.when(J.present(info), info).alias("info"),
-        J.raw(doc, "$.payload.rate_limits").alias("limits_raw"),
+        "_payload",
+        J.raw(payload, "$.thread_settings").alias("_settings"),
+        J.raw(payload, "$.info.total_token_usage").alias("_total"),
+        J.raw(payload, "$.info.last_token_usage").alias("_last"),
+        J.raw(payload, "$.rate_limits").alias("_limits"),
+        J.text(J.raw(payload, "$.rate_limits.limit_id")).alias("_limit_id"),
     )
-    payload, settings, info, limits = (F.col(c) for c in ("payload", "settings", "info", "limits_raw"))
-    is_token = F.col("kind") == "token"
-    tier = F.when(F.col("kind") == "model", J.raw(payload, "$.service_tier")).when(
-        F.col("kind") == "settings", J.raw(settings, "$.service_tier")
+    kind = F.col("kind")
+    ours = (kind == "token") & (F.col("_limit_id") == USAGE_LIMIT_ID)
+    has_settings = J.kind(F.col("_settings")).startswith("OBJECT")
+    tier = F.when(kind == "model", J.raw(F.col("_payload"), "$.service_tier")).when(
+        (kind == "settings") & has_settings, J.raw(F.col("_settings"), "$.service_tier")
     )
+    pieces = parts.select(
+        *others,
+        *line,
+        "is_broken",
+        J.rfc3339_nanos(F.col("_stamp")).alias("ts_nanos"),
+        "kind",
+        F.when(kind == "model", J.filled_text(J.raw(F.col("_payload"), "$.model"))).alias("model_set"),
+        tier.alias("_tier"),
+        ((kind == "settings") & F.coalesce(has_settings, F.lit(False))).alias("_full_settings"),
+        F.when(kind == "token", F.nullif("_limit_id", F.lit(""))).alias("source"),
+        F.when(kind == "token", J.counter_values(F.col("_total"))).alias("_total"),
+        F.when(kind == "token", J.counter_values(F.col("_last"))).alias("_last"),
+        F.when(ours, J.number(J.raw(F.col("_limits"), "$.primary.used_percent"))).alias("primary_percent"),
+        F.when(ours, J.number(J.raw(F.col("_limits"), "$.secondary.used_percent"))).alias("secondary_percent"),
+        F.when(ours, _balance(J.raw(F.col("_limits"), "$.credits.balance"))).alias("balance"),
+        F.when(ours, _window(J.raw(F.col("_limits"), "$.primary"))).alias("_primary"),
+        F.when(ours, _window(J.raw(F.col("_limits"), "$.secondary"))).alias("_secondary"),
+        F.when(ours, J.filled_text(J.raw(F.col("_limits"), "$.plan_type"))).alias("_plan"),
+        F.when(kind == "meta", _root(F.coalesce(F.col("_payload"), F.parse_json(F.lit("{}"))))).alias("root"),
+    )
+    tier, primary, secondary = F.col("_tier"), F.col("_primary"), F.col("_secondary")
+    tier_text = J.text(tier)
     # A turn context that omits the tier keeps it; a settings record is a full
     # snapshot, so there an omitted tier is a cleared one.
-    sets_tier = F.when(F.col("kind") == "model", tier.isNotNull()).otherwise(
-        (F.col("kind") == "settings") & settings.isNotNull()
-    )
-    tier_text = F.when(J.present(tier), F.coalesce(J.text(tier), F.to_json(tier)))
-    known_tier = F.when(J.kind(tier) == "STRING", tier_kind(J.text(tier))).when(J.present(tier), "unknown")
-    ours = F.when(
-        J.present(limits) & (J.text(J.raw(limits, "$.limit_id")) == USAGE_LIMIT_ID), limits
+    sets_tier = F.col("_full_settings") | F.coalesce((kind == "model") & tier.isNotNull(), F.lit(False))
+    # A usable reading needs a complete primary window.
+    limits = F.struct(
+        primary.alias("primary"), F.when(_complete(secondary), secondary).alias("secondary"), F.col("_plan").alias("plan_type")
     )
-    return head.select(
+    return pieces.select(
         *others,
-        "is_utf8",
-        "is_marked",
-        "is_empty",
-        "n_bytes",
+        *line,
         "is_broken",
-        "_vital",
         "ts_nanos",
         "kind",
-        F.when(F.col("kind") == "model", J.filled_text(J.raw(payload, "$.model"))).alias("model_set"),
-        F.coalesce(sets_tier, F.lit(False)).alias("sets_tier"),
-        known_tier.alias("tier_set_kind"),
-        tier_text.alias("tier_set_text"),
-        F.when(is_token, J.filled_text(J.raw(limits, "$.limit_id"))).alias("source"),
-        F.when(is_token, J.counters(J.raw(info, "$.total_token_usage"))).alias("total"),
-        F.when(is_token, J.counters(J.raw(info, "$.last_token_usage"))).alias("last"),
-        F.when(is_token, J.number(J.raw(ours, "$.primary.used_percent"))).alias("primary_percent"),
-        F.when(is_token, J.number(J.raw(ours, "$.secondary.used_percent"))).alias("secondary_percent"),
-        F.when(is_token, _balance(J.raw(ours, "$.credits.balance"))).alias("balance"),
-        F.when(is_token, _limits(ours)).alias("limits"),
-        F.when(F.col("kind") == "meta", _root(payload)).alias("root"),
+        "model_set",
+        sets_tier.alias("sets_tier"),
+        F.when(J.present(tier), F.coalesce(tier_kind(tier_text), F.lit("unknown"))).alias("tier_set_kind"),
+        F.when(J.present(tier), F.coalesce(tier_text, F.to_json(tier))).alias("tier_set_text"),
+        "source",
+        J.counters(F.col("_total")).alias("total"),
+        J.counters(F.col("_last")).alias("last"),
+        "primary_percent",
+        "secondary_percent",
+        "balance",
+        F.when(_complete(primary), limits).alias("limits"),
+        "root",
     )
 
 
@@ -181,24 +204,19 @@ def _balance(value: Column) -> Column:
 
 
 def _window(value: Column) -> Column:
-    packed = F.struct(
+    return F.struct(
         J.number(J.raw(value, "$.used_percent")).alias("used_percent"),
         J.unsigned(J.raw(value, "$.window_minutes")).cast("bigint").alias("window_minutes"),
         J.signed(J.raw(value, "$.resets_at")).alias("resets_at"),
     )
-    complete = packed["used_percent"].isNotNull() & packed["window_minutes"].isNotNull() & packed["resets_at"].isNotNull()
-    return F.when(complete, packed)
 
 
-def _limits(limits: Column) -> Column:
-    """A usable reading needs a complete primary window."""
-    primary = _window(J.raw(limits, "$.primary"))
-    packed = F.struct(
-        primary.alias("primary"),
-        _window(J.raw(limits, "$.secondary")).alias("secondary"),
-        J.filled_text(J.raw(limits, "$.plan_type")).alias("plan_type"),
+def _complete(window: Column) -> Column:
+    return (
+        window.getField("used_percent").isNotNull()
+        & window.getField("window_minutes").isNotNull()
+        & window.getField("resets_at").isNotNull()
     )
-    return F.when(primary.isNotNull(), packed)
 
 
 def _root(payload: Column) -> Column:

@@ -12,10 +12,12 @@ from collections.abc import Iterator
 from dataclasses import dataclass, replace
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+import tallyspark
 from tallyspark.fixed_values import (
     OVERFLOW_ALERT_CREDITS,
     RESET_DRIFT_SHARE,
@@ -25,6 +27,9 @@ from tallyspark.fixed_values import (
 )
 from tallyspark.operators.alerts import blind_gap_nanos
 
+# Ship the processors with the plan: workers need no copy of the package.
+cloudpickle.register_pickle_by_value(tallyspark)
+
 SECOND = 1_000_000_000
 
 

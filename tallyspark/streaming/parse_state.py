@@ -17,13 +17,18 @@ from collections.abc import Iterator
 from decimal import Decimal
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+import tallyspark
 from tallyspark.fixed_values import U64_MAX
 
+# Ship the processors with the plan: workers need no copy of the package.
+cloudpickle.register_pickle_by_value(tallyspark)
+
 SPILL_LINES = 50_000
 TOTALS = ("input", "cached_input", "output", "total")
 LINE_COLUMNS = (
@@ -246,18 +251,19 @@ def _line_schema() -> T.StructType:
     )
 
 
+def process_lines(flat: DataFrame) -> DataFrame:
+    """Token events of a stream of flat lines (see ``stream_lines``)."""
+    return flat.groupBy("home", "path").transformWithStateInPandas(
+        statefulProcessor=LogParser(), outputStructType=OUTPUT, outputMode="Append", timeMode="None"
+    )
+
+
 def parse_stream(lines: DataFrame) -> DataFrame:
     """Streaming counterpart of ``operators.timeline.token_events``.
 
     Needs the RocksDB state store (``configure_streaming``).
     """
-    return (
-        stream_lines(lines)
-        .groupBy("home", "path")
-        .transformWithStateInPandas(
-            statefulProcessor=LogParser(), outputStructType=OUTPUT, outputMode="Append", timeMode="None"
-        )
-    )
+    return process_lines(stream_lines(lines))
 
 
 def configure_streaming(spark) -> None:

@@ -1,12 +1,11 @@
 from __future__ import annotations
 
-import pytest
 from pyspark.sql import functions as F
 
 from tallyspark.functions.json_fields import rfc3339_nanos
 from tallyspark.operators.timeline import token_events
 from tallyspark.sources.session_logs import date_folder_of, load_session_logs, thread_id_of
-from tests.logs import CHILD, PARENT, Home, at, last_of, meta, model, settings, total_of, usage, window
+from tests.logs import CHILD, PARENT, Home, meta, model, settings, usage
 
 
 def run(spark, home):
@@ -14,13 +13,6 @@ def run(spark, home):
     return logs, token_events(logs.lines)
 
 
-def deltas(spark, records, **kw):
-    home = Home()
-    home.write(records, **kw)
-    _, events = run(spark, home)
-    return [int(r.delta_total) for r in events.orderBy("line_no").collect()]
-
-
 CASES = {
     "two events": ([meta(0), usage(1, 100, 100), usage(2, 150, 50)], [100, 50]),
     "repeat of a source": ([meta(0), usage(1, 100, 100), usage(2, 200, 100, source="other"), usage(3, 100, 100)], [100, 100, 0]),
@@ -43,10 +35,17 @@ CASES = {
 }
 
 
-@pytest.mark.parametrize("name", CASES)
-def test_deltas(spark, name):
-    records, expected = CASES[name]
-    assert deltas(spark, records) == expected
+def test_deltas(spark):
+    """All cases as files of one home: one run, one thread per case."""
+    home = Home()
+    ids = {name: f"{i:08d}-1111-4111-8111-111111111111" for i, name in enumerate(CASES)}
+    for name, (records, _) in CASES.items():
+        home.write(records, thread=ids[name])
+    _, events = run(spark, home)
+    got: dict[str, list[int]] = {}
+    for row in events.select(thread_id_of(F.col("path")).alias("t"), "line_no", "delta_total").orderBy("t", "line_no").collect():
+        got.setdefault(row.t, []).append(int(row.delta_total))
+    assert {name: got[ids[name]] for name in CASES} == {name: expected for name, (_, expected) in CASES.items()}
 
 
 def test_saturating_counters(spark):
