@@ -35,7 +35,7 @@ def local_midnight_nanos(day: Column, tz: str) -> Column:
     exist in ``tz`` (a clock change), where callers keep full history."""
     at = F.to_utc_timestamp(day.cast("timestamp"), tz)
     nanos = F.unix_micros(at) * F.lit(1000)
-    return F.when(local_date(nanos, tz) == day, nanos)
+    return F.when(local_time(nanos, tz) == day.cast("timestamp"), nanos)
 
 
 def file_buckets(events: DataFrame, files: DataFrame, today: Column, tz: str) -> DataFrame:
