@@ -42,14 +42,13 @@ def filled_text(value: Column) -> Column:
 
 def unsigned(value: Column) -> Column:
     """Non-negative integer up to 2^64 - 1; ``100.0`` and ``"100"`` are not."""
-    shape = kind(value)
-    small = F.when(shape == "BIGINT", F.try_variant_get(value, "$", "bigint")).cast("decimal(20,0)")
+    small = F.try_variant_get(value, "$", "bigint")
     # Integers past 2^63 arrive as decimals of 19 or 20 digits.
-    large = F.when(
-        shape.isin("DECIMAL(19,0)", "DECIMAL(20,0)"), F.try_variant_get(value, "$", "decimal(20,0)")
+    large = F.try_variant_get(value, "$", "decimal(20,0)")
+    top = F.lit(str(U64_MAX)).cast("decimal(20,0)")
+    return F.when(kind(value) == "BIGINT", F.when(small >= 0, small).cast("decimal(20,0)")).when(
+        kind(value).isin("DECIMAL(19,0)", "DECIMAL(20,0)"), F.when(large.between(0, top), large)
     )
-    number = F.coalesce(small, large)
-    return F.when((number >= 0) & (number <= F.lit(str(U64_MAX)).cast("decimal(20,0)")), number)
 
 
 def signed(value: Column) -> Column:
@@ -86,23 +85,32 @@ def counters(values: Column) -> Column:
     return F.when(values.isNotNull() & has_value(packed), packed)
 
 
+RFC3339 = r"^(\d{4}-\d{2}-\d{2})[Tt](\d{2}:\d{2}:\d{2})(?:\.(\d+))?(?:[Zz]|([+-])([01]\d|2[0-3]):([0-5]\d))$"
+
+
 def rfc3339_nanos(value: Column) -> Column:
     """Epoch nanoseconds of an RFC 3339 text; NULL when it is not one."""
-    pattern = (
-        r"^(\d{4}-\d{2}-\d{2})[Tt](\d{2}:\d{2}:\d{2})(?:\.(\d+))?(?:[Zz]|([+-])([01]\d|2[0-3]):([0-5]\d))$"
-    )
+    micros = F.unix_micros(F.upper(value).try_cast("timestamp"))
+    beyond = F.regexp_extract(value, r"\.\d{6}(\d{1,3})", 1)
+    # Timestamps end at microseconds; the digits after them are added back.
+    rest = F.when(beyond != "", F.rpad(beyond, 3, "0").try_cast("bigint")).otherwise(F.lit(0))
+    inside = micros.between(-9_223_372_036_000_000, 9_223_372_035_999_999)
+    usual = F.when(inside, micros * F.lit(1000) + rest)
+    return F.when(value.rlike(RFC3339), F.coalesce(usual, _by_parts(value)))
+
+
+def _by_parts(value: Column) -> Column:
+    """The same for offsets wider than Spark's own timestamps allow."""
 
     def group(index: int) -> Column:
-        return F.regexp_extract(value, pattern, index)
+        return F.regexp_extract(value, RFC3339, index)
 
-    whole = F.when(
-        group(1) != "", F.concat(group(1), F.lit("T"), group(2), F.lit("Z")).try_cast("timestamp")
-    )
-    offset = F.when(group(4) == "", F.lit(0)).otherwise(
-        F.when(group(4) == "-", F.lit(-1)).otherwise(F.lit(1))
-        * (F.expr("3600") * group(5).try_cast("int") + F.expr("60") * group(6).try_cast("int"))
+    whole = F.concat(group(1), F.lit("T"), group(2), F.lit("Z")).try_cast("timestamp")
+    sign = F.when(group(4) == "-", F.lit(-1)).when(group(4) == "+", F.lit(1)).otherwise(F.lit(0))
+    offset = sign * (
+        F.coalesce(group(5).try_cast("int"), F.lit(0)) * 3600 + F.coalesce(group(6).try_cast("int"), F.lit(0)) * 60
     )
     seconds = F.unix_seconds(whole) - offset
-    fraction = F.rpad(F.substring(group(3), 1, 9), 9, "0").try_cast("bigint")
+    fraction = F.coalesce(F.rpad(F.substring(group(3), 1, 9), 9, "0").try_cast("bigint"), F.lit(0))
     inside = seconds.between(-9_223_372_036, 9_223_372_035)
-    return F.when(inside, seconds * F.lit(1_000_000_000) + F.coalesce(fraction, F.lit(0)))
+    return F.when(inside, seconds * F.lit(1_000_000_000) + fraction)

@@ -60,15 +60,11 @@ def carry_into_blocks(
 
 
 def continued_blocks(events: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Blocks with a later block in their group: the only ones whose end state
-    anybody reads."""
-    order = Window.partitionBy(*keys).orderBy("block")
+    """Blocks of groups with more than one block: only there does anything
+    have to be carried."""
     blocks = events.select(*keys, "block").distinct()
-    return (
-        blocks.select(*keys, "block", F.lead("block").over(order).alias("_later"))
-        .where(F.col("_later").isNotNull())
-        .drop("_later")
-    )
+    counted = blocks.select(*keys, "block", F.count(F.lit(1)).over(Window.partitionBy(*keys)).alias("_n"))
+    return counted.where(F.col("_n") > 1).drop("_n")
 
 
 def last_known(column: str) -> Callable[[WindowSpec], Column]:

@@ -39,25 +39,23 @@ def is_capped(primary: Column, secondary: Column) -> Column:
     return F.coalesce(primary >= full, F.lit(False)) | F.coalesce(secondary >= full, F.lit(False))
 
 
-def _source_peaks(ends: DataFrame, entries: DataFrame, keys: Sequence[str]) -> DataFrame:
+def _source_peaks(totals: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Per-source peak carried into each block.
 
-    ``ends``: total-bearing events of blocks that have a successor, with
-    ``_run`` (model changes so far in the block). ``entries``: those of all
-    blocks of the same files, of which only the first one's model matters.
+    ``totals``: total-bearing events of files with several blocks, with
+    ``_run`` (model changes so far in the block).
 
     A peak lives while the source's model stays the same. On block level the
     runs are numbered through, so "still the same run" is an equality of run
     numbers and the carried peak is a plain running maximum.
     """
     by_source = [*keys, "_source"]
-    closing = ends.groupBy(*by_source, "block").agg(
+    blocks = totals.groupBy(*by_source, "block").agg(
+        F.min(F.struct("line_no", "model")).alias("_head"),
         F.max(F.struct("line_no", "model")).alias("_tail"),
         F.max("_run").alias("_changes"),
         F.max(F.struct("_run", "_teff", "_neg_line", "sig")).alias("_peak"),
     )
-    heads = entries.groupBy(*by_source, "block").agg(F.min(F.struct("line_no", "model")).alias("_head"))
-    blocks = heads.join(closing, [*by_source, "block"], "left")
     order = Window.partitionBy(*by_source).orderBy("block")
     blocks = blocks.select(
         *blocks.columns, F.lag(F.struct("_tail", "_changes")).over(order).alias("_lag")
@@ -65,14 +63,11 @@ def _source_peaks(ends: DataFrame, entries: DataFrame, keys: Sequence[str]) -> D
     changed = F.col("_lag").isNotNull() & ~F.col("_lag._tail.model").eqNullSafe(F.col("_head.model"))
     step = changed.cast("bigint") + F.coalesce(F.col("_lag._changes"), F.lit(0))
     blocks = blocks.select(*blocks.columns, F.sum(step).over(upto(order)).alias("_run_first"))
-    run_peak = F.when(
-        F.col("_peak").isNotNull(),
-        F.struct(
-            (F.col("_run_first") + F.col("_changes")).alias("run"),
-            F.col("_peak._teff").alias("teff"),
-            F.col("_peak._neg_line").alias("neg_line"),
-            F.col("_peak.sig").alias("sig"),
-        ),
+    run_peak = F.struct(
+        (F.col("_run_first") + F.col("_changes")).alias("run"),
+        F.col("_peak._teff").alias("teff"),
+        F.col("_peak._neg_line").alias("neg_line"),
+        F.col("_peak.sig").alias("sig"),
     )
     blocks = blocks.select(*by_source, "block", "_run_first", run_peak.alias("_run_peak"))
     carried = blocks.select(
@@ -155,12 +150,10 @@ def token_timeline(events: DataFrame, keys: Sequence[str] = FILE) -> DataFrame:
             **{f"_in_{name}": highest(f"_m_{name}") for name in HIGH_WATER},
         },
     )
-    # Peaks are scanned per source over all blocks of continued files; files
-    # that fit one block drop out before the sort.
-    open_blocks = continued_blocks(events, keys)
-    ends = base.where("_has_total").join(open_blocks, [*keys, "block"], "left_semi")
-    last_blocks = base.where("_has_total").join(open_blocks.select(*keys).distinct(), list(keys), "left_semi")
-    source_carry = _source_peaks(with_runs(ends), last_blocks, keys)
+    # Peaks are scanned per source over the blocks of longer files; files that
+    # fit one block drop out before the sort.
+    longer = base.where("_has_total").join(continued_blocks(events, keys), [*keys, "block"], "left_semi")
+    source_carry = _source_peaks(with_runs(longer), keys)
 
     joined = local.join(file_carry, [*keys, "block"], "left").join(
         source_carry, [*keys, "block", "_source", "_has_total"], "left"

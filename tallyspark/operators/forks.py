@@ -20,7 +20,12 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyspark.operators.blocks import before, spread_over_blocks
+from tallyspark.operators.blocks import (
+    before,
+    dense_positions,
+    join_dimension,
+    spread_over_blocks,
+)
 from tallyspark.operators.carry import FILE
 from tallyspark.operators.threads import resolve_threads
 from tallyspark.session import settle
@@ -75,7 +80,7 @@ def parent_state(children: DataFrame, files: DataFrame, events: DataFrame) -> tu
     state = health.join(order, ["home", "filename_thread_id"]).withColumnRenamed(
         "filename_thread_id", "parent_id"
     )
-    judged = children.join(state, ["home", "parent_id"], "left").withColumn(
+    judged = join_dimension(children, state, ["home", "parent_id"], ["path"]).withColumn(
         "usable",
         F.coalesce(
             F.col("root_ts").isNotNull()
@@ -97,8 +102,6 @@ def replay_bounds(forks: DataFrame, parent_files: DataFrame, events: DataFrame)
     ``forks``: ``home, path, parent_id, root_ts``. Forks that replay nothing
     are absent. ``events`` is the table of token events (``sig``).
     """
-    from tallyspark.operators.blocks import dense_positions
-
     slim = events.select(*FILE, "block", "line_no", "ts_nanos", "sig")
     fork_rows = forks.select("home", "path", "parent_id", "root_ts")
     child = slim.join(spread_over_blocks(fork_rows, slim), [*FILE, "block"])
@@ -122,8 +125,8 @@ def replay_bounds(forks: DataFrame, parent_files: DataFrame, events: DataFrame)
     while True:
         todo, spots = child, seen
         if reached is not None:
-            todo = todo.join(reached, list(FORK)).where(F.col("idx") >= F.col("next_idx"))
-            spots = spots.join(reached, list(FORK)).where(F.col("place") > F.col("at"))
+            todo = join_dimension(todo, reached, FORK, ["idx"], "inner").where(F.col("idx") >= F.col("next_idx"))
+            spots = join_dimension(spots, reached, FORK, ["place"], "inner").where(F.col("place") > F.col("at"))
         stops = settle(_match_round(todo, spots))
         again = settle(_can_continue(stops, child, seen))
         finished.append(stops.join(again, list(FORK), "left_anti"))

@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyspark.fixed_values import LONG_COLUMNS, SHORT_COLUMNS, UNIT_LINE
+from tallyspark.fixed_values import LONG_COLUMNS, SHORT_COLUMNS, UNIT_LINE, USAGE_LIMIT_ID
 from tallyspark.functions.counters import counter_struct_type
 from tallyspark.sources.event_feed import _columns
 
@@ -58,13 +58,13 @@ def log_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 def response_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rate-limit responses as JSON bodies; by ``k`` some lack the preferred
     bucket, a primary window, or carry a negative reset or broken text."""
-    rows = _feed(spark, sf_dir).where("source = 'codex'")
+    rows = _feed(spark, sf_dir).where(F.col("source") == USAGE_LIMIT_ID)
     bucket = """named_struct('limitId', '{0}',
         'primary', if(k % 10 = 3, null, named_struct('usedPercent', primary_percent, 'windowDurationMins', 300L,
             'resetsAt', if(k % 10 = 4, -1L, primary_resets_at))),
         'secondary', if(k % 10 = 5, null, named_struct('usedPercent', secondary_percent, 'windowDurationMins', 10080L, 'resetsAt', secondary_resets_at)))"""
     body = f"""to_json(named_struct('rateLimits', if(k % 10 = 6, null, {bucket.format('general')}),
-        'rateLimitsByLimitId', if(k % 10 in (6, 8), null, map('codex', {bucket.format('codex')}))))"""
+        'rateLimitsByLimitId', if(k % 10 in (6, 8), null, map('{USAGE_LIMIT_ID}', {bucket.format(USAGE_LIMIT_ID)}))))"""
     return rows.select(
         "home", F.expr("concat('account-', home)").alias("account_id"), F.col("ts_nanos").alias("received_nanos"),
         F.expr(f"if(k % 10 = 9, left({body}, 20), {body})").alias("body"),

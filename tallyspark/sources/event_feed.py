@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyspark.fixed_values import USAGE_LIMIT_ID
 from tallyspark.functions.counters import NARROW, counter_struct_type
 from tallyspark.operators.blocks import BLOCK_ROWS, with_blocks
 
@@ -84,7 +85,7 @@ def _columns(dialect: str) -> tuple[dict[str, str], dict[str, str]]:
             "case when event_type = 'error' then case k % 5 when 0 then 'default' when 1 then 'priority' "
             "when 2 then 'ultrafast' when 4 then 'flex' end end"
         ),
-        "source": f"case when {usage_source} then 'codex' when {token} then 'other' end",
+        "source": f"case when {usage_source} then '{USAGE_LIMIT_ID}' when {token} then 'other' end",
         "has_total": has_total,
         "has_last": has_last,
         "total_input": f"case when {has_total} and k % 23 <> 0 then {level} * 20000 end",

@@ -65,14 +65,22 @@ def _named(df: DataFrame) -> DataFrame:
     )
 
 
-def read_raw_lines(spark: SparkSession, root: str) -> DataFrame:
-    """Log text with its place: file, split start and row order in the split."""
-    return (
+def read_raw_lines(spark: SparkSession, root: str, since: Column | None = None) -> DataFrame:
+    """Log text with its place: file, split start and row order in the split.
+
+    ``since`` keeps files written at or after that time; the condition is on
+    file metadata, so older files are not opened.
+    """
+    text = (
         spark.read.option("recursiveFileLookup", "true")
         .option("pathGlobFilter", "*.jsonl")
         .option("lineSep", "\n")
         .text(root)
-        .select(
+    )
+    if since is not None:
+        text = text.where(F.col("_metadata.file_modification_time") >= since)
+    return (
+        text.select(
             "value",
             F.col("_metadata.file_path").alias("path"),
             F.col("_metadata.file_size").alias("file_size"),
@@ -94,7 +102,7 @@ def parse_text(df: DataFrame) -> DataFrame:
         valid.alias("is_utf8"),
         marked.alias("is_marked"),
         (marked & _mentions(value, UNCERTAIN_MARKERS)).alias("_vital"),
-        (F.regexp_replace(value, r"\r+$", "") == "").alias("is_empty"),
+        ((value == "") | (F.startswith(value, F.lit("\r")) & (F.rtrim(value, F.lit("\r")) == ""))).alias("is_empty"),
         F.octet_length(value).alias("n_bytes"),
         F.when(marked, F.try_parse_json(value)).alias("doc"),
     )

@@ -7,6 +7,8 @@ import tempfile
 from datetime import UTC, datetime, timedelta
 from pathlib import Path
 
+from tallyspark.fixed_values import USAGE_LIMIT_ID
+
 BASE = datetime(2026, 8, 10, 12, 0, tzinfo=UTC)
 PARENT = "11111111-1111-4111-8111-111111111111"
 CHILD = "22222222-2222-4222-8222-222222222222"
@@ -42,7 +44,7 @@ def last_of(n):
     return {"input_tokens": n - 1, "output_tokens": 1, "total_tokens": n}
 
 
-def usage(seconds, total=None, last=None, source="codex", primary=None, secondary=None, balance=None, info=True):
+def usage(seconds, total=None, last=None, source=USAGE_LIMIT_ID, primary=None, secondary=None, balance=None, info=True):
     body = {"type": "token_count"}
     if info:
         body["info"] = {}

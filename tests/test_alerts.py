@@ -13,7 +13,7 @@ RULES = AlertRules(refresh_seconds=300)
 HOUR, WEEK = 18_000, 604_800
 
 
-def snap(at=T0, short=(8.0, 1_792_061_393), long=(52.0, 1_792_472_647), account="a", limit="codex"):
+def snap(at=T0, short=(8.0, 1_792_061_393), long=(52.0, 1_792_472_647), account="a", limit="main"):
     second = Window(long[0], WEEK, long[1]) if long else None
     return Snapshot(at * SECOND, account, limit, Window(short[0], HOUR, short[1]), second)
 

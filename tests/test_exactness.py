@@ -159,8 +159,8 @@ def test_compaction_keeps_what_later_events_need(spark):
 
     counter = "struct<input:bigint,cached_input:bigint,cache_write_input:bigint,output:bigint,reasoning_output:bigint,total:bigint>"
     schema = f"home string, path string, block bigint, line_no bigint, ts_nanos bigint, source string, model string, total {counter}"
-    totals = [("codex", 500), ("other", 400), (None, 200), ("codex", 550), ("other", 300), (None, 450), ("codex", 150)]
-    rows = [("h", "p", i // 2, i, i, s, "m", sig(t)) for i, (s, t) in enumerate(totals)] + [("h", "p", 3, 7, 100, "codex", "m", sig(600)), ("h", "p", 4, 8, 5, "codex", "m", sig(610))]
+    totals = [("main", 500), ("other", 400), (None, 200), ("main", 550), ("other", 300), (None, 450), ("main", 150)]
+    rows = [("h", "p", i // 2, i, i, s, "m", sig(t)) for i, (s, t) in enumerate(totals)] + [("h", "p", 3, 7, 100, "main", "m", sig(600)), ("h", "p", 4, 8, 5, "main", "m", sig(610))]
     events = settle(spark.createDataFrame(rows, schema))
     files = spark.createDataFrame([("h", "p", 50)], "home string, path string, start_nanos bigint")
     kept = sorted(r.line_no for r in compact_events(events, files).collect())

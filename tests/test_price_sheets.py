@@ -4,6 +4,7 @@ import tempfile
 
 from pyspark.sql import functions as F
 
+from tallyspark.fixed_values import USAGE_LIMIT_ID
 from tallyspark.sources.manifest import manifest_diff
 from tallyspark.sources.price_sheets import load_current_prices, parse_price_sheets, save_prices
 from tallyspark.sources.responses import parse_accounts, parse_rate_limits
@@ -111,12 +112,12 @@ def test_rate_limit_responses(spark):
     def w(percent=1.0, minutes=300, resets=100):
         return {"usedPercent": percent, "windowDurationMins": minutes, "resetsAt": resets}
 
-    bucket = {"limitId": "codex", "primary": w(), "secondary": w(2.0, 10080, 200), "unknownFutureField": {"x": 1}}
+    bucket = {"limitId": USAGE_LIMIT_ID, "primary": w(), "secondary": w(2.0, 10080, 200), "unknownFutureField": {"x": 1}}
     general = {"limitId": "other", "primary": w(9.0)}
     bodies = {
-        "by id": {"rateLimits": general, "rateLimitsByLimitId": {"codex": bucket}},
+        "by id": {"rateLimits": general, "rateLimitsByLimitId": {USAGE_LIMIT_ID: bucket}},
         "general": {"rateLimits": general, "rateLimitsByLimitId": {"x": general}},
-        "null general": {"rateLimits": None, "rateLimitsByLimitId": {"codex": bucket}},
+        "null general": {"rateLimits": None, "rateLimitsByLimitId": {USAGE_LIMIT_ID: bucket}},
         "nothing": {},
         "no primary": {"rateLimits": {"limitId": "a"}},
         "negative": {"rateLimits": {"limitId": "a", "primary": w(resets=-1)}},
@@ -128,7 +129,7 @@ def test_rate_limit_responses(spark):
     )
     snapshots, rejects = parse_rate_limits(rows)
     got = {r.home: (r.limit_id, r.primary.used_percent, r.secondary and r.secondary.window_minutes) for r in snapshots.collect()}
-    assert got == {"by id": ("codex", 1.0, 10080), "general": ("other", 9.0, None), "null general": ("codex", 1.0, 10080)}
+    assert got == {"by id": (USAGE_LIMIT_ID, 1.0, 10080), "general": ("other", 9.0, None), "null general": (USAGE_LIMIT_ID, 1.0, 10080)}
     assert {r.home: r.reason for r in rejects.collect()} == {
         "nothing": "no bucket", "no primary": "no primary window", "negative": "negative reset",
         "negative second": "negative reset", "text percent": "malformed",

@@ -190,7 +190,12 @@ def test_timestamps(spark):
         "2026-08-10T12:00:00Z": 1786363200 * 10**9,
         "2026-08-10T14:00:00.123456789+02:00": 1786363200123456789,
         "2026-08-10t12:00:00.5z": 1786363200500000000,
+        "2026-08-10T12:00:00.1234567Z": 1786363200123456700,
+        "2026-08-11T08:00:00.000000001+20:00": 1786363200000000001,
+        "1969-12-31T23:59:59.999999999Z": -1,
         "2026-02-30T12:00:00Z": None,
+        "2026-08-10T12:00:00": None,
+        "2400-01-01T00:00:00Z": None,
         "2026-08-10 12:00": None,
     }
     df = spark.createDataFrame([(k,) for k in texts], "t string")
