@@ -29,9 +29,12 @@ class CounterMath:
         self.sql_type = "decimal(20,0)" if wide else "bigint"
 
     @classmethod
-    def of(cls, df: DataFrame, counters: str = "total") -> "CounterMath":
-        inner = df.schema[counters].dataType["input"].dataType
-        return cls(isinstance(inner, T.DecimalType))
+    def of(cls, df: DataFrame, column: str = "total") -> "CounterMath":
+        """The arithmetic for a counter column, or a struct of counters."""
+        kind = df.schema[column].dataType
+        if isinstance(kind, T.StructType):
+            kind = kind["input"].dataType
+        return cls(isinstance(kind, T.DecimalType))
 
     def zero(self) -> Column:
         return F.lit(0).cast(self.sql_type)

@@ -81,16 +81,17 @@ def _source_peaks(totals: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
 
 
-def _row_parts(events: DataFrame, math: CounterMath) -> DataFrame:
+def flatten_events(events: DataFrame) -> DataFrame:
     """Everything an event needs of its own row, flat, so that the counter
-    structs need not travel through the sorts below."""
+    structs need not travel through the sorts of the timeline."""
+    math = CounterMath.of(events)
     total, last = F.col("total"), F.col("last")
 
     def part(counters: Column, name: str) -> Column:
         return math.or_zero(counters.getField(name))
 
     return events.select(
-        *events.columns,
+        *[c for c in events.columns if c not in ("total", "last")],
         signature(total, last).alias("sig"),
         is_capped(F.col("primary_percent"), F.col("secondary_percent")).alias("capped"),
         F.coalesce(F.concat(F.lit("="), "source"), F.lit("")).alias("_source"),
@@ -106,16 +107,15 @@ def _row_parts(events: DataFrame, math: CounterMath) -> DataFrame:
     )
 
 
-def token_timeline(events: DataFrame, keys: Sequence[str] = FILE) -> DataFrame:
+def token_timeline(flat: DataFrame, keys: Sequence[str] = FILE) -> DataFrame:
     """Add deltas, the repeat/stale verdict and the overflow flag.
 
-    Input: token events only, with ``block, line_no, source, total, last,
-    model, primary_percent, secondary_percent``. Adds ``sig, is_duplicate,
-    is_stale, delta_total, delta_uncached, delta_cached, delta_output, capped,
-    overflow``.
+    ``flat``: token events as given by ``flatten_events``, preferably a table,
+    with ``block, line_no, source, model``. Adds ``is_duplicate, is_stale,
+    overflow, delta_total, delta_uncached, delta_cached, delta_output``.
     """
-    math = CounterMath.of(events)
-    base = _row_parts(events, math)
+    math = CounterMath.of(flat, "_teff")
+    base = flat
 
     in_source = Window.partitionBy(*keys, "block", "_source", "_has_total").orderBy("line_no")
     previous_model = F.lag(F.struct("model")).over(in_source)
@@ -152,7 +152,7 @@ def token_timeline(events: DataFrame, keys: Sequence[str] = FILE) -> DataFrame:
     )
     # Peaks are scanned per source over the blocks of longer files; files that
     # fit one block drop out before the sort.
-    longer = base.where("_has_total").join(continued_blocks(events, keys), [*keys, "block"], "left_semi")
+    longer = base.where("_has_total").join(continued_blocks(base, keys), [*keys, "block"], "left_semi")
     source_carry = _source_peaks(with_runs(longer), keys)
 
     joined = local.join(file_carry, [*keys, "block"], "left").join(
@@ -176,7 +176,7 @@ def token_timeline(events: DataFrame, keys: Sequence[str] = FILE) -> DataFrame:
         F.coalesce(F.greatest("_hw_seen", "_in_seen"), F.lit(False)).alias("_hw_seen"),
         *[F.greatest(f"_hw_{name}", f"_in_{name}").alias(f"_hw_{name}") for name in HIGH_WATER],
     )
-    return _deltas(_judge(combined), math, events.columns)
+    return _deltas(_judge(combined), math, [c for c in base.columns if not c.startswith("_")])
 
 
 def _judge(df: DataFrame) -> DataFrame:
@@ -219,8 +219,6 @@ def _deltas(df: DataFrame, math: CounterMath, columns: Sequence[str]) -> DataFra
     nothing = F.col("is_duplicate") | F.col("is_stale")
     return df.select(
         *columns,
-        "sig",
-        "capped",
         "overflow",
         "is_duplicate",
         "is_stale",

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tallyspark.functions.counters import context_band, details_missing
 from tallyspark.operators.carry import FILE, carry_settings
-from tallyspark.operators.deltas import token_timeline
+from tallyspark.operators.deltas import flatten_events, token_timeline
 from tallyspark.session import settle
 
 
@@ -26,4 +26,5 @@ def token_events(lines: DataFrame, keys: Sequence[str] = FILE) -> DataFrame:
         context_band(F.col("last")).alias("band"),
         details_missing(F.col("total"), F.col("last")).alias("details_missing"),
     )
-    return token_timeline(settle(own.drop("model_set", "sets_tier", "tier_set_kind", "tier_set_text", "limits")), keys)
+    flat = flatten_events(own).drop("model_set", "sets_tier", "tier_set_kind", "tier_set_text", "limits")
+    return token_timeline(settle(flat), keys)

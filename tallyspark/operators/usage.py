@@ -19,7 +19,7 @@ def usage_volumes(events: DataFrame, keys: Sequence[str]) -> DataFrame:
     Overflow and zero-delta events stay out. Partial aggregation shrinks each
     input split to a few buckets before anything is shuffled.
     """
-    math = CounterMath.of(events)
+    math = CounterMath.of(events, "delta_total")
     counted = events.where(~F.col("overflow") & (F.col("delta_total") != 0))
     return counted.groupBy(*keys, *BUCKET).agg(
         *[math.sum(F.col(column)).alias(name) for name, column in MEASURES.items()],

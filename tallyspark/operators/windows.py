@@ -46,7 +46,7 @@ def file_buckets(events: DataFrame, files: DataFrame, today: Column, tz: str) ->
     flags look at all events; sums leave the replayed ones out. Everything
     after this works on these rows, which are few per file.
     """
-    math = CounterMath.of(events, "total") if "total" in events.columns else CounterMath(False)
+    math = CounterMath.of(events, "delta_total")
     scope = files.select(*FILE, "period_start_nanos", "period_start_date", "replay_line_no")
     ev = events.join(spread_over_blocks(scope, events), [*FILE, "block"])
     day = local_date(F.col("ts_nanos"), tz)
@@ -228,18 +228,23 @@ def tallied_buckets(buckets: DataFrame, roles: DataFrame) -> DataFrame:
 
 def window_totals(tallied: DataFrame) -> DataFrame:
     """Tokens in the plan and beyond it, per account and window."""
+    math = CounterMath.of(tallied, "tokens")
+
+    def total(flag: Column) -> Column:
+        return math.or_zero(math.sum(F.when(flag, F.col("tokens"))))
+
     return tallied.groupBy("home", "window_kind").agg(
-        F.coalesce(F.sum(F.when(~F.col("overflow"), F.col("tokens"))), F.lit(0)).alias("tokens"),
-        F.coalesce(F.sum(F.when(F.col("overflow"), F.col("tokens"))), F.lit(0)).alias("overflow_tokens"),
+        total(~F.col("overflow")).alias("tokens"), total(F.col("overflow")).alias("overflow_tokens")
     )
 
 
 def window_volumes(tallied: DataFrame) -> DataFrame:
+    math = CounterMath.of(tallied, "tokens")
     return (
         tallied.where(~F.col("overflow"))
         .groupBy("home", "window_kind", *BUCKET)
         .agg(
-            *[F.sum(name).alias(name) for name in MEASURES],
+            *[math.sum(F.col(name)).alias(name) for name in MEASURES],
             F.bool_or("details_missing").alias("details_missing"),
         )
     )

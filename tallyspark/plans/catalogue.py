@@ -37,7 +37,7 @@ from tallyspark.plans.usage_report import (
     usage_tables,
     window_report,
 )
-from tallyspark.session import configure, ensure_checkpoint_dir, settle
+from tallyspark.session import configure, ensure_checkpoint_dir, settle, write_settled
 from tallyspark.sources.derived_inputs import log_text, response_rows, sheet_rows
 from tallyspark.sources.event_feed import SPLIT_DAY, event_files, event_lines, nanos_literal
 from tallyspark.sources.manifest import manifest_diff
@@ -477,9 +477,10 @@ def streamed_deltas(spark, sf_dir):
     lines = event_lines(spark, sf_dir)
     numbered = dense_positions(lines, ["home", "path"]).withColumn("event_line", F.col("line_no")).withColumn("line_no", F.col("idx"))
     place = settle(numbered.select("path", "line_no", "event_line"))
-    source = settle(stream_lines(numbered).repartition(4, "line_no"))
+    source = stream_lines(numbered).repartition(4, "line_no")
     configure_streaming(spark)
-    incoming = spark.readStream.schema(source.schema).option("maxFilesPerTrigger", 2).parquet(source.inputFiles()[0].rsplit("/", 1)[0])
+    segments = write_settled(source)
+    incoming = spark.readStream.schema(source.schema).option("maxFilesPerTrigger", 2).parquet(segments)
     target = f"{ensure_checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
     run = (
         process_lines(incoming).writeStream.format("parquet").option("checkpointLocation", f"{target}/state")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tallyspark.fixed_values import USD_PER_CREDIT
 from tallyspark.functions import display
+from tallyspark.functions.counters import CounterMath
 from tallyspark.operators.blocks import join_dimension
 from tallyspark.operators.carry import FILE
 from tallyspark.operators.forks import parent_state, replay_bounds
@@ -140,14 +141,14 @@ def window_report(tables: UsageTables, prices: DataFrame) -> DataFrame:
         .withColumn("_one", F.lit(1))
         .join(have_prices, "_one")
     )
-    zero = F.lit(0).cast("bigint")
+    zero = CounterMath.of(tables.totals, "tokens").zero()
     # No usage costs nothing, provided there is a price table at all.
     settled_cost = F.when(
         F.col("_priced"), F.when(F.col("_has_volume"), F.col("_cost")).otherwise(F.lit(0.0))
     )
     values = {
-        "tokens": F.coalesce(F.col("tokens").cast("decimal(20,0)").cast("bigint"), zero),
-        "overflow_tokens": F.coalesce(F.col("overflow_tokens").cast("decimal(20,0)").cast("bigint"), zero),
+        "tokens": F.coalesce("tokens", zero),
+        "overflow_tokens": F.coalesce("overflow_tokens", zero),
         "credits_spent": F.coalesce("credits_spent", F.lit(0.0)),
         "overflow_usd": F.coalesce("credits_spent", F.lit(0.0)) * USD_PER_CREDIT,
         "cost": settled_cost,

@@ -42,14 +42,18 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return folder
 
 
+def write_settled(df: DataFrame) -> str:
+    """Write ``df`` as Parquet in the shared folder; returns where."""
+    target = f"{ensure_checkpoint_dir(df.sparkSession)}/settled-{uuid.uuid4().hex}"
+    df.write.parquet(target)
+    return target
+
+
 def settle(df: DataFrame) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back.
+    """Write ``df`` in the shared folder and read it back.
 
     Used where a result feeds several branches: the plan stays small, the
     work runs once, later branches read only the columns they need, and a
     lost executor costs a re-read instead of a recomputation.
     """
-    spark = df.sparkSession
-    target = f"{ensure_checkpoint_dir(spark)}/settled-{uuid.uuid4().hex}"
-    df.write.parquet(target)
-    return spark.read.schema(df.schema).parquet(target)
+    return df.sparkSession.read.schema(df.schema).parquet(write_settled(df))

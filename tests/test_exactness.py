@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tallyspark.operators.blocks import fold_neighbours, ordered_slices, running
 from tallyspark.operators.carry import carry_settings
 from tallyspark.operators.compaction import compact_events
-from tallyspark.operators.deltas import token_timeline
+from tallyspark.operators.deltas import flatten_events, token_timeline
 from tallyspark.operators.forks import replay_bounds
 from tallyspark.operators.threads import file_profile, mark_copies
 from tallyspark.operators.timeline import token_events
@@ -63,7 +63,7 @@ def test_peaks_survive_model_changes_across_blocks(spark):
     results = []
     for size in (5, 1000):
         lines = frame.withColumn("block", F.expr(f"line_no div {size}"))
-        found = token_timeline(settle(carry_settings(lines).where("is_token")))
+        found = token_timeline(settle(flatten_events(carry_settings(lines).where("is_token"))))
         results.append({(r.path, r.line_no): tuple(r[c] for c in KEPT[3:]) for r in found.collect()})
     assert results[0] == results[1]
     for path in range(12):

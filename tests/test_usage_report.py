@@ -110,6 +110,10 @@ CASES = {
     "period start is inclusive": (write(meta(0), usage(0, 100, 100), usage(50, 125, 25), usage(60, 175, 50)), 50, (175, 0, 0.0), (75, 0, 0.0)),
     "no anchor": (write(meta(0), usage(1, 100, 100)), -3 * DAY, (100, 0, 0.0), None),
     "no period": (write(meta(0), usage(1, 100, 100)), None, (100, 0, 0.0), None),
+    "counters beyond 64 bits": (
+        write(meta(0), *[usage(i, None, {"input_tokens": 2**64 - 1, "output_tokens": i}) for i in (1, 2)]),
+        DEFAULT_START, (2**64 - 1, 0, 0.0), (2**64 - 1, 0, 0.0),
+    ),
     "old times late in the file": (write(meta(0), usage(10, 100, 100), usage(-DAY, 150, 50), usage(11, 180, 30)), DEFAULT_START, (130, 0, 0.0), (130, 0, 0.0)),
 }
 SPEEDS = [
