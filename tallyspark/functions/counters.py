@@ -42,7 +42,9 @@ class CounterMath:
     def clamp(self, value: Column) -> Column:
         if not self.wide:
             return value.cast(self.sql_type)
-        return F.least(value, F.lit(str(U64_MAX)).cast("decimal(38,0)")).cast(self.sql_type)
+        # Not least(): it would turn an unknown value into the largest one.
+        top = F.lit(str(U64_MAX)).cast("decimal(38,0)")
+        return F.when(value > top, top).otherwise(value).cast(self.sql_type)
 
     def or_zero(self, value: Column) -> Column:
         return F.coalesce(value, self.zero())

@@ -163,9 +163,17 @@ def window_report(tables: UsageTables, prices: DataFrame) -> DataFrame:
     )
 
 
+def _saturated(value: Column, math: CounterMath) -> Column:
+    """A rounded DOUBLE as a counter, at most the largest one."""
+    if math.wide:
+        return math.clamp(value.cast("decimal(38,0)"))
+    return F.least(value, F.lit(9.2e18)).cast("bigint")
+
+
 def usage_report(tables: UsageTables, prices: DataFrame, tz: str, style: str = "zh") -> DataFrame:
     """The account report: both windows, quota state, estimates and texts."""
     wide = window_report(tables, prices)
+    math = CounterMath.of(wide, "tokens")
     names = ("reliable", "tokens", "overflow_tokens", "credits_spent", "overflow_usd", "cost", "hit_tenths", "overflow_visible")
     per_home = wide.groupBy("home").agg(
         *[
@@ -189,7 +197,7 @@ def usage_report(tables: UsageTables, prices: DataFrame, tz: str, style: str = "
         F.when((used >= 1.0) & (F.col("period_cost") > 0), F.col("period_cost") * 100.0 / used),
     ).withColumn(
         "period_token_estimate",
-        F.when((used >= 1.0) & (F.col("period_tokens") > 0), F.round(F.col("period_tokens") * 100.0 / used).cast("bigint")),
+        F.when((used >= 1.0) & (F.col("period_tokens") > 0), _saturated(F.round(F.col("period_tokens") * 100.0 / used), math)),
     )
     plan, long_seconds = F.col("plan_type"), F.col("long.seconds")
     shown_long = F.when(~F.col("stale"), F.when(F.col("long_active").isNotNull(), long_seconds))
