@@ -10,7 +10,7 @@ from tallyspark.plans.refresh import refresh_session_logs
 from tallyspark.session import settle
 from tallyspark.sources.session_logs import SessionLogs, load_session_logs
 from tallyspark.streaming.windows import daily_usage, period_usage
-from tests.logs import CHILD, PARENT, Home, meta, model, nanos, usage
+from tests.logs import CHILD, Home, meta, model, nanos, usage
 
 OTHER = "33333333-3333-4333-8333-333333333333"
 
