@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyspark.llm.html_text import extract_text
+from tallyspark.llm.jaccard import jaccard_components
 from tallyspark.llm.neighbours import nearest
 from tallyspark.llm.quality import fit_quality, score_quality
 from tallyspark.llm.shared import remainder, table
@@ -46,3 +47,51 @@ def op6_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_nearest_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 nearest rows of every twentieth embedding."""
     return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
+@query
+def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Component of every document under the 4-word shingle Jaccard join."""
+    return jaccard_components(table(spark, sf_dir, "documents"), words=4, percent=85)
+
+
+_WORDS = r"[^\x20\x09-\x0D]+"
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+ORACLE_SQL["op5_ngram_jaccard"] = f"""
+WITH RECURSIVE docs AS (
+  SELECT DISTINCT doc_id, regexp_extract_all({_LOWER}, '{_WORDS}') AS ws FROM documents
+), sets AS (
+  SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 4 THEN [array_to_string(ws, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(ws) - 2), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] || ' ' || ws[i + 3])) END AS sh
+  FROM docs
+), items AS (SELECT doc_id, len(sh) AS n, unnest(sh) AS s FROM sets),
+links AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM items a JOIN items b ON a.s = b.s AND a.doc_id <> b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))
+), reached AS (
+  SELECT doc_id, doc_id AS c FROM docs UNION SELECT l.b, r.c FROM reached r JOIN links l ON r.doc_id = l.a
+)
+SELECT s.doc_id, CAST(len(s.sh) AS BIGINT) AS n_shingles, min(r.c) AS component_id
+FROM sets s JOIN reached r USING (doc_id) GROUP BY ALL
+"""
+
+ORACLE_SQL["op8_substring_dedup"] = f"""
+WITH docs AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{_WORDS}') AS ws FROM documents),
+words AS (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS pos FROM docs),
+windows AS (
+  SELECT doc_id, unnest(range(1, len(ws) - 11)) AS pos, unnest(list_transform(range(1, len(ws) - 11), lambda i: array_to_string(ws[i : i + 12], ' '))) AS s
+  FROM docs WHERE len(ws) >= 13
+), firsts AS (SELECT s, min(doc_id) AS f FROM windows GROUP BY s),
+late AS (SELECT doc_id, pos FROM windows JOIN firsts USING (s) WHERE doc_id > f),
+marked AS (
+  SELECT words.doc_id, words.pos, w,
+    max(late.pos) OVER (PARTITION BY words.doc_id ORDER BY words.pos ROWS BETWEEN 12 PRECEDING AND CURRENT ROW) IS NOT NULL AS gone
+  FROM words LEFT JOIN late ON late.doc_id = words.doc_id AND late.pos = words.pos
+), summed AS (
+  SELECT doc_id, count(*) AS n_words, count(*) FILTER (gone) AS n_removed, string_agg(w, ' ' ORDER BY pos) FILTER (NOT gone) AS kept
+  FROM marked GROUP BY doc_id
+)
+SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM docs LEFT JOIN summed USING (doc_id)
+"""
