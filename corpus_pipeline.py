@@ -12,8 +12,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyspark.llm.contamination import find_leaks
+from tallyspark.llm.jaccard import jaccard_components
+from tallyspark.llm.packing import pack_documents
 from tallyspark.llm.quality import fit_quality, score_quality
 from tallyspark.llm.shared import remainder, table, written
+from tallyspark.llm.substrings import dedup_substrings
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -25,7 +29,41 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return score_quality(docs, model).where(F.col("score") >= 0.5).drop("score")
 
 
-STAGES: list[tuple[str, Stage]] = [("quality classifier", keep_good)]
+def keep_one_of_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest doc_id of each group of near copies: five words, similarity 0.8."""
+    groups = jaccard_components(docs.select("doc_id", "text"), words=5, percent=80)
+    others = groups.where("component_id <> doc_id").select("doc_id").distinct()
+    repeated = docs.join(others, "doc_id", "left_anti")
+    # Rows that repeat a doc_id are one document; those without one are kept.
+    named = repeated.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
+    return named.unionByName(repeated.where("doc_id IS NULL"))
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the passages that earlier ones hold; those with nothing left go."""
+    cut = dedup_substrings(docs, window=13).where("n_removed = 0 OR kept <> ''")
+    text = F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("document.text"))
+    new = {"text": text, "n_chars": F.when(F.col("n_removed") > 0, F.length("kept").cast("long")).otherwise(F.col("document.n_chars"))}
+    return cut.select(*(new.get(c, F.col(f"document.`{c}`")).alias(c) for c in docs.columns))
+
+
+def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without an exact or edited copy of a benchmark item."""
+    return find_leaks(docs, table(spark, sf_dir, "benchmark")).where(F.size("hits") == 0).select("document.*")
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Where each piece of each document goes: the training sequences."""
+    return pack_documents(docs)
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("quality classifier", keep_good),
+    ("n-gram Jaccard join", keep_one_of_group),
+    ("substring dedup", cut_repeats),
+    ("benchmark decontamination", drop_leaks),
+    ("best-fit packing", pack),
+]
 
 #: Trained and packed stages have no SQL form; tests hold run() against brute force.
 ORACLE_SQL: str | None = None

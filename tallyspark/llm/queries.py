@@ -7,11 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyspark.llm.contamination import find_leaks
 from tallyspark.llm.html_text import extract_text
 from tallyspark.llm.jaccard import jaccard_components
 from tallyspark.llm.neighbours import nearest
+from tallyspark.llm.packing import pack_documents
 from tallyspark.llm.quality import fit_quality, score_quality
 from tallyspark.llm.shared import remainder, table
+from tallyspark.llm.substrings import dedup_substrings
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -55,6 +58,27 @@ def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"), words=4, percent=85)
 
 
+@query
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the 13-word windows that smaller doc_ids hold."""
+    return dedup_substrings(table(spark, sf_dir, "documents"), window=13).select(
+        "document.doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256")
+    )
+
+
+@query
+def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bin of every piece of every document."""
+    return pack_documents(table(spark, sf_dir, "documents"))
+
+
+@query
+def op7_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with an exact or edited copy of a test item, and where."""
+    found = find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("document.doc_id", F.explode("hits").alias("hit")).select("doc_id", "hit.*")
+
+
 _WORDS = r"[^\x20\x09-\x0D]+"
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
