@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tallyspark.llm.contamination import find_leaks
 from tallyspark.llm.html_text import extract_text
 from tallyspark.llm.jaccard import jaccard_components
+from tallyspark.llm.language import fit_language, identify
 from tallyspark.llm.neighbours import nearest
 from tallyspark.llm.packing import pack_documents
 from tallyspark.llm.quality import fit_quality, score_quality
@@ -79,6 +80,15 @@ def op7_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("document.doc_id", F.explode("hits").alias("hit")).select("doc_id", "hit.*")
 
 
+@query
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document by a network that learns from four fifths of the labelled ones."""
+    documents = table(spark, sf_dir, "documents")
+    held_out = F.coalesce(remainder(F.col("doc_id"), 5) == 0, F.lit(False))
+    net = fit_language(documents.where(remainder(F.col("doc_id"), 5) != 0))
+    return identify(documents.select("doc_id", held_out.alias("held_out"), "text"), net).select("doc_id", "held_out", "lang_pred", "score")
+
+
 _WORDS = r"[^\x20\x09-\x0D]+"
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
