@@ -9,11 +9,11 @@ A document is the set of its distinct 4-word shingles; two link when
    Linked sets share a token among their first ``n - ceil(0.85 n) + 1``. That
    the counted table is cut at a bounded size only changes the order, which is
    the same for all documents, so no link is lost.
-2. Members of one token's list are not paired with each other. A list of up to
-   ``SMALL`` members is compared whole; of a longer one, a centre (the set with
-   most common tokens) is compared with all members, further centres follow
-   from the smaller components until the list lies in one component. Every pair
-   of a list is thus compared or already connected.
+2. A list (the sets that share a token) of up to ``SMALL`` members is compared
+   whole. Of a longer one, a centre, the set with most common tokens, is first
+   compared with all members. Only if the list then still has members in
+   different components, these are compared in blocks; pairs within one
+   component, such as a large group around its original, never are.
 3. Two hash orders: a candidate pair must also overlap enough in its prefixes
    under each of two other orders. The prefixes hold a fifth of a set; what they
    share plus all that lies behind them bounds the intersection.
@@ -39,7 +39,8 @@ from tallyspark.llm.components import components
 from tallyspark.llm.hashing import LOWER, binaries, groups, hash_windows, hash_words, mix
 from tallyspark.llm.shared import written
 
-SMALL = 16  #: lists up to this long are compared whole; further centres per round
+SMALL = 16  #: lists up to this long are compared whole
+BLOCK, BLOCK_TOKENS = 64, 32_768  #: sets of longer lists that are compared at a time, and their tokens
 RANKED = 1 << 18  #: entries of the table of frequent tokens, at most
 FREQUENT = 8  #: sets that must hold a token before it counts as frequent
 BROADCAST_IDS = 1 << 20  #: ids that are broadcast at most; beyond, texts are shuffled
@@ -95,6 +96,37 @@ def may_link(a: tuple[int, bytes, bytes], b: tuple[int, bytes, bytes], percent:
     return True
 
 
+def compare_blocks(one: list[dict], two: list[dict], percent: int) -> list[tuple[int, int]]:
+    """Links (smaller key first) between members of two blocks that are in different components.
+
+    A bit matrix holds which block member has which token; the product of two counts what pairs
+    share, first within the prefixes under either hash order, then, where both allow it, in all.
+    """
+    sets = [[np.frombuffer(x["s1"], np.uint64) for x in side] for side in (one, two)]
+    tokens = np.unique(np.concatenate([np.concatenate(side) for side in sets]))
+    orders = (tokens, mix(tokens ^ SECOND))
+
+    def matrix(side: list[np.ndarray], order: int | None) -> np.ndarray:
+        out = np.zeros((len(side), len(tokens)), np.float32)
+        for i, s in enumerate(side):
+            at = np.searchsorted(tokens, s)
+            if order is not None:
+                at = at[np.argsort(orders[order][at])[: len(s) - needed(len(s), percent) + 1]]
+            out[i, at] = 1
+        return out
+
+    comp = [np.array([x["comp"] for x in side]) for side in (one, two)]
+    size = [np.array([len(s) for s in side]) for side in sets]
+    may = comp[0][:, None] != comp[1][None, :]
+    for order in (0, 1):
+        may &= matrix(sets[0], order) @ matrix(sets[1], order).T > 0
+    if not may.any():
+        return []
+    both = np.rint(matrix(sets[0], None) @ matrix(sets[1], None).T).astype(np.int64)
+    linked = may & (100 * both >= percent * (size[0][:, None] + size[1][None, :] - both))
+    return [tuple(sorted((one[i]["key"], two[j]["key"]))) for i, j in zip(*np.nonzero(linked), strict=True)]
+
+
 def jaccard_components(documents: DataFrame, words: int = 4, percent: int = 85) -> DataFrame:
     """doc_id, n_shingles, component_id of each document (doc_id, text)."""
     spark = documents.sparkSession
@@ -162,7 +194,7 @@ def jaccard_components(documents: DataFrame, words: int = 4, percent: int = 85)
 
         return in_parts(rows(), ["token", "key", "n", "common"], [pa.int64(), pa.int64(), pa.int32(), pa.float32()])
 
-    posted = docs.where("doc_id IS NOT NULL").mapInArrow(postings, "token long, key long, n int, common float")
+    posted = written(docs.where("doc_id IS NOT NULL").mapInArrow(postings, "token long, key long, n int, common float"), "postings")
     several = posted.groupBy("token").agg(F.min("key").alias("x"), F.max("key").alias("y")).where("x <> y").select("token")
     lists = written(posted.join(several, "token", "left_semi").distinct(), "lists")
     one_of = named.where("key IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("doc_id"))
@@ -203,36 +235,57 @@ def jaccard_components(documents: DataFrame, words: int = 4, percent: int = 85)
 
         return written(pairs.join(one, "a").join(two, "b").mapInArrow(test, "a long, b long"), "pairs")
 
-    nothing = spark.createDataFrame([], "a long, b long")
-    links, comps, tested, first = nothing, spark.createDataFrame([], "node long, comp long"), None, True
-    while True:
-        members = lists.join(comps.withColumnRenamed("node", "key"), "key", "left").withColumn("comp", F.coalesce("comp", "key"))
-        sizes = members.groupBy("token", "comp").agg(F.count("*").alias("size"))
-        # The largest component of a list has nothing to ask; "open" lists have a second one.
-        several = members.groupBy("token").agg(F.count("*").alias("g"), F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("token", "g")
-        open_lists = written(members.join(several, "token"), "open")
-        if open_lists.isEmpty():
-            break
-        if first:
-            asked = open_lists.withColumn("size", F.lit(1))
-            order = Window.partitionBy("token").orderBy(F.desc("common"), "key")
-            most = F.when(F.col("g") <= SMALL, SMALL).otherwise(1)
-        else:
-            asked = open_lists.join(sizes, ["token", "comp"])
-            order = Window.partitionBy("token").orderBy("size", F.desc("common"), "key")
-            most = F.lit(SMALL)
-        ranked_members = asked.withColumn("place", F.row_number().over(order)).where(F.col("place") <= SMALL)
-        centres = written(ranked_members.where(F.col("place") <= most).select("token", "key", "n", "comp"), "centres")
-        c = centres.select("token", F.col("key").alias("c"), F.col("n").alias("n_c"), F.col("comp").alias("comp_c"))
-        close = (F.least("n", "n_c") * 100 >= F.greatest("n", "n_c") * percent) & (F.col("comp") != F.col("comp_c"))
-        pairs = open_lists.join(c, "token").where(close).select(F.least("key", "c").alias("a"), F.greatest("key", "c").alias("b")).distinct()
-        pairs = written(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "candidates")
-        tested = pairs if tested is None else tested.union(pairs)
-        if not pairs.isEmpty():
-            links = written(links.union(passing(passing(pairs, True), False)), "linked")
-            comps = components(links)
-        lists = written(open_lists.select("token", "key", "n", "common").join(centres.select("token", "key"), ["token", "key"], "left_anti"), "lists")
-        first = False
+    def linked_blocks(rest: DataFrame) -> DataFrame:
+        """Links within lists (token, key, n, comp) between members of different components.
+
+        Members are packed into blocks of about ``BLOCK`` sets, those of a large component apart
+        from others; blocks meet once if they have a list in common, unless both are in one
+        component. A row stands for two blocks, not for two members.
+        """
+        one = rest.groupBy("key").agg(F.min("token").alias("home"), F.first("comp").alias("comp"), F.first("n").alias("n"))
+        crowd = one.groupBy("comp").agg(F.count("*").alias("crowd"))
+        one = one.join(crowd, "comp").withColumn("home", F.when(F.col("crowd") >= BLOCK, F.xxhash64("comp")).otherwise(F.col("home")))
+        one = one.join(one.groupBy("home").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_TOKENS)).alias("near")), "home")
+        block = F.xxhash64("home", F.pmod(F.xxhash64("key"), F.col("near")))
+        one = written(one.select("key", "comp", block.alias("block")), "members")
+        sets = sets_of(one.select("key"), False).select("key", "s1").join(one, "key")
+        packed = sets.groupBy("block").agg(F.collect_list(F.struct("key", "comp", "s1")).alias("sets"), F.min("comp").alias("low"), F.max("comp").alias("high"))
+        packed = written(packed, "blocks")
+        held = rest.join(one.select("key", "block"), "key").select("token", "block").distinct()
+        held = held.join(packed.select("block", "low", "high"), "block")
+        other = held.select("token", *(F.col(c).alias(f"{c}_b") for c in ("block", "low", "high")))
+        apart = F.expr("NOT (low = high AND low_b = high_b AND low = low_b)")
+        meets = written(held.join(other, "token").where("block <= block_b").where(apart).select("block", "block_b").distinct(), "meets")
+        one, two = packed.select("block", "sets"), packed.select(F.col("block").alias("block_b"), F.col("sets").alias("sets_b"))
+
+        def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                found: list[tuple[int, int]] = []
+                for i in range(batch.num_rows):
+                    found += compare_blocks(batch["sets"][i].as_py(), batch["sets_b"][i].as_py(), percent)
+                yield pa.record_batch([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], ["a", "b"])
+
+        return meets.join(one, "block").join(two, "block_b").select("sets", "sets_b").mapInArrow(compare, "a long, b long").distinct()
+
+    # First the centres of long lists and all pairs of short ones.
+    sizes = lists.groupBy("token").agg(F.count("*").alias("g"))
+    order = Window.partitionBy("token").orderBy(F.desc("common"), "key")
+    places = lists.join(sizes, "token").withColumn("place", F.row_number().over(order)).where(F.col("place") <= SMALL)
+    centres = places.where(F.col("place") <= F.when(F.col("g") <= SMALL, SMALL).otherwise(1))
+    centres = centres.select("token", F.col("key").alias("c"), F.col("n").alias("n_c"))
+    close = (F.least("n", "n_c") * 100 >= F.greatest("n", "n_c") * percent) & (F.col("key") != F.col("c"))
+    pairs = lists.join(centres, "token").where(close).select(F.least("key", "c").alias("a"), F.greatest("key", "c").alias("b")).distinct()
+    links = passing(passing(written(pairs, "candidates"), True), False)
+    comps = components(links)
+
+    # Then the rest of the lists that are not in one component yet.
+    members = lists.join(sizes.where(F.col("g") > SMALL), "token").join(comps.withColumnRenamed("node", "key"), "key", "left")
+    members = members.select("token", "key", "n", F.coalesce("comp", "key").alias("comp"))
+    still = members.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("token")
+    rest = written(members.join(still, "token"), "open")
+    if not rest.isEmpty():
+        links = written(links.union(linked_blocks(rest)), "linked")
+        comps = components(links)
 
     placed = named.where("key IS NOT NULL").join(comps.withColumnRenamed("node", "key"), "key", "left").withColumn("comp", F.coalesce("comp", "key"))
     least = placed.groupBy("comp").agg(F.min("doc_id").alias("component_id"))

@@ -11,11 +11,14 @@ from tallyspark.llm.contamination import find_leaks
 from tallyspark.llm.html_text import extract_text
 from tallyspark.llm.jaccard import jaccard_components
 from tallyspark.llm.language import fit_language, identify
+from tallyspark.llm.licences import oracle_sql as licence_sql
+from tallyspark.llm.licences import scan_licences
 from tallyspark.llm.neighbours import nearest
 from tallyspark.llm.packing import pack_documents
 from tallyspark.llm.quality import fit_quality, score_quality
 from tallyspark.llm.shared import remainder, table
 from tallyspark.llm.substrings import dedup_substrings
+from tallyspark.llm.warc import build_derivatives, responses_of_pages
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -89,6 +92,19 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(documents.select("doc_id", held_out.alias("held_out"), "text"), net).select("doc_id", "held_out", "lang_pred", "score")
 
 
+@query
+def op1_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metadata and conversion records of every page, taken as a response record."""
+    return build_derivatives(responses_of_pages(table(spark, sf_dir, "pages")), "page_id")
+
+
+@query
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licenses whose notices or texts occur in a document."""
+    return scan_licences(table(spark, sf_dir, "documents"))
+
+
+ORACLE_SQL["op3_license_scan"] = licence_sql()
 _WORDS = r"[^\x20\x09-\x0D]+"
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
