@@ -97,7 +97,7 @@ def pack(h, c, row, keys, docs, parts: int, late: bool) -> Iterator[pa.RecordBat
     seen = (least != most)[group]
     told = (doc > least[group]) if late else seen
     if told.any():
-        yield from replies(h[told], row[told], keys)
+        yield from told_to(h[told], keys[row[told]])
     send = (doc == least[group]) if late else (~seen | new)
     h, c, row, seen = h[send], c[send], row[send], seen[send] & (not late)
     part = (h % np.uint64(parts)).astype(np.int32)
@@ -117,44 +117,45 @@ def pack(h, c, row, keys, docs, parts: int, late: bool) -> Iterator[pa.RecordBat
     yield pa.record_batch([pa.array(out["part"], pa.int32()), *(pa.array(out[n], pa.binary()) for n in NAMES[1:])], NAMES)
 
 
-def replies(h: np.ndarray, row: np.ndarray, keys: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Reply rows (part -1): a row's key and the hashes told to it."""
-    order = np.argsort(row, kind="stable")
-    h, row = h[order], row[order]
-    edges = np.flatnonzero(np.concatenate(([True], row[1:] != row[:-1], [True])))
-    data = pa.py_buffer(np.ascontiguousarray(h).tobytes())
-    told = pa.Array.from_buffers(pa.binary(), len(edges) - 1, [None, pa.py_buffer((edges * 8).astype(np.int32).tobytes()), data])
-    own = np.ascontiguousarray(keys[row[edges[:-1]]])
-    rows = pa.Array.from_buffers(pa.binary(), len(own), [None, pa.py_buffer((np.arange(len(own) + 1) * 8).astype(np.int32).tobytes()), pa.py_buffer(own.tobytes())])
-    empty = pa.array([b""] * len(own), pa.binary())
-    yield pa.record_batch([pa.array(np.full(len(own), -1), pa.int32()), told, empty, empty, rows, empty, empty], NAMES)
+def told_to(h: np.ndarray, keys: np.ndarray, parts: int = 0) -> Iterator[pa.RecordBatch]:
+    """Replies (the hashes told to the rows with these keys), packed: one row, or one per partition of the keys.
+
+    rows: distinct keys; i: how many hashes each is told; h: the hashes in this order.
+    """
+    target = keys.view(np.uint64) % np.uint64(parts) if parts else np.zeros(len(keys), np.uint64)
+    order = np.lexsort((keys, target))
+    h, keys, target = h[order], keys[order], target[order]
+    edges = np.flatnonzero(np.concatenate(([True], target[1:] != target[:-1], [True])))
+    for a, b in zip(edges[:-1], edges[1:], strict=True):
+        own, count = np.unique(keys[a:b], return_counts=True)
+        row = [h[a:b].tobytes(), b"", count.astype(np.uint32).tobytes(), own.tobytes(), b"", b""]
+        part = int(target[a]) if parts else -1
+        yield pa.record_batch([pa.array([part], pa.int32()), *(pa.array([x], pa.binary()) for x in row)], NAMES)
+
+
+def unpacked(entry: dict) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and key of each packed reply."""
+    keys = np.frombuffer(entry["rows"], np.int64)
+    return np.frombuffer(entry["h"], np.uint64), np.repeat(keys, np.frombuffer(entry["i"], np.uint32))
 
 
 def meet(batches: Iterator[pa.RecordBatch], parts: int, late: bool) -> Iterator[pa.RecordBatch]:
-    """One partition of a meeting: replies (key, h) to the rows whose hash others hold too."""
+    """One partition of a meeting: replies to the rows whose hash others hold too, by partition of the rows."""
     held: list[tuple] = []
-    shift = np.uint64(24)
-    base = 0
+    given: list[tuple[np.ndarray, np.ndarray]] = []
     all_keys: list[np.ndarray] = []
-
-    def told(keys: np.ndarray, h: np.ndarray) -> pa.RecordBatch:
-        order = np.argsort(keys, kind="stable")
-        keys, h = keys[order], h[order]
-        edges = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1], [True])))
-        data = pa.Array.from_buffers(pa.binary(), len(edges) - 1, [None, pa.py_buffer((edges * 8).astype(np.int32).tobytes()), pa.py_buffer(h.tobytes())])
-        return pa.record_batch([pa.array(keys[edges[:-1]]), data], ["key", "h"])
-
+    base = 0
     for batch in batches:
         for e in batch.to_pylist():
-            rows = np.frombuffer(e["rows"], np.int64)
             if e["part"] < 0:
-                yield pa.record_batch([pa.array(rows), pa.array([e["h"]], pa.binary())], ["key", "h"])
+                given.append(unpacked(e))
                 continue
+            rows = np.frombuffer(e["rows"], np.int64)
             if late:
                 h, c = np.frombuffer(e["h"], np.uint64), np.frombuffer(e["c"], np.uint32)
             else:
                 n = len(e["h"]) // 5
-                h = (np.frombuffer(e["h"], np.uint32, n).astype(np.uint64) << np.uint64(32)) | (np.frombuffer(e["h"], np.uint8, n, 4 * n).astype(np.uint64) << shift)
+                h = (np.frombuffer(e["h"], np.uint32, n).astype(np.uint64) << np.uint64(32)) | (np.frombuffer(e["h"], np.uint8, n, 4 * n).astype(np.uint64) << np.uint64(24))
                 c = np.zeros(0, np.uint32)
             index = np.frombuffer(e["i"], np.uint16 if len(e["i"]) == 2 * len(h) else np.uint32).astype(np.int32) + base
             docs = np.frombuffer(e["docs"], np.int64)[index - base] if late else np.zeros(0, np.int64)
@@ -162,39 +163,53 @@ def meet(batches: Iterator[pa.RecordBatch], parts: int, late: bool) -> Iterator[
             held.append((h, c, index, docs, seen))
             all_keys.append(rows)
             base += len(rows)
-    if not held:
+    if held:
+        h, c, index, docs, seen = (np.concatenate(x) for x in zip(*held, strict=True))
+        held.clear()
+        keys = np.concatenate(all_keys)
+        order = np.lexsort((c, h)) if late else np.argsort(h, kind="stable")
+        h, index = h[order], index[order]
+        new = np.ones(len(h), bool)
+        if late:
+            c, docs = c[order], docs[order]
+            new[1:] = (h[1:] != h[:-1]) | (c[1:] != c[:-1])
+            first = np.flatnonzero(new)
+            found = docs > np.minimum.reduceat(docs, first)[np.cumsum(new) - 1]
+        else:
+            seen = seen[order]
+            new[1:] = h[1:] != h[:-1]
+            first, group = np.flatnonzero(new), np.cumsum(new) - 1
+            own = keys[index]
+            shared = (np.minimum.reduceat(own, first) != np.maximum.reduceat(own, first)) | np.logical_or.reduceat(seen, first)
+            found = shared[group] & ~seen
+        given.append((h[found], keys[index[found]]))
+    if given:
+        h, keys = (np.concatenate(x) for x in zip(*given, strict=True))
+        if len(h):
+            yield from told_to(h, keys, parts)
+
+
+def regroup(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row for each key: all hashes it is told."""
+    given = [unpacked(e) for batch in batches for e in batch.to_pylist()]
+    if not given:
         return
-    h, c, index, docs, seen = (np.concatenate(x) for x in zip(*held, strict=True))
-    held.clear()
-    keys = np.concatenate(all_keys)
-    order = np.lexsort((c, h)) if late else np.argsort(h, kind="stable")
-    h, index = h[order], index[order]
-    new = np.ones(len(h), bool)
-    if late:
-        c, docs = c[order], docs[order]
-        new[1:] = (h[1:] != h[:-1]) | (c[1:] != c[:-1])
-        first = np.flatnonzero(new)
-        found = docs > np.minimum.reduceat(docs, first)[np.cumsum(new) - 1]
-    else:
-        seen = seen[order]
-        new[1:] = h[1:] != h[:-1]
-        first, group = np.flatnonzero(new), np.cumsum(new) - 1
-        own = keys[index]
-        shared = (np.minimum.reduceat(own, first) != np.maximum.reduceat(own, first)) | np.logical_or.reduceat(seen, first)
-        found = shared[group] & ~seen
-    at = np.flatnonzero(found)
-    for some in np.array_split(at, max(1, len(at) // 200_000)):
-        if len(some):
-            yield told(keys[index[some]], h[some])
+    h, keys = (np.concatenate(x) for x in zip(*given, strict=True))
+    order = np.argsort(keys, kind="stable")
+    h, keys = h[order], keys[order]
+    edges = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1], [True])))
+    for some in np.array_split(np.arange(len(edges) - 1), -(-(len(edges) - 1) // 10_000)):
+        told = [h[edges[k] : edges[k + 1]].tobytes() for k in some]
+        yield pa.record_batch([pa.array(keys[edges[some]]), pa.array(told, pa.binary())], ["key", "told"])
 
 
 def meeting(entries: DataFrame, late: bool) -> DataFrame:
     """(key, told) of every row that gets replies; entries as packed by ``pack``."""
     parts = int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    # Each hash range is one partition; replies that a batch gave itself are spread by their row.
+    # Each hash range is one partition; replies that a batch gave itself are spread by their rows.
     where = F.when(F.col("part") >= 0, F.col("part")).otherwise(F.pmod(F.xxhash64("rows"), F.lit(parts)).cast("int"))
-    replies = entries.repartitionById(parts, where).mapInArrow(lambda b: meet(b, parts, late), "key long, h binary")
-    return replies.groupBy("key").agg(F.collect_list("h").alias("told"))
+    met = entries.repartitionById(parts, where).mapInArrow(lambda b: meet(b, parts, late), ENTRY)
+    return met.repartitionById(parts, F.col("part")).mapInArrow(regroup, "key long, told binary")
 
 
 def dedup_substrings(documents: DataFrame, window: int = 13) -> DataFrame:
@@ -231,7 +246,7 @@ def dedup_substrings(documents: DataFrame, window: int = 13) -> DataFrame:
                 for r in range(end - start):
                     a, b = edges[r], edges[r + 1]
                     if a < b:
-                        mine = np.frombuffer(b"".join(told[start + r]), np.uint64) >> np.uint64(24)
+                        mine = np.frombuffer(told[start + r], np.uint64) >> np.uint64(24)
                         shared[at[a:b][np.isin(cut[a:b], mine)]] = 1
                 # A window is a candidate if one of its first ``period`` places has a shared anchor.
                 ahead = np.concatenate(([0], np.cumsum(shared)))
@@ -255,7 +270,7 @@ def dedup_substrings(documents: DataFrame, window: int = 13) -> DataFrame:
                 gone = 0
                 if late and len(words) >= window:
                     h = hash_windows(hash_words([text]).hashes, window)
-                    bad = np.isin(h, np.frombuffer(b"".join(late), np.uint64)).astype(np.int32)
+                    bad = np.isin(h, np.frombuffer(late, np.uint64)).astype(np.int32)
                     covered = np.zeros(len(words) + 1, np.int32)
                     covered[: len(bad)] += bad
                     covered[window : window + len(bad)] -= bad
