@@ -2,13 +2,14 @@
 
 Only DataFrame functions, and only narrow ones: a document never leaves its row.
 
-A text becomes the hashes of its word trigrams. Windows of 8 words start at
-every fourth word, so any 5 words in a row lie in one window. Under each of the
-``MASKS`` a window's MinHash is the least of its hashes after an exclusive or
-with the mask; the masks begin with all patterns of four bits, so they look for
-their minima in different parts of the hash range. Each MinHash is a band of one
-row: a window that shares half of its trigrams with a template's window misses
-all 16 bands with a probability below 1e-4. The templates that a band of the
+A text becomes the hashes of its word trigrams. Windows of 10 words start at
+every sixth word, so any 5 words in a row lie in one window. Two MinHashes of a
+window are the least and the greatest of its hashes after an exclusive or with
+a mask; masks and their complements begin with all patterns of four bits, so
+they look for their extremes in different parts of the hash range. Each MinHash
+is a band of one row: a window of 8 trigrams that shares 3 with a template, as
+with the shortest one, misses all 16 bands with a probability of 0.0002 (found by
+trial); longer templates have several windows. The templates that a band of the
 document retrieves are verified: a template is reported if at least
 ``containment`` of its distinct trigrams occur in the text.
 
@@ -25,8 +26,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SHINGLE, WINDOW, STEP = 3, 8, 4
-MASKS = 16
+SHINGLE, WINDOW, STEP = 3, 10, 6
+MASKS = 8  #: each gives two bands
 CONTAINMENT = 0.8
 
 # Notices and permission texts of common licenses.
@@ -52,15 +53,9 @@ TEMPLATES = (
 )
 
 
-def masks(n: int = MASKS) -> list[int]:
-    """64-bit masks: all patterns of the highest bits, and mixed bits below."""
-    out = []
-    top = max(1, (n - 1).bit_length())
-    for i in range(n):
-        low = (i * 0x9E3779B97F4A7C15 + 0x632BE59BD9B4E019) & ((1 << (64 - top)) - 1)
-        value = (i << (64 - top)) | low
-        out.append(value - (1 << 64) if value >= 1 << 63 else value)
-    return out
+def masks() -> list[int]:
+    """64-bit masks: the patterns of the four highest bits that begin with 0, mixed bits below."""
+    return [0] + [(i << 60) | ((i * 0x9E3779B97F4A7C15 + 0x632BE59BD9B4E019) & ((1 << 60) - 1)) for i in range(1, MASKS)]
 
 
 def words_of(text: Column) -> Column:
@@ -74,20 +69,42 @@ def shingles_of(words: Column) -> Column:
     return F.when(F.size(words) >= SHINGLE, hashed).otherwise(F.array().cast("array<bigint>"))
 
 
-def band(hashes: Column, mask: int) -> Column:
-    """Distinct MinHashes of the windows under one mask."""
-    turned = F.transform(hashes, lambda x: x.bitwiseXOR(F.lit(mask)))
-    length = WINDOW - SHINGLE + 1
-    starts = F.sequence(F.lit(1), F.size(hashes), F.lit(STEP))
-    least = F.transform(starts, lambda i: F.array_min(F.slice(turned, i, length)))
-    return F.when(F.size(hashes) > 0, least).otherwise(F.array().cast("array<bigint>"))
+def turn(hashes: Column, mask: int) -> Column:
+    return F.transform(hashes, lambda x: x.bitwiseXOR(F.lit(mask))) if mask else hashes
+
+
+def window_extremes(turned: Column) -> list[Column]:
+    """The least and the greatest hash of each window, given all hashes after one mask."""
+    starts = F.sequence(F.lit(1), F.size(turned), F.lit(STEP))
+    none = F.array().cast("array<bigint>")
+    found = (F.transform(starts, lambda i: pick(F.slice(turned, i, WINDOW - SHINGLE + 1))) for pick in (F.array_min, F.array_max))
+    return [F.when(F.size(turned) > 0, f).otherwise(none) for f in found]
+
+
+def once(df: DataFrame, name: str, value: Column, *others: str) -> DataFrame:
+    """``df`` with a computed column that later steps read as it is.
+
+    Lambdas evaluate the expressions in them for every element, so what they
+    read must be a column. A generator of one row keeps the optimizer from
+    putting the expression back in its place, or a filter below it.
+    """
+    return df.select(*others, F.explode(F.array(value)).alias(name))
+
+
+def banded(texts: DataFrame, *others: str) -> DataFrame:
+    """``others``, ``hashes`` and ``bands`` (two arrays for each mask) of rows with ``text``."""
+    df = once(texts, "words", words_of(F.col("text")), *others)
+    df = once(df, "hashes", shingles_of(F.col("words")), *others)
+    turned = F.struct(*(turn(F.col("hashes"), m).alias(f"m{k}") for k, m in enumerate(masks())))
+    df = once(df, "turned", turned, "hashes", *others)
+    df = df.select("hashes", *others, *(F.col(f"turned.m{k}").alias(f"m{k}") for k in range(MASKS)))
+    return once(df, "bands", F.array(*(b for k in range(MASKS) for b in window_extremes(F.col(f"m{k}")))), "hashes", *others)
 
 
 def template_table(spark, templates=TEMPLATES) -> DataFrame:
     """license, template, shingles and bands of each template."""
     rows = spark.createDataFrame([(a, b, c) for a, b, c in templates], "license string, template string, text string")
-    rows = rows.withColumn("words", words_of(F.col("text"))).withColumn("hashes", shingles_of(F.col("words")))
-    return rows.select("license", "template", F.array_distinct("hashes").alias("shingles"), F.array(*(band(F.col("hashes"), m) for m in masks())).alias("bands"))
+    return banded(rows, "license", "template").select("license", "template", F.array_distinct("hashes").alias("shingles"), "bands")
 
 
 def scan_licences(documents: DataFrame, templates=TEMPLATES, containment: float = CONTAINMENT) -> DataFrame:
@@ -107,13 +124,11 @@ def scan_licences(documents: DataFrame, templates=TEMPLATES, containment: float
             for r in known
         )
     )
-    every = [F.array(*(F.lit(v) for v in sorted({v for r in known for v in r["bands"][k]}))).cast(bigint) for k in range(MASKS)]
-    hashed = documents.select(F.col("doc_id").cast("long").alias("doc_id"), words_of(F.col("text")).alias("words")).select("doc_id", shingles_of(F.col("words")).alias("hashes"))
-    # A generator of one row: later filters are not moved below it, so nothing is computed twice.
-    banded = hashed.select("doc_id", "hashes", F.explode(F.array(F.array(*(band(F.col("hashes"), m) for m in masks())))).alias("bands"))
-    meets = reduce(lambda a, b: a | b, (F.arrays_overlap(F.col("bands")[k], every[k]) for k in range(MASKS)))
-    retrieved = F.filter(literal, lambda t: reduce(lambda a, b: a | b, (F.arrays_overlap(F.col("bands")[k], t["bands"][k]) for k in range(MASKS))))
-    found = banded.where(meets).select("doc_id", F.array_distinct("hashes").alias("hashes"), F.explode(retrieved).alias("t"))
+    every = [F.array(*(F.lit(v) for v in sorted({v for r in known for v in r["bands"][k]}))).cast(bigint) for k in range(2 * MASKS)]
+    rows = banded(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "doc_id")
+    meets = reduce(lambda a, b: a | b, (F.arrays_overlap(F.col("bands")[k], every[k]) for k in range(2 * MASKS)))
+    retrieved = F.filter(literal, lambda t: reduce(lambda a, b: a | b, (F.arrays_overlap(F.col("bands")[k], t["bands"][k]) for k in range(2 * MASKS))))
+    found = rows.where(meets).select("doc_id", F.array_distinct("hashes").alias("hashes"), F.explode(retrieved).alias("t"))
     shared = F.size(F.array_intersect("t.shingles", "hashes")).cast("long")
     total = F.size("t.shingles").cast("long")
     out = found.select("doc_id", "t.license", "t.template", shared.alias("n_matched"), total.alias("n_shingles"))
