@@ -163,11 +163,13 @@ def settle_threads(judged: DataFrame, events: DataFrame) -> DataFrame:
     )
 
 
-def window_reliability(judged: DataFrame, roles: DataFrame, homes: DataFrame, discovery_errors: int = 0) -> DataFrame:
+def window_reliability(judged: DataFrame, roles: DataFrame, homes: DataFrame) -> DataFrame:
     """Per account and window: ``reliable``, ``deferred_files``, ``anchored``.
 
     A thread whose files overlap is deferred once; forks without usable
-    parents one by one; both only if they have usage in the window. The period
+    parents one by one; both only if they have usage in the window. ``homes``:
+    ``home, period_start_nanos`` and ``discovery_errors``, the number of its
+    folders that could not be listed: an account with one is not reliable. The period
     needs an anchor: some counted provider's file touching its first day, or
     no file at all.
     """
@@ -189,7 +191,7 @@ def window_reliability(judged: DataFrame, roles: DataFrame, homes: DataFrame, di
     deferred = by_thread.groupBy(*key).agg(
         F.sum((F.col("_overlap") & F.col("_use")).cast("bigint") + F.col("_orphans")).alias("_deferred")
     )
-    grid = homes.select("home", "period_start_nanos").withColumn(
+    grid = homes.select("home", "period_start_nanos", "discovery_errors").withColumn(
         "window_kind", F.explode(F.array(*[F.lit(w) for w in WINDOWS]))
     )
     df = grid.join(by_file, key, "left").join(deferred, key, "left")
@@ -198,14 +200,15 @@ def window_reliability(judged: DataFrame, roles: DataFrame, homes: DataFrame, di
         "home",
         "window_kind",
         "period_start_nanos",
+        "discovery_errors",
         (F.coalesce("_bad", zero) + F.coalesce("_deferred", zero)).alias("deferred_files"),
         ((F.coalesce("_selected", zero) == 0) | F.coalesce("_anchor", F.lit(False))).alias("anchored"),
     )
-    sound = (F.col("deferred_files") == 0) & F.lit(discovery_errors == 0)
+    sound = (F.col("deferred_files") == 0) & (F.coalesce("discovery_errors", zero) == 0)
     in_period = F.col("anchored") & F.col("period_start_nanos").isNotNull()
     return df.withColumn(
         "reliable", sound & (in_period | (F.col("window_kind") == "today"))
-    ).drop("period_start_nanos")
+    ).drop("period_start_nanos", "discovery_errors")
 
 
 def tallied_buckets(buckets: DataFrame, roles: DataFrame) -> DataFrame:

@@ -82,13 +82,14 @@ def usage_tables(
     tz: str,
     refresh_seconds: int,
     snapshots: DataFrame | None = None,
-    discovery_errors: int = 0,
+    discovery: DataFrame | None = None,
 ) -> UsageTables:
     """Run the usage side of the report.
 
     ``lines``: parsed log lines with ``block``. ``files``: one row per listed
     file (see ``sources.session_logs.file_table``). ``snapshots``: readings
     fetched from the service, merged with those found in the logs.
+    ``discovery``: ``home, errors`` of the log scan.
     """
     today = local_date(now, tz)
     events = settle(token_events(lines).select(*EVENT_COLUMNS))
@@ -110,7 +111,12 @@ def usage_tables(
     buckets = settle(file_buckets(events, scoped, today, tz))
     judged = settle(judge_files(select_files(scoped, buckets, today)))
     roles = settle(settle_threads(judged, events))
-    homes = files.select("home").distinct().join(boundary, "home", "left")
+    homes = files.select("home").distinct()
+    if discovery is None:
+        homes = homes.withColumn("discovery_errors", F.lit(0).cast("bigint"))
+    else:
+        homes = homes.join(discovery.select("home", F.col("errors").alias("discovery_errors")), "home", "full_outer")
+    homes = homes.join(boundary, "home", "left")
     tallied = settle(tallied_buckets(buckets, roles))
     balances = lines.where(F.col("balance").isNotNull() & F.col("ts_nanos").isNotNull()).select(
         *FILE, "block", "line_no", "ts_nanos", "balance"
@@ -121,7 +127,7 @@ def usage_tables(
         status=status,
         judged=judged,
         roles=roles,
-        reliability=settle(window_reliability(judged, roles, homes, discovery_errors)),
+        reliability=settle(window_reliability(judged, roles, homes)),
         totals=window_totals(tallied),
         volumes=settle(window_volumes(tallied)),
         credits=window_credits(balances, scoped, roles, today, tz),
@@ -167,7 +173,7 @@ def _saturated(value: Column, math: CounterMath) -> Column:
     """A rounded DOUBLE as a counter, at most the largest one."""
     if math.wide:
         return math.clamp(value.cast("decimal(38,0)"))
-    return F.least(value, F.lit(9.2e18)).cast("bigint")
+    return F.when(value.isNotNull(), F.coalesce(value.try_cast("bigint"), F.lit(2**63 - 1)))
 
 
 def usage_report(tables: UsageTables, prices: DataFrame, tz: str, style: str = "zh") -> DataFrame:

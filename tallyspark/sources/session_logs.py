@@ -6,6 +6,7 @@ same stage; prompts and other content never leave it and are never stored.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -25,10 +26,27 @@ THREAD_ID = r"(?:^|-)([0-9A-Fa-f]{8}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4
 DATE_FOLDER = r"(?i)(?:^|/)sessions/(\d{4})/(\d{2})/(\d{2})(?:/|$)"
 
 
+#: Names of the two kinds of log folder below a home.
+LOG_FOLDERS = ("sessions", "archived_sessions")
+LISTING = "path string, length bigint, modified_at timestamp, readable boolean"
+
+
 @dataclass
 class SessionLogs:
+    """``discovery``: per home, folders that could not be listed (``home, errors``)."""
+
     lines: DataFrame
     files: DataFrame
+    discovery: DataFrame | None = None
+
+
+@dataclass
+class LogFolders:
+    """Where logs are: folders to read, hidden files among them, and folders that could not be listed."""
+
+    folders: list[str]
+    hidden: list[tuple[str, int, int]]
+    failed: list[str]
 
 
 def thread_id_of(path: Column) -> Column:
@@ -43,17 +61,90 @@ def date_folder_of(path: Column) -> Column:
     return F.when(parts[0] != "", F.concat_ws("-", *parts).try_cast("date"))
 
 
-def list_log_files(spark: SparkSession, root: str) -> DataFrame:
-    """Files by metadata alone: ``home, path, length, modified_at`` and the
-    thread id and date folder in the name. No content is read."""
+def find_log_folders(spark: SparkSession, root: str, homes: list[str] | None = None) -> LogFolders:
+    """The log folders of every home below ``root``, or of the given homes.
+
+    Spark's own listing leaves out names that start with a dot or underscore,
+    which is where these logs are by default. So folders down to the log
+    folders, and hidden ones within them, are found by name here and read as
+    roots of their own; visible contents of a log folder are left to Spark.
+    With very many homes pass them, and no tree is walked to find them.
+    """
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    Path = jvm.org.apache.hadoop.fs.Path
+    top = Path(root)
+    fs = top.getFileSystem(conf)
+    found = LogFolders([], [], [])
+
+    def children(path):
+        try:
+            return list(fs.listStatus(path))
+        except Exception:  # noqa: BLE001  a folder that cannot be listed is reported, not skipped
+            found.failed.append(path.toString())
+            return []
+
+    def hidden_below(folder, depth: int) -> None:
+        """Hidden folders are roots; hidden files no reader of Spark opens."""
+        pattern = _escaped(folder.toString())
+        for level in range(depth + 1):
+            try:
+                statuses = fs.globStatus(Path(pattern + "/*" * level + "/{.*,_*}"))
+            except Exception:  # noqa: BLE001
+                found.failed.append(folder.toString())
+                return
+            for status in statuses or []:
+                if status.isDirectory() and level < depth:
+                    found.folders.append(status.getPath().toString())
+                elif status.isFile() and status.getPath().getName().endswith(".jsonl"):
+                    found.hidden.append((status.getPath().toString(), status.getLen(), status.getModificationTime()))
+
+    waiting = [Path(h) for h in homes] if homes is not None else [top]
+    while waiting:
+        for status in children(waiting.pop()):
+            if not status.isDirectory():
+                continue
+            if status.getPath().getName() in LOG_FOLDERS:
+                found.folders.append(status.getPath().toString())
+                hidden_below(status.getPath(), 3 if status.getPath().getName() == "sessions" else 0)
+            elif homes is None:
+                waiting.append(status.getPath())
+    if homes is None and fs.exists(top) and top.getName() in LOG_FOLDERS:
+        found.folders.append(top.toString())
+        hidden_below(top, 3 if top.getName() == "sessions" else 0)
+    return found
+
+
+def _escaped(path: str) -> str:
+    """A path whose glob characters stand for themselves."""
+    return re.sub(r"([\[\]{}*?\\])", r"\\\1", path)
+
+
+def plain_path(encoded: Column) -> Column:
+    """The path that a percent-encoded file URI stands for; a plus sign is one."""
+    return F.url_decode(F.replace(encoded, F.lit("+"), F.lit("%2B")))
+
+
+def list_log_files(spark: SparkSession, root: str, where: LogFolders | None = None) -> DataFrame:
+    """Files by metadata alone: ``home, path, length, modified_at``, whether
+    they can be read, and the thread id and date folder in the name. No content
+    is read."""
+    where = where or find_log_folders(spark, root)
+    hidden = spark.createDataFrame(where.hidden, "path string, length bigint, millis bigint").select(
+        "path", "length", F.timestamp_millis("millis").alias("modified_at"), F.lit(False).alias("readable")
+    )
+    if not where.folders:
+        return _named(hidden)
     listed = (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", "true")
         .option("pathGlobFilter", "*.jsonl")
-        .load(root)
-        .select("path", "length", F.col("modificationTime").alias("modified_at"))
+        .load([_escaped(f) for f in where.folders])
+        .select(
+            plain_path(F.col("_metadata.file_path")).alias("path"), "length",
+            F.col("modificationTime").alias("modified_at"), F.lit(True).alias("readable"),
+        )
     )
-    return _named(listed.where(F.col("path").rlike(LOG_PATH)))
+    return _named(listed.where(F.col("path").rlike(LOG_PATH)).union(hidden))
 
 
 def _named(df: DataFrame) -> DataFrame:
@@ -65,29 +156,33 @@ def _named(df: DataFrame) -> DataFrame:
     )
 
 
-def read_raw_lines(spark: SparkSession, root: str, since: Column | None = None) -> DataFrame:
+def read_raw_lines(
+    spark: SparkSession, root: str, since: Column | None = None, where: LogFolders | None = None
+) -> DataFrame:
     """Log text with its place: file, split start and row order in the split.
 
-    ``since`` keeps files written at or after that time; the condition is on
-    file metadata, so older files are not opened.
+    ``since`` keeps files written at or after that time. Both conditions are on
+    file metadata and stand below the row numbers, so other files are not opened.
     """
+    where = where or find_log_folders(spark, root)
+    place = "value string, path string, file_size bigint, block bigint, _seq bigint"
+    if not where.folders:
+        return spark.createDataFrame([], place)
     text = (
         spark.read.option("recursiveFileLookup", "true")
         .option("pathGlobFilter", "*.jsonl")
         .option("lineSep", "\n")
-        .text(root)
+        .text([_escaped(f) for f in where.folders])
+        .where(F.col("_metadata.file_path").rlike(LOG_PATH))
     )
     if since is not None:
         text = text.where(F.col("_metadata.file_modification_time") >= since)
-    return (
-        text.select(
-            "value",
-            F.col("_metadata.file_path").alias("path"),
-            F.col("_metadata.file_size").alias("file_size"),
-            F.col("_metadata.file_block_start").alias("block"),
-            F.monotonically_increasing_id().alias("_seq"),
-        )
-        .where(F.col("path").rlike(LOG_PATH))
+    return text.select(
+        "value",
+        plain_path(F.col("_metadata.file_path")).alias("path"),
+        F.col("_metadata.file_size").alias("file_size"),
+        F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("_seq"),
     )
 
 
@@ -244,12 +339,26 @@ def _root(payload: Column) -> Column:
     )
 
 
-def load_session_logs(spark: SparkSession, root: str, tz: str) -> SessionLogs:
-    """Parse every log below ``root`` into lines and a file table."""
-    listed = list_log_files(spark, root)
+def load_session_logs(spark: SparkSession, root: str, tz: str, homes: list[str] | None = None) -> SessionLogs:
+    """Parse every log below ``root`` (or of the given homes) into lines and a file table."""
+    where = find_log_folders(spark, root, homes)
+    listed = list_log_files(spark, root, where)
     # One pass over the text; non-usage lines keep their length and nothing else.
-    index = settle(parse_text(read_raw_lines(spark, root)))
-    return from_index(index, listed, tz)
+    index = settle(parse_text(read_raw_lines(spark, root, where=where)))
+    logs = from_index(index, listed, tz)
+    logs.discovery = discovery_errors(spark, where)
+    return logs
+
+
+def discovery_errors(spark: SparkSession, where: LogFolders) -> DataFrame:
+    """``home, errors``: folders that could not be listed.
+
+    A folder outside a log folder stands for a home of its own, so that what
+    lies below it has a row that says it is unknown.
+    """
+    inside = rf"^(.*)/(?:{'|'.join(LOG_FOLDERS)})(?:/.*)?$"
+    rows = [((m[1] if (m := re.match(inside, f)) else f), 1) for f in where.failed]
+    return spark.createDataFrame(rows, "home string, errors bigint").groupBy("home").agg(F.sum("errors").alias("errors"))
 
 
 def from_index(index: DataFrame, listed: DataFrame, tz: str) -> SessionLogs:
@@ -275,6 +384,10 @@ def from_index(index: DataFrame, listed: DataFrame, tz: str) -> SessionLogs:
         "is_token", (F.col("kind") == "token") & (F.col("total").isNotNull() | F.col("last").isNotNull())
     ).withColumn("is_token", F.coalesce("is_token", F.lit(False)))
     lines = settle(numbered.drop("_seq", "n_bytes", "file_size", "is_empty"))
+    read = sizes.select("path", F.lit(True).alias("_read"))
+    listed = listed.join(read, "path", "left")
+    # A file that has bytes and gave no line was listed, but not read.
+    listed = listed.withColumn("unread", ~F.col("readable") | ((F.col("length") > 0) & F.col("_read").isNull())).drop("_read")
     return SessionLogs(lines=lines.where("is_marked and not is_broken"), files=file_table(lines, listed, tz))
 
 
@@ -310,7 +423,7 @@ def file_table(lines: DataFrame, listed: DataFrame, tz: str) -> DataFrame:
         F.coalesce("token_without_timestamp", false).alias("token_without_timestamp"),
         F.coalesce("parse_errors", F.lit(0)).alias("parse_errors"),
         false.alias("compacted"),
-        false.alias("unread"),
+        F.coalesce("unread", false).alias("unread"),
         "partition_date",
         local_date(F.unix_micros("modified_at") * 1000, tz).alias("modified_date"),
         "last_line_ts",

@@ -10,8 +10,8 @@ from pathlib import Path
 from tallyspark.fixed_values import USAGE_LIMIT_ID
 
 BASE = datetime(2026, 8, 10, 12, 0, tzinfo=UTC)
-PARENT = "11111111-1111-4111-8111-111111111111"
-CHILD = "22222222-2222-4222-8222-222222222222"
+PARENT = "2d9c4f10-7b3e-4a52-9c61-0f8a5e1d7b34"
+CHILD = "6e01b8a3-5c24-4d97-8f1b-93ac7d2e4f60"
 
 
 def at(seconds: float) -> str:
@@ -36,12 +36,9 @@ def settings(seconds, **body):
     return {"timestamp": at(seconds), "type": "event_msg", "payload": payload}
 
 
-def total_of(n):
-    return {"input_tokens": n - 10, "output_tokens": 10, "total_tokens": n}
-
-
-def last_of(n):
-    return {"input_tokens": n - 1, "output_tokens": 1, "total_tokens": n}
+def counters(n):
+    """A fifth of the tokens is output."""
+    return {"input_tokens": n - n // 5, "output_tokens": n // 5, "total_tokens": n}
 
 
 def usage(seconds, total=None, last=None, source=USAGE_LIMIT_ID, primary=None, secondary=None, balance=None, info=True):
@@ -49,9 +46,9 @@ def usage(seconds, total=None, last=None, source=USAGE_LIMIT_ID, primary=None, s
     if info:
         body["info"] = {}
         if total is not None:
-            body["info"]["total_token_usage"] = total if isinstance(total, dict) else total_of(total)
+            body["info"]["total_token_usage"] = total if isinstance(total, dict) else counters(total)
         if last is not None:
-            body["info"]["last_token_usage"] = last if isinstance(last, dict) else last_of(last)
+            body["info"]["last_token_usage"] = last if isinstance(last, dict) else counters(last)
     if source is not None:
         limits = {"limit_id": source}
         if primary is not None:

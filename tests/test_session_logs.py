@@ -38,7 +38,7 @@ CASES = {
 def test_deltas(spark):
     """All cases as files of one home: one run, one thread per case."""
     home = Home()
-    ids = {name: f"{i:08d}-1111-4111-8111-111111111111" for i, name in enumerate(CASES)}
+    ids = {name: f"{i:08d}-4c5e-4f00-9ab1-7d6e5f4c3b2a" for i, name in enumerate(CASES)}
     for name, (records, _) in CASES.items():
         home.write(records, thread=ids[name])
     _, events = run(spark, home)
@@ -111,7 +111,7 @@ def test_bad_lines_and_health(spark):
     home.write([meta(0, CHILD), '{"cut": "token_count"', b'\xff"token_count"'], thread=CHILD)
     record = usage(1, 50, 50)
     del record["timestamp"]
-    third = "33333333-3333-4333-8333-333333333333"
+    third = "b7405d2c-1e8f-4c6a-a0d3-58e2f9176c4b"
     home.write([meta(0, third), record], thread=third)
     logs, _ = run(spark, home)
     rows = {r.thread_id: r for r in logs.files.collect()}
@@ -123,7 +123,7 @@ def test_bad_lines_and_health(spark):
 
 def test_roots(spark):
     home = Home()
-    ids = [f"{i}{i}{i}{i}{i}{i}{i}{i}-1111-4111-8111-111111111111" for i in range(3, 8)]
+    ids = [f"{i}{i}{i}{i}{i}{i}{i}{i}-4c5e-4f00-9ab1-7d6e5f4c3b2a" for i in range(3, 8)]
     home.write([meta(0, ids[0], forked_from_id=PARENT), meta(1, ids[0], provider="x")], thread=ids[0])
     home.write([meta(0, ids[1], forked_from_id=PARENT, parent_thread_id=CHILD)], thread=ids[1])
     home.write([meta(0, "other-id")], thread=ids[2])
@@ -222,3 +222,39 @@ def test_splits_keep_file_order(spark):
         assert pieces.agg(F.sum("delta_total"), F.count_if("overflow")).collect()[0] == expected
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_homes_that_listings_skip_or_encode(spark):
+    """Dot and underscore folders, spaces, percent and glob signs: no account vanishes, all count alike."""
+    top = Home()
+    names = ["plain", "john doe", "ann/.codex", "_svc", "50% off", "a+b", "x[1]{2}", "größe", ".deep/_er/home"]
+    for name in names:
+        sub = Home()
+        sub.root = top.root / name
+        sub.write([meta(0), usage(1, 100, 100)])
+    odd = Home()
+    odd.root = top.root / "odd"
+    seen = odd.write([meta(0), usage(1, 100, 100)], day="2026/08/.11")
+    hidden = seen.with_name(".hidden.jsonl")
+    seen.parent.joinpath(hidden.name).write_bytes(seen.read_bytes())
+    logs = load_session_logs(spark, str(top.root), "UTC")
+    files = {(r.home.split(top.root.name + "/")[1], r.path.rsplit("/", 1)[1][0] == "."): r for r in logs.files.collect()}
+    assert {h for h, _ in files} == {*names, "odd"}
+    assert all(r.has_root and not r.unread for (_, is_hidden), r in files.items() if not is_hidden)
+    # No reader of Spark opens a hidden file: it is listed and said to be unread.
+    assert files[("odd", True)].unread and not files[("odd", True)].has_root
+    sums = {r.home.split(top.root.name + "/")[1]: r.n for r in token_events(logs.lines).groupBy("home").agg(F.sum("delta_total").alias("n")).collect()}
+    assert {h: int(n) for h, n in sums.items()} == {h: 100 for h in [*names, "odd"]}
+    assert logs.discovery.count() == 0
+    only = load_session_logs(spark, str(top.root), "UTC", homes=[str(top.root / "john doe")])
+    assert [r.home.rsplit("/", 1)[1] for r in only.files.collect()] == ["john doe"]
+
+
+def test_unlisted_folders_and_empty_roots(spark, tmp_path):
+    from tallyspark.sources.session_logs import LogFolders, discovery_errors
+
+    failed = LogFolders([], [], ["/logs/ann/sessions/2026", "/logs/ann/sessions/2027", "/logs/bob"])
+    got = {(r.home, r.errors) for r in discovery_errors(spark, failed).collect()}
+    assert got == {("/logs/ann", 2), ("/logs/bob", 1)}
+    logs = load_session_logs(spark, str(tmp_path), "UTC")
+    assert logs.files.count() == 0 and logs.lines.count() == 0

@@ -14,7 +14,7 @@ from tallyspark.sources.session_logs import load_session_logs
 from tests.logs import BASE, CHILD, PARENT, Home, meta, model, nanos, settings, usage
 
 DAY = 86_400
-OTHER = "33333333-3333-4333-8333-333333333333"
+OTHER = "b7405d2c-1e8f-4c6a-a0d3-58e2f9176c4b"
 DEFAULT_START = -3_600
 
 
