@@ -148,14 +148,17 @@ def fold_neighbours(
 
 def join_dimension(
     facts: DataFrame, dim: DataFrame, on: Sequence[str], spread_by: Sequence[str], how: str = "left",
-    copies: int = 16,
+    copies: int | None = None,
 ) -> DataFrame:
     """Join a per-key dimension to facts whose keys may be hot.
 
     The dimension is repeated ``copies`` times and facts pick a copy by the
-    hash of ``spread_by``, so one hot key meets ``copies`` tasks. Whether the
+    hash of ``spread_by``, so one hot key meets ``copies`` tasks; by default a
+    quarter of the shuffle partitions, which are sized to the data. Whether the
     dimension is broadcast instead is left to the run-time size check of AQE.
     """
+    if copies is None:
+        copies = max(16, int(facts.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 4)
     salted_facts = facts.withColumn("_salt", F.pmod(F.xxhash64(*spread_by), F.lit(copies)))
     salted_dim = dim.withColumn(
         "_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(copies - 1).cast("bigint")))

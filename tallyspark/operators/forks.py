@@ -33,14 +33,15 @@ from tallyspark.session import settle
 FORK = ("home", "fork")
 
 
-def ancestor_closure(edges: DataFrame, start: DataFrame, max_rounds: int = 64) -> DataFrame:
+def ancestor_closure(edges: DataFrame, start: DataFrame) -> DataFrame:
     """All (home, thread, ancestor) pairs reachable over parent edges.
 
     ``edges``: ``home, thread, parent``; ``start``: ``home, thread``. Paths
-    double in every round, so chains of length n need log2(n) rounds.
+    double in every round, so chains of length n need log2(n) rounds;
+    rounds go on until one finds nothing new.
     """
     reach = settle(edges.select("home", "thread", F.col("parent").alias("ancestor")).distinct())
-    for _ in range(max_rounds):
+    while True:
         onward = reach.select("home", F.col("thread").alias("ancestor"), F.col("ancestor").alias("_next"))
         longer = (
             reach.join(onward, ["home", "ancestor"])

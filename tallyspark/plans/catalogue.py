@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,6 +22,7 @@ from tallyspark.operators.quota import (
 from tallyspark.operators.blocks import dense_positions, join_dimension
 from tallyspark.operators.deltas import DELTAS
 from tallyspark.operators.timeline import token_events
+from tallyspark.operators.watching import find_alerts
 from tallyspark.operators.usage import cache_hit_rate, hit_rate_tenths, usage_volumes
 from tallyspark.operators.windows import local_date
 from tallyspark.plans.parameters import AS_OF_SPARK, NEWER_PRICE_ROWS, PRICE_ROWS, REFRESH_SECONDS, TZ
@@ -37,7 +37,7 @@ from tallyspark.plans.usage_report import (
     usage_tables,
     window_report,
 )
-from tallyspark.session import configure, ensure_checkpoint_dir, settle, write_settled
+from tallyspark.session import configure, scratch_folder, settle, write_settled
 from tallyspark.sources.derived_inputs import log_text, response_rows, sheet_rows
 from tallyspark.sources.event_feed import SPLIT_DAY, event_files, event_lines, nanos_literal
 from tallyspark.sources.manifest import manifest_diff
@@ -55,12 +55,17 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
 
-def query(function: Query) -> Query:
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return function(configure(spark), sf_dir)
+def query(name: str) -> Callable[[Query], Query]:
+    """Register a function under a name."""
 
-    QUERIES[function.__name__] = run
-    return function
+    def register(function: Query) -> Query:
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            return function(configure(spark), sf_dir)
+
+        QUERIES[name] = run
+        return function
+
+    return register
 
 
 def now() -> F.Column:
@@ -90,19 +95,19 @@ def _split(events: DataFrame, *keys: str) -> DataFrame:
     )
 
 
-@query
+@query("model_carry_forward")
 def model_carry_forward(spark, sf_dir):
     return carry_settings(event_lines(spark, sf_dir)).select("home", "path", "line_no", "model")
 
 
-@query
+@query("tier_carry_forward")
 def tier_carry_forward(spark, sf_dir):
     return carry_settings(event_lines(spark, sf_dir)).select(
         "home", "path", "line_no", "tier_kind", "tier_text"
     )
 
 
-@query
+@query("token_deltas")
 def token_deltas(spark, sf_dir):
     return _events(spark, sf_dir).select(
         "home", "path", "line_no", "is_duplicate", "is_stale",
@@ -110,7 +115,7 @@ def token_deltas(spark, sf_dir):
     )
 
 
-@query
+@query("dedupe_audit")
 def dedupe_audit(spark, sf_dir):
     return _events(spark, sf_dir).groupBy("home", "path").agg(
         F.count(F.lit(1)).alias("events"),
@@ -119,20 +124,17 @@ def dedupe_audit(spark, sf_dir):
     )
 
 
-@query
+@query("usage_volumes")
 def usage_volumes_by_home(spark, sf_dir):
     return usage_volumes(_events(spark, sf_dir), ["home"])
 
 
-QUERIES["usage_volumes"] = QUERIES.pop("usage_volumes_by_home")
-
-
-@query
+@query("overflow_split")
 def overflow_split(spark, sf_dir):
     return _split(_events(spark, sf_dir), "home")
 
 
-@query
+@query("credits_debits")
 def credits_debits_by_home(spark, sf_dir):
     balances = (
         event_lines(spark, sf_dir)
@@ -144,10 +146,7 @@ def credits_debits_by_home(spark, sf_dir):
     )
 
 
-QUERIES["credits_debits"] = QUERIES.pop("credits_debits_by_home")
-
-
-@query
+@query("latest_quota")
 def latest_quota_by_home(spark, sf_dir):
     newest = latest_quota(rate_limit_observations(event_lines(spark, sf_dir)))
     return newest.select(
@@ -159,10 +158,7 @@ def latest_quota_by_home(spark, sf_dir):
     )
 
 
-QUERIES["latest_quota"] = QUERIES.pop("latest_quota_by_home")
-
-
-@query
+@query("quota_status")
 def quota_status_by_home(spark, sf_dir):
     return _status(event_lines(spark, sf_dir)).select(
         "home", "stale", "short_remaining", "long_remaining", "short_state", "long_state",
@@ -170,10 +166,7 @@ def quota_status_by_home(spark, sf_dir):
     )
 
 
-QUERIES["quota_status"] = QUERIES.pop("quota_status_by_home")
-
-
-@query
+@query("today_usage")
 def today_usage(spark, sf_dir):
     today = F.date_format(local_date(now(), TZ), "yyyy-MM-dd")
     events = _events(spark, sf_dir)
@@ -181,7 +174,7 @@ def today_usage(spark, sf_dir):
     return _split(events.where(on_day), "home").drop("capped_events")
 
 
-@query
+@query("period_usage")
 def period_usage(spark, sf_dir):
     lines = event_lines(spark, sf_dir)
     start = period_boundary(_status(lines)).select("home", "period_start_nanos")
@@ -191,15 +184,12 @@ def period_usage(spark, sf_dir):
     return _split(inside, "home", "period_start_nanos").drop("capped_events")
 
 
-@query
+@query("cache_hit_rate")
 def cache_hit_rate_by_home(spark, sf_dir):
     return cache_hit_rate(usage_volumes(_events(spark, sf_dir), ["home"]), ["home"])
 
 
-QUERIES["cache_hit_rate"] = QUERIES.pop("cache_hit_rate_by_home")
-
-
-@query
+@query("priced_volumes")
 def priced_volumes(spark, sf_dir):
     volumes = usage_volumes(_events(spark, sf_dir), ["home"])
     return price_volumes(volumes, _prices(spark)).select(
@@ -208,22 +198,19 @@ def priced_volumes(spark, sf_dir):
     )
 
 
-@query
+@query("priced_cost")
 def priced_cost(spark, sf_dir):
     volumes = usage_volumes(_events(spark, sf_dir), ["home"])
     costs = strict_cost(price_volumes(volumes, _prices(spark)), ["home", "model"])
     return costs.withColumn("cost", F.round("cost", 4))
 
 
-@query
+@query("price_issues")
 def price_issues_by_home(spark, sf_dir):
     volumes = usage_volumes(_events(spark, sf_dir), ["home"])
     return price_issues(price_volumes(volumes, _prices(spark)), ["home"])
 
 
-QUERIES["price_issues"] = QUERIES.pop("price_issues_by_home")
-
-
 def _thread_inputs(spark, sf_dir):
     lines = event_lines(spark, sf_dir, variants=True)
     events = settle(token_events(lines).select(*EVENT_COLUMNS))
@@ -235,13 +222,13 @@ def _thread_inputs(spark, sf_dir):
     return lines, events, files
 
 
-@query
+@query("copy_collapse")
 def copy_collapse(spark, sf_dir):
     _, events, files = _thread_inputs(spark, sf_dir)
     return mark_copies(files, events, ("home", "thread_id")).select("home", "thread_id", "path", "n_events", "is_copy")
 
 
-@query
+@query("resume_chains")
 def resume_chains(spark, sf_dir):
     _, events, files = _thread_inputs(spark, sf_dir)
     resolved = resolve_threads(files, events, ("home", "thread_id"))
@@ -250,7 +237,7 @@ def resume_chains(spark, sf_dir):
     )
 
 
-@query
+@query("fork_replay")
 def fork_replay(spark, sf_dir):
     _, events, files = _thread_inputs(spark, sf_dir)
     children = files.where(F.col("parent_kind") == "parent").select("home", "path", "parent_id", "root_ts")
@@ -266,7 +253,7 @@ def _tables(spark, sf_dir) -> UsageTables:
     return usage_tables(lines, event_files(lines), now(), TZ, REFRESH_SECONDS)
 
 
-@query
+@query("window_usage")
 def window_usage(spark, sf_dir):
     report = window_report(_tables(spark, sf_dir), _prices(spark))
     return report.select(
@@ -275,7 +262,7 @@ def window_usage(spark, sf_dir):
     )
 
 
-@query
+@query("usage_report")
 def usage_report_by_home(spark, sf_dir):
     report = usage_report(_tables(spark, sf_dir), _prices(spark), TZ)
     return report.select(
@@ -285,10 +272,7 @@ def usage_report_by_home(spark, sf_dir):
     )
 
 
-QUERIES["usage_report"] = QUERIES.pop("usage_report_by_home")
-
-
-@query
+@query("ancestor_closure")
 def ancestor_closure_by_thread(spark, sf_dir):
     """Parent chains: each thread's parent is the one with half its number."""
     lines = event_lines(spark, sf_dir)
@@ -299,10 +283,7 @@ def ancestor_closure_by_thread(spark, sf_dir):
     return ancestor_closure(edges, edges).select("thread", "ancestor")
 
 
-QUERIES["ancestor_closure"] = QUERIES.pop("ancestor_closure_by_thread")
-
-
-@query
+@query("history_compaction")
 def history_compaction(spark, sf_dir):
     lines = event_lines(spark, sf_dir, variants=True)
     events = settle(carry_settings(lines).where("is_token"))
@@ -320,25 +301,19 @@ def _observations(spark, sf_dir):
     return rate_limit_observations(lines).withColumn("account_id", signed_in)
 
 
-@query
+@query("reset_events")
 def reset_events_by_home(spark, sf_dir):
     found = reset_events(_observations(spark, sf_dir), REFRESH_SECONDS)
     return found.select("home", "ts_nanos", "line_no", "window", "resets_at", "remaining")
 
 
-QUERIES["reset_events"] = QUERIES.pop("reset_events_by_home")
-
-
-@query
+@query("early_restores")
 def early_restores_by_home(spark, sf_dir):
     found = early_restores(_observations(spark, sf_dir), REFRESH_SECONDS)
     return found.select("home", "ts_nanos", "line_no", "window", "resets_at", "remaining")
 
 
-QUERIES["early_restores"] = QUERIES.pop("early_restores_by_home")
-
-
-@query
+@query("overflow_alerts")
 def overflow_alerts_by_home(spark, sf_dir):
     readings = (
         event_lines(spark, sf_dir)
@@ -349,10 +324,28 @@ def overflow_alerts_by_home(spark, sf_dir):
     return found.withColumn("credits", F.round("credits", 4))
 
 
-QUERIES["overflow_alerts"] = QUERIES.pop("overflow_alerts_by_home")
+@query("watch_alerts")
+def watched_alerts(spark, sf_dir):
+    """The full alert rules over looks that come late, of switching accounts and limits."""
+    line = F.col("line_no")
+    windows = {
+        f"{side}_{name}": F.col(f"{side}.{field}") * (60 if name == "seconds" else 1)
+        for side in ("primary", "secondary")
+        for name, field in (("used", "used_percent"), ("seconds", "window_minutes"), ("resets_at", "resets_at"))
+    }
+    looks = rate_limit_observations(event_lines(spark, sf_dir)).select(
+        "home",
+        (F.col("ts_nanos") + (line % 4) * 60_000_000_000 + line).alias("observed_nanos"),
+        F.col("ts_nanos").alias("received"),
+        F.when(line % 3 != 0, F.concat(F.lit("account-"), F.expr("line_no div 40 % 2"))).alias("account"),
+        F.when(line % 60 < 55, "usage").otherwise("other").alias("limit"),
+        *[c.alias(n) for n, c in windows.items()],
+        F.when(line % 5 != 4, (line % 4) * 0.125).alias("overflow_credits"),
+    )
+    return find_alerts(looks, REFRESH_SECONDS)
 
 
-@query
+@query("manifest_diff")
 def manifest_diff_by_file(spark, sf_dir):
     """Yesterday's manifest against today's listing, both taken from the logs."""
     lines = event_lines(spark, sf_dir)
@@ -374,10 +367,7 @@ def manifest_diff_by_file(spark, sf_dir):
     return manifest_diff(listing, stored)
 
 
-QUERIES["manifest_diff"] = QUERIES.pop("manifest_diff_by_file")
-
-
-@query
+@query("price_gap_lifecycle")
 def price_gap_lifecycle(spark, sf_dir):
     """Gaps of the first half followed into the second, with a newer sheet."""
     split = F.expr(nanos_literal(SPLIT_DAY, "spark"))
@@ -396,7 +386,7 @@ def price_gap_lifecycle(spark, sf_dir):
     return follow_gaps(state, current, newer, now()).select(*GAP, "event", "gave_up", "open")
 
 
-@query
+@query("display_texts")
 def display_texts(spark, sf_dir):
     """Every report text over the usage of each account and day."""
     events = event_lines(spark, sf_dir).where("is_token")
@@ -418,7 +408,7 @@ def display_texts(spark, sf_dir):
     )
 
 
-@query
+@query("log_line_fields")
 def log_line_fields(spark, sf_dir):
     """Usage fields read back from JSON log text."""
     parsed = parse_text(settle(log_text(spark, sf_dir))).where("is_marked")
@@ -432,7 +422,7 @@ def log_line_fields(spark, sf_dir):
     )
 
 
-@query
+@query("rate_limit_responses")
 def rate_limit_responses(spark, sf_dir):
     snapshots, _ = parse_rate_limits(response_rows(spark, sf_dir))
     return snapshots.select(
@@ -441,13 +431,13 @@ def rate_limit_responses(spark, sf_dir):
     )
 
 
-@query
+@query("rate_limit_rejects")
 def rate_limit_rejects(spark, sf_dir):
     _, rejects = parse_rate_limits(response_rows(spark, sf_dir))
     return rejects.groupBy("home", "reason").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query
+@query("price_sheet_rows")
 def price_sheet_rows(spark, sf_dir):
     prices, _ = parse_price_sheets(sheet_rows(spark, sf_dir))
     return prices.select(
@@ -457,31 +447,29 @@ def price_sheet_rows(spark, sf_dir):
     )
 
 
-@query
+@query("price_sheet_faults")
 def price_sheet_faults(spark, sf_dir):
     _, faults = parse_price_sheets(sheet_rows(spark, sf_dir))
     return faults
 
 
-@query
+@query("run_diagnostics")
 def run_diagnostics_by_home(spark, sf_dir):
     return run_diagnostics(_tables(spark, sf_dir))
 
 
-QUERIES["run_diagnostics"] = QUERIES.pop("run_diagnostics_by_home")
-
-
-@query
+@query("streamed_deltas")
 def streamed_deltas(spark, sf_dir):
     """The incremental parser over the whole table as a stream, in segments."""
     lines = event_lines(spark, sf_dir)
     numbered = dense_positions(lines, ["home", "path"]).withColumn("event_line", F.col("line_no")).withColumn("line_no", F.col("idx"))
     place = settle(numbered.select("path", "line_no", "event_line"))
-    source = stream_lines(numbered).repartition(4, "line_no")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    source = stream_lines(numbered).repartition(parts, "line_no")
     configure_streaming(spark)
     segments = write_settled(source)
-    incoming = spark.readStream.schema(source.schema).option("maxFilesPerTrigger", 2).parquet(segments)
-    target = f"{ensure_checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
+    incoming = spark.readStream.schema(source.schema).option("maxFilesPerTrigger", max(2, parts // 2)).parquet(segments)
+    target = scratch_folder(spark, "stream")
     run = (
         process_lines(incoming).writeStream.format("parquet").option("checkpointLocation", f"{target}/state")
         .outputMode("append").trigger(availableNow=True).start(f"{target}/out")

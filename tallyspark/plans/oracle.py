@@ -512,6 +512,55 @@ select home, ts_nanos, line_no, 'long', long_resets, greatest(0.0, least(100.0,
 from live where abs(long_resets - (prev_long_resets + 604800)) > 60480 and long_resets > ts_nanos // 1000000000
   and prev_long between 0 and 100 and long_used between 0 and 1 and prev_long - long_used >= 5 and long_resets >= prev_long_resets"""
 
+# The full rules: jittered looks, late records, account and limit switches.
+LOOKS = f"""looks as (
+  select home, ts_nanos as received, ts_nanos + (line_no % 4) * 60000000000 + line_no as observed, blocked,
+    case when line_no % 3 <> 0 then 'account-' || (line_no // 40 % 2) end as account, case when line_no % 60 < 55 then 'usage' else 'other' end as lim,
+    short_used, short_resets, long_used, long_resets, case when line_no % 5 <> 4 then (line_no % 4) * 0.125 end as credits from obs)"""
+_EARLIER = "partition by home order by observed, received rows between unbounded preceding and 1 preceding"
+
+
+def _reset_rows(role: str, seconds: int) -> str:
+    drift = seconds // 10
+    return f"""select home, observed as observed_nanos, 'reset' as kind, {seconds} as seconds, greatest(0.0, least(100.0, 100.0 - {role}_used)) as value
+  from runs where not coalesce(blind, false) and not full_up and (
+    (lim = led.lim and received - led.received between 1 and {BLIND} and observed - received between 0 and {BLIND} and not other
+      and abs({role}_resets - last_{role} - {seconds}) <= {drift})
+    or (lim = sig.lim and account = sig.account and received - sig.received between 1 and {BLIND} and observed - received between 0 and {BLIND}
+      and abs({role}_resets - sig.{role}_resets - {seconds}) > {drift} and {role}_resets > observed / 1e9 and sig.{role}_used between 0 and 100
+      and {role}_used between 0 and 1 and sig.{role}_used - {role}_used >= 5 and {role}_resets >= sig.{role}_resets))"""
+
+
+SQL["watch_alerts"] = f"""with {LINES_PLAIN}, {READINGS}, {LOOKS}, tops as (
+  select *, lag(observed) over w as seen, lag(long_resets) over w as period_before, max(received) over b as top,
+    max(case when account is not null then received end) over b as signed_top
+  from looks window w as (partition by home order by observed, received), b as ({_EARLIER})),
+led_by as (
+  select *, coalesce(received >= top, true) as leads, account is not null and coalesce(received > signed_top, true) as signs,
+    (short_resets > observed / 1e9 and short_used >= 100) or (long_resets > observed / 1e9 and long_used >= 100) as full_up,
+    {{'received': received, 'lim': lim, 'account': account, 'short_used': short_used, 'short_resets': short_resets,
+      'long_used': long_used, 'long_resets': long_resets}} as reading from tops),
+known as (
+  select *, last_value(case when leads then reading end ignore nulls) over b as led, last_value(case when signs then reading end ignore nulls) over b as sig,
+    last_value(case when leads then account end ignore nulls) over b as owner
+  from led_by window b as ({_EARLIER})),
+flags as (
+  select *, coalesce(account <> owner, false) as other, coalesce(observed - seen > {BLIND}, false) as blind, observed - received > {BLIND} as stale from known),
+numbered as (
+  select *, sum(case when leads and (other or coalesce(lim <> led.lim, false)) then 1 else 0 end) over u as run,
+    sum(case when blind or stale or long_resets is distinct from period_before then 1 else 0 end) over u as stretch
+  from flags window u as (partition by home order by observed, received rows between unbounded preceding and current row)),
+runs as (
+  select *, max(case when leads then short_resets end) over r as last_short, max(case when leads then long_resets end) over r as last_long,
+    max(case when not stale and credits < 0.25 then 1 else 0 end) over (
+      partition by home, stretch order by observed, received rows between unbounded preceding and 1 preceding) as armed
+  from numbered window r as (partition by home, run order by observed, received rows between unbounded preceding and 1 preceding)),
+fired as (
+  select *, row_number() over (partition by home, long_resets order by observed, received) as rn from runs where not stale and credits >= 0.25 and armed = 1)
+{_reset_rows("short", 18000)}
+union all {_reset_rows("long", 604800)}
+union all select home, observed, 'overflow', 604800, credits from fired where rn = 1"""
+
 SQL["overflow_alerts"] = f"""with {LINES_PLAIN}, seq as (
   select home, ts_nanos, path, line_no, secondary_resets_at as period, balance, lag(balance) over w as prev,
     lag(secondary_resets_at) over w as prev_period, lag(ts_nanos) over w as prev_ts

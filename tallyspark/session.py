@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -29,22 +28,54 @@ def configure(spark: SparkSession) -> SparkSession:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the folder the cluster names; make one only when none is set."""
+    """The folder for intermediate results, shared by driver and executors.
+
+    It is the one the cluster names in ``spark.checkpoint.dir``. A session that
+    runs in one process on a local master may use the JVM's temp folder; on a
+    cluster that would be another folder on each machine, so there an unset
+    folder is an error.
+    """
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
-        "spark.checkpoint.dir"
-    )
-    # Only a local test session gets here without a configured folder.
-    folder = named or tempfile.mkdtemp(prefix="tallyspark-checkpoint-")
-    spark.sparkContext.setCheckpointDir(folder)
-    return folder
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not named:
+        if not is_one_process(spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        named = f"{spark._jvm.System.getProperty('java.io.tmpdir')}/tallyspark-{spark.sparkContext.applicationId}"
+    spark.sparkContext.setCheckpointDir(named)
+    return named
+
+
+def is_one_process(master: str) -> bool:
+    return master == "local" or master.startswith("local[")
+
+
+#: What this process has written and may discard.
+_written: set[str] = set()
+
+
+def scratch_folder(spark: SparkSession, kind: str) -> str:
+    """A new folder for intermediate results; ``discard_scratch`` removes it."""
+    target = f"{ensure_checkpoint_dir(spark)}/{kind}-{uuid.uuid4().hex}"
+    _written.add(target)
+    return target
+
+
+def discard_scratch(spark: SparkSession) -> int:
+    """Delete all intermediate results of this process, once the results that
+    read them are stored; returns how many folders went."""
+    gone = 0
+    for target in sorted(_written):
+        path = spark._jvm.org.apache.hadoop.fs.Path(target)
+        gone += bool(path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True))
+    _written.clear()
+    return gone
 
 
 def write_settled(df: DataFrame) -> str:
     """Write ``df`` as Parquet in the shared folder; returns where."""
-    target = f"{ensure_checkpoint_dir(df.sparkSession)}/settled-{uuid.uuid4().hex}"
+    target = scratch_folder(df.sparkSession, "settled")
     df.write.parquet(target)
     return target
 

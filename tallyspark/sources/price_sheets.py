@@ -94,7 +94,7 @@ def _price(cell: Column) -> tuple[Column, Column]:
     """Value of a price cell and whether the cell is sound."""
     plain = F.regexp_replace(cell, ",", "")
     shaped = plain.rlike(r"^\$\+?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$")
-    value = F.when(shaped, F.substring(plain, 2, 400).try_cast("double"))
+    value = F.when(shaped, F.substr(plain, F.lit(2)).try_cast("double"))
     good = (cell == "-") | (value.isNotNull() & (value < F.lit(float("inf"))))
     return F.when(cell != "-", value), F.coalesce(good, F.lit(False))
 
@@ -228,7 +228,10 @@ def save_prices(prices: DataFrame, effective: DataFrame, target: str) -> None:
 
 def load_current_prices(spark: SparkSession, target: str) -> DataFrame:
     """The newest stored sheet that is sound: right version, all prices finite
-    and not negative."""
+    and not negative. Without any stored sheet there are no prices."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(target)
+    if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+        return spark.createDataFrame([], PRICES)
     stored = spark.read.parquet(target)
     bad = F.lit(False)
     for side in ("short", "long"):

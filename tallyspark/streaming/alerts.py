@@ -1,111 +1,26 @@
-"""Alerts while observations arrive: window resets, early restores, first
-credits of a period.
+"""Alerts while looks at accounts arrive.
 
-Only what was watched happening is reported. Every observation carries the
-time it was made; a gap longer than the blind limit means nobody was looking,
-so nothing that happened in it is made up for later.
+Each micro-batch is added to the stored looks; the rules of
+``operators.watching`` then run over the stored looks of the accounts that the
+batch touches, and what they find at the batch's own looks is reported. State
+is a table: it survives restarts, a hot account is spread like any other, and a
+batch that is run again replaces its own rows and alerts.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 
-import pandas as pd
-from pyspark import cloudpickle
 from pyspark.sql import DataFrame
-from pyspark.sql import types as T
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import DataStreamWriter
 
-import tallyspark
-from tallyspark.fixed_values import (
-    OVERFLOW_ALERT_CREDITS,
-    RESET_DRIFT_SHARE,
-    RESTORED_MAX_USED,
-    RESTORED_MIN_DROP,
-    SHORT_WINDOW_MAX_SECONDS,
-)
-from tallyspark.operators.alerts import blind_gap_nanos
+from tallyspark.operators.quota import NANOS
+from tallyspark.operators.watching import find_alerts
 
-# Ship the processors with the plan: workers need no copy of the package.
-cloudpickle.register_pickle_by_value(tallyspark)
-
-SECOND = 1_000_000_000
-
-
-@dataclass(frozen=True)
-class Window:
-    used: float
-    seconds: int
-    resets_at: int
-
-    def left(self) -> float:
-        return min(100.0, max(0.0, 100.0 - self.used))
-
-    def over(self, now: int) -> bool:
-        return self.resets_at * SECOND <= now
-
-    def follows(self, earlier: Window) -> bool:
-        """This window replaced ``earlier``: one length on, give or take a tenth."""
-        drift = abs(self.resets_at - earlier.resets_at - earlier.seconds)
-        return self.seconds == earlier.seconds and drift <= earlier.seconds * RESET_DRIFT_SHARE
-
-    def restored_from(self, earlier: Window, now: int) -> bool:
-        return (
-            self.seconds == earlier.seconds
-            and not self.follows(earlier)
-            and not self.over(now)
-            and 0.0 <= earlier.used <= 100.0
-            and 0.0 <= self.used <= RESTORED_MAX_USED
-            and earlier.used - self.used >= RESTORED_MIN_DROP
-            and self.resets_at >= earlier.resets_at
-        )
-
-
-@dataclass(frozen=True)
-class Snapshot:
-    received: int
-    account: str | None
-    limit: str
-    primary: Window
-    secondary: Window | None = None
-
-    def roles(self) -> tuple[Window | None, Window | None]:
-        if self.secondary is None:
-            is_short = self.primary.seconds <= SHORT_WINDOW_MAX_SECONDS
-            return (self.primary, None) if is_short else (None, self.primary)
-        pair = (self.primary, self.secondary)
-        return pair if pair[0].seconds <= pair[1].seconds else pair[::-1]
-
-    def blocked(self, now: int) -> bool:
-        return any(w is not None and not w.over(now) and w.left() <= 0.0 for w in self.roles())
-
-    def another_account(self, other: Snapshot) -> bool:
-        return self.account is not None and other.account is not None and self.account != other.account
-
-    def comparable(self, earlier: Snapshot | None, limit: int, now: int) -> bool:
-        return (
-            earlier is not None
-            and self.limit == earlier.limit
-            and 0 < self.received - earlier.received <= limit
-            and 0 <= now - self.received <= limit
-        )
-
-    def raised_to(self, earlier: Snapshot | None) -> Snapshot:
-        """Keep each window's latest known reset, so a late record of an old
-        period cannot pull the comparison back."""
-        if earlier is None or earlier.limit != self.limit or self.another_account(earlier):
-            return self
-        known = {w.seconds: w.resets_at for w in (earlier.secondary, earlier.primary) if w is not None}
-
-        def lift(window: Window | None) -> Window | None:
-            if window is None:
-                return None
-            return replace(window, resets_at=max(window.resets_at, known.get(window.seconds, window.resets_at)))
-
-        return replace(
-            self, primary=lift(self.primary), secondary=lift(self.secondary), account=self.account or earlier.account
-        )
+#: Looks older than this before a batch say nothing about it: two of the
+#: longest windows. A longer window needs a longer time.
+RETAIN_SECONDS = 14 * 86_400
 
 
 @dataclass(frozen=True)
@@ -113,160 +28,30 @@ class AlertRules:
     refresh_seconds: int
     resets: bool = True
     overflow: bool = True
+    retain_seconds: int = RETAIN_SECONDS
 
 
-@dataclass
-class AlertState:
-    """What one account's watcher remembers between observations."""
-
-    baseline: Snapshot | None = None
-    signed_in: Snapshot | None = None
-    watched_at: int | None = None
-    armed: bool = False
-    period: int | None = None
-    handled: bool = False
-    alerted_period: int | None = None  # survives restarts
-
-    def observe(self, now: int, snapshot: Snapshot | None, credits: float | None, rules: AlertRules) -> list[tuple]:
-        """Alerts of one observation: ``(kind, window seconds, value)``."""
-        limit = blind_gap_nanos(rules.refresh_seconds)
-        blind = self.watched_at is not None and now - self.watched_at > limit
-        self.watched_at = now
-        if blind:
-            self.armed = False
-        alerts = self._resets(now, snapshot, limit, rules.resets and not blind)
-        return alerts + self._overflow(now, snapshot, credits, limit, rules.overflow)
-
-    def _resets(self, now, snapshot, limit, may_alert) -> list[tuple]:
-        if snapshot is None:
-            return []
-        hits: list[Window] = []
-        if may_alert and not snapshot.blocked(now):
-            base, known = self.baseline, self.signed_in
-            if snapshot.comparable(base, limit, now) and not snapshot.another_account(base):
-                hits += [b for a, b in zip(base.roles(), snapshot.roles(), strict=True) if a and b and b.follows(a)]
-            same_account = known is not None and snapshot.account is not None and snapshot.account == known.account
-            if same_account and snapshot.comparable(known, limit, now):
-                back = [b for a, b in zip(known.roles(), snapshot.roles(), strict=True) if a and b and b.restored_from(a, now)]
-                hits += [w for w in back if w not in hits]
-        if self.baseline is None or snapshot.received >= self.baseline.received:
-            self.baseline = snapshot.raised_to(self.baseline)
-        if snapshot.account is not None and (self.signed_in is None or snapshot.received > self.signed_in.received):
-            self.signed_in = snapshot
-        return [("reset", w.seconds, w.left()) for w in hits]
-
-    def _overflow(self, now, snapshot, credits, limit, enabled) -> list[tuple]:
-        long = snapshot.roles()[1] if snapshot is not None else None
-        period = long.resets_at if long is not None else None
-        if period != self.period:
-            self.period, self.armed = period, False
-            self.handled = period is not None and self.alerted_period == period
-        if snapshot is not None and now - snapshot.received > limit:
-            self.armed = False  # an old total says nothing about now
-            return []
-        if credits is None:
-            return []
-        if credits < OVERFLOW_ALERT_CREDITS:
-            self.armed = True
-            return []
-        if period is None or not self.armed or self.handled:
-            return []
-        # A switched-off alert is used up too: turning it on later is no reason
-        # to report the past.
-        self.handled, self.alerted_period = True, period
-        return [("overflow", long.seconds, credits)] if enabled else []
-
-
-WINDOW_FIELDS = ("used", "seconds", "resets_at")
-_WINDOW = [("used", T.DoubleType()), ("seconds", T.LongType()), ("resets_at", T.LongType())]
-_SNAPSHOT = [
-    ("received", T.LongType()), ("account", T.StringType()), ("limit", T.StringType()),
-    *[(f"primary_{n}", t) for n, t in _WINDOW], *[(f"secondary_{n}", t) for n, t in _WINDOW],
-]
-_FLAGS = [
-    ("watched_at", T.LongType()), ("armed", T.BooleanType()), ("period", T.LongType()), ("handled", T.BooleanType()),
-    ("alerted_period", T.LongType()),
-]
-STATE = T.StructType(
-    [T.StructField(f"{side}_{n}", t) for side in ("baseline", "signed_in") for n, t in _SNAPSHOT]
-    + [T.StructField(n, t) for n, t in _FLAGS]
-)
-OUTPUT = T.StructType(
-    [
-        T.StructField("home", T.StringType()),
-        T.StructField("observed_nanos", T.LongType()),
-        T.StructField("kind", T.StringType()),
-        T.StructField("seconds", T.LongType()),
-        T.StructField("value", T.DoubleType()),
-    ]
-)
-COLUMNS = ("observed_nanos", *[n for n, _ in _SNAPSHOT], "overflow_credits")
-
-
-def _window(row: dict, prefix: str) -> Window | None:
-    if row[f"{prefix}_seconds"] is None:
-        return None
-    return Window(float(row[f"{prefix}_used"]), int(row[f"{prefix}_seconds"]), int(row[f"{prefix}_resets_at"]))
-
-
-def _snapshot(row: dict, prefix: str = "") -> Snapshot | None:
-    if row[f"{prefix}received"] is None:
-        return None
-    return Snapshot(
-        int(row[f"{prefix}received"]), row[f"{prefix}account"], row[f"{prefix}limit"],
-        _window(row, f"{prefix}primary"), _window(row, f"{prefix}secondary"),
-    )
-
-
-def _flat(snapshot: Snapshot | None) -> list:
-    if snapshot is None:
-        return [None] * len(_SNAPSHOT)
-    windows = [
-        getattr(w, n) if w is not None else None for w in (snapshot.primary, snapshot.secondary) for n in WINDOW_FIELDS
-    ]
-    return [snapshot.received, snapshot.account, snapshot.limit, *windows]
-
-
-class AlertProcessor(StatefulProcessor):
-    def __init__(self, rules: AlertRules):
-        self.rules = rules
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.stored = handle.getValueState("watcher", STATE)
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        state = self._load()
-        # One account's observations of one micro-batch, in the order made.
-        frame = pd.concat(list(rows)).sort_values(["observed_nanos", "received"])[list(COLUMNS)].astype(object)
-        found = []
-        for row in frame.where(frame.notna(), None).to_dict("records"):
-            now, credits = int(row["observed_nanos"]), row["overflow_credits"]
-            for kind, seconds, value in state.observe(now, _snapshot(row), credits, self.rules):
-                found.append((key[0], now, kind, seconds, float(value)))
-        flags = [getattr(state, n) for n, _ in _FLAGS]
-        self.stored.update(tuple([*_flat(state.baseline), *_flat(state.signed_in), *flags]))
-        if found:
-            yield pd.DataFrame(found, columns=OUTPUT.fieldNames())
+def watch(looks: DataFrame, rules: AlertRules, folder: str) -> DataStreamWriter:
+    """Follow a stream of looks; alerts go to ``folder/alerts``, see ``alerts_of``."""
 
-    def _load(self) -> AlertState:
-        if not self.stored.exists():
-            return AlertState()
-        row = dict(zip(STATE.fieldNames(), self.stored.get(), strict=True))
-        return AlertState(
-            baseline=_snapshot(row, "baseline_"), signed_in=_snapshot(row, "signed_in_"), **{n: row[n] for n, _ in _FLAGS}
-        )
+    def one_batch(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        here = f"{folder}/looks/batch={number}"
+        batch.write.mode("overwrite").parquet(here)
+        stored = spark.read.schema(batch.schema).parquet(here)
+        if stored.isEmpty():
+            return
+        since = stored.agg(F.min("observed_nanos").alias("since"))
+        history = spark.read.option("basePath", f"{folder}/looks").parquet(f"{folder}/looks")
+        # One row on the right: the batch's earliest time.
+        history = history.where(F.col("batch") <= number).join(stored.select("home").distinct(), "home", "left_semi")
+        history = history.where(F.col("observed_nanos") >= F.lit(since.first()["since"] - rules.retain_seconds * NANOS))
+        found = find_alerts(history, rules.refresh_seconds, rules.resets, rules.overflow).where(F.col("batch") == number)
+        found.drop("batch").write.mode("overwrite").parquet(f"{folder}/alerts/batch={number}")
 
-    def close(self) -> None:
-        pass
+    return looks.writeStream.foreachBatch(one_batch).option("checkpointLocation", f"{folder}/progress")
 
 
-def alert_stream(observations: DataFrame, rules: AlertRules) -> DataFrame:
-    """``observations``: ``home`` and the flat columns in ``COLUMNS``; one row
-    per look at an account, without a snapshot when none was there."""
-    return (
-        observations.select("home", *COLUMNS)
-        .groupBy("home")
-        .transformWithStateInPandas(
-            statefulProcessor=AlertProcessor(rules), outputStructType=OUTPUT, outputMode="Append", timeMode="None"
-        )
-    )
+def alerts_of(spark, folder: str) -> DataFrame:
+    """All alerts so far, each once, with the batch that found it."""
+    return spark.read.option("basePath", f"{folder}/alerts").parquet(f"{folder}/alerts")

@@ -1,138 +1,105 @@
-from __future__ import annotations
+"""Alert rules: one table of looks, a home for each case."""
 
-import tempfile
-from dataclasses import replace
+from __future__ import annotations
 
 import pytest
 
-from tallyspark.streaming.alerts import SECOND, AlertRules, AlertState, Snapshot, Window, alert_stream
-from tallyspark.streaming.parse_state import configure_streaming
+from tallyspark.operators.watching import find_alerts
+from tallyspark.streaming.alerts import AlertRules, alerts_of, watch
 
-T0 = 1_792_044_682
-RULES = AlertRules(refresh_seconds=300)
+SECOND = 1_000_000_000
+NOON = 1_800_000_000
 HOUR, WEEK = 18_000, 604_800
-
-
-def snap(at=T0, short=(8.0, 1_792_061_393), long=(52.0, 1_792_472_647), account="a", limit="main"):
-    second = Window(long[0], WEEK, long[1]) if long else None
-    return Snapshot(at * SECOND, account, limit, Window(short[0], HOUR, short[1]), second)
-
-
-def watch(*steps, rules=RULES, state=None):
-    state = state or AlertState()
-    out = []
-    for step in steps:
-        now, snapshot, credits = step if isinstance(step, tuple) else (step.received // SECOND, step, None)
-        out.append(state.observe(now * SECOND, snapshot, credits, rules))
-    return out
-
-
-def test_early_restore_of_both_windows():
-    later = snap(T0 + 574, short=(0.0, 1_792_063_248), long=(0.0, 1_792_650_048))
-    assert watch(snap(), later)[1] == [("reset", HOUR, 100.0), ("reset", WEEK, 100.0)]
-
-
-def test_regular_reset_moves_one_window():
-    later = snap(T0 + 300, short=(1.0, 1_792_061_393 + HOUR))
-    assert watch(snap(), later)[1] == [("reset", HOUR, 99.0)]
-    within = snap(T0 + 300, short=(30.0, 1_792_061_393 + HOUR + 1_800))
-    beyond = snap(T0 + 300, short=(30.0, 1_792_061_393 + HOUR + 1_801))
-    assert watch(snap(), within)[1] and not watch(snap(), beyond)[1]
-
-
-NEXT = snap(T0 + 574, short=(0.0, 1_792_063_248), long=(0.0, 1_792_650_048))
-REJECTED = {
-    "other account": replace(NEXT, account="b"),
-    "unknown account": replace(NEXT, account=None),
-    "other limit": replace(NEXT, limit="x"),
-    "same time": replace(NEXT, received=T0 * SECOND),
-    "gap too long": replace(NEXT, received=(T0 + 901) * SECOND),
-    "small drop": snap(T0 + 574, short=(4.0, 1_792_063_248), long=(48.0, 1_792_650_048)),
-    "too much used": snap(T0 + 574, short=(1.5, 1_792_063_248), long=(20.0, 1_792_650_048)),
-    "reset went back": snap(T0 + 574, short=(0.0, 1_792_061_000), long=(0.0, 1_792_470_000)),
-    "other lengths": replace(NEXT, primary=replace(NEXT.primary, seconds=3_600), secondary=replace(NEXT.secondary, seconds=86_400)),
-    "already over": snap(T0 + 574, short=(0.0, T0 + 500), long=(52.0, 1_792_472_647)),
-    "still blocked": snap(T0 + 574, short=(0.0, 1_792_063_248), long=(100.0, 1_792_472_647)),
+SCHEMA = (
+    "home string, observed_nanos bigint, received bigint, account string, `limit` string, primary_used double, primary_seconds bigint,"
+    "primary_resets_at bigint, secondary_used double, secondary_seconds bigint, secondary_resets_at bigint, overflow_credits double"
+)
+SHORT, LONG = (20.0, NOON + 9_000), (60.0, NOON + 400_000)
+
+
+def look(after=0, short=SHORT, long=LONG, account="ann", limit="usage", credits=None, seen=None, lengths=(HOUR, WEEK)):
+    """A reading ``after`` seconds, looked at then or ``seen`` seconds after noon."""
+    observed = NOON + (after if seen is None else seen)
+    second = (long[0], lengths[1], long[1]) if long else (None, None, None)
+    return (observed * SECOND, (NOON + after) * SECOND, account, limit, short[0], lengths[0], short[1], *second, credits)
+
+
+def nothing(seen):
+    return ((NOON + seen) * SECOND, *[None] * 9, None)
+
+
+BACK = {"short": (0.5, NOON + 12_000), "long": (0.0, NOON + 600_000)}
+NEXT = (1.0, SHORT[1] + HOUR)
+LATER = (1.0, LONG[1] + WEEK)
+CASES = {
+    "given back": ([look(), look(600, **BACK)], [("reset", HOUR, 99.5), ("reset", WEEK, 100.0)]),
+    "replaced": ([look(), look(300, short=NEXT)], [("reset", HOUR, 99.0)]),
+    "replaced, drift allowed": ([look(), look(300, short=(30.0, NEXT[1] + 1_800))], [("reset", HOUR, 70.0)]),
+    "replaced, drift too far": ([look(), look(300, short=(30.0, NEXT[1] + 1_801))], []),
+    "account unknown, still replaced": ([look(), look(300, short=NEXT, account=None)], [("reset", HOUR, 99.0)]),
+    "another account": ([look(), look(600, account="bob", **BACK)], []),
+    "another account, replaced": ([look(), look(300, short=NEXT, account="bob")], []),
+    "account unknown": ([look(), look(600, account=None, **BACK)], []),
+    "another limit": ([look(), look(600, limit="x", **BACK)], []),
+    "no later reading": ([look(), look(0, seen=60, **BACK)], []),
+    "gap": ([look(), look(901, **BACK)], []),
+    "small drop": ([look(short=(5.0, SHORT[1]), long=(4.9, LONG[1])), look(600, **BACK)], []),
+    "too much used": ([look(), look(600, short=(1.5, NOON + 12_000), long=(30.0, NOON + 600_000))], []),
+    "reset earlier": ([look(), look(600, short=(0.0, NOON + 8_900), long=(0.0, NOON + 399_000))], []),
+    "other lengths": ([look(), look(600, lengths=(3_600, 86_400), **BACK)], []),
+    "over already": ([look(), look(600, short=(0.0, NOON + 500))], []),
+    "used up still": ([look(), look(600, short=BACK["short"], long=(100.0, LONG[1]))], []),
+    "old record late": (
+        [look(), look(300, short=NEXT, account=None), look(400, account=None), look(500, short=(2.0, NEXT[1]), account=None)],
+        [("reset", HOUR, 99.0)],
+    ),
+    "looked at too late": ([look(), look(300, short=NEXT, seen=1_300)], []),
+    "only a long window": ([look(long=None, lengths=(WEEK, 0)), look(300, short=(0.0, SHORT[1] + WEEK), long=None, lengths=(WEEK, 0))], [("reset", WEEK, 100.0)]),
+    "windows the other way round": ([look(lengths=(WEEK, HOUR)), look(300, short=(0.0, SHORT[1] + WEEK), lengths=(WEEK, HOUR))], [("reset", WEEK, 100.0)]),
+    "credits begin": ([look(0, credits=0.0), look(60, credits=0.24), look(120, credits=0.25), look(180, credits=5.0)], [("overflow", WEEK, 0.25)]),
+    "credits, start unseen": ([look(0, credits=3.0), look(60, credits=4.0)], []),
+    "credits unknown between": ([look(0, credits=0.0), look(60), look(120, credits=1.0)], [("overflow", WEEK, 1.0)]),
+    "credits over a gap": ([look(0, credits=0.0), look(1_000, credits=1.0)], []),
+    "credits, seen again after a gap": ([look(0, credits=0.0), look(1_000, credits=0.1), look(1_060, credits=1.0)], [("overflow", WEEK, 1.0)]),
+    "credits, new period": (
+        [look(0, credits=0.0), look(60, credits=1.0, long=LATER, account=None), look(120, credits=0.0, long=LATER), look(180, credits=1.0, long=LATER)],
+        [("reset", WEEK, 99.0), ("overflow", WEEK, 1.0)],
+    ),
+    "credits, no long window": ([look(0, credits=0.0, long=None), look(60, credits=1.0, long=None)], []),
+    "credits, stale reading": ([look(0, credits=0.0), look(0, credits=0.0, seen=901), look(960, credits=1.0)], []),
+    "credits, nothing seen between": ([look(0, credits=0.0), nothing(60), look(120, credits=1.0)], []),
 }
 
 
-@pytest.mark.parametrize("name", REJECTED)
-def test_no_restore(name):
-    assert watch(snap(), REJECTED[name])[1] == []
+def rows_of(cases):
+    return [(name, *row) for name, (looks, _) in cases.items() for row in looks]
 
 
-def test_late_old_record_does_not_fire_again():
-    first = snap(T0)
-    moved = snap(T0 + 300, short=(1.0, 1_792_061_393 + HOUR), account=None)
-    late = snap(T0 + 400, short=(9.0, 1_792_061_393), account=None)
-    again = snap(T0 + 500, short=(2.0, 1_792_061_393 + HOUR), account=None)
-    assert [len(x) for x in watch(first, moved, late, again)] == [0, 1, 0, 0]
-
-
-def test_switches_and_stale_data():
-    later = snap(T0 + 300, short=(1.0, 1_792_061_393 + HOUR))
-    assert watch(snap(), later, rules=replace(RULES, resets=False))[1] == []
-    assert watch(snap(), (T0 + 300 + 901, later, None))[1] == []
-
-
-def at(seconds, credits, **kw):
-    return (T0 + seconds, snap(T0 + seconds, **kw), credits)
-
-
-OVERFLOW = {
-    "crossing": ([at(0, 0.0), at(60, 0.24), at(120, 0.25), at(180, 5.0)], [0, 0, 1, 0]),
-    "no start seen": ([at(0, 3.0), at(60, 4.0)], [0, 0]),
-    "unknown total": ([at(0, 0.0), at(60, None), at(120, 1.0)], [0, 0, 1]),
-    "blind gap": ([at(0, 0.0), at(1000, 1.0)], [0, 0]),
-    "rearmed after gap": ([at(0, 0.0), at(1000, 0.1), at(1060, 1.0)], [0, 0, 1]),
-    "new period": ([at(0, 0.0), at(60, 1.0, long=(1.0, 1_792_472_647 + WEEK)), at(120, 0.0, long=(1.0, 1_792_472_647 + WEEK)),
-                    at(180, 1.0, long=(1.0, 1_792_472_647 + WEEK))], [0, 0, 0, 1]),
-    "no long window": ([at(0, 0.0, long=None), at(60, 1.0, long=None)], [0, 0]),
-    "stale snapshot": ([at(0, 0.0), (T0 + 901 + 0, snap(T0), 0.0), (T0 + 960, snap(T0 + 960), 1.0)], [0, 0, 0]),
-}
+@pytest.fixture(scope="module")
+def alerts(spark):
+    found = find_alerts(spark.createDataFrame(rows_of(CASES), SCHEMA), 300)
+    out = {name: [] for name in CASES}
+    for r in found.orderBy("observed_nanos", "seconds").collect():
+        out[r["home"]].append((r["kind"], r["seconds"], r["value"]))
+    return out
 
 
-@pytest.mark.parametrize("name", OVERFLOW)
-def test_overflow(name):
-    steps, expected = OVERFLOW[name]
-    got = watch(*steps)
-    assert [sum(k == "overflow" for k, _, _ in x) for x in got] == expected
-
-
-def test_overflow_once_per_period_across_restarts_and_switch():
-    state = AlertState()
-    watch(at(0, 0.0), at(60, 1.0), state=state)
-    restarted = AlertState(alerted_period=state.alerted_period)
-    assert watch(at(0, 0.0), at(60, 1.0), state=restarted)[1] == []
-    quiet = AlertState()
-    assert watch(at(0, 0.0), at(60, 1.0), state=quiet, rules=replace(RULES, overflow=False))[1] == []
-    assert watch(at(120, 0.1), at(180, 1.0), state=quiet)[1] == []
-
-
-def test_stream_keeps_state_between_batches(spark):
-    configure_streaming(spark)
-    folder = tempfile.mkdtemp(prefix="tally-alerts-")
-    schema = (
-        "home string, observed_nanos bigint, received bigint, account string, `limit` string, primary_used double, primary_seconds bigint,"
-        "primary_resets_at bigint, secondary_used double, secondary_seconds bigint, secondary_resets_at bigint, overflow_credits double"
-    )
-
-    def row(second, s, credits):
-        return ("h", (T0 + second) * SECOND, s.received, s.account, s.limit, s.primary.used, s.primary.seconds, s.primary.resets_at,
-                s.secondary.used, s.secondary.seconds, s.secondary.resets_at, credits)
-
-    later = snap(T0 + 574, short=(0.0, 1_792_063_248), long=(0.0, 1_792_650_048))
-    third = snap(T0 + 600, short=(0.0, 1_792_063_248), long=(0.0, 1_792_650_048))
-    fourth = snap(T0 + 660, short=(0.0, 1_792_063_248), long=(0.0, 1_792_650_048))
-    source = spark.readStream.schema(schema).parquet(f"{folder}/in/*")
-    for number, batch in enumerate(([row(0, snap(), 0.0)], [row(574, later, 0.0), row(600, third, 0.1)], [row(660, fourth, 2.0)])):
-        spark.createDataFrame(batch, schema).coalesce(1).write.parquet(f"{folder}/in/{number}")
-        query = (
-            alert_stream(source, RULES).writeStream.format("parquet").option("checkpointLocation", f"{folder}/cp")
-            .outputMode("append").trigger(availableNow=True).start(f"{folder}/out")
-        )
-        query.awaitTermination()
-    got = [tuple(r)[1:] for r in spark.read.parquet(f"{folder}/out").orderBy("observed_nanos", "seconds").collect()]
-    assert got == [
-        ((T0 + 574) * SECOND, "reset", HOUR, 100.0), ((T0 + 574) * SECOND, "reset", WEEK, 100.0), ((T0 + 660) * SECOND, "overflow", WEEK, 2.0)
-    ]
+@pytest.mark.parametrize("name", CASES)
+def test_rules(alerts, name):
+    assert sorted(alerts[name]) == sorted(CASES[name][1])
+
+
+def test_stream_equals_history_and_survives_restarts(spark, tmp_path):
+    frame = spark.createDataFrame(rows_of(CASES), SCHEMA)
+    cut = [NOON + s for s in (200, 500)]
+    parts = [f"observed_nanos < {cut[0]}000000000", f"observed_nanos between {cut[0]}000000000 and {cut[1]}999999999", f"observed_nanos > {cut[1]}999999999"]
+    source = spark.readStream.schema(SCHEMA).parquet(f"{tmp_path}/in/*")
+    for number, part in enumerate(parts):
+        frame.where(part).coalesce(1).write.parquet(f"{tmp_path}/in/{number}")
+        # Credits are switched off at first: what they would have said is used up.
+        rules = AlertRules(300, overflow=number > 0)
+        watch(source, rules, f"{tmp_path}/watch").trigger(availableNow=True).start().awaitTermination()
+    columns = ["home", "observed_nanos", "kind", "seconds", "value"]
+    got = sorted(tuple(r) for r in alerts_of(spark, f"{tmp_path}/watch").select(*columns).collect())
+    want = sorted(tuple(r) for r in find_alerts(frame, 300).select(*columns).collect() if r["kind"] == "reset" or r["observed_nanos"] >= cut[0] * SECOND)
+    assert got == want

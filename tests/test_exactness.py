@@ -166,3 +166,36 @@ def test_compaction_keeps_what_later_events_need(spark):
     kept = sorted(r.line_no for r in compact_events(events, files).collect())
     # Peaks of the three sources, the event before the start, all from it on.
     assert kept == [1, 3, 5, 6, 7, 8]
+
+
+def test_closure_of_a_long_chain(spark):
+    from tallyspark.operators.forks import ancestor_closure
+
+    edges = spark.createDataFrame([("h", i, i - 1) for i in range(1, 101)] + [("h", 201, 200)], "home string, thread long, parent long")
+    start = spark.createDataFrame([("h", 100), ("h", 3)], "home string, thread long")
+    got = {(r.thread, r.ancestor) for r in ancestor_closure(edges, start).collect()}
+    assert got == {(100, k) for k in range(100)} | {(3, k) for k in range(3)}
+
+
+def test_intermediates_need_a_shared_folder_on_a_cluster():
+    import pytest
+
+    from tallyspark import session
+
+    assert session.is_one_process("local[4]") and not session.is_one_process("local-cluster[2,1,1024]") and not session.is_one_process("yarn")
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+        def getConf(self):
+            return {}
+
+    class Session:
+        sparkContext = Context()
+        conf = {}
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        session.ensure_checkpoint_dir(Session())
