@@ -1,26 +1,36 @@
-"""Incremental refresh: read what changed, keep what did not.
+"""Incremental refresh: read what changed, keep what did not, store the result.
 
 Files that only grew are read again as a whole here, which costs one file; for
 continuous intake the streaming parser resumes at the byte level instead. The
-lines kept from earlier runs are whole-file, so the result equals a cold scan.
+lines kept from earlier runs are whole-file, and what a file's place and
+metadata say is taken from the new listing, so the result equals a cold scan.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyspark.operators.carry import FILE
+from tallyspark.operators.windows import local_date
 from tallyspark.session import settle
 from tallyspark.sources.manifest import manifest_diff
 from tallyspark.sources.session_logs import (
     SessionLogs,
+    discovery_errors,
+    find_log_folders,
     from_index,
     list_log_files,
     load_session_logs,
     parse_text,
     read_raw_lines,
 )
+from tallyspark.sources.tables import TABLE_VERSION
+
+#: Columns of a file row that its listing gives.
+LISTED = ("length", "modified_at", "filename_thread_id", "partition_date", "modified_date")
 
 
 def manifest_of(listed: DataFrame) -> DataFrame:
@@ -39,7 +49,8 @@ def refresh_session_logs(
     spark: SparkSession, root: str, tz: str, stored: SessionLogs | None, manifest: DataFrame | None
 ) -> tuple[SessionLogs, DataFrame, DataFrame]:
     """Returns the logs, the new manifest and the classified changes."""
-    listed = list_log_files(spark, root)
+    where = find_log_folders(spark, root)
+    listed = list_log_files(spark, root, where)
     now = manifest_of(listed)
     if stored is None or manifest is None:
         empty = now.limit(0)
@@ -49,7 +60,7 @@ def refresh_session_logs(
     # One time from the change list: no changed file is older, so files before
     # it are not opened; of the rest only the changed ones are parsed.
     oldest = listed.join(read, list(FILE), "left_semi").agg(F.min("modified_at")).first()[0]
-    raw = read_raw_lines(spark, root, F.lit(oldest)).join(read.select("path"), "path", "left_semi")
+    raw = read_raw_lines(spark, root, F.lit(oldest), where).join(read.select("path"), "path", "left_semi")
     index = settle(parse_text(raw))
     fresh = from_index(index, listed.join(read, list(FILE), "left_semi"), tz)
     same = changes.where(F.col("change").isin("unchanged", "renamed")).select(
@@ -59,6 +70,47 @@ def refresh_session_logs(
     def keep(df: DataFrame) -> DataFrame:
         return df.join(same, list(FILE)).withColumn("path", F.col("_path")).drop("_path")
 
+    place = listed.withColumn("modified_date", local_date(F.unix_micros("modified_at") * 1000, tz)).select(*FILE, *LISTED)
     lines = fresh.lines.unionByName(keep(stored.lines))
-    files = fresh.files.unionByName(keep(stored.files))
-    return SessionLogs(lines=lines, files=files), now, changes
+    files = fresh.files.unionByName(keep(stored.files).drop(*LISTED).join(place, list(FILE)))
+    return SessionLogs(lines=lines, files=files, discovery=discovery_errors(spark, where)), now, changes
+
+
+def _generations(spark: SparkSession, state: str, root: str):
+    """The folder of a log root's stored runs under this version's rules, and the numbers of complete ones."""
+    folder = f"{state}/v{TABLE_VERSION}-{hashlib.sha256(root.encode()).hexdigest()[:16]}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    done = fs.globStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/*/manifest/_SUCCESS")) or []
+    return fs, folder, sorted(int(s.getPath().getParent().getParent().getName()) for s in done)
+
+
+def save_state(spark: SparkSession, state: str, root: str, logs: SessionLogs, manifest: DataFrame) -> None:
+    """Store a run for the next one. It counts once its manifest is complete;
+    the runs before it are removed then."""
+    fs, folder, done = _generations(spark, state, root)
+    target = f"{folder}/{done[-1] + 1 if done else 0}"
+    logs.lines.write.mode("overwrite").parquet(f"{target}/lines")
+    logs.files.write.mode("overwrite").parquet(f"{target}/files")
+    manifest.write.mode("overwrite").parquet(f"{target}/manifest")
+    for number in done:
+        fs.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{number}"), True)
+
+
+def load_state(spark: SparkSession, state: str, root: str) -> tuple[SessionLogs | None, DataFrame | None]:
+    """The newest complete run of this log root; none under other rules or of another root."""
+    _, folder, done = _generations(spark, state, root)
+    if not done:
+        return None, None
+    lines, files, manifest = (spark.read.parquet(f"{folder}/{done[-1]}/{n}") for n in ("lines", "files", "manifest"))
+    return SessionLogs(lines=lines, files=files), manifest
+
+
+def refresh(spark: SparkSession, root: str, tz: str, state: str) -> tuple[SessionLogs, DataFrame]:
+    """One run: continue from the stored state and store the new one."""
+    logs, manifest, changes = refresh_session_logs(spark, root, tz, *load_state(spark, state, root))
+    changes = settle(changes)
+    save_state(spark, state, root, logs, manifest)
+    stored, _ = load_state(spark, state, root)
+    stored.discovery = logs.discovery
+    return stored, changes

@@ -1,17 +1,25 @@
 """Reporting windows over a stream of token events.
 
-The day restarts at local midnight, the quota period at the boundary of the
-newest snapshot; both are part of the key, so a new day or period starts from
-zero and old values stay what they were.
+The day restarts at local midnight; the day is part of the key, so a new one
+starts from zero and old values stay what they were.
+
+The boundary of a quota period is often known only after events of the period
+have arrived, and it may move. So the stream keeps sums per account and second,
+and the boundary, which is a whole second, is applied when the sums are read:
+events that came before their boundary count as they do in batch.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import DataStreamWriter
 
+from tallyspark.operators.quota import NANOS
 from tallyspark.operators.windows import local_date
 
+SUMS = ("tokens", "overflow_tokens")
+
 
 def _sums() -> list[Column]:
     plan = F.sum(F.when(~F.col("overflow"), F.col("delta_total")).otherwise(F.lit(0)))
@@ -28,13 +36,34 @@ def daily_usage(events: DataFrame, tz: str) -> DataFrame:
     )
 
 
-def period_usage(events: DataFrame, boundaries: DataFrame) -> DataFrame:
-    """Tokens per account and quota period; ``boundaries`` is the latest static
-    table of ``home, period_start_nanos`` and is read again by each batch."""
+def usage_slices(events: DataFrame) -> DataFrame:
+    """Tokens per account and second."""
+    second = F.expr(f"div(ts_nanos, {NANOS})")
+    return events.where(F.col("ts_nanos").isNotNull()).groupBy("home", second.alias("second")).agg(*_sums())
+
+
+def cut_periods(slices: DataFrame, boundaries: DataFrame) -> DataFrame:
+    """Tokens per account since its boundary (``home, period_start_nanos``)."""
     current = boundaries.where(F.col("period_start_nanos").isNotNull())
-    return (
-        events.join(current, "home")
-        .where(F.col("ts_nanos") >= F.col("period_start_nanos"))
-        .groupBy("home", "period_start_nanos")
-        .agg(*_sums())
-    )
+    inside = slices.join(current, "home").where(F.col("second") * NANOS >= F.col("period_start_nanos"))
+    return inside.groupBy("home", "period_start_nanos").agg(*[F.sum(n).alias(n) for n in SUMS])
+
+
+def period_usage(events: DataFrame, boundaries: DataFrame) -> DataFrame:
+    """Tokens per account and quota period, in batch."""
+    return cut_periods(usage_slices(events), boundaries)
+
+
+def keep_slices(events: DataFrame, folder: str) -> DataStreamWriter:
+    """Add each micro-batch's slices to a table; a batch that is run again replaces its own."""
+
+    def one_batch(batch: DataFrame, number: int) -> None:
+        usage_slices(batch).write.mode("overwrite").parquet(f"{folder}/slices/batch={number}")
+
+    return events.writeStream.foreachBatch(one_batch).option("checkpointLocation", f"{folder}/progress")
+
+
+def kept_slices(spark: SparkSession, folder: str) -> DataFrame:
+    """What ``keep_slices`` has stored; ``cut_periods`` turns it into periods."""
+    stored = spark.read.option("basePath", f"{folder}/slices").parquet(f"{folder}/slices")
+    return stored.groupBy("home", "second").agg(*[F.sum(n).alias(n) for n in SUMS])

@@ -6,13 +6,12 @@ import time
 from pyspark.sql import functions as F
 
 from tallyspark.operators.timeline import token_events
-from tallyspark.plans.refresh import refresh_session_logs
-from tallyspark.session import settle
-from tallyspark.sources.session_logs import SessionLogs, load_session_logs
-from tallyspark.streaming.windows import daily_usage, period_usage
+from tallyspark.plans.refresh import load_state, refresh
+from tallyspark.sources.session_logs import load_session_logs
+from tallyspark.streaming.windows import cut_periods, daily_usage, keep_slices, kept_slices, period_usage
 from tests.logs import CHILD, Home, meta, model, nanos, usage
 
-OTHER = "33333333-3333-4333-8333-333333333333"
+OTHER = "b7405d2c-1e8f-4c6a-a0d3-58e2f9176c4b"
 
 
 def summary(logs):
@@ -22,14 +21,18 @@ def summary(logs):
     return {r.f: (int(r.n), r.c) for r in rows.collect()}, files
 
 
-def test_refresh_equals_cold_scan(spark):
-    home = Home()
+def whole(df):
+    return sorted((str(r) for r in df.select(*sorted(df.columns)).collect()))
+
+
+def test_refresh_equals_cold_scan(spark, tmp_path):
+    home, state = Home(), str(tmp_path / "state")
+    root = str(home.root)
     grown = home.write([meta(0), usage(1, 100, 100)])
     moved = home.write([meta(0, CHILD), usage(1, 50, 50)], thread=CHILD)
     gone = home.write([meta(0, OTHER), usage(1, 9, 9)], thread=OTHER)
-    logs, manifest, _ = refresh_session_logs(spark, str(home.root), "UTC", None, None)
-    kept = SessionLogs(settle(logs.lines), settle(logs.files))
-    manifest = settle(manifest)
+    refresh(spark, root, "UTC", state)
+    assert load_state(spark, state, root + "/other") == (None, None)
     time.sleep(0.01)
     home.write([meta(0), usage(1, 100, 100), usage(2, 150, 50)])
     archive = home.root / "archived_sessions"
@@ -37,11 +40,16 @@ def test_refresh_equals_cold_scan(spark):
     os.rename(moved, archive / moved.name)
     gone.unlink()
     home.write([meta(0, OTHER), model(0, "m"), usage(1, 7, 7)], thread=OTHER, stamp="13-00-00")
-    logs, _, changes = refresh_session_logs(spark, str(home.root), "UTC", kept, manifest)
+    logs, changes = refresh(spark, root, "UTC", state)
     got = {(r.path.rsplit("/", 1)[1][:25], r.change) for r in changes.collect()}
     assert {c for _, c in got} == {"appended", "renamed", "moved away", "deleted", "new"}
     assert grown.exists()
-    assert summary(logs) == summary(load_session_logs(spark, str(home.root), "UTC"))
+    cold = load_session_logs(spark, root, "UTC")
+    assert summary(logs) == summary(cold)
+    # The whole file rows, with what the new place of a moved file says.
+    assert whole(logs.files) == whole(cold.files)
+    again, changes = refresh(spark, root, "UTC", state)
+    assert {r.change for r in changes.collect()} == {"unchanged"} and whole(again.files) == whole(cold.files)
 
 
 def test_window_sums_match_their_definition(spark):
@@ -57,11 +65,27 @@ def test_window_sums_match_their_definition(spark):
     assert [(r.home, r.tokens, r.overflow_tokens) for r in period_usage(events, starts).collect()] == [("a", 1, 7)]
 
 
-def test_period_stream_follows_the_boundary_table(spark, tmp_path):
+def test_period_stream_counts_events_before_their_boundary(spark, tmp_path):
     schema = "home string, ts_nanos bigint, delta_total bigint, overflow boolean"
-    spark.createDataFrame([("a", 10, 5, False), ("a", 20, 6, False)], schema).write.parquet(f"{tmp_path}/in/0")
-    starts = spark.createDataFrame([("a", 15)], "home string, period_start_nanos bigint")
-    stream = period_usage(spark.readStream.schema(schema).parquet(f"{tmp_path}/in/*"), starts)
-    query = stream.writeStream.format("memory").queryName("periods").outputMode("update").trigger(availableNow=True).start()
-    query.awaitTermination()
-    assert [(r.home, r.period_start_nanos, r.tokens) for r in spark.sql("select * from periods").collect()] == [("a", 15, 6)]
+    second = 10**9
+    early = [("a", 10 * second, 5, False), ("a", 20 * second + 7, 6, False), ("a", 20 * second, 1, True)]
+    late = [("a", 19 * second + 999, 3, False), ("a", 30 * second, 7, False), ("b", second, 2, False), ("b", None, 9, False)]
+    everything = spark.createDataFrame(early + late, schema)
+    source = spark.readStream.schema(schema).parquet(f"{tmp_path}/in/*")
+
+    def run(number, rows):
+        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/in/{number}")
+        keep_slices(source, f"{tmp_path}/out").trigger(availableNow=True).start().awaitTermination()
+
+    def now(boundaries):
+        starts = spark.createDataFrame(boundaries, "home string, period_start_nanos bigint")
+        got = sorted(map(tuple, cut_periods(kept_slices(spark, f"{tmp_path}/out"), starts).collect()))
+        return got, sorted(map(tuple, period_usage(everything, starts).collect()))
+
+    run(0, early)
+    run(1, late)
+    # The boundaries are known only now, and then move.
+    for boundaries in ([("a", 20 * second), ("b", 0)], [("a", 21 * second), ("b", None)], [("a", 0)]):
+        got, batch = now(boundaries)
+        assert got == batch
+    assert now([("a", 20 * second)])[0] == [("a", 20 * second, 13, 1)]
