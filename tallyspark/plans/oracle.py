@@ -668,13 +668,14 @@ select home, line_no, broken as is_broken, case when not broken then ts_nanos en
 from cut"""
 
 SQL["rate_limit_responses"] = f"""with {LINES_PLAIN}
-select home, 'account-' || home as account_id, case when k % 10 = 8 then 'general' else '{USAGE_LIMIT_ID}' end as limit_id, ts_nanos,
-  primary_percent as used_percent, primary_resets_at as resets_at, cast(case when k % 10 <> 5 then 10080 end as bigint) as long_minutes
-from lines where source = '{USAGE_LIMIT_ID}' and k % 10 not in (3, 4, 6, 9)"""
+select home, 'account-' || home as account_id, case when k % 10 = 8 or source is distinct from '{USAGE_LIMIT_ID}' then 'general' else '{USAGE_LIMIT_ID}' end as limit_id, ts_nanos,
+  coalesce(primary_percent, cast(k % 101 as double)) as used_percent, coalesce(primary_resets_at, 1700000000 + k) as resets_at,
+  cast(case when k % 10 <> 5 then 10080 end as bigint) as long_minutes
+from lines where k % 10 not in (3, 4, 6, 9)"""
 
 SQL["rate_limit_rejects"] = f"""with {LINES_PLAIN}
 select home, case k % 10 when 3 then 'no primary window' when 4 then 'negative reset' when 6 then 'no bucket' else 'malformed' end as reason,
-  cast(count(*) as bigint) as n from lines where source = '{USAGE_LIMIT_ID}' and k % 10 in (3, 4, 6, 9) group by all"""
+  cast(count(*) as bigint) as n from lines where k % 10 in (3, 4, 6, 9) group by all"""
 
 SQL["price_sheet_rows"] = """with p as (select cast(p_partkey as bigint) as k, cast(floor(p_retailprice) as bigint) as price from part where p_partkey % 5 = 0),
 t(tier, f) as (values ('standard', 1), ('fast', 2), ('ultrafast', 4))

@@ -56,15 +56,22 @@ def log_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def response_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rate-limit responses as JSON bodies; by ``k`` some lack the preferred
-    bucket, a primary window, or carry a negative reset or broken text."""
-    rows = _feed(spark, sf_dir).where(F.col("source") == USAGE_LIMIT_ID)
+    """Rate-limit responses as JSON bodies, one for each event; by ``k`` some
+    lack the preferred bucket, a primary window, or carry a negative reset or
+    broken text. Events of other sources name another bucket, so the parser has
+    to fall back to the general one."""
+    rows = _feed(spark, sf_dir).selectExpr(
+        "home", "ts_nanos", "k", f"if(source = '{USAGE_LIMIT_ID}', source, 'elsewhere') as bucket",
+        "coalesce(primary_percent, cast(k % 101 as double)) as primary_percent", "coalesce(secondary_percent, cast(k % 103 as double)) as secondary_percent",
+        "coalesce(primary_resets_at, 1700000000 + k) as primary_resets_at", "coalesce(secondary_resets_at, 1800000000 + k) as secondary_resets_at",
+    )
     bucket = """named_struct('limitId', '{0}',
         'primary', if(k % 10 = 3, null, named_struct('usedPercent', primary_percent, 'windowDurationMins', 300L,
             'resetsAt', if(k % 10 = 4, -1L, primary_resets_at))),
         'secondary', if(k % 10 = 5, null, named_struct('usedPercent', secondary_percent, 'windowDurationMins', 10080L, 'resetsAt', secondary_resets_at)))"""
+    named = bucket.format("{0}").replace("'{0}'", "bucket")
     body = f"""to_json(named_struct('rateLimits', if(k % 10 = 6, null, {bucket.format('general')}),
-        'rateLimitsByLimitId', if(k % 10 in (6, 8), null, map('{USAGE_LIMIT_ID}', {bucket.format(USAGE_LIMIT_ID)}))))"""
+        'rateLimitsByLimitId', if(k % 10 in (6, 8), null, map(bucket, {named}))))"""
     return rows.select(
         "home", F.expr("concat('account-', home)").alias("account_id"), F.col("ts_nanos").alias("received_nanos"),
         F.expr(f"if(k % 10 = 9, left({body}, 20), {body})").alias("body"),
