@@ -6,6 +6,8 @@ each item keeps the rarer half of its own as seeds. Where a seed occurs in a
 document, the passage around it that the whole item could cover is aligned with
 the item (match 2, mismatch and gap -1); passages of one item that overlap are
 one. The score is that of the best local alignment over that of an exact copy.
+A hit scores at least ``threshold``, or its alignment is worth at least
+``run_words`` matching words, as an excerpt of a long item may be.
 Documents are matched where they are read; nothing of them is shuffled.
 
 The test items are taken in chunks of a bounded number of words, which are
@@ -29,11 +31,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyspark.llm.hashing import LOWER, binaries, groups, hash_windows, hash_words
+from tallyspark.llm.hashing import LOWER, binaries, groups, hash_windows, hash_words, slices
 
 GRAM = 3
 CHUNK_WORDS = 1_000_000  #: of test items per pass
 THRESHOLD = 0.5
+RUN_WORDS = 13
 MATCH, OTHER = 2, -1
 _PLAIN = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in LOWER)
 HITS = "array<struct<item_id:long,score:double,first_word:long,last_word:long>>"
@@ -150,7 +153,7 @@ def passages(at: np.ndarray, places: np.ndarray, length: int, n_words: int) -> l
     return [(a, b) for a, b in out]
 
 
-def find_leaks(documents: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, chunk_words: int = CHUNK_WORDS) -> DataFrame:
+def find_leaks(documents: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, run_words: int = RUN_WORDS, chunk_words: int = CHUNK_WORDS) -> DataFrame:
     """document (struct of all input columns) and hits of each document (text)."""
     spark = documents.sparkSession
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("place", F.xxhash64("item_id", "text"))
@@ -164,18 +167,18 @@ def find_leaks(documents: DataFrame, benchmark: DataFrame, threshold: float = TH
         words = [hash_words([plain(t.encode())]).hashes for t in part["text"]]
         ids = [None if v != v or v is None else int(v) for v in part["item_id"]]
         short = sorted({len(w) for w in words if 0 < len(w) < GRAM})
-        rows = rows.mapInArrow(_matcher(spark, documents, ids, words, short, threshold), schema)
+        rows = rows.mapInArrow(_matcher(spark, documents, ids, words, short, threshold, run_words), schema)
     return rows.select("document", "hits")
 
 
-def _matcher(spark, documents: DataFrame, ids: list, words: list[np.ndarray], short: list[int], threshold: float):
+def _matcher(spark, documents: DataFrame, ids: list, words: list[np.ndarray], short: list[int], threshold: float, run_words: int):
     """Adds one chunk's hits to the documents that are read."""
     every = spark.sparkContext.broadcast((seeds_of(ids, words, short), short))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seeds, short = every.value
         total = np.zeros(len(seeds.grams), np.int64)
-        for batch in batches:
+        for batch in slices(batches):
             for _, _, _, gram in gram_hits(binaries(batch["text"]), seeds, short):
                 total[np.unique(gram)] += 1
         some = np.flatnonzero(total)
@@ -196,7 +199,7 @@ def _matcher(spark, documents: DataFrame, ids: list, words: list[np.ndarray], sh
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seeds, short = rare.value
-        for batch in batches:
+        for batch in slices(batches):
             hits = batch["hits"].to_pylist()
             for r, hashes, at, gram in gram_hits(binaries(batch["text"]), seeds, short):
                 by_item = defaultdict(list)
@@ -212,7 +215,7 @@ def _matcher(spark, documents: DataFrame, ids: list, words: list[np.ndarray], sh
                         if top > best[0]:
                             best = (top, a + first, a + last)
                     score = best[0] / (MATCH * len(item))
-                    if score >= threshold:
+                    if score >= threshold or best[0] >= MATCH * run_words:
                         hits[r].append({"item_id": seeds.ids[i], "score": score, "first_word": best[1], "last_word": best[2]})
             yield pa.record_batch([batch["document"], batch["text"], pa.array(hits, HIT)], ["document", "text", "hits"])
 

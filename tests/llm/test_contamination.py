@@ -40,6 +40,9 @@ def test_exact_edited_and_clean(spark):
             rows.append((doc_id, " ".join(say(50) + [w.upper() + "," if k else w for w in passage] + say(40))))
             expected.add((doc_id, i))
     rows += [(1000 + i, " ".join(say(200))) for i in range(40)]
+    rows.append((1500, " ".join(say(60) + items[6][1][4:18] + say(60))))  # an excerpt
+    rows.append((1501, " ".join(say(60) + items[6][1][4:13] + say(60))))  # too short a one
+    expected.add((1500, 6))
     rows += [(2000, None), (2001, ""), (2002, "the of and"), (None, " ".join(items[3][1])), (2003, ("x " + " ".join(items[4][1]) + " y ") * 300)]
     expected |= {(None, 3), (2003, 4)}
     bench = [(i, " ".join(t)) for i, t in items] + [(77, None), (78, ""), (None, "never said so anywhere else")]
