@@ -13,6 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -112,6 +113,19 @@ def binaries(column: pa.Array) -> list[bytes | None]:
     return column.cast(pa.large_binary()).to_pylist()
 
 
+def slices(batches: Iterator[pa.RecordBatch], most: int = 4 * GROUP_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches, cut so that a part's ``text`` has at most so many bytes, or is one row.
+
+    What is made of a part is gone before the next one: memory follows the part, not the batch.
+    """
+    for batch in batches:
+        size = pc.fill_null(pc.binary_length(batch["text"]), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        part = np.cumsum(size + 1) // most
+        edges = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1], [True]))) if len(part) else []
+        for a, b in zip(edges[:-1], edges[1:], strict=True):
+            yield batch.slice(a, b - a)
+
+
 def groups(texts: list[bytes | None], most: int = GROUP_BYTES) -> Iterator[tuple[int, int]]:
     """Ranges of texts of at most so many bytes together, or one longer text."""
     start = size = 0

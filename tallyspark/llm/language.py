@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tallyspark.llm.hashing import slices
 from tallyspark.llm.shared import bounded_sample
 
 UNITS = 6
@@ -201,7 +202,7 @@ def identify(documents: DataFrame, net: Network | None) -> DataFrame:
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = shared.value
-        for batch in batches:
+        for batch in slices(batches):
             texts = batch["text"].to_pylist()
             letters = [i for i, t in enumerate(texts) if net is not None and t and LETTER.search(t)]
             names, scores = ["und"] * len(texts), [0.0] * len(texts)

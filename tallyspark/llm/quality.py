@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyspark.llm.hashing import _SPACE, WINDOW_BASES, binaries, groups, hash_windows, hash_words, mix
+from tallyspark.llm.hashing import _SPACE, WINDOW_BASES, binaries, groups, hash_windows, hash_words, mix, slices
 from tallyspark.llm.shared import bounded_sample
 
 BITS = 16
@@ -133,7 +133,7 @@ def fit_quality(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE, c
     texts = documents.join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "text")
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             slots = [s.astype(np.int32).tobytes() for s in slots_of([t or b"" for t in binaries(batch["text"])])]
             yield pa.record_batch([batch["doc_id"], batch["label"], pa.array(slots, pa.binary())], ["doc_id", "label", "slots"])
 
@@ -161,7 +161,7 @@ def score_quality(documents: DataFrame, model: Model) -> DataFrame:
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fitted = shared.value
-        for batch in batches:
+        for batch in slices(batches):
             out = [fitted.score(slots) for slots in slots_of([t or b"" for t in binaries(batch["text"])])]
             yield pa.record_batch([*batch.columns, pa.array(out, pa.float64())], [*batch.schema.names, "score"])
 

@@ -2,30 +2,17 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyspark.session import scratch_folder
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
+#: Spark's setting that a query's shuffle files are removed when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
-def shared_folder(spark: SparkSession) -> str:
-    """A folder that driver and executors both see.
 
-    The one the cluster names in ``spark.checkpoint.dir``. A local session is
-    one process, so its own temp folder serves where none is named; a cluster
-    without the setting is refused.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if named:
-        return named.rstrip("/")
-    master = spark.sparkContext.master
-    if master == "local" or master.startswith("local["):
-        return f"{spark._jvm.System.getProperty('java.io.tmpdir')}/tallyspark-{spark.sparkContext.applicationId}"
-    raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def written(df: DataFrame, what: str) -> DataFrame:
@@ -34,9 +21,19 @@ def written(df: DataFrame, what: str) -> DataFrame:
     Cuts the lineage for results that several later steps read; a lost
     executor costs a re-read.
     """
-    target = f"{shared_folder(df.sparkSession)}/{what}-{uuid.uuid4().hex}"
-    df.write.parquet(target)
-    return df.sparkSession.read.schema(df.schema).parquet(target)
+    spark = df.sparkSession
+    target = scratch_folder(spark, what)
+    # The written table is all that is read again: the shuffle files behind it may go with the query.
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(target)
+    finally:
+        if before is None:
+            spark.conf.unset(CLEANUP)
+        else:
+            spark.conf.set(CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(target)
 
 
 def remainder(doc_id: Column, folds: int) -> Column:

@@ -11,7 +11,7 @@ a document with a smaller doc_id. Windows are judged on the input.
 3. Extension. Windows around a shared anchor are hashed whole (96 bits) and meet
    by hash; those that a smaller doc_id holds too are reported as late.
 
-Hashes meet packed: each Arrow batch first settles what it can see itself (a
+Hashes meet packed: each part of a batch first settles what it can see itself (a
 hash in several of its documents needs no reply) and sends one entry per hash
 and batch, so a passage in a third of all documents reaches a partition once
 per batch, not once per document. No pairs are made.
@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyspark.llm.hashing import WINDOW_BASES, binaries, groups, hash_windows, hash_words
+from tallyspark.llm.hashing import WINDOW_BASES, binaries, groups, hash_windows, hash_words, slices
 from tallyspark.llm.shared import written
 
 # Perfect difference covers by period.
@@ -222,7 +222,7 @@ def dedup_substrings(documents: DataFrame, window: int = 13) -> DataFrame:
     numbered = rows.where("doc_id IS NOT NULL").select("doc_id", "text", "key")
 
     def find_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             found, owner = [], []
             for start, _, hashes, row, place in batch_words(batch):
                 at, h = anchors_of(hashes, row, place, window)
@@ -235,7 +235,7 @@ def dedup_substrings(documents: DataFrame, window: int = 13) -> DataFrame:
 
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         period = cover_for(window)[0]
-        for batch in batches:
+        for batch in slices(batches):
             told = batch["told"].to_pylist()
             found, checks, owner = [], [], []
             for start, end, hashes, row, place in batch_words(batch):
@@ -261,7 +261,7 @@ def dedup_substrings(documents: DataFrame, window: int = 13) -> DataFrame:
                 yield from pack(h, np.concatenate(checks), np.concatenate(owner).astype(np.int32), keys, docs, parts, True)
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             texts = binaries(batch["text"])
             told = batch["told"].to_pylist()
             counts, removed, kept = [], [], []
