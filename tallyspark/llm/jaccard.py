@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyspark.llm.components import components
-from tallyspark.llm.hashing import LOWER, binaries, groups, hash_windows, hash_words, mix
+from tallyspark.llm.hashing import LOWER, binaries, groups, hash_windows, hash_words, mix, slices
 from tallyspark.llm.shared import written
 
 SMALL = 16  #: lists up to this long are compared whole
@@ -133,7 +133,7 @@ def jaccard_components(documents: DataFrame, words: int = 4, percent: int = 85)
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
 
     def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             out = [(len(s), key_of(s) if len(s) else None) for s in shingle_sets(binaries(batch["text"]), words)]
             yield pa.record_batch([batch["doc_id"], pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], ["doc_id", "n", "key"])
 
@@ -142,7 +142,7 @@ def jaccard_components(documents: DataFrame, words: int = 4, percent: int = 85)
 
     def distinct_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray]]:
         """Key and set of each document, once per batch."""
-        for batch in batches:
+        for batch in slices(batches):
             seen = set()
             for s in shingle_sets(binaries(batch["text"]), words):
                 if len(s) and (k := key_of(s)) not in seen:
@@ -205,7 +205,7 @@ def jaccard_components(documents: DataFrame, words: int = 4, percent: int = 85)
         near = F.broadcast(chosen) if chosen.count() <= BROADCAST_IDS else chosen
 
         def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in slices(batches):
                 found = list(shingle_sets(binaries(batch["text"]), words))
                 # A doc_id that is repeated with other texts is told apart by the key.
                 own = [len(s) > 0 and key_of(s) == k for s, k in zip(found, batch["key"].to_pylist(), strict=True)]
@@ -288,6 +288,7 @@ def jaccard_components(documents: DataFrame, words: int = 4, percent: int = 85)
         comps = components(links)
 
     placed = named.where("key IS NOT NULL").join(comps.withColumnRenamed("node", "key"), "key", "left").withColumn("comp", F.coalesce("comp", "key"))
-    least = placed.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
+    # A table of its own: so the join with a hot component can be split.
+    least = written(placed.groupBy("comp").agg(F.min("doc_id").alias("component_id")), "components")
     alone = profiles.where("doc_id IS NULL OR key IS NULL").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return placed.join(least, "comp").select("doc_id", F.col("n").alias("n_shingles"), "component_id").unionByName(alone)
