@@ -100,3 +100,11 @@ PLAN_CLASSES = {
     "enterprise": "enterprise",
     "edu": "edu",
 }
+
+# Words of the report and alert texts.
+WINDOW_UNITS = {"month": "月", "week": "周", "day": "天", "hour": "小时", "minute": "分钟"}
+QUOTA_NAMES = {"short": "5h额度", "free": "月额度", "long": "周额度", "suffix": "额度"}
+PERIOD_NAMES = {"free": "本月", "paid": "本周", "short": "本期", "prefix": "本"}
+AGES = {"now": "刚刚更新", "minutes": "分钟前更新", "hours": "小时前更新", "days": "天前更新"}
+RESET_TEXT = "窗口已重置，当前剩余 "
+OVERFLOW_TEXTS = ("已扣 ", " credits（约 ", "）")

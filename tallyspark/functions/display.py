@@ -5,7 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tallyspark.fixed_values import PLAN_CLASSES, PLAN_LABELS
+from tallyspark.fixed_values import (
+    AGES,
+    OVERFLOW_TEXTS,
+    PERIOD_NAMES,
+    PLAN_CLASSES,
+    PLAN_LABELS,
+    QUOTA_NAMES,
+    RESET_TEXT,
+    WINDOW_UNITS,
+)
 
 MISSING = "--"
 
@@ -90,29 +99,29 @@ def window_name(seconds: Column) -> Column:
 
     return (
         F.when(minutes == 300, "5h")
-        .when(minutes.between(40_320, 44_640), "月")
-        .when(minutes == 10_080, "周")
-        .when((minutes != 0) & (minutes % 10_080 == 0), whole(10_080, "周"))
-        .when((minutes != 0) & (minutes % 1_440 == 0), whole(1_440, "天"))
-        .when((minutes != 0) & (minutes % 60 == 0), whole(60, "小时"))
-        .when(minutes.isNotNull(), F.concat(minutes.cast("string"), F.lit("分钟")))
+        .when(minutes.between(40_320, 44_640), WINDOW_UNITS["month"])
+        .when(minutes == 10_080, WINDOW_UNITS["week"])
+        .when((minutes != 0) & (minutes % 10_080 == 0), whole(10_080, WINDOW_UNITS["week"]))
+        .when((minutes != 0) & (minutes % 1_440 == 0), whole(1_440, WINDOW_UNITS["day"]))
+        .when((minutes != 0) & (minutes % 60 == 0), whole(60, WINDOW_UNITS["hour"]))
+        .when(minutes.isNotNull(), F.concat(minutes.cast("string"), F.lit(WINDOW_UNITS["minute"])))
     )
 
 
 def quota_label(seconds: Column, plan: Column, short: bool) -> Column:
     fallback = (
-        F.lit("5h额度") if short else F.when(plan == "free", "月额度").otherwise("周额度")
+        F.lit(QUOTA_NAMES["short"]) if short else F.when(plan == "free", QUOTA_NAMES["free"]).otherwise(QUOTA_NAMES["long"])
     )
-    return F.coalesce(F.concat(window_name(seconds), F.lit("额度")), fallback)
+    return F.coalesce(F.concat(window_name(seconds), F.lit(QUOTA_NAMES["suffix"])), fallback)
 
 
 def period_label(seconds: Column, plan: Column) -> Column:
     name = window_name(seconds)
     return (
-        F.when(name.isNull() & (plan == "free"), "本月")
-        .when(name.isNull(), "本周")
-        .when(name == "5h", "本期")
-        .otherwise(F.concat(F.lit("本"), name))
+        F.when(name.isNull() & (plan == "free"), PERIOD_NAMES["free"])
+        .when(name.isNull(), PERIOD_NAMES["paid"])
+        .when(name == "5h", PERIOD_NAMES["short"])
+        .otherwise(F.concat(F.lit(PERIOD_NAMES["prefix"]), name))
     )
 
 
@@ -136,10 +145,10 @@ def elapsed_label(then_seconds: Column, now_seconds: Column) -> Column:
         return F.concat(F.call_function("div", gone, F.lit(unit)).cast("string"), F.lit(suffix))
 
     return (
-        F.when(gone < 60, "刚刚更新")
-        .when(gone < 3_600, ago(60, "分钟前更新"))
-        .when(gone < 86_400, ago(3_600, "小时前更新"))
-        .when(gone.isNotNull(), ago(86_400, "天前更新"))
+        F.when(gone < 60, AGES["now"])
+        .when(gone < 3_600, ago(60, AGES["minutes"]))
+        .when(gone < 86_400, ago(3_600, AGES["hours"]))
+        .when(gone.isNotNull(), ago(86_400, AGES["days"]))
     )
 
 
@@ -165,10 +174,10 @@ def reset_text(seconds: Column, remaining: Column) -> Column:
     name = window_name(seconds)
     gap = F.when(name.rlike("[A-Za-z0-9]$"), " ").otherwise("")
     left = F.format_string("%.0f", F.bround(remaining))
-    return F.concat(name, gap, F.lit("窗口已重置，当前剩余 "), left, F.lit("%"))
+    return F.concat(name, gap, F.lit(RESET_TEXT), left, F.lit("%"))
 
 
 def overflow_text(period: Column, credits: Column, usd_per_credit: float) -> Column:
     return F.concat(
-        period, F.lit("已扣 "), credits_text(credits), F.lit(" credits（约 "), usd(credits * usd_per_credit), F.lit("）")
+        period, F.lit(OVERFLOW_TEXTS[0]), credits_text(credits), F.lit(OVERFLOW_TEXTS[1]), usd(credits * usd_per_credit), F.lit(OVERFLOW_TEXTS[2])
     )
