@@ -14,6 +14,7 @@ from tallyspark.operators.compaction import compact_events, compactable_files
 from tallyspark.operators.credits import credits_debits
 from tallyspark.operators.pricing import price_frame, price_issues, price_volumes, strict_cost
 from tallyspark.operators.quota import (
+    NANOS,
     latest_quota,
     period_boundary,
     quota_status,
@@ -44,6 +45,8 @@ from tallyspark.sources.manifest import manifest_diff
 from tallyspark.sources.price_sheets import parse_price_sheets
 from tallyspark.sources.responses import parse_rate_limits
 from tallyspark.sources.session_logs import parse_text
+from tallyspark.streaming.alerts import AlertRules, alerts_of, watch
+from tallyspark.streaming.windows import SUMS, cut_periods, keep_slices, kept_slices
 from tallyspark.streaming.parse_state import (
     OUTPUT,
     configure_streaming,
@@ -324,9 +327,7 @@ def overflow_alerts_by_home(spark, sf_dir):
     return found.withColumn("credits", F.round("credits", 4))
 
 
-@query("watch_alerts")
-def watched_alerts(spark, sf_dir):
-    """The full alert rules over looks that come late, of switching accounts and limits."""
+def _looks(spark, sf_dir):
     line = F.col("line_no")
     windows = {
         f"{side}_{name}": F.col(f"{side}.{field}") * (60 if name == "seconds" else 1)
@@ -342,7 +343,52 @@ def watched_alerts(spark, sf_dir):
         *[c.alias(n) for n, c in windows.items()],
         F.when(line % 5 != 4, (line % 4) * 0.125).alias("overflow_credits"),
     )
-    return find_alerts(looks, REFRESH_SECONDS)
+    return looks
+
+
+@query("watch_alerts")
+def watched_alerts(spark, sf_dir):
+    """The full alert rules over looks that come late, of switching accounts and limits."""
+    return find_alerts(_looks(spark, sf_dir), REFRESH_SECONDS)
+
+
+@query("streamed_alerts")
+def streamed_alerts(spark, sf_dir):
+    """The same looks as a stream that stops and goes on half way."""
+    looks = settle(_looks(spark, sf_dir))
+    folder, split = scratch_folder(spark, "stream"), F.expr(nanos_literal(SPLIT_DAY, "spark"))
+    incoming = spark.readStream.schema(looks.schema).parquet(f"{folder}/in/*")
+    rules = AlertRules(REFRESH_SECONDS, retain_seconds=10 * 366 * 86_400)
+    for number, part in enumerate((F.col("observed_nanos") < split, F.col("observed_nanos") >= split)):
+        looks.where(part).write.parquet(f"{folder}/in/{number}")
+        watch(incoming, rules, folder).trigger(availableNow=True).start().awaitTermination()
+    return alerts_of(spark, folder).select("home", "observed_nanos", "kind", "seconds", "value")
+
+
+def _streamed_slices(spark, sf_dir):
+    """Sums per account and second of the events as a stream in several batches."""
+    events = _events(spark, sf_dir).select("home", "ts_nanos", "delta_total", "overflow")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    source = write_settled(events.repartition(parts, "ts_nanos"))
+    folder = scratch_folder(spark, "stream")
+    incoming = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", max(2, parts // 2)).parquet(source)
+    keep_slices(incoming, folder).trigger(availableNow=True).start().awaitTermination()
+    return kept_slices(spark, folder)
+
+
+@query("streamed_period_usage")
+def streamed_period_usage(spark, sf_dir):
+    """Boundaries that are known only after the events have streamed by."""
+    slices = _streamed_slices(spark, sf_dir)
+    start = period_boundary(_status(event_lines(spark, sf_dir))).select("home", "period_start_nanos")
+    return cut_periods(slices, start).select("home", "period_start_nanos", *[F.col(n).cast("bigint").alias(n) for n in SUMS])
+
+
+@query("streamed_today_usage")
+def streamed_today_usage(spark, sf_dir):
+    today = local_date(now(), TZ)
+    inside = _streamed_slices(spark, sf_dir).where(local_date(F.col("second") * NANOS, TZ) == today)
+    return inside.groupBy("home").agg(*[F.sum(n).cast("bigint").alias(n) for n in SUMS])
 
 
 @query("manifest_diff")

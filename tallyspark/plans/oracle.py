@@ -522,7 +522,7 @@ _EARLIER = "partition by home order by observed, received rows between unbounded
 
 def _reset_rows(role: str, seconds: int) -> str:
     drift = seconds // 10
-    return f"""select home, observed as observed_nanos, 'reset' as kind, {seconds} as seconds, greatest(0.0, least(100.0, 100.0 - {role}_used)) as value
+    return f"""select home, observed as observed_nanos, 'reset' as kind, cast({seconds} as bigint) as seconds, greatest(0.0, least(100.0, 100.0 - {role}_used)) as value
   from runs where not coalesce(blind, false) and not full_up and (
     (lim = led.lim and received - led.received between 1 and {BLIND} and observed - received between 0 and {BLIND} and not other
       and abs({role}_resets - last_{role} - {seconds}) <= {drift})
@@ -559,7 +559,7 @@ fired as (
   select *, row_number() over (partition by home, long_resets order by observed, received) as rn from runs where not stale and credits >= 0.25 and armed = 1)
 {_reset_rows("short", 18000)}
 union all {_reset_rows("long", 604800)}
-union all select home, observed, 'overflow', 604800, credits from fired where rn = 1"""
+union all select home, observed, 'overflow', cast(604800 as bigint), cast(credits as double) from fired where rn = 1"""
 
 SQL["overflow_alerts"] = f"""with {LINES_PLAIN}, seq as (
   select home, ts_nanos, path, line_no, secondary_resets_at as period, balance, lag(balance) over w as prev,
@@ -697,3 +697,8 @@ select f.home, cast(count(*) as bigint) as files_scanned, cast(count(*) filter (
   cast((select count(distinct path) from win_copies c where c.home = f.home) as bigint) as copies,
   cast((select sum(deferred_files) from trust t where t.home = f.home) as bigint) as deferred_files
 from files f group by f.home"""
+
+# Streams give what the same rules give in batch.
+SQL["streamed_alerts"] = SQL["watch_alerts"]
+SQL["streamed_period_usage"] = SQL["period_usage"]
+SQL["streamed_today_usage"] = SQL["today_usage"]

@@ -134,18 +134,21 @@ def usage_tables(
     )
 
 
+def have_prices(prices: DataFrame) -> Column:
+    """Whether there is any price at all, as a scalar subquery."""
+    return prices.agg(F.count(F.lit(1)) > 0).scalar()
+
+
 def window_report(tables: UsageTables, prices: DataFrame) -> DataFrame:
     """One row per account and window; values stay NULL unless reliable."""
     key = ["home", "window_kind"]
     cost = strict_cost(price_volumes(tables.volumes, prices), key).withColumnRenamed("cost", "_cost")
-    have_prices = prices.groupBy().agg((F.count(F.lit(1)) > 0).alias("_priced")).withColumn("_one", F.lit(1))
     df = (
         tables.reliability.join(tables.totals, key, "left")
         .join(tables.credits, key, "left")
         .join(cost.withColumn("_has_volume", F.lit(True)), key, "left")
         .join(cache_hit_rate(tables.volumes, key), key, "left")
-        .withColumn("_one", F.lit(1))
-        .join(have_prices, "_one")
+        .withColumn("_priced", have_prices(prices))
     )
     zero = CounterMath.of(tables.totals, "tokens").zero()
     # No usage costs nothing, provided there is a price table at all.
@@ -226,14 +229,8 @@ def report_issues(tables: UsageTables, prices: DataFrame) -> DataFrame:
     key = ["home", "window_kind"]
     trusted = tables.reliability.where("reliable").select(*key)
     issues = price_issues(price_volumes(tables.volumes.join(trusted, key, "left_semi"), prices), ["home"])
-    have = prices.groupBy().agg((F.count(F.lit(1)) > 0).alias("_priced")).withColumn("_one", F.lit(1))
     # Without any price table a missing price says nothing.
-    return (
-        issues.withColumn("_one", F.lit(1))
-        .join(have, "_one")
-        .where(F.col("_priced") | (F.col("issue_kind") == "diagnostic"))
-        .drop("_one", "_priced")
-    )
+    return issues.where(have_prices(prices) | (F.col("issue_kind") == "diagnostic"))
 
 
 def run_diagnostics(tables: UsageTables) -> DataFrame:
