@@ -40,7 +40,7 @@ BLOCK, CHUNK = 8192, 2048
 NEAR = 512  #: codes of a block that are reranked, at least (and all that tie)
 
 
-def learn_rotations(sample: np.ndarray, rotations: int = ROTATIONS, rounds: int = 40) -> tuple[np.ndarray, np.ndarray]:
+def learn_rotations(sample: np.ndarray, rotations: int = ROTATIONS, rounds: int = 15) -> tuple[np.ndarray, np.ndarray]:
     """Mean and projection (d x bits) of the sign codes."""
     mean = sample.mean(axis=0)
     centred = sample - mean
