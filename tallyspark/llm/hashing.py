@@ -23,7 +23,9 @@ BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 WINDOW_BASES = (0xA0761D6478BD642F, 0xE7037ED1A0B428DB)
 MASK = (1 << 64) - 1
 #: Texts are hashed in groups of so many bytes, or one longer text.
-GROUP_BYTES = 1 << 20
+GROUP_BYTES = 1 << 18
+#: Batches are worked on in parts of so many bytes, or one longer text.
+PART_BYTES = 1 << 22
 
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
@@ -113,7 +115,7 @@ def binaries(column: pa.Array) -> list[bytes | None]:
     return column.cast(pa.large_binary()).to_pylist()
 
 
-def slices(batches: Iterator[pa.RecordBatch], most: int = 4 * GROUP_BYTES) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], most: int = PART_BYTES) -> Iterator[pa.RecordBatch]:
     """The batches, cut so that a part's ``text`` has at most so many bytes, or is one row.
 
     What is made of a part is gone before the next one: memory follows the part, not the batch.
