@@ -1,13 +1,15 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
 Words are runs of ASCII letters, digits and all bytes beyond ASCII, with A-Z
-lower-cased. The word trigrams of the test items are counted over all documents;
-each item keeps the rarer half of its own as seeds. Where a seed occurs in a
+lower-cased. Every word trigram of a test item is a seed, as edits and excerpts
+leave no saying which ones a copy still holds. Where a seed occurs in a
 document, the passage around it that the whole item could cover is aligned with
 the item (match 2, mismatch and gap -1); passages of one item that overlap are
 one. The score is that of the best local alignment over that of an exact copy.
 A hit scores at least ``threshold``, or its alignment is worth at least
-``run_words`` matching words, as an excerpt of a long item may be.
+``run_words`` matching words, as an excerpt of a long item may be. Passages that
+share too few words with the item for either, in any order, are not aligned:
+most seeds are common trigrams, and their passages end there.
 Documents are matched where they are read; nothing of them is shuffled.
 
 The test items are taken in chunks of a bounded number of words, which are
@@ -63,17 +65,16 @@ class Seeds:
         return at[hit], gram[hit]
 
 
-def seeds_of(ids: list, words: list[np.ndarray], lengths: list[int], chosen: list[np.ndarray] | None = None) -> Seeds:
-    """All n-grams of the items, or those at the chosen places."""
+def seeds_of(ids: list, words: list[np.ndarray]) -> Seeds:
+    """All n-grams of the items."""
     h, item, place = [], [], []
     for i, w in enumerate(words):
         n = min(GRAM, len(w))
         if n:
             g = grams_of(w, n)
-            p = np.arange(len(g)) if chosen is None else chosen[i]
-            h.append(g[p])
-            item.append(np.full(len(p), i))
-            place.append(p)
+            h.append(g)
+            item.append(np.full(len(g), i))
+            place.append(np.arange(len(g)))
     h, item, place = (np.concatenate(x) if x else np.zeros(0, t) for x, t in ((h, np.uint64), (item, np.int64), (place, np.int64)))
     order = np.argsort(h, kind="stable")
     grams, first = np.unique(h[order], return_index=True)
@@ -153,6 +154,11 @@ def passages(at: np.ndarray, places: np.ndarray, length: int, n_words: int) -> l
     return [(a, b) for a, b in out]
 
 
+def shared_words(item: np.ndarray, passage: np.ndarray) -> int:
+    """No alignment of the two has more matches."""
+    return min(int(np.isin(item, passage).sum()), int(np.isin(passage, item).sum()))
+
+
 def find_leaks(documents: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, run_words: int = RUN_WORDS, chunk_words: int = CHUNK_WORDS) -> DataFrame:
     """document (struct of all input columns) and hits of each document (text)."""
     spark = documents.sparkSession
@@ -167,38 +173,16 @@ def find_leaks(documents: DataFrame, benchmark: DataFrame, threshold: float = TH
         words = [hash_words([plain(t.encode())]).hashes for t in part["text"]]
         ids = [None if v != v or v is None else int(v) for v in part["item_id"]]
         short = sorted({len(w) for w in words if 0 < len(w) < GRAM})
-        rows = rows.mapInArrow(_matcher(spark, documents, ids, words, short, threshold, run_words), schema)
+        rows = rows.mapInArrow(_matcher(spark, ids, words, short, threshold, run_words), schema)
     return rows.select("document", "hits")
 
 
-def _matcher(spark, documents: DataFrame, ids: list, words: list[np.ndarray], short: list[int], threshold: float, run_words: int):
+def _matcher(spark, ids: list, words: list[np.ndarray], short: list[int], threshold: float, run_words: int):
     """Adds one chunk's hits to the documents that are read."""
-    every = spark.sparkContext.broadcast((seeds_of(ids, words, short), short))
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seeds, short = every.value
-        total = np.zeros(len(seeds.grams), np.int64)
-        for batch in slices(batches):
-            for _, _, _, gram in gram_hits(binaries(batch["text"]), seeds, short):
-                total[np.unique(gram)] += 1
-        some = np.flatnonzero(total)
-        yield pa.record_batch([pa.array(some), pa.array(total[some])], ["gram", "docs"])
-
-    counts = np.zeros(len(every.value[0].grams), np.int64)
-    if len(counts):
-        found = documents.select("text").mapInArrow(count, "gram long, docs long").groupBy("gram").agg(F.sum("docs").alias("docs")).toPandas()
-        counts[found["gram"].to_numpy()] = found["docs"]
-    chosen = []
-    for w in words:
-        n = min(GRAM, len(w))
-        g = grams_of(w, n) if n else np.zeros(0, np.uint64)
-        df = counts[np.searchsorted(every.value[0].grams, g)] if len(g) else np.zeros(0, np.int64)
-        order = np.lexsort((np.arange(len(g)), df))
-        chosen.append(np.sort(order[: max(4, -(-len(g) // 2))]))
-    rare = spark.sparkContext.broadcast((seeds_of(ids, words, short, chosen), short))
+    every = spark.sparkContext.broadcast((seeds_of(ids, words), short))
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seeds, short = rare.value
+        seeds, short = every.value
         for batch in slices(batches):
             hits = batch["hits"].to_pylist()
             for r, hashes, at, gram in gram_hits(binaries(batch["text"]), seeds, short):
@@ -211,6 +195,9 @@ def _matcher(spark, documents: DataFrame, ids: list, words: list[np.ndarray], sh
                     spots = np.array(found)
                     best = (0, 0, 0)
                     for a, b in passages(spots[:, 0], spots[:, 1], len(item), len(hashes)):
+                        most = shared_words(item, hashes[a:b])
+                        if most / len(item) < threshold and most < run_words:
+                            continue
                         top, first, last = align(item, hashes[a:b])
                         if top > best[0]:
                             best = (top, a + first, a + last)

@@ -58,3 +58,28 @@ def test_short_items_repeats_and_empty_tables(spark):
     assert leaks(spark, [], [(1, "a b c d")]) == {} and leaks(spark, [(1, "a b c d")], []) == {}
     row = find_leaks(frame(spark, [(1, "a")]), spark.createDataFrame([], "item_id long, text string")).first()
     assert row["document"]["hits"] == 2 and row["hits"] == []
+
+
+def test_lone_edited_copies_and_excerpts_equal_all_pairs(spark):
+    r = random.Random(8)
+    vocabulary = ["the", "of", "and", "a", "in", *(f"v{k}" for k in range(400))]
+    say = lambda n: [r.choice(vocabulary) for _ in range(n)]
+    items = [(i, say(30 if i < 5 else 60)) for i in range(10)]
+    rows = []
+    for i, t in items[:5]:  # the only copy in the corpus
+        rows.append((i, " ".join(say(50) + [w if k % 5 != 2 else "changed" for k, w in enumerate(t)] + say(40))))
+    for i, t in items[5:]:  # excerpts, and exact copies elsewhere for some
+        start = r.randrange(47)
+        rows.append((i, " ".join(say(50) + t[start : start + 13] + say(40))))
+        if i > 6:
+            rows.append((100 + i, " ".join(say(20) + t + say(20))))
+    rows += [(1000 + i, " ".join(say(100))) for i in range(10)]
+    expected = {}
+    for doc_id, text in rows:
+        for i, t in items:
+            top = smith_waterman(t, text.split())
+            if top >= len(t) or top >= 26:
+                expected[(doc_id, i)] = top / (2 * len(t))
+    got = leaks(spark, rows, [(i, " ".join(t)) for i, t in items])
+    assert {k: v[0] for k, v in got.items()} == expected
+    assert {(i, i) for i, _ in items} <= set(got)
