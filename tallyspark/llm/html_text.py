@@ -9,7 +9,10 @@ and the two are fused as a geometric mean. Paths whose fused ratio reaches a
 share of the page's length-weighted mean are content. The blocks of the
 container that holds the content come out in page order, without the paths
 that are navigation, notes, forms, adverts or comments by their elements or
-names, or that are mostly links.
+names, or that are mostly links. A class or id that names boilerplate does not
+count if it is a modifier (has-sidebar), the header of a piece (entry-header), or
+that of an element around the page's articles or most of its text; if all that
+is left is named so, names do not count.
 
 Nulls and edge cases: a null or empty page, and one without text, gives an
 empty string. Character references are decoded, white space in a block becomes
@@ -44,6 +47,9 @@ NAMED = re.compile(
     r"footer|foot|masthead|topbar|header|comment|comments|respond|reply|replies|discussion|disqus|cookie|cookies|consent|gdpr|notice|notices|alert|popup|modal|overlay|newsletter|subscribe|subscription|"
     r"signup|login|share|sharing|social|related|recommended|widget|pagination|pager|toolbar|skip|copyright|legal|tags|rating|search)(?:$|[\s_-])"
 )
+TALK = re.compile(r"(?:^|\s)(?:comment|comments|respond|reply|replies|discussion|disqus)(?:$|\s)")  #: may outweigh the article
+MODIFIER = re.compile(r"^(?:has|with|without|no|not|hide|show)[\s_-]")
+PIECE = re.compile(r"^(?:entry|post|article|content|story|page|section|chapter)[\s_-]+header$")
 ROLES = re.compile(r"^(?:navigation|banner|contentinfo|complementary|search|form|alert|dialog|menu|menubar|toolbar)$")
 CONTAINER = frozenset(("article", "main"))
 TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(>|$)", re.S)
@@ -55,7 +61,9 @@ SHARE = 0.2  #: of the page's mean ratio that a path needs
 def blocks_of(page: str) -> list[tuple[tuple[str, ...], str, int, bool]]:
     """Path, text, characters under links and "boilerplate by name" of each block."""
     out: list[tuple[tuple[str, ...], str, int, bool]] = []
-    stack: list[tuple[str, str, bool]] = []  # element, its label, boilerplate
+    stack: list[tuple[str, str, int]] = []  # element, its label, its number
+    tree = Tree()
+    nodes: list[int] = []  # of each block, its element
     parts: list[str] = []
     link_chars = links = 0
 
@@ -64,7 +72,8 @@ def blocks_of(page: str) -> list[tuple[tuple[str, ...], str, int, bool]]:
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
-                out.append((tuple(x[1] for x in stack), text, link_chars, any(x[2] for x in stack)))
+                out.append((tuple(x[1] for x in stack), text, link_chars, False))
+                nodes.append(stack[-1][2] if stack else 0)
             parts.clear()
         link_chars = 0
 
@@ -133,7 +142,7 @@ def blocks_of(page: str) -> list[tuple[tuple[str, ...], str, int, bool]]:
             close(CLOSES[name], frozenset(("table", "ul", "ol", "dl")) if name != "body" else frozenset())
         if name in VOID or tag[3].rstrip().endswith("/"):
             continue
-        label, bad = name, name in NEVER
+        label, bad, named, piece = name, name in NEVER, "", False
         content = any(x[0] in CONTAINER for x in stack)
         if tag[3]:
             names = []
@@ -141,20 +150,97 @@ def blocks_of(page: str) -> list[tuple[tuple[str, ...], str, int, bool]]:
                 key, value = m[1].lower(), (m[2] or "").strip("\"'").lower()
                 if key in ("class", "id"):
                     names.append(value)
-                    bad |= name not in ("html", "body", "article", "main") and NAMED.search(re.sub(r"[^a-z0-9]+", " ", value)) is not None
+                    if name not in ("html", "body", "article", "main"):
+                        piece |= any(PIECE.match(x) for x in value.split())
+                        named += " ".join(naming_words(value, content)) + " "
                 elif key == "role":
                     bad |= ROLES.match(value) is not None
                 elif key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and "display:none" in value.replace(" ", ""):
                     bad = True
             if names:
                 label = f"{name}.{' '.join(names)}"
-        if name == "header" and not content:
+        if name == "header" and not content and not piece:
             bad = True
-        stack.append((name, label, bad))
+        stack.append((name, label, tree.add(stack[-1][2] if stack else 0, name, bad, named)))
     end_block()
+    bad_nodes = tree.boilerplate(nodes, [len(b[1]) for b in out])
+    return [(path, text, link, bad_nodes[n]) for (path, text, link, _), n in zip(out, nodes, strict=True)]
+
+
+def naming_words(value: str, content: bool) -> list[str]:
+    """The parts of a class or id that name boilerplate; ``content``: it is inside an article."""
+    out = []
+    for part in value.split():
+        words = re.sub(r"[^a-z0-9]+", " ", part).strip()
+        if MODIFIER.match(words) or PIECE.match(words):
+            continue
+        if content:
+            words = re.sub(r"(?:^|(?<= ))header(?:$|(?= ))", "", words)
+        if NAMED.search(words):
+            out.append(words)
     return out
 
 
+class Tree:
+    """Elements of a page in order, the page itself first, and what makes them boilerplate."""
+
+    def __init__(self) -> None:
+        self.up, self.name, self.never, self.named = [0], [""], [False], [""]
+
+    def add(self, up: int, name: str, never: bool, named: str) -> int:
+        """``never``: boilerplate whatever it holds; ``named``: the names that say so."""
+        self.up.append(up)
+        self.name.append(name)
+        self.never.append(never or self.never[up])
+        self.named.append(named.strip())
+        return len(self.up) - 1
+
+    def boilerplate(self, nodes: list[int], sizes: list[int]) -> list[bool]:
+        """Of each element, given the blocks' elements and lengths."""
+        n = len(self.up)
+        every, sound = [0] * n, [0] * n  # characters inside; without those under names further in
+        marked, sound_marked = [0] * n, [0] * n  # the same of article and main elements
+        titles = [0] * n  # h1 blocks, without those under names further in
+        for i, size in zip(nodes, sizes, strict=True):
+            if not self.never[i]:
+                every[i] += size
+                sound[i] += size
+                titles[i] += self.name[i] == "h1"
+        for i in range(n - 1, -1, -1):
+            if self.name[i] in CONTAINER:
+                marked[i], sound_marked[i] = every[i], sound[i]
+            if i:
+                up = self.up[i]
+                every[up] += every[i]
+                marked[up] += marked[i]
+                if not self.named[i]:
+                    sound[up] += sound[i]
+                    sound_marked[up] += sound_marked[i]
+                    titles[up] += titles[i]
+        inside, around = [False] * n, [0] * n  # in an article; the nearest named element around
+        for i in range(1, n):
+            up = self.up[i]
+            inside[i] = inside[up] or self.name[up] in CONTAINER
+            around[i] = up if self.named[up] else around[up]
+        dropped = [False] * n
+        articles, heads = sound_marked[0], titles[0]  # kept so far
+        # The largest come first, and outer elements before inner ones.
+        for i in sorted((i for i in range(1, n) if self.named[i]), key=lambda i: (-marked[i], -every[i], i)):
+            talk = TALK.search(self.named[i]) is not None
+            if marked[i]:
+                keep = articles == 0 if talk else marked[i] >= articles
+            else:
+                keep = not talk and 2 * every[i] > every[0] and articles == 0 and heads == 0
+            dropped[i] = not keep or dropped[around[i]]
+            if not dropped[i]:
+                articles += sound[i] if inside[i] else sound_marked[i]
+                heads += titles[i]
+        bad = self.never[:]
+        for i in range(1, n):
+            bad[i] = bad[i] or dropped[i] or bad[self.up[i]]
+        return self.never if all(bad[i] for i in nodes) else bad
+
+
 def _hidden(attributes: str) -> bool:
     return re.search(r"\bhidden\b|display\s*:\s*none", attributes, re.I) is not None
 

@@ -24,6 +24,28 @@ def test_article_only(page):
     assert main_text(page) == TEXT
 
 
+@pytest.mark.parametrize(
+    "page",
+    [
+        f"<div id='page' class='has-sidebar'><article>{ARTICLE}</article></div>",
+        f"<div id='page' class='sidebar-right'><article>{ARTICLE}</article><div class='sidebar'>Some words, by the side.</div></div>",
+        f"<div class='content with-sidebar'>{ARTICLE}</div><div class='footer'>All rights, and so on.</div>",
+        f"<div class='sidebar-left'>{ARTICLE}<div class='share'>Tell all, now.</div></div>",
+        f"<main><div class='side layout'><article>{ARTICLE}</article></div></main>",
+        f"<article>{ARTICLE.replace('<h1>', '<header class=entry-header><h1>').replace('</h1>', '</h1></header>')}</article>",
+        f"<div class='post'>{ARTICLE.replace('<h1>', '<header class=entry-header><h1>').replace('</h1>', '</h1></header>')}</div>",
+        f"<div class='legal'>{ARTICLE}</div>",
+        f"<article>{ARTICLE}</article><div class='related-posts'><article><p>More, of it.</p></article></div>",
+        f"<div class='page sidebar'><article>{ARTICLE}</article><div class='related'><article><p>More, of it.</p></article></div></div>",
+        f"<article>{ARTICLE}</article><div id='comments'>{'<article><p>I think so too, and more than that.</p></article>' * 9}</div>",
+        f"<div class='post'>{ARTICLE}</div><div id='comments'>{'<p>I think so too, and more than that.</p>' * 9}</div>",
+        f"<div class='post'>{ARTICLE}</div><div id='footer'><p>{'All rights, and so on. ' * 9}</p></div>",
+    ],
+)
+def test_names_do_not_take_the_article(page):
+    assert main_text(page) == TEXT
+
+
 def test_references_space_and_unclosed():
     assert main_text("<article><p>a&amp;b &lt;c&gt;\n\t d&#233;<br>e <b>f</b>g<p>h</article>") == "a&b <c> dé e fg\nh"
     assert main_text("1 < 2 and 3 > 2") == "1 < 2 and 3 > 2"
