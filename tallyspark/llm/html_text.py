@@ -6,8 +6,8 @@ tags belong to their block; text under links is counted apart. Per path, text
 length and punctuation are summed over its blocks; ratios to the number of
 blocks are smoothed over the other paths by how much of the path they share,
 and the two are fused as a geometric mean. Paths whose fused ratio reaches a
-share of the page's length-weighted mean are content. The blocks of the
-container that holds the content come out in page order, without the paths
+share of the page's length-weighted mean are content, and show the container
+that holds it. All its blocks come out in page order, without the paths
 that are navigation, notes, forms, adverts or comments by their elements or
 names, or that are mostly links. A class or id that names boilerplate does not
 count if it is a modifier (has-sidebar), the header of a piece (entry-header), or
@@ -26,7 +26,7 @@ from __future__ import annotations
 import html
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -52,6 +52,10 @@ MODIFIER = re.compile(r"^(?:has|with|without|no|not|hide|show)[\s_-]")
 PIECE = re.compile(r"^(?:entry|post|article|content|story|page|section|chapter)[\s_-]+header$")
 ROLES = re.compile(r"^(?:navigation|banner|contentinfo|complementary|search|form|alert|dialog|menu|menubar|toolbar)$")
 CONTAINER = frozenset(("article", "main"))
+#: Elements of a text; what holds them is a container.
+PARTS = frozenset("p h1 h2 h3 h4 h5 h6 pre blockquote figure figcaption ul ol li dl dt dd table caption colgroup thead tbody tfoot tr address details summary hgroup".split())
+CELLS = frozenset(("th", "td"))  #: parts of a table, or of the page's layout
+PAGE = frozenset(("html", "body"))
 TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(>|$)", re.S)
 MARK = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 PUNCTUATION = re.compile(r"[.,;:!?…。，、；：！？]")
@@ -297,18 +301,32 @@ def main_text(page: str | None) -> str:
     for p in chosen:
         for i in range(len(p) + 1):
             held[p[:i]] = held.get(p[:i], 0) + chars[p][0]
-    marked = [p for p, n in held.items() if p and p[-1].split(".")[0] in CONTAINER and 2 * n >= weight]
-    container = max(marked, key=len) if marked else max((p for p, n in held.items() if 10 * n >= 9 * weight), key=len)
+    marked = [p for p, n in held.items() if p and element(p[-1]) in CONTAINER and 2 * n >= weight]
+    container = max(marked, key=len) if marked else holder(max((p for p, n in held.items() if 10 * n >= 9 * weight), key=len), chars)
+    # The page itself is no container: of what it holds, the parts of a text count.
+    whole = not container or element(container[-1]) in PAGE
     lines = []
     for path, text, link, _ in sound:
         inside = path[: len(container)] == container
-        heading = path and path[-1].split(".")[0] in ("h1", "h2", "h3", "h4", "h5", "h6")
+        heading = path and element(path[-1]) in ("h1", "h2", "h3", "h4", "h5", "h6")
         c = chars[path]
-        if inside and (path in chosen or marked and 2 * c[1] <= c[0] or heading and link < len(text)) or not inside and not marked and path in chosen:
+        held_as_text = inside and (not whole or all(element(x) in PARTS or element(x) in CELLS for x in path[len(container) :] if element(x) not in PAGE))
+        if held_as_text and 2 * c[1] <= c[0] or inside and (path in chosen or heading and link < len(text)) or not inside and not marked and path in chosen:
             lines.append(text)
     return "\n".join(lines)
 
 
+def element(label: str) -> str:
+    return label.split(".", 1)[0]
+
+
+def holder(path: tuple[str, ...], paths: Iterable[tuple[str, ...]]) -> tuple[str, ...]:
+    """The path, or the nearest one above it that is no part of a text; a cell with blocks in it is none."""
+    while path and (element(path[-1]) in PARTS or element(path[-1]) in CELLS and not any(len(p) > len(path) and p[: len(path)] == path for p in paths)):
+        path = path[:-1]
+    return path
+
+
 def extract_text(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of each page (page_id, url, html)."""
 

@@ -46,6 +46,25 @@ def test_names_do_not_take_the_article(page):
     assert main_text(page) == TEXT
 
 
+LONG = "Words of it, and more; all in one line. So it goes on: to the end. " * 5
+ITEMS = "<ul><li>An item without any marks in it at all</ul><table><caption>What the cells say</caption><tr><th>Name<td>42</table><pre>x = 1</pre><figure><figcaption>A figure</figcaption></figure>"
+KEPT = ["An item without any marks in it at all", "What the cells say", "Name", "42", "x = 1", "A figure"]
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<div id=menu><ul><li><a href=1>One</a></ul></div><div class='content'>{}</div><div class='comments'><p>Nice one, thank you very much.</p></div>",
+        "<body><ul><li><a href=1>One</a></ul><div class='content'><div>{}</div></div><div class=bottom>Up</div></body>",
+        "<table><tr><td class=left><a href=1>One</a></td><td class=text>{}</td></tr></table>",
+        "<html><body><div class=top>Site</div>{}<div class=bottom>Up</div></body></html>",
+        "{}",
+    ],
+)
+def test_items_cells_and_captions_of_a_container_stay(page):
+    assert main_text(page.format(f"<h1>Title</h1>{f'<p>{LONG}</p>' * 3}{ITEMS}<p>{LONG}</p>")).split("\n") == ["Title", *[LONG.strip()] * 3, *KEPT, LONG.strip()]
+
+
 def test_references_space_and_unclosed():
     assert main_text("<article><p>a&amp;b &lt;c&gt;\n\t d&#233;<br>e <b>f</b>g<p>h</article>") == "a&b <c> dé e fg\nh"
     assert main_text("1 < 2 and 3 > 2") == "1 < 2 and 3 > 2"
