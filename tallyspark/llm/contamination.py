@@ -1,7 +1,7 @@
 """Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
-Words are runs of ASCII letters, digits and all bytes beyond ASCII, with A-Z
-lower-cased. Every word trigram of a test item is a seed, as edits and excerpts
+Words are runs of ASCII letters, digits and all bytes beyond ASCII, of the text
+with cases folded and in composed form (NFC). Every word trigram of a test item is a seed, as edits and excerpts
 leave no saying which ones a copy still holds. Where a seed occurs in a
 document, the passage around it that the whole item could cover is aligned with
 the item (match 2, mismatch and gap -1); passages of one item that overlap are
@@ -24,6 +24,7 @@ struct ``document``, so their names cannot clash.
 
 from __future__ import annotations
 
+import unicodedata
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -89,7 +90,12 @@ def grams_of(words: np.ndarray, n: int) -> np.ndarray:
 
 
 def plain(text: bytes | None) -> bytes:
-    return (text or b"").translate(LOWER).translate(_PLAIN)
+    text = text or b""
+    if not text.isascii():
+        # Capitals of a sharp s are two letters: folded, not lower-cased. Composed again, as folding may part a mark.
+        folded = unicodedata.normalize("NFC", text.decode("utf-8", "replace")).casefold()
+        text = unicodedata.normalize("NFC", folded).encode()
+    return text.translate(_PLAIN)
 
 
 def gram_hits(texts: list[bytes | None], seeds: Seeds, short: list[int]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+import unicodedata
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -83,3 +84,10 @@ def test_lone_edited_copies_and_excerpts_equal_all_pairs(spark):
     got = leaks(spark, rows, [(i, " ".join(t)) for i, t in items])
     assert {k: v[0] for k, v in got.items()} == expected
     assert {(i, i) for i, _ in items} <= set(got)
+
+
+def test_capitals_and_composed_forms_of_any_script(spark):
+    item = "Élève àgé où ça Öl Übung ñandú señal ΟΔΟΣ όπως Слово Straße été noël"
+    forms = [item.upper(), item.lower(), unicodedata.normalize("NFD", item), unicodedata.normalize("NFD", item.upper()), item.title()]
+    got = leaks(spark, [(i, f"before it {t} after it") for i, t in enumerate(forms)], [(1, item)])
+    assert got == {(i, 1): (1.0, 2, 15) for i in range(len(forms))}
