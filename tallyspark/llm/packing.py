@@ -2,8 +2,8 @@
 
 Documents become sequences of at most ``capacity`` tokens (words): longer ones
 are cut into full pieces and a rest. A bin never holds two pieces of one source
-or of one duplicate cluster (equal texts but for case and white space; pieces
-of one document are one cluster).
+or of one duplicate cluster (equal texts but for case and white space, and near
+copies if their groups are given; pieces of one document are one cluster).
 
 Pieces are dealt over shards of bounded size and packed there, largest first.
 A shard's open bins are ordered by residual; each carries a bitmap of its
@@ -93,8 +93,28 @@ def pack_shard(sizes: list[int], sources: list[int], clusters: list[int], capaci
     return out
 
 
-def pack_documents(documents: DataFrame, capacity: int = CAPACITY, shard: int = SHARD) -> DataFrame:
-    """doc_id, piece, start, n_tokens, bin_id of each piece (documents: doc_id, source, text)."""
+def joined(clusters: list[int], groups: list[int]) -> np.ndarray:
+    """Clusters of documents that share a cluster or a group, directly or by others; -1: no group."""
+    top = list(range(len(clusters)))  # by cluster
+
+    def find(c: int) -> int:
+        while top[c] != c:
+            top[c] = top[top[c]]
+            c = top[c]
+        return c
+
+    first: dict[int, int] = {}
+    for c, g in zip(clusters, groups, strict=True):
+        if g >= 0:
+            top[find(c)] = find(first.setdefault(g, c))
+    return np.array([find(c) for c in clusters], np.int64)
+
+
+def pack_documents(documents: DataFrame, capacity: int = CAPACITY, shard: int = SHARD, groups: DataFrame | None = None) -> DataFrame:
+    """doc_id, piece, start, n_tokens, bin_id of each piece (documents: doc_id, source, text).
+
+    ``groups``: component_id of each doc_id; documents of one group conflict.
+    """
     text = F.coalesce("text", F.lit(""))
     words = r"[^\x20\x09-\x0D]+"
     items = documents.select(
@@ -104,6 +124,11 @@ def pack_documents(documents: DataFrame, capacity: int = CAPACITY, shard: int =
         F.regexp_count(text, F.lit(words)).cast("long").alias("n"),
         F.monotonically_increasing_id().alias("place"),
     )
+    # Joined after the places are given: those of a scan are the same when a task runs again.
+    if groups is None:
+        items = items.withColumn("component", F.lit(None).cast("long"))
+    else:
+        items = items.join(groups.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("component_id").alias("component")), "doc_id", "left")
     shards = max(1, -(-documents.count() // shard))
     # Dealt by place, so that neither a hot source nor a group of copies fills a shard.
     dealt = items.withColumn("shard", F.pmod(F.xxhash64("place"), F.lit(shards)).cast("int"))
@@ -115,7 +140,7 @@ def pack_documents(documents: DataFrame, capacity: int = CAPACITY, shard: int =
         piece = np.arange(len(own)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
         size = np.minimum(capacity, n[own] - piece * capacity)
         source = pd.factorize(pdf["source"])[0]
-        cluster = pd.factorize(pdf["cluster"])[0]
+        cluster = joined(pd.factorize(pdf["cluster"])[0].tolist(), pd.factorize(pdf["component"])[0].tolist())
         order = np.lexsort((piece, pdf["place"].to_numpy()[own], pdf["doc_id"].fillna(-1).to_numpy()[own], -size))
         order = order[size[order] > 0]
         bins = np.full(len(own), -1, np.int64)

@@ -3,7 +3,8 @@ from __future__ import annotations
 import random
 from collections import defaultdict
 
-from tallyspark.llm.packing import pack_documents, pack_shard
+from tallyspark.llm.packing import joined, pack_documents, pack_shard
+from tallyspark.llm.queries import QUERIES
 from tests.llm.brute import best_fit, frame
 
 
@@ -39,3 +40,15 @@ def test_bins(spark):
         assert len(sources) == len(set(sources))
         assert len({text[d] for d in docs}) == len(docs)
     assert pack_documents(frame(spark, [])).count() == 0
+
+
+def test_near_copies_conflict(spark, tmp_path):
+    base = [f"w{k}" for k in range(60)]
+    near = {i: " ".join(base[: 60 - i]) for i in range(4)}
+    rows = [(i, t, None) for i, t in near.items()] + [(10 + i, f"other text {i}", None) for i in range(4)]
+    frame(spark, [*rows, rows[0], (None, near[0], None)]).write.parquet(f"{tmp_path}/documents.parquet")
+    got = [tuple(r) for r in QUERIES["op2_best_fit_packing"](spark, str(tmp_path)).select("doc_id", "bin_id").collect()]
+    copies = [b for d, b in got if d is None or d < 4]
+    assert len(got) == 10 and len(copies) == len(set(copies)) == 6
+    assert {b for d, b in got if d is not None and d >= 10} <= set(copies)
+    assert joined([0, 1, 2, 2, 3], [-1, 5, 5, 6, 6]).tolist()[1:] == [joined([0, 1, 2, 2, 3], [-1, 5, 5, 6, 6])[1]] * 4
