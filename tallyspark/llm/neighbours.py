@@ -138,15 +138,16 @@ def nearest(rows: DataFrame, is_query: Column, k: int = 20, near: int = NEAR) ->
     def pack(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"part": [key[0]], "ids": [pdf["vec_id"].to_numpy(np.int64).tobytes()], "vectors": [b"".join(pdf["vector"])], "codes": [b"".join(pdf["code"])]})
 
-    def packed(df: DataFrame, size: int, seed: int) -> tuple[DataFrame, int]:
-        # Dealt by place, not by key: repeats of a row spread over the blocks too.
+    def packed(df: DataFrame, size: int, place: Column) -> tuple[DataFrame, int]:
         parts = max(1, -(-df.count() // size))
         coded = df.mapInArrow(encode, "vec_id long, vector binary, code binary")
-        return coded.groupBy(F.pmod(F.xxhash64(F.monotonically_increasing_id(), F.lit(seed)), F.lit(parts)).cast("int").alias("part")).applyInPandas(pack, "part int, ids binary, vectors binary, codes binary"), parts
+        return coded.groupBy(F.pmod(F.xxhash64(place), F.lit(parts)).cast("int").alias("part")).applyInPandas(pack, "part int, ids binary, vectors binary, codes binary"), parts
 
     queries = kept.where(is_query).groupBy("vec_id").agg(F.min_by("embedding", F.xxhash64("embedding")).alias("embedding"))
-    blocks, n_blocks = packed(kept, BLOCK, 1)
-    chunks, _ = packed(queries, CHUNK, 2)
+    # Rows are dealt by their place in the scan, so repeats spread over the blocks too. Queries come out of a
+    # shuffle, whose order may differ when a task runs again; there are no repeats, and their key deals them evenly.
+    blocks, n_blocks = packed(kept, BLOCK, F.monotonically_increasing_id())
+    chunks, _ = packed(queries, CHUNK, F.col("vec_id"))
     tiles = blocks.join(chunks.select(F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("part"), F.col("ids").alias("query_ids"), F.col("vectors").alias("queries"), F.col("codes").alias("query_codes")), "part")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

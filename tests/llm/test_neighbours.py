@@ -57,3 +57,10 @@ def test_unsound_vectors_ties_and_few_rows(spark):
     assert got == {0: [(1, 1.0), (2, 0.0), (2, 0.0)], 1: [(0, 1.0), (2, 0.0), (2, 0.0)], 2: [(0, 0.0), (1, 0.0)]}
     assert found(nearest(df, F.col("vec_id") == 0, 1)) == {0: [(1, 1.0)]}
     assert nearest(df.limit(0), F.lit(True)).count() == 0
+
+
+def test_queries_are_dealt_by_key(spark):
+    rows = spark.createDataFrame([(i, [float(i % 7 + 1), float(i % 5)]) for i in range(40)], "vec_id long, embedding array<float>")
+    plan = nearest(rows, F.col("vec_id") % 4 == 0, k=3)._jdf.queryExecution().analyzed().toString()
+    # The place in the scan deals the rows, and nothing that comes out of a shuffle.
+    assert plan.count("monotonically_increasing_id()") == 1
