@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import random
+
 from tallyspark.llm.licences import TEMPLATES, scan_licences
 from tests.llm.brute import frame
 
@@ -27,3 +29,15 @@ def test_partial_clean_null_and_native(spark):
     plan = scan_licences(spark.read.parquet("/root/testdata/sf0.001/documents.parquet"))._jdf.queryExecution().executedPlan().toString()
     assert "Scan parquet" in plan and not any(x in plan for x in ("Python", "Pandas", "Arrow", "Exchange", "RDD"))
     assert scan_licences(frame(spark, [])).count() == 0
+
+
+def test_matches_at_the_threshold_in_scattered_words(spark):
+    def text(seed):
+        r = random.Random(seed)
+        filler = lambda: " ".join(f"w{r.randrange(10**6)}" for _ in range(r.randrange(10, 16)))
+        return " ".join(f"{filler()} {p}" for p in ("licensed under cc", "under cc by", "cc by nc", "nc 4 0")) + " " + filler()
+
+    seeds = [481, 1499, 1766, 2060, 3081, 3425, 4537, 5226, 5529, 5683, 5804, 7211]  # of 8,000, what windows at every sixth word miss
+    template = [t for t in TEMPLATES if t[:2] == ("CC-BY-NC-4.0", "notice")]
+    got = {r["doc_id"]: r["n_matched"] for r in scan_licences(frame(spark, [(i, text(i)) for i in seeds]), template).collect()}
+    assert got == dict.fromkeys(seeds, 4)
