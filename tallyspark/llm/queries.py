@@ -13,8 +13,11 @@ from tallyspark.llm.jaccard import jaccard_components
 from tallyspark.llm.language import fit_language, identify
 from tallyspark.llm.licences import oracle_sql as licence_sql
 from tallyspark.llm.licences import scan_licences
+from tallyspark.llm.lines import dedup_lines
+from tallyspark.llm.negatives import mine_negatives
 from tallyspark.llm.neighbours import nearest
 from tallyspark.llm.packing import pack_documents
+from tallyspark.llm.phrases import mine_phrases
 from tallyspark.llm.quality import fit_quality, score_quality
 from tallyspark.llm.shared import remainder, table
 from tallyspark.llm.substrings import dedup_substrings
@@ -105,6 +108,28 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licences(table(spark, sf_dir, "documents"))
 
 
+@query
+def op11_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 2,000 collocations of each language."""
+    return mine_phrases(table(spark, sf_dir, "documents"))
+
+
+@query
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the lines that a smaller doc_id holds."""
+    return dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text")).select(
+        "document.doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256")
+    )
+
+
+@query
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three hard negatives for each of five positives of every fiftieth embedding."""
+    shifted = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", shifted.alias("label"))
+    return mine_negatives(rows, F.col("vec_id") % 50 == 0)
+
+
 ORACLE_SQL["op3_license_scan"] = licence_sql()
 _WORDS = r"[^\x20\x09-\x0D]+"
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -146,3 +171,63 @@ marked AS (
 SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
 FROM docs LEFT JOIN summed USING (doc_id)
 """
+
+ORACLE_SQL["op11_phrase_mining"] = rf"""
+WITH pieces AS MATERIALIZED (
+  SELECT coalesce(lang, 'und') AS lang,
+    unnest(string_split(translate({_LOWER}, '.,;:!?' || chr(11) || chr(12) || chr(13), repeat(chr(10), 9)), chr(10))) AS piece
+  FROM documents
+), texts AS MATERIALIZED (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM pieces),
+grams AS MATERIALIZED (
+  SELECT lang, 1 AS k, unnest(ws) AS g FROM texts
+  UNION ALL SELECT lang, 2, unnest(list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1])) FROM texts
+  UNION ALL SELECT lang, 3, unnest(list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2])) FROM texts
+), f AS MATERIALIZED (SELECT lang, k, g, count(*) AS n FROM grams GROUP BY ALL),
+candidates AS MATERIALIZED (SELECT lang, k, g, n, string_split(g, ' ') AS ws FROM f WHERE k > 1 AND n >= 10),
+parts AS MATERIALIZED (
+  SELECT lang, g, n AS a, cut, array_to_string(ws[1:cut], ' ') AS head, array_to_string(ws[cut + 1:], ' ') AS tail
+  FROM (SELECT *, unnest(range(1, k)) AS cut FROM candidates)
+), cuts AS MATERIALIZED (
+  SELECT p.lang, p.g, a, cut, x.n AS l, y.n AS r, CAST(1000000 AS HUGEINT) * a * a // (CAST(x.n AS HUGEINT) * y.n) AS score
+  FROM parts p JOIN f x ON x.lang = p.lang AND x.g = head JOIN f y ON y.lang = p.lang AND y.g = tail
+), scored AS MATERIALIZED (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, cut) = 1),
+longer AS MATERIALIZED (
+  SELECT lang, pair, max(n) AS n FROM (
+    SELECT lang, n, unnest([ws[1] || ' ' || ws[2], ws[2] || ' ' || ws[3]]) AS pair FROM candidates WHERE k = 3
+  ) GROUP BY ALL
+), kept AS (
+  SELECT s.* FROM scored s LEFT JOIN longer o ON o.lang = s.lang AND o.pair = s.g WHERE o.n IS NULL OR 100 * o.n < 50 * s.a
+), ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, g) AS rank FROM kept)
+SELECT ranked.lang, rank, g AS phrase, a, l, r, totals.n, CAST(score AS BIGINT) AS score
+FROM ranked JOIN (SELECT lang, CAST(sum(n) AS BIGINT) AS n FROM f WHERE k = 1 GROUP BY lang) totals USING (lang) WHERE rank <= 2000
+"""
+
+ORACLE_SQL["op12_line_dedup"] = """
+WITH lines AS (
+  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos FROM documents
+), keyed AS (
+  SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM lines
+), judged AS (SELECT *, length(key) >= 10 AND doc_id > min(doc_id) OVER (PARTITION BY key) AS gone FROM keyed)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
+FROM judged GROUP BY doc_id
+"""
+
+ORACLE_SQL["op13_hard_negatives"] = """
+WITH rows AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, CAST(list_inner_product(a.v, b.v) AS BIGINT) AS score
+  FROM rows a JOIN rows b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id
+), positives AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scored WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+)
+SELECT p.anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank,
+  vec_id AS negative_id, positive_score, score AS negative_score
+FROM positives p JOIN scored s ON s.anchor_id = p.anchor_id AND NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+QUALIFY rank <= 3
+"""

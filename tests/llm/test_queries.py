@@ -17,7 +17,7 @@ SF = "/root/testdata/sf0.001"
 
 def test_all_are_registered():
     numbers = sorted(int(re.match(r"op(\d+)_", n)[1]) for n in QUERIES)
-    assert numbers == list(range(1, 11)) and set(QUERIES) | {"pipeline"} <= set(entry_point.queries())
+    assert numbers == list(range(1, 14)) and set(QUERIES) | {"pipeline"} <= set(entry_point.queries())
     assert set(ORACLE_SQL) <= set(entry_point.oracle_sql())
 
 
