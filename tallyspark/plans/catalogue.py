@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyspark.functions import display
@@ -26,6 +26,7 @@ from tallyspark.operators.timeline import token_events
 from tallyspark.operators.watching import find_alerts
 from tallyspark.operators.usage import cache_hit_rate, hit_rate_tenths, usage_volumes
 from tallyspark.operators.windows import local_date
+from tallyspark.plans.refresh import Refresh, refresh
 from tallyspark.plans.parameters import AS_OF_SPARK, NEWER_PRICE_ROWS, PRICE_ROWS, REFRESH_SECONDS, TZ
 from tallyspark.operators.forks import ancestor_closure, parent_state, replay_bounds
 from tallyspark.operators.gaps import GAP, follow_gaps
@@ -39,7 +40,9 @@ from tallyspark.plans.usage_report import (
     window_report,
 )
 from tallyspark.session import configure, scratch_folder, settle, write_settled
+from tallyspark.sources.byte_log import discover
 from tallyspark.sources.derived_inputs import log_text, response_rows, sheet_rows
+from tallyspark.sources.derived_logs import logged_lines, period_of, user_of, write_stage
 from tallyspark.sources.event_feed import SPLIT_DAY, event_files, event_lines, nanos_literal
 from tallyspark.sources.manifest import manifest_diff
 from tallyspark.sources.price_sheets import parse_price_sheets
@@ -526,3 +529,61 @@ def streamed_deltas(spark, sf_dir):
         F.col("home").cast("bigint").alias("home"), "path", F.col("event_line").alias("line_no"), "is_duplicate", "is_stale",
         *[F.col(c).cast("bigint").alias(c) for c in DELTAS],
     )
+
+
+def _second_run(spark, sf_dir) -> Refresh:
+    """A tree of logs, scanned, changed in every way, and refreshed."""
+    lines = settle(logged_lines(spark, sf_dir))
+    root, state = scratch_folder(spark, "logs"), scratch_folder(spark, "store")
+    for stage in (1, 2):
+        write_stage(lines, root, stage)
+        run = refresh(spark, root, TZ, state, buckets=16)
+    return run
+
+
+def _log_file() -> list[F.Column]:
+    return [user_of(F.col("path")).alias("user_id"), period_of(F.col("path")).alias("period")]
+
+
+@query("discovered_files")
+def discovered_files(spark, sf_dir):
+    """What the scan finds in homes with hidden, blank and percent names."""
+    root = scratch_folder(spark, "logs")
+    write_stage(settle(logged_lines(spark, sf_dir)), root, 1)
+    files, _ = discover(spark, root)
+    home = F.element_at(F.split("home", "/"), -1)
+    return files.where("length > 0 AND readable").select(
+        home.alias("home_name"), *_log_file(), "filename_thread_id", F.col("partition_date").cast("string").alias("partition_date")
+    )
+
+
+@query("resumed_lines")
+def resumed_lines(spark, sf_dir):
+    """Lines of a scan that resumed at the bytes that were new, in file order."""
+    lines = _second_run(spark, sf_dir).logs.lines
+    place = Window.partitionBy("path").orderBy("line_no")
+    return lines.select(
+        *_log_file(), F.row_number().over(place).cast("bigint").alias("n"), "ts_nanos", "kind", "model_set", "is_token",
+        F.col("total.total").cast("bigint").alias("total_total"), F.col("last.output").cast("bigint").alias("last_output"),
+    )
+
+
+@query("refreshed_usage")
+def refreshed_usage(spark, sf_dir):
+    """Token events of the stored buckets after the second run, per file."""
+    events = _second_run(spark, sf_dir).events
+    return events.groupBy(*_log_file()).agg(
+        F.count(F.lit(1)).alias("events"),
+        *[F.sum(c).cast("bigint").alias(c) for c in DELTAS],
+        F.coalesce(F.sum(F.when(F.col("overflow"), F.col("delta_total"))), F.lit(0)).cast("bigint").alias("overflow_tokens"),
+    )
+
+
+@query("refresh_counts")
+def refresh_counts(spark, sf_dir):
+    """What the second run listed, read and added, per home."""
+    run = _second_run(spark, sf_dir).run
+    return run.select(
+        F.element_at(F.split("home", "/"), -1).alias("home_name"), "files_listed", "files_read", "files_unchanged", "files_failed",
+        "lines_read", "events_added", "parse_errors", "folders_failed",
+    )

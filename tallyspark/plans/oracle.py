@@ -15,6 +15,7 @@ from tallyspark.plans.parameters import (
     REFRESH_SECONDS,
     STALE_NANOS,
 )
+from tallyspark.sources.derived_logs import CHANGE_RULE, HOME_NAME
 from tallyspark.sources.event_feed import (
     FILE_RULE,
     OVERLAP_FROM,
@@ -702,3 +703,34 @@ from files f group by f.home"""
 SQL["streamed_alerts"] = SQL["watch_alerts"]
 SQL["streamed_period_usage"] = SQL["period_usage"]
 SQL["streamed_today_usage"] = SQL["today_usage"]
+
+# Log files of ten days, in the order of the lines' times.
+LINES_LOGGED = f"""logged as (select *, (day(make_timestamp(ts_nanos // 1000)) - 1) // 10 as period, (day(make_timestamp(ts_nanos // 1000)) - 1) % 10 < 5 as early,
+    {CHANGE_RULE} as rule, {HOME_NAME} as home_name from ({feed_sql('duckdb')}) feed),
+lines as (select * replace (row_number() over (partition by user_id, period order by ts_nanos, line_no) as line_no),
+    'u' || user_id || '/' || period as path from logged where rule <> 'deleted')"""
+
+SQL["discovered_files"] = f"""with {LINES_LOGGED}
+select distinct home_name, user_id, period, printf('%08x-0000-4000-8000-%012x', user_id, period) as filename_thread_id,
+  printf('2024-01-%02d', period * 10 + 1) as partition_date
+from logged where rule in ('deleted', 'moved', 'same') or (rule in ('rewritten', 'appended') and early)"""
+
+SQL["resumed_lines"] = f"""with {LINES_LOGGED}
+select user_id, period, line_no as n, ts_nanos, kind, model_set, is_token, total_total, last_output from lines"""
+
+SQL["refreshed_usage"] = f"""with {LINES_LOGGED}, {EVENTS}
+select user_id, cast(split_part(path, '/', 2) as bigint) as period, cast(count(*) as bigint) as events,
+  cast(sum(delta_total) as bigint) as delta_total, cast(sum(delta_uncached) as bigint) as delta_uncached,
+  cast(sum(delta_cached) as bigint) as delta_cached, cast(sum(delta_output) as bigint) as delta_output,
+  cast(coalesce(sum(case when overflow then delta_total end), 0) as bigint) as overflow_tokens
+from timeline group by all"""
+
+SQL["refresh_counts"] = f"""with {LINES_LOGGED}, marked as (
+  select *, early and line_no = max(case when early then line_no end) over (partition by path) and user_id % 2 = 0 as was_open from lines),
+judged as (select *, rule in ('rewritten', 'new') or (rule = 'appended' and (not early or was_open)) as is_read from marked),
+files as (select home_name, path, rule, bool_or(is_read) as is_read, count(*) filter (is_read) as lines_read,
+  count(*) filter (is_read and is_token) as events_added from judged group by all)
+select home_name, count(*) as files_listed, count(*) filter (is_read) as files_read,
+  count(*) filter (not is_read and rule <> 'moved') as files_unchanged, cast(0 as bigint) as files_failed,
+  cast(sum(lines_read) as bigint) as lines_read, cast(sum(events_added) as bigint) as events_added, cast(0 as bigint) as parse_errors, cast(0 as bigint) as folders_failed
+from files group by home_name"""

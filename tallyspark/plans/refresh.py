@@ -1,116 +1,268 @@
-"""Incremental refresh: read what changed, keep what did not, store the result.
+"""Incremental refresh: read what was appended, rewrite the buckets it falls in.
 
-Files that only grew are read again as a whole here, which costs one file; for
-continuous intake the streaming parser resumes at the byte level instead. The
-lines kept from earlier runs are whole-file, and what a file's place and
-metadata say is taken from the new listing, so the result equals a cold scan.
+The store keeps parsed lines, token events, file rows and the manifest in hash
+buckets of (home, path). A run classifies the listing against the manifest,
+reads the bytes that are new and writes the buckets that hold a changed file as
+a new generation; other buckets stay as they are. A small log entry names the
+live generation of every bucket, so readers of an older entry keep their files
+until these have aged. What a run reads and writes follows what has changed.
+
+Appended files resume at their first byte that was not read, if the bytes
+before it are still the same (a digest in the manifest says so); otherwise the
+file was rewritten and is read again. Lines are numbered by bytes, so the
+stored tables equal those of a cold scan.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
+import time
+from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyspark.operators.carry import FILE
-from tallyspark.operators.windows import local_date
+from tallyspark.operators.timeline import token_events
+from tallyspark.plans.usage_report import EVENT_COLUMNS
 from tallyspark.session import settle
+from tallyspark.sources.byte_log import SPLIT_BYTES, canonical, discover, probe_tails
+from tallyspark.sources.log_scan import lines_of_index, logs_of, ranges_of_index, read_index
 from tallyspark.sources.manifest import manifest_diff
-from tallyspark.sources.session_logs import (
-    SessionLogs,
-    discovery_errors,
-    find_log_folders,
-    from_index,
-    list_log_files,
-    load_session_logs,
-    parse_text,
-    read_raw_lines,
-)
+from tallyspark.sources.session_logs import SessionLogs, file_table
 from tallyspark.sources.tables import TABLE_VERSION
 
-#: Columns of a file row that its listing gives.
-LISTED = ("length", "modified_at", "filename_thread_id", "partition_date", "modified_date")
+BUCKETS = 256
+#: Generations that no reader of a younger log entry needs are kept so long.
+KEEP_SECONDS = 24 * 3600
+TABLES = ("lines", "events", "files", "manifest")
+
+
+def bucket_of(buckets: int) -> Column:
+    return F.pmod(F.xxhash64(*FILE), F.lit(buckets)).cast("int")
+
+
+@dataclass
+class Entry:
+    """One log entry: the live generation of each bucket, for every table."""
+
+    number: int
+    written: float
+    buckets: int
+    live: dict[str, dict[int, int]]
+
+    def to_json(self) -> str:
+        return json.dumps({"number": self.number, "written": self.written, "buckets": self.buckets, "live": self.live})
+
+    @staticmethod
+    def of_json(text: str) -> Entry:
+        raw = json.loads(text)
+        live = {t: {int(b): g for b, g in m.items()} for t, m in raw["live"].items()}
+        return Entry(raw["number"], raw["written"], raw["buckets"], live)
+
+    def parts(self) -> set[tuple[str, int, int]]:
+        return {(t, g, b) for t, m in self.live.items() for b, g in m.items()}
+
+
+class LogStore:
+    """Bucketed tables of one log root and time zone, under this version's rules."""
+
+    def __init__(self, spark: SparkSession, state: str, root: str, tz: str, buckets: int = BUCKETS):
+        named = hashlib.sha256(f"{canonical(root)}\n{tz}".encode()).hexdigest()[:16]
+        self.spark, self.folder, self.buckets = spark, f"{state}/v{TABLE_VERSION}-{named}", buckets
+        self.Path = spark._jvm.org.apache.hadoop.fs.Path
+        self.fs = self.Path(self.folder).getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def _names(self, folder: str) -> list[str]:
+        path = self.Path(folder)
+        return [s.getPath().getName() for s in self.fs.listStatus(path)] if self.fs.exists(path) else []
+
+    def entries(self) -> list[Entry]:
+        """Log entries, oldest first."""
+        numbers = sorted(int(n) for n in self._names(f"{self.folder}/log") if n.isdigit())
+        return [self._entry(n) for n in numbers]
+
+    def newest(self) -> Entry | None:
+        numbers = [int(n) for n in self._names(f"{self.folder}/log") if n.isdigit()]
+        return self._entry(max(numbers)) if numbers else None
+
+    def _entry(self, number: int) -> Entry:
+        rows = self.spark.read.text(f"{self.folder}/log/{number}").collect()
+        return Entry.of_json(rows[0]["value"])
+
+    def read(self, entry: Entry | None, table: str, buckets: set[int] | None = None) -> DataFrame | None:
+        """The table as an entry saw it, or some of its buckets; none if it has no rows there.
+
+        Paths are at most as many as there are buckets.
+        """
+        live = {} if entry is None else entry.live.get(table, {})
+        paths = [f"{self.folder}/{table}/g={g}/bucket={b}" for b, g in sorted(live.items()) if buckets is None or b in buckets]
+        if not paths:
+            return None
+        return self.spark.read.option("basePath", f"{self.folder}/{table}").parquet(*paths).drop("g", "bucket")
+
+    def write(self, table: str, generation: int, df: DataFrame) -> None:
+        """One table's changed buckets; a large bucket is written by many tasks."""
+        out = df.withColumn("bucket", bucket_of(self.buckets))
+        out.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.folder}/{table}/g={generation}")
+
+    def held(self, table: str, generation: int) -> set[int]:
+        return {int(n.split("=")[1]) for n in self._names(f"{self.folder}/{table}/g={generation}") if n.startswith("bucket=")}
+
+    def commit(self, entry: Entry | None, generation: int, changed: set[int]) -> Entry:
+        """The entry after ``changed`` buckets were written as ``generation``."""
+        live = {}
+        for table in TABLES:
+            kept = {} if entry is None else {b: g for b, g in entry.live.get(table, {}).items() if b not in changed}
+            live[table] = kept | dict.fromkeys(self.held(table, generation), generation)
+        new = Entry(generation, time.time(), self.buckets, live)
+        self.spark.createDataFrame([(new.to_json(),)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.folder}/log/{generation}.part")
+        # The entry counts once it has its name; a run that dies before leaves the older one in force.
+        self.fs.rename(self.Path(f"{self.folder}/log/{generation}.part"), self.Path(f"{self.folder}/log/{generation}"))
+        return new
+
+    def forget(self, keep_seconds: float = KEEP_SECONDS) -> int:
+        """Delete entries older than ``keep_seconds`` but for the newest, and what only they refer to."""
+        entries = self.entries()
+        old = [e for e in entries[:-1] if e.written < time.time() - keep_seconds]
+        used = set().union(*(e.parts() for e in entries if e not in old)) if entries else set()
+        gone = set().union(*(e.parts() for e in old)) - used if old else set()
+        for table, generation, bucket in sorted(gone):
+            self.fs.delete(self.Path(f"{self.folder}/{table}/g={generation}/bucket={bucket}"), True)
+        for e in old:
+            self.fs.delete(self.Path(f"{self.folder}/log/{e.number}"), True)
+        return len(gone)
+
+
+@dataclass
+class Refresh:
+    """Outcome of one run. ``logs``: as of a cold scan; ``events``: its token
+    events; ``run``: per home, files listed, read and failed, lines and bytes
+    read, events added, folders not listed."""
+
+    logs: SessionLogs
+    events: DataFrame
+    changes: DataFrame
+    run: DataFrame
+    changed_buckets: set[int] = field(default_factory=set)
 
 
 def manifest_of(listed: DataFrame) -> DataFrame:
-    """Listing to manifest; the thread id stands in for the creation of a file
-    where the store keeps none."""
-    return listed.select(
-        *FILE,
-        F.coalesce("filename_thread_id", "path").alias("identity"),
-        "length",
-        F.col("length").alias("consumed"),
-        "modified_at",
-    )
+    """Listing to manifest; the thread id stands in for the creation of a file where the store keeps none."""
+    identity = F.coalesce("filename_thread_id", "path").alias("identity")
+    return listed.select(*FILE, identity, "length", F.col("length").alias("consumed"), "modified_at")
 
 
-def refresh_session_logs(
-    spark: SparkSession, root: str, tz: str, stored: SessionLogs | None, manifest: DataFrame | None
-) -> tuple[SessionLogs, DataFrame, DataFrame]:
-    """Returns the logs, the new manifest and the classified changes."""
-    where = find_log_folders(spark, root)
-    listed = list_log_files(spark, root, where)
+def classify(listed: DataFrame, stored: DataFrame | None) -> DataFrame:
+    """``manifest_diff``, with files whose stored end has changed as ``rewritten``."""
     now = manifest_of(listed)
-    if stored is None or manifest is None:
-        empty = now.limit(0)
-        return load_session_logs(spark, root, tz), now, manifest_diff(now, empty)
-    changes = settle(manifest_diff(now, manifest))
-    read = changes.where(F.col("change").isin("new", "appended", "rewritten")).select(*FILE)
-    # One time from the change list: no changed file is older, so files before
-    # it are not opened; of the rest only the changed ones are parsed.
-    oldest = listed.join(read, list(FILE), "left_semi").agg(F.min("modified_at")).first()[0]
-    raw = read_raw_lines(spark, root, F.lit(oldest), where).join(read.select("path"), "path", "left_semi")
-    index = settle(parse_text(raw))
-    fresh = from_index(index, listed.join(read, list(FILE), "left_semi"), tz)
-    same = changes.where(F.col("change").isin("unchanged", "renamed")).select(
-        "home", F.coalesce("moved_from", "path").alias("path"), F.col("path").alias("_path")
+    if stored is None:
+        return manifest_diff(now, now.limit(0))
+    changes = settle(manifest_diff(now, stored))
+    ends = stored.select("home", F.col("path").alias("_from"), "consumed", "tail")
+    resumed = changes.where(F.col("change").isin("appended", "renamed")).withColumn("_from", F.coalesce("moved_from", "path"))
+    probed = probe_tails(resumed.join(ends, ["home", "_from"]))
+    judged = changes.join(probed, "path", "left")
+    lost = F.col("change").isin("appended", "renamed") & ~F.coalesce("same_tail", F.lit(False))
+    return judged.select(
+        *FILE,
+        F.when(lost, "rewritten").otherwise(F.col("change")).alias("change"),
+        F.when(~lost, F.col("moved_from")).alias("moved_from"),
+        F.when(lost, F.lit(0)).otherwise(F.col("resume_at")).cast("bigint").alias("resume_at"),
     )
 
-    def keep(df: DataFrame) -> DataFrame:
-        return df.join(same, list(FILE)).withColumn("path", F.col("_path")).drop("_path")
 
-    place = listed.withColumn("modified_date", local_date(F.unix_micros("modified_at") * 1000, tz)).select(*FILE, *LISTED)
-    lines = fresh.lines.unionByName(keep(stored.lines))
-    files = fresh.files.unionByName(keep(stored.files).drop(*LISTED).join(place, list(FILE)))
-    return SessionLogs(lines=lines, files=files, discovery=discovery_errors(spark, where)), now, changes
+def refresh(
+    spark: SparkSession, root: str, tz: str, state: str, homes: list[str] | None = None, buckets: int = BUCKETS,
+    split_bytes: int = SPLIT_BYTES, keep_seconds: float = KEEP_SECONDS,
+) -> Refresh:
+    """One run: continue from the stored state and store the new one."""
+    store = LogStore(spark, state, root, tz, buckets)
+    before = store.newest()
+    if before is not None and before.buckets != buckets:
+        raise ValueError(f"the store has {before.buckets} buckets, not {buckets}")
+    files, errors = discover(spark, root, homes)
+    listed = settle(files)
+    stored = store.read(before, "manifest")
+    changes = settle(classify(listed, stored))
+    touched = changes.where("change <> 'unchanged'")
+    place = touched.select("home", "path").union(touched.where("moved_from IS NOT NULL").select("home", F.col("moved_from").alias("path")))
+    changed = {r["bucket"] for r in place.select(bucket_of(buckets).alias("bucket")).distinct().collect()}
 
+    wanted = changes.where(F.col("change").isin("new", "rewritten", "appended")).select("path", F.col("resume_at").alias("from_byte"))
+    index = read_index(wanted.join(listed.select("path", F.col("length").alias("to_byte")), "path"), split_bytes)
+    fresh, read = lines_of_index(index), settle(ranges_of_index(index))
 
-def _generations(spark: SparkSession, state: str, root: str):
-    """The folder of a log root's stored runs under this version's rules, and the numbers of complete ones."""
-    folder = f"{state}/v{TABLE_VERSION}-{hashlib.sha256(root.encode()).hexdigest()[:16]}"
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    done = fs.globStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/*/manifest/_SUCCESS")) or []
-    return fs, folder, sorted(int(s.getPath().getParent().getParent().getName()) for s in done)
+    generation = 0 if before is None else before.number + 1
+    if changed or before is None:
+        _write(store, before, generation, changed, listed, changes, fresh, read, tz)
+        after = store.commit(before, generation, changed)
+        store.forget(keep_seconds)
+    else:
+        after = before
+    return Refresh(_logs(store, after, errors, fresh, listed, tz), _events(store, after, fresh), changes, _run(listed, changes, fresh, read, errors), changed)
 
 
-def save_state(spark: SparkSession, state: str, root: str, logs: SessionLogs, manifest: DataFrame) -> None:
-    """Store a run for the next one. It counts once its manifest is complete;
-    the runs before it are removed then."""
-    fs, folder, done = _generations(spark, state, root)
-    target = f"{folder}/{done[-1] + 1 if done else 0}"
-    logs.lines.write.mode("overwrite").parquet(f"{target}/lines")
-    logs.files.write.mode("overwrite").parquet(f"{target}/files")
-    manifest.write.mode("overwrite").parquet(f"{target}/manifest")
-    for number in done:
-        fs.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{number}"), True)
+def _write(store, before, generation, changed, listed, changes, fresh, read, tz) -> None:
+    """The changed buckets of every table."""
+    inside = bucket_of(store.buckets).isin(sorted(changed)) if changed else F.lit(False)
+    kept = changes.where(F.col("change").isin("unchanged", "appended", "renamed")).select(
+        "home", F.coalesce("moved_from", "path").alias("path"), F.col("path").alias("_path")
+    )
+    lines = fresh
+    old = store.read(before, "lines", changed)
+    if old is not None:
+        old = old.join(kept, list(FILE)).withColumn("path", F.col("_path")).drop("_path")
+        lines = fresh.unionByName(old)
+    # A moved file's lines leave their bucket for that of the new path; both are among the changed.
+    store.write("lines", generation, lines)
+    written = store.spark.read.schema(lines.schema).parquet(f"{store.folder}/lines/g={generation}")
+    here = listed.where(inside)
+    status = here.join(read, "path", "left")
+    tails = store.read(before, "manifest", changed)
+    if tails is not None:
+        moved = tails.select("home", "path", F.col("tail").alias("_tail"), F.col("failed").alias("_failed")).join(kept, list(FILE))
+        status = status.join(moved.select("home", F.col("_path").alias("path"), "_tail", "_failed"), list(FILE), "left")
+    else:
+        status = status.withColumns({"_tail": F.lit(None).cast("string"), "_failed": F.lit(None).cast("boolean")})
+    status = status.withColumn("failed", F.coalesce("failed", "_failed", F.lit(False))).withColumn("tail", F.coalesce("tail", "_tail"))
+    store.write("events", generation, token_events(written.where("is_marked AND NOT is_broken")).select(*EVENT_COLUMNS))
+    judged = here.join(status.select(*FILE, F.col("failed").alias("unread")), list(FILE), "left")
+    store.write("files", generation, file_table(written, judged, tz))
+    # A file that could not be read has no end to go on from: the next run reads it again.
+    manifest = manifest_of(here).join(status.select(*FILE, "tail", "failed"), list(FILE)).where("NOT failed")
+    store.write("manifest", generation, manifest)
 
 
-def load_state(spark: SparkSession, state: str, root: str) -> tuple[SessionLogs | None, DataFrame | None]:
-    """The newest complete run of this log root; none under other rules or of another root."""
-    _, folder, done = _generations(spark, state, root)
-    if not done:
-        return None, None
-    lines, files, manifest = (spark.read.parquet(f"{folder}/{done[-1]}/{n}") for n in ("lines", "files", "manifest"))
-    return SessionLogs(lines=lines, files=files), manifest
+def _logs(store: LogStore, entry: Entry, errors: DataFrame, fresh: DataFrame, listed: DataFrame, tz: str) -> SessionLogs:
+    lines, files = store.read(entry, "lines"), store.read(entry, "files")
+    if lines is None:
+        lines = fresh
+    if files is None:
+        return logs_of(lines, listed.withColumn("unread", F.lit(False)), tz, errors)
+    return SessionLogs(lines.where("is_marked AND NOT is_broken"), files, errors)
 
 
-def refresh(spark: SparkSession, root: str, tz: str, state: str) -> tuple[SessionLogs, DataFrame]:
-    """One run: continue from the stored state and store the new one."""
-    logs, manifest, changes = refresh_session_logs(spark, root, tz, *load_state(spark, state, root))
-    changes = settle(changes)
-    save_state(spark, state, root, logs, manifest)
-    stored, _ = load_state(spark, state, root)
-    stored.discovery = logs.discovery
-    return stored, changes
+def _events(store: LogStore, entry: Entry, fresh: DataFrame) -> DataFrame:
+    events = store.read(entry, "events")
+    return token_events(fresh).select(*EVENT_COLUMNS).limit(0) if events is None else events
+
+
+def _run(listed: DataFrame, changes: DataFrame, fresh: DataFrame, read: DataFrame, errors: DataFrame) -> DataFrame:
+    """Counts of one run, per home."""
+    zero = F.lit(0).cast("bigint")
+    counted = listed.join(read, "path", "left").join(changes.select("path", "change"), "path", "left")
+    per_home = counted.groupBy("home").agg(
+        F.count(F.lit(1)).alias("files_listed"),
+        F.count("lines_read").alias("files_read"),
+        F.count_if(F.col("change") == "unchanged").alias("files_unchanged"),
+        F.count_if(F.coalesce("failed", F.lit(False))).alias("files_failed"),
+        F.coalesce(F.sum("lines_read"), zero).alias("lines_read"),
+        F.coalesce(F.sum("bytes_read"), zero).alias("bytes_read"),
+    )
+    added = fresh.groupBy("home").agg(
+        F.count_if(F.col("is_token") & ~F.col("is_broken")).alias("events_added"), F.count_if(F.col("is_broken") | ~F.col("is_utf8")).alias("parse_errors")
+    )
+    lost = errors.select("home", F.col("errors").alias("folders_failed"))
+    return per_home.join(added, "home", "left").join(lost, "home", "full_outer").na.fill(0)

@@ -18,9 +18,9 @@ def _feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.selectExpr(*[f"{e} as {n}" for n, e in feed.items()])
 
 
-def log_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+def log_text(spark: SparkSession, sf_dir: str, cut_lines: bool = True) -> DataFrame:
     """Every event as the JSON line a session log would hold for it. Every
-    97th line is cut short, as a crash would leave it."""
+    97th line is cut short, as a crash would leave it, if ``cut_lines``."""
     rows = _feed(spark, sf_dir)
     stamp = F.date_format(F.timestamp_micros(F.expr("ts_nanos div 1000")), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
 
@@ -51,8 +51,8 @@ def log_text(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.struct(F.lit("thread_settings_applied").alias("type"), F.struct(F.lit("x").alias("model"), F.col("tier_raw").alias("service_tier")).alias("thread_settings")).alias("payload"),
     ))
     line = F.when(F.col("kind") == "token", token).when(F.col("kind") == "model", context).otherwise(change)
-    cut = F.when(F.col("line_no") % 97 == 96, F.expr("left(_line, length(_line) - 1)")).otherwise(F.col("_line"))
-    return rows.select("home", "user_id", "line_no", line.alias("_line")).select("home", "user_id", "line_no", cut.alias("value"))
+    cut = F.when(F.lit(cut_lines) & (F.col("line_no") % 97 == 96), F.expr("left(_line, length(_line) - 1)")).otherwise(F.col("_line"))
+    return rows.select("home", "user_id", "line_no", "ts_nanos", line.alias("_line")).select("home", "user_id", "line_no", "ts_nanos", cut.alias("value"))
 
 
 def response_rows(spark: SparkSession, sf_dir: str) -> DataFrame:

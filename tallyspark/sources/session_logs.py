@@ -339,8 +339,8 @@ def _root(payload: Column) -> Column:
     )
 
 
-def load_session_logs(spark: SparkSession, root: str, tz: str, homes: list[str] | None = None) -> SessionLogs:
-    """Parse every log below ``root`` (or of the given homes) into lines and a file table."""
+def load_with_readers(spark: SparkSession, root: str, tz: str, homes: list[str] | None = None) -> SessionLogs:
+    """``log_scan.load_session_logs`` with Spark's own readers, for stores that nothing else reaches."""
     where = find_log_folders(spark, root, homes)
     listed = list_log_files(spark, root, where)
     # One pass over the text; non-usage lines keep their length and nothing else.

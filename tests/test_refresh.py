@@ -1,38 +1,45 @@
 from __future__ import annotations
 
+import json
 import os
 import time
 
+import pytest
 from pyspark.sql import functions as F
 
 from tallyspark.operators.timeline import token_events
-from tallyspark.plans.refresh import load_state, refresh
-from tallyspark.sources.session_logs import load_session_logs
+from tallyspark.plans import refresh as refresh_module
+from tallyspark.plans.refresh import LogStore, refresh
+from tallyspark.plans.usage_report import EVENT_COLUMNS
+from tallyspark.sources import byte_log
+from tallyspark.sources.log_scan import load_session_logs
 from tallyspark.streaming.windows import cut_periods, daily_usage, keep_slices, kept_slices, period_usage
 from tests.logs import CHILD, Home, meta, model, nanos, usage
 
 OTHER = "b7405d2c-1e8f-4c6a-a0d3-58e2f9176c4b"
 
 
-def summary(logs):
-    events = token_events(logs.lines)
-    rows = events.groupBy(F.element_at(F.split("path", "/"), -1).alias("f")).agg(F.sum("delta_total").alias("n"), F.count(F.lit(1)).alias("c"))
-    files = {r.f: r.parse_errors for r in logs.files.select(F.element_at(F.split("path", "/"), -1).alias("f"), "parse_errors").collect()}
-    return {r.f: (int(r.n), r.c) for r in rows.collect()}, files
-
-
 def whole(df):
     return sorted((str(r) for r in df.select(*sorted(df.columns)).collect()))
 
 
+def check(spark, root, state, **options):
+    """A refresh, held against a cold scan; returns it and its changes by file."""
+    run = refresh(spark, root, "UTC", state, buckets=8, **options)
+    cold = load_session_logs(spark, root, "UTC")
+    assert whole(run.logs.files) == whole(cold.files)
+    assert whole(run.logs.lines) == whole(cold.lines)
+    assert whole(run.events) == whole(token_events(cold.lines).select(*EVENT_COLUMNS))
+    return run, {r.path.rsplit("/", 1)[1][11:19] + r.path.rsplit("/", 1)[1][30:34]: r.change for r in run.changes.collect()}
+
+
 def test_refresh_equals_cold_scan(spark, tmp_path):
     home, state = Home(), str(tmp_path / "state")
     root = str(home.root)
     grown = home.write([meta(0), usage(1, 100, 100)])
     moved = home.write([meta(0, CHILD), usage(1, 50, 50)], thread=CHILD)
     gone = home.write([meta(0, OTHER), usage(1, 9, 9)], thread=OTHER)
-    refresh(spark, root, "UTC", state)
-    assert load_state(spark, state, root + "/other") == (None, None)
+    check(spark, root, state)
     time.sleep(0.01)
     home.write([meta(0), usage(1, 100, 100), usage(2, 150, 50)])
     archive = home.root / "archived_sessions"
@@ -40,16 +47,93 @@ def test_refresh_equals_cold_scan(spark, tmp_path):
     os.rename(moved, archive / moved.name)
     gone.unlink()
     home.write([meta(0, OTHER), model(0, "m"), usage(1, 7, 7)], thread=OTHER, stamp="13-00-00")
-    logs, changes = refresh(spark, root, "UTC", state)
-    got = {(r.path.rsplit("/", 1)[1][:25], r.change) for r in changes.collect()}
-    assert {c for _, c in got} == {"appended", "renamed", "moved away", "deleted", "new"}
+    run, changes = check(spark, root, state)
+    assert sorted(r.change for r in run.changes.collect()) == ["appended", "deleted", "moved away", "new", "renamed"]
     assert grown.exists()
-    cold = load_session_logs(spark, root, "UTC")
-    assert summary(logs) == summary(cold)
-    # The whole file rows, with what the new place of a moved file says.
-    assert whole(logs.files) == whole(cold.files)
-    again, changes = refresh(spark, root, "UTC", state)
-    assert {r.change for r in changes.collect()} == {"unchanged"} and whole(again.files) == whole(cold.files)
+    again, _ = check(spark, root, state)
+    assert {r.change for r in again.changes.collect()} == {"unchanged"} and not again.changed_buckets
+    assert again.run.first()["bytes_read"] == 0
+
+
+def test_bytes_read_are_bytes_appended(spark, tmp_path):
+    """An append costs its own bytes; an open last line waits and is read once it is closed."""
+    home, state = Home(), str(tmp_path / "state")
+    root = str(home.root)
+    big = home.write([meta(0), *[usage(i, 10 * i, 10) for i in range(1, 400)]], tail=json.dumps(usage(400, 4000, 10))[:40])
+    other = home.write([meta(0, CHILD), usage(1, 5, 5)], thread=CHILD)
+    size = big.stat().st_size
+    first, _ = check(spark, root, state)
+    assert first.run.first()["bytes_read"] == size + other.stat().st_size and first.run.first()["events_added"] == 400
+    with big.open("ab") as f:
+        f.write(json.dumps(usage(400, 4000, 10))[40:].encode() + b"\n" + b"\n\r\n")
+    run, _ = check(spark, root, state)
+    counts = run.run.first()
+    assert counts["bytes_read"] == big.stat().st_size - size < 400 and counts["events_added"] == 1 and counts["files_read"] == 1
+    # One bucket is written anew, the other one's generation stays live.
+    store = LogStore(spark, state, root, "UTC", 8)
+    assert len(run.changed_buckets) == 1 and set(store.newest().live["lines"].values()) == {0, 1}
+
+
+def test_rewritten_and_truncated_files_are_read_again(spark, tmp_path):
+    home, state = Home(), str(tmp_path / "state")
+    root = str(home.root)
+    path = home.write([meta(0), usage(1, 100, 100), usage(2, 150, 50)])
+    check(spark, root, state)
+    # Longer than before, but not the same file any more.
+    home.write([meta(0), model(1, "m"), *[usage(i, 7 * i, 7) for i in range(1, 9)]])
+    run, _ = check(spark, root, state)
+    assert [r.change for r in run.changes.collect()] == ["rewritten"] and run.run.first()["bytes_read"] == path.stat().st_size
+    home.write([meta(0), usage(3, 3, 3)])
+    run, _ = check(spark, root, state)
+    assert [r.change for r in run.changes.collect()] == ["rewritten"]
+    # A move onto which other content was written is no move.
+    other = home.root / "archived_sessions" / path.name
+    other.parent.mkdir()
+    other.write_bytes(path.read_bytes().replace(b'"total_tokens": 3', b'"total_tokens": 8'))
+    path.unlink()
+    run, _ = check(spark, root, state)
+    assert sorted(r.change for r in run.changes.collect()) == ["moved away", "rewritten"]
+
+
+def test_generations_age(spark, tmp_path):
+    home, state = Home(), str(tmp_path / "state")
+    root = str(home.root)
+    for n in range(1, 4):
+        home.write([meta(0), *[usage(i, 10 * i, 10) for i in range(1, n + 1)]])
+        run = refresh(spark, root, "UTC", state, buckets=4)
+    store = LogStore(spark, state, root, "UTC", 4)
+    entries = store.entries()
+    assert [e.number for e in entries] == [0, 1, 2]
+    # Readers of an older entry still have its files; a run that died before its entry counts for nothing.
+    assert [store.read(e, "events").count() for e in entries] == [1, 2, 3]
+    store.write("lines", 3, run.logs.lines.limit(0))
+    assert store.newest().number == 2
+    assert store.forget(keep_seconds=0) == 8 and [e.number for e in store.entries()] == [2]
+    assert store.read(store.newest(), "events").count() == 3 and store.forget(keep_seconds=0) == 0
+    with pytest.raises(ValueError):
+        refresh(spark, root, "UTC", state, buckets=5)
+    assert LogStore(spark, state, root + "/other", "UTC").newest() is None
+
+
+def test_empty_root_and_lost_files(spark, tmp_path, monkeypatch):
+    home, state = Home(), str(tmp_path / "state")
+    root = str(home.root)
+    run, _ = check(spark, root, state)
+    assert run.logs.files.count() == 0 and run.events.count() == 0
+    path = home.write([meta(0), usage(1, 100, 100)])
+    kept = home.write([meta(0, CHILD), usage(1, 5, 5)], thread=CHILD)
+    listed, errors = byte_log.discover(spark, root)
+    frozen = byte_log.settle(listed)
+    # A file that vanished after it was listed: unread, and tried again by the next run.
+    monkeypatch.setattr(refresh_module, "discover", lambda *a: (frozen, errors))
+    path.unlink()
+    run = refresh(spark, root, "UTC", state, buckets=8)
+    files = {r.path.rsplit("/", 1)[1]: r.unread for r in run.logs.files.collect()}
+    assert files == {path.name: True, kept.name: False} and run.run.first()["files_failed"] == 1
+    monkeypatch.undo()
+    home.write([meta(0), usage(1, 100, 100)])
+    run, _ = check(spark, root, state)
+    assert {r.unread for r in run.logs.files.collect()} == {False}
 
 
 def test_window_sums_match_their_definition(spark):

@@ -4,7 +4,8 @@ from pyspark.sql import functions as F
 
 from tallyspark.functions.json_fields import rfc3339_nanos
 from tallyspark.operators.timeline import token_events
-from tallyspark.sources.session_logs import date_folder_of, load_session_logs, thread_id_of
+from tallyspark.sources.log_scan import lines_of_index, load_session_logs, read_index
+from tallyspark.sources.session_logs import date_folder_of, load_with_readers, thread_id_of
 from tests.logs import CHILD, PARENT, Home, meta, model, settings, usage
 
 
@@ -203,8 +204,10 @@ def test_timestamps(spark):
     assert got == texts
 
 
-def test_splits_keep_file_order(spark):
-    """Many splits of one file: same numbers as one split."""
+def test_splits_keep_file_order(spark, monkeypatch):
+    """Many splits and blocks of one file: same numbers as one split, with either reader."""
+    from tallyspark.sources import byte_log
+
     records = [meta(0)]
     total = 0
     for i in range(300):
@@ -212,16 +215,22 @@ def test_splits_keep_file_order(spark):
         records.append(usage(i, total, 11, primary=float(i % 101)))
     home = Home()
     home.write(records)
-    _, whole = run(spark, home)
+    logs, whole = run(spark, home)
     expected = whole.agg(F.sum("delta_total"), F.count_if("overflow")).collect()[0]
     before = spark.conf.get("spark.sql.files.maxPartitionBytes")
     try:
         spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
-        _, pieces = run(spark, home)
+        pieces = token_events(load_with_readers(spark, str(home.root), "UTC").lines)
         assert pieces.select("block").distinct().count() > 3
         assert pieces.agg(F.sum("delta_total"), F.count_if("overflow")).collect()[0] == expected
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    places = sorted((r.line_no, r.ts_nanos) for r in logs.lines.collect())
+    monkeypatch.setattr(byte_log, "BLOCK_BYTES", 4096)
+    ranges = logs.files.select("path", F.lit(0).cast("bigint").alias("from_byte"), F.col("length").alias("to_byte"))
+    cut = lines_of_index(read_index(ranges, split_bytes=1000))
+    assert cut.select("block").distinct().count() > 3 and sorted((r.line_no, r.ts_nanos) for r in cut.collect()) == places
+    assert token_events(cut).agg(F.sum("delta_total"), F.count_if("overflow")).collect()[0] == expected
 
 
 def test_homes_that_listings_skip_or_encode(spark):
@@ -241,10 +250,12 @@ def test_homes_that_listings_skip_or_encode(spark):
     files = {(r.home.split(top.root.name + "/")[1], r.path.rsplit("/", 1)[1][0] == "."): r for r in logs.files.collect()}
     assert {h for h, _ in files} == {*names, "odd"}
     assert all(r.has_root and not r.unread for (_, is_hidden), r in files.items() if not is_hidden)
-    # No reader of Spark opens a hidden file: it is listed and said to be unread.
-    assert files[("odd", True)].unread and not files[("odd", True)].has_root
+    assert files[("odd", True)].has_root and not files[("odd", True)].unread
+    # No reader of Spark opens a hidden file: there it is listed and said to be unread.
+    read = {(r.home.split(top.root.name + "/")[1], r.path.rsplit("/", 1)[1][0] == "."): r for r in load_with_readers(spark, str(top.root), "UTC").files.collect()}
+    assert read.keys() == files.keys() and read[("odd", True)].unread and not read[("odd", True)].has_root
     sums = {r.home.split(top.root.name + "/")[1]: r.n for r in token_events(logs.lines).groupBy("home").agg(F.sum("delta_total").alias("n")).collect()}
-    assert {h: int(n) for h, n in sums.items()} == {h: 100 for h in [*names, "odd"]}
+    assert {h: int(n) for h, n in sums.items()} == {h: 100 for h in names} | {"odd": 200}
     assert logs.discovery.count() == 0
     only = load_session_logs(spark, str(top.root), "UTC", homes=[str(top.root / "john doe")])
     assert [r.home.rsplit("/", 1)[1] for r in only.files.collect()] == ["john doe"]

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tallyspark.operators.pricing import price_frame
 from tallyspark.plans.usage_report import report_issues, usage_report, usage_tables, window_report
-from tallyspark.sources.session_logs import load_session_logs
+from tallyspark.sources.log_scan import load_session_logs
 from tests.logs import BASE, CHILD, PARENT, Home, meta, model, nanos, settings, usage
 
 DAY = 86_400
