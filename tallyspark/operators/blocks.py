@@ -146,23 +146,43 @@ def fold_neighbours(
     )
 
 
+#: Rows of one key that a task may well take; keys with more are spread.
+HOT_ROWS = 1 << 20
+#: Facts of fewer bytes, by the plan's own estimate, hold no such key.
+COLD_BYTES = 64 << 20
+#: Counters of the frequency sketch, and how many of the most frequent keys are looked at.
+SKETCH_KEYS, SKETCH_TOP = 10_000, 1_000
+
+
+def hot_keys(facts: DataFrame, on: Sequence[str]) -> dict[int, int]:
+    """Hashes of keys with more than ``HOT_ROWS`` rows, and over how many copies they are spread.
+
+    One pass of a bounded frequency sketch, merged map-side; none for small facts.
+    """
+    if int(facts._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) < COLD_BYTES:
+        return {}
+    top = facts.agg(F.expr(f"approx_top_k(xxhash64({', '.join(f'`{c}`' for c in on)}), {SKETCH_TOP}, {SKETCH_KEYS})").alias("top")).first()["top"]
+    return {t["item"]: -(-t["count"] // HOT_ROWS) for t in top if t["count"] > HOT_ROWS}
+
+
 def join_dimension(
     facts: DataFrame, dim: DataFrame, on: Sequence[str], spread_by: Sequence[str], how: str = "left",
-    copies: int | None = None,
 ) -> DataFrame:
     """Join a per-key dimension to facts whose keys may be hot.
 
-    The dimension is repeated ``copies`` times and facts pick a copy by the
-    hash of ``spread_by``, so one hot key meets ``copies`` tasks; by default a
-    quarter of the shuffle partitions, which are sized to the data. Whether the
-    dimension is broadcast instead is left to the run-time size check of AQE.
+    Only keys that a sketch of the facts finds hot are spread: their dimension
+    rows are repeated, a copy for every ``HOT_ROWS`` rows, and their facts pick
+    one by the hash of ``spread_by``. All other keys join as they are, so the
+    repeats are fewer than the facts divided by ``HOT_ROWS``. Whether the
+    dimension is broadcast is left to the run-time size check of AQE.
     """
-    if copies is None:
-        copies = max(16, int(facts.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 4)
-    salted_facts = facts.withColumn("_salt", F.pmod(F.xxhash64(*spread_by), F.lit(copies)))
-    salted_dim = dim.withColumn(
-        "_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(copies - 1).cast("bigint")))
-    )
+    hot = hot_keys(facts, on)
+    if not hot:
+        return facts.join(dim, list(on), how)
+    copies = F.create_map(*[F.lit(x).cast(t) for key, n in hot.items() for x, t in ((key, "bigint"), (n, "int"))])
+    copies = F.coalesce(F.try_element_at(copies, F.xxhash64(*on)), F.lit(1))
+    salted_facts = facts.withColumn("_salt", F.pmod(F.xxhash64(*spread_by), copies.cast("bigint")).cast("int"))
+    salted_dim = dim.withColumn("_salt", F.explode(F.sequence(F.lit(0), copies - 1)))
     return salted_facts.join(salted_dim, [*on, "_salt"], how).drop("_salt")
 
 

@@ -9,14 +9,19 @@ shows a snapshot it can at the earliest match the n-th time the parent showed
 it. Where those places rise strictly, they are the greedy matches. So one
 equi-join on (fork, snapshot, occurrence) settles everything up to the first
 place that does not rise, and only forks with such a place go another round
-from there. Each round is spread over (fork, snapshot) and positions; no
-timeline is ever held by one task.
+from there. Each round is spread over (fork, snapshot) and positions.
+
+Forks that still fall back after ``ROUNDS`` rounds (two snapshots that take turns
+can do so at every second event) are finished by a walk: the parents' places
+stream past in order, sorted by Spark, while ``WALK_EVENTS`` of the fork's next
+snapshots are held as hashes. No timeline is ever held whole by one task.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,18 +36,22 @@ from tallyspark.operators.threads import resolve_threads
 from tallyspark.session import settle
 
 FORK = ("home", "fork")
+ROUNDS = 20
+WALK_EVENTS = 1 << 20
 
 
 def ancestor_closure(edges: DataFrame, start: DataFrame) -> DataFrame:
-    """All (home, thread, ancestor) pairs reachable over parent edges.
+    """All (home, thread, ancestor) pairs of the ``start`` threads over parent edges.
 
-    ``edges``: ``home, thread, parent``; ``start``: ``home, thread``. Paths
-    double in every round, so chains of length n need log2(n) rounds;
-    rounds go on until one finds nothing new.
+    ``edges``: ``home, thread, parent``; ``start``: ``home, thread``. Pairs are
+    made for the start threads alone. Jumps over the edges double in every
+    round (a row for each thread, not for each pair), so chains of length n
+    need log2(n) rounds; when a round finds nothing new, there is no more.
     """
-    reach = settle(edges.select("home", "thread", F.col("parent").alias("ancestor")).distinct())
+    jump = settle(edges.select("home", "thread", F.col("parent").alias("ancestor")).distinct())
+    reach = settle(start.select("home", "thread").distinct().join(jump, ["home", "thread"]))
     while True:
-        onward = reach.select("home", F.col("thread").alias("ancestor"), F.col("ancestor").alias("_next"))
+        onward = jump.select("home", F.col("thread").alias("ancestor"), F.col("ancestor").alias("_next"))
         longer = (
             reach.join(onward, ["home", "ancestor"])
             .select("home", "thread", F.col("_next").alias("ancestor"))
@@ -51,9 +60,9 @@ def ancestor_closure(edges: DataFrame, start: DataFrame) -> DataFrame:
         )
         longer = settle(longer)
         if longer.isEmpty():
-            break
+            return reach
         reach = settle(reach.union(longer))
-    return reach.join(start.select("home", "thread").distinct(), ["home", "thread"], "left_semi")
+        jump = settle(jump.join(onward, ["home", "ancestor"]).select("home", "thread", F.col("_next").alias("ancestor")).distinct())
 
 
 def parent_state(children: DataFrame, files: DataFrame, events: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -123,7 +132,7 @@ def replay_bounds(forks: DataFrame, parent_files: DataFrame, events: DataFrame)
     )
     reached = None  # where the previous round stopped: home, fork, next_idx, at
     finished = []
-    while True:
+    for _ in range(ROUNDS):
         todo, spots = child, seen
         if reached is not None:
             todo = join_dimension(todo, reached, FORK, ["idx"], "inner").where(F.col("idx") >= F.col("next_idx"))
@@ -134,6 +143,8 @@ def replay_bounds(forks: DataFrame, parent_files: DataFrame, events: DataFrame)
         if again.isEmpty():
             break
         reached = again.select(*FORK, "next_idx", "at")
+    else:
+        finished += _walk(child, seen, reached)
     result = finished[0]
     for more in finished[1:]:
         result = result.unionByName(more)
@@ -191,3 +202,59 @@ def _can_continue(stops: DataFrame, child: DataFrame, seen: DataFrame) -> DataFr
     a, b = stuck.alias("a"), later.alias("b")
     same = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in (*FORK, "sig")]
     return a.join(b, [*same, F.col("b._later") > F.col("a.at")], "left_semi")
+
+
+def _walk(child: DataFrame, seen: DataFrame, reached: DataFrame) -> list[DataFrame]:
+    """Finish forks one place after the other; returns tables like ``_match_round``'s.
+
+    A pass takes ``WALK_EVENTS`` events of every fork; forks that matched all of
+    them go another pass.
+    """
+    keys = [F.xxhash64("sig").alias("s1"), F.xxhash64(F.lit(1), "sig").alias("s2")]
+    done = []
+    while True:
+        step = F.col("idx").between(F.col("next_idx"), F.col("next_idx") + WALK_EVENTS - 1)
+        wanted = join_dimension(child, reached, FORK, ["idx"], "inner").where(step)
+        nothing = F.lit(None).cast(seen.schema["place"].dataType)
+        wanted = wanted.select(*FORK, F.lit(0).alias("side"), nothing.alias("place"), "idx", *keys)
+        spots = join_dimension(seen, reached, FORK, ["place"], "inner").where(F.col("place") > F.col("at"))
+        spots = spots.select(*FORK, F.lit(1).alias("side"), "place", F.lit(None).cast("bigint").alias("idx"), *keys)
+        order = ["side", "idx", "place"]
+        rows = wanted.union(spots).repartition(*FORK).sortWithinPartitions(*FORK, *order)
+        rows = rows.select(*FORK, "side", "idx", "s1", "s2", "place.first_ts", "place.path", "place.line_no")
+        types = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+        out = f"home {types['home']}, fork {types['fork']}, next_idx bigint, first_ts {types['first_ts']}, path {types['path']}, line_no {types['line_no']}"
+        walked = rows.mapInArrow(_follow, out)
+        place = F.struct("first_ts", "path", "line_no").alias("_at")
+        moved = reached.join(walked.select(*FORK, F.col("next_idx").alias("_to"), place), list(FORK), "left")
+        ends = settle(moved.select(*FORK, F.coalesce("_to", "next_idx").alias("next_idx"), F.coalesce("_at", "at").alias("at"), (F.col("_to") - F.col("next_idx")).alias("_n")))
+        more = settle(ends.where(F.col("_n") == WALK_EVENTS).drop("_n"))
+        done.append(ends.drop("_n").join(more, list(FORK), "left_anti"))
+        if more.isEmpty():
+            return done
+        reached = more
+
+
+def _follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per fork that gets on: the first event not matched, and the last place used."""
+    fork, wanted, at, first, last = None, [], 0, 0, None
+    fields: dict[str, pa.DataType] = {}
+
+    def result() -> Iterator[pa.RecordBatch]:
+        if at:
+            row = {"home": fork[0], "fork": fork[1], "next_idx": first + at, "first_ts": last[0], "path": last[1], "line_no": last[2]}
+            yield pa.RecordBatch.from_arrays([pa.array([v], fields[k]) for k, v in row.items()], list(row))
+
+    for batch in batches:
+        fields = {n: batch.schema.field(n).type for n in ("home", "fork", "first_ts", "path", "line_no")} | {"next_idx": pa.int64()}
+        columns = [batch[c].to_pylist() for c in ("home", "fork", "side", "idx", "s1", "s2", "first_ts", "path", "line_no")]
+        for home, kid, side, idx, s1, s2, first_ts, path, line_no in zip(*columns, strict=True):
+            if (home, kid) != fork:
+                yield from result()
+                fork, wanted, at, first, last = (home, kid), [], 0, idx, None
+            if side == 0:
+                wanted.append((s1, s2))
+            elif at < len(wanted) and wanted[at] == (s1, s2):
+                at += 1
+                last = (first_ts, path, line_no)
+    yield from result()

@@ -361,7 +361,7 @@ def streamed_alerts(spark, sf_dir):
     looks = settle(_looks(spark, sf_dir))
     folder, split = scratch_folder(spark, "stream"), F.expr(nanos_literal(SPLIT_DAY, "spark"))
     incoming = spark.readStream.schema(looks.schema).parquet(f"{folder}/in/*")
-    rules = AlertRules(REFRESH_SECONDS, retain_seconds=10 * 366 * 86_400)
+    rules = AlertRules(REFRESH_SECONDS)
     for number, part in enumerate((F.col("observed_nanos") < split, F.col("observed_nanos") >= split)):
         looks.where(part).write.parquet(f"{folder}/in/{number}")
         watch(incoming, rules, folder).trigger(availableNow=True).start().awaitTermination()

@@ -16,17 +16,16 @@ stored tables equal those of a cold scan.
 from __future__ import annotations
 
 import hashlib
-import json
-import time
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyspark.operators.carry import FILE
 from tallyspark.operators.timeline import token_events
 from tallyspark.plans.usage_report import EVENT_COLUMNS
 from tallyspark.session import settle
+from tallyspark.sources.buckets import KEEP_SECONDS, Buckets, Entry
 from tallyspark.sources.byte_log import SPLIT_BYTES, canonical, discover, probe_tails
 from tallyspark.sources.log_scan import lines_of_index, logs_of, ranges_of_index, read_index
 from tallyspark.sources.manifest import manifest_diff
@@ -34,105 +33,13 @@ from tallyspark.sources.session_logs import SessionLogs, file_table
 from tallyspark.sources.tables import TABLE_VERSION
 
 BUCKETS = 256
-#: Generations that no reader of a younger log entry needs are kept so long.
-KEEP_SECONDS = 24 * 3600
 TABLES = ("lines", "events", "files", "manifest")
 
 
-def bucket_of(buckets: int) -> Column:
-    return F.pmod(F.xxhash64(*FILE), F.lit(buckets)).cast("int")
-
-
-@dataclass
-class Entry:
-    """One log entry: the live generation of each bucket, for every table."""
-
-    number: int
-    written: float
-    buckets: int
-    live: dict[str, dict[int, int]]
-
-    def to_json(self) -> str:
-        return json.dumps({"number": self.number, "written": self.written, "buckets": self.buckets, "live": self.live})
-
-    @staticmethod
-    def of_json(text: str) -> Entry:
-        raw = json.loads(text)
-        live = {t: {int(b): g for b, g in m.items()} for t, m in raw["live"].items()}
-        return Entry(raw["number"], raw["written"], raw["buckets"], live)
-
-    def parts(self) -> set[tuple[str, int, int]]:
-        return {(t, g, b) for t, m in self.live.items() for b, g in m.items()}
-
-
-class LogStore:
-    """Bucketed tables of one log root and time zone, under this version's rules."""
-
-    def __init__(self, spark: SparkSession, state: str, root: str, tz: str, buckets: int = BUCKETS):
-        named = hashlib.sha256(f"{canonical(root)}\n{tz}".encode()).hexdigest()[:16]
-        self.spark, self.folder, self.buckets = spark, f"{state}/v{TABLE_VERSION}-{named}", buckets
-        self.Path = spark._jvm.org.apache.hadoop.fs.Path
-        self.fs = self.Path(self.folder).getFileSystem(spark._jsc.hadoopConfiguration())
-
-    def _names(self, folder: str) -> list[str]:
-        path = self.Path(folder)
-        return [s.getPath().getName() for s in self.fs.listStatus(path)] if self.fs.exists(path) else []
-
-    def entries(self) -> list[Entry]:
-        """Log entries, oldest first."""
-        numbers = sorted(int(n) for n in self._names(f"{self.folder}/log") if n.isdigit())
-        return [self._entry(n) for n in numbers]
-
-    def newest(self) -> Entry | None:
-        numbers = [int(n) for n in self._names(f"{self.folder}/log") if n.isdigit()]
-        return self._entry(max(numbers)) if numbers else None
-
-    def _entry(self, number: int) -> Entry:
-        rows = self.spark.read.text(f"{self.folder}/log/{number}").collect()
-        return Entry.of_json(rows[0]["value"])
-
-    def read(self, entry: Entry | None, table: str, buckets: set[int] | None = None) -> DataFrame | None:
-        """The table as an entry saw it, or some of its buckets; none if it has no rows there.
-
-        Paths are at most as many as there are buckets.
-        """
-        live = {} if entry is None else entry.live.get(table, {})
-        paths = [f"{self.folder}/{table}/g={g}/bucket={b}" for b, g in sorted(live.items()) if buckets is None or b in buckets]
-        if not paths:
-            return None
-        return self.spark.read.option("basePath", f"{self.folder}/{table}").parquet(*paths).drop("g", "bucket")
-
-    def write(self, table: str, generation: int, df: DataFrame) -> None:
-        """One table's changed buckets; a large bucket is written by many tasks."""
-        out = df.withColumn("bucket", bucket_of(self.buckets))
-        out.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.folder}/{table}/g={generation}")
-
-    def held(self, table: str, generation: int) -> set[int]:
-        return {int(n.split("=")[1]) for n in self._names(f"{self.folder}/{table}/g={generation}") if n.startswith("bucket=")}
-
-    def commit(self, entry: Entry | None, generation: int, changed: set[int]) -> Entry:
-        """The entry after ``changed`` buckets were written as ``generation``."""
-        live = {}
-        for table in TABLES:
-            kept = {} if entry is None else {b: g for b, g in entry.live.get(table, {}).items() if b not in changed}
-            live[table] = kept | dict.fromkeys(self.held(table, generation), generation)
-        new = Entry(generation, time.time(), self.buckets, live)
-        self.spark.createDataFrame([(new.to_json(),)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.folder}/log/{generation}.part")
-        # The entry counts once it has its name; a run that dies before leaves the older one in force.
-        self.fs.rename(self.Path(f"{self.folder}/log/{generation}.part"), self.Path(f"{self.folder}/log/{generation}"))
-        return new
-
-    def forget(self, keep_seconds: float = KEEP_SECONDS) -> int:
-        """Delete entries older than ``keep_seconds`` but for the newest, and what only they refer to."""
-        entries = self.entries()
-        old = [e for e in entries[:-1] if e.written < time.time() - keep_seconds]
-        used = set().union(*(e.parts() for e in entries if e not in old)) if entries else set()
-        gone = set().union(*(e.parts() for e in old)) - used if old else set()
-        for table, generation, bucket in sorted(gone):
-            self.fs.delete(self.Path(f"{self.folder}/{table}/g={generation}/bucket={bucket}"), True)
-        for e in old:
-            self.fs.delete(self.Path(f"{self.folder}/log/{e.number}"), True)
-        return len(gone)
+def log_store(spark: SparkSession, state: str, root: str, tz: str, buckets: int = BUCKETS) -> Buckets:
+    """The tables of one log root and time zone, under this version's rules."""
+    named = hashlib.sha256(f"{canonical(root)}\n{tz}".encode()).hexdigest()[:16]
+    return Buckets(spark, f"{state}/v{TABLE_VERSION}-{named}", TABLES, FILE, buckets)
 
 
 @dataclass
@@ -178,17 +85,15 @@ def refresh(
     split_bytes: int = SPLIT_BYTES, keep_seconds: float = KEEP_SECONDS,
 ) -> Refresh:
     """One run: continue from the stored state and store the new one."""
-    store = LogStore(spark, state, root, tz, buckets)
+    store = log_store(spark, state, root, tz, buckets)
     before = store.newest()
-    if before is not None and before.buckets != buckets:
-        raise ValueError(f"the store has {before.buckets} buckets, not {buckets}")
     files, errors = discover(spark, root, homes)
     listed = settle(files)
     stored = store.read(before, "manifest")
     changes = settle(classify(listed, stored))
     touched = changes.where("change <> 'unchanged'")
     place = touched.select("home", "path").union(touched.where("moved_from IS NOT NULL").select("home", F.col("moved_from").alias("path")))
-    changed = {r["bucket"] for r in place.select(bucket_of(buckets).alias("bucket")).distinct().collect()}
+    changed = store.numbers_of(place)
 
     wanted = changes.where(F.col("change").isin("new", "rewritten", "appended")).select("path", F.col("resume_at").alias("from_byte"))
     index = read_index(wanted.join(listed.select("path", F.col("length").alias("to_byte")), "path"), split_bytes)
@@ -204,9 +109,9 @@ def refresh(
     return Refresh(_logs(store, after, errors, fresh, listed, tz), _events(store, after, fresh), changes, _run(listed, changes, fresh, read, errors), changed)
 
 
-def _write(store, before, generation, changed, listed, changes, fresh, read, tz) -> None:
+def _write(store: Buckets, before, generation, changed, listed, changes, fresh, read, tz) -> None:
     """The changed buckets of every table."""
-    inside = bucket_of(store.buckets).isin(sorted(changed)) if changed else F.lit(False)
+    inside = store.bucket().isin(sorted(changed)) if changed else F.lit(False)
     kept = changes.where(F.col("change").isin("unchanged", "appended", "renamed")).select(
         "home", F.coalesce("moved_from", "path").alias("path"), F.col("path").alias("_path")
     )
@@ -217,7 +122,7 @@ def _write(store, before, generation, changed, listed, changes, fresh, read, tz)
         lines = fresh.unionByName(old)
     # A moved file's lines leave their bucket for that of the new path; both are among the changed.
     store.write("lines", generation, lines)
-    written = store.spark.read.schema(lines.schema).parquet(f"{store.folder}/lines/g={generation}")
+    written = store.written("lines", generation, lines)
     here = listed.where(inside)
     status = here.join(read, "path", "left")
     tails = store.read(before, "manifest", changed)
@@ -235,7 +140,7 @@ def _write(store, before, generation, changed, listed, changes, fresh, read, tz)
     store.write("manifest", generation, manifest)
 
 
-def _logs(store: LogStore, entry: Entry, errors: DataFrame, fresh: DataFrame, listed: DataFrame, tz: str) -> SessionLogs:
+def _logs(store: Buckets, entry: Entry, errors: DataFrame, fresh: DataFrame, listed: DataFrame, tz: str) -> SessionLogs:
     lines, files = store.read(entry, "lines"), store.read(entry, "files")
     if lines is None:
         lines = fresh
@@ -244,7 +149,7 @@ def _logs(store: LogStore, entry: Entry, errors: DataFrame, fresh: DataFrame, li
     return SessionLogs(lines.where("is_marked AND NOT is_broken"), files, errors)
 
 
-def _events(store: LogStore, entry: Entry, fresh: DataFrame) -> DataFrame:
+def _events(store: Buckets, entry: Entry, fresh: DataFrame) -> DataFrame:
     events = store.read(entry, "events")
     return token_events(fresh).select(*EVENT_COLUMNS).limit(0) if events is None else events
 

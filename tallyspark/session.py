@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import uuid
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -65,14 +68,28 @@ def scratch_folder(spark: SparkSession, kind: str) -> str:
 def discard_scratch(spark: SparkSession) -> int:
     """Delete all intermediate results of this process, once the results that
     read them are stored; returns how many folders went."""
+    return _discard(spark, set(_written))
+
+
+def _discard(spark: SparkSession, targets: set[str]) -> int:
     gone = 0
-    for target in sorted(_written):
+    for target in sorted(targets):
         path = spark._jvm.org.apache.hadoop.fs.Path(target)
         gone += bool(path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True))
-    _written.clear()
+    _written.difference_update(targets)
     return gone
 
 
+@contextmanager
+def passing_scratch(spark: SparkSession) -> Iterator[None]:
+    """Intermediate results that are written inside go at the end, as a stream's batches must not pile them up."""
+    before = set(_written)
+    try:
+        yield
+    finally:
+        _discard(spark, _written - before)
+
+
 def write_settled(df: DataFrame) -> str:
     """Write ``df`` as Parquet in the shared folder; returns where."""
     target = scratch_folder(df.sparkSession, "settled")

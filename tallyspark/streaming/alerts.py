@@ -1,10 +1,15 @@
 """Alerts while looks at accounts arrive.
 
-Each micro-batch is added to the stored looks; the rules of
-``operators.watching`` then run over the stored looks of the accounts that the
-batch touches, and what they find at the batch's own looks is reported. State
-is a table: it survives restarts, a hot account is spread like any other, and a
-batch that is run again replaces its own rows and alerts.
+A home's state is one row: what ``operators.watching`` carries from look to
+look. A micro-batch reads the state of the homes it touches, goes on from
+there, and writes the hash buckets of these homes anew; the quota periods that
+have had their overflow alert are kept alike. Nothing of a batch is read again,
+so the cost of a batch follows the batch, and no look is ever too old to count.
+
+State survives restarts, a hot account is spread like any other, and a batch
+that is run again starts from the state before it and replaces its own rows.
+Within a batch looks count in the order of their times, batches in the order in
+which they arrive.
 """
 
 from __future__ import annotations
@@ -12,15 +17,11 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
-from tallyspark.operators.quota import NANOS
-from tallyspark.operators.watching import find_alerts
-
-#: Looks older than this before a batch say nothing about it: two of the
-#: longest windows. A longer window needs a longer time.
-RETAIN_SECONDS = 14 * 86_400
+from tallyspark.operators.watching import alerts_in, judge_looks, state_after
+from tallyspark.session import passing_scratch, settle
+from tallyspark.sources.buckets import KEEP_SECONDS, Buckets
 
 
 @dataclass(frozen=True)
@@ -28,7 +29,8 @@ class AlertRules:
     refresh_seconds: int
     resets: bool = True
     overflow: bool = True
-    retain_seconds: int = RETAIN_SECONDS
+    buckets: int = 64
+    keep_seconds: float = KEEP_SECONDS  #: how long replaced state files stay
 
 
 def watch(looks: DataFrame, rules: AlertRules, folder: str) -> DataStreamWriter:
@@ -36,18 +38,24 @@ def watch(looks: DataFrame, rules: AlertRules, folder: str) -> DataStreamWriter:
 
     def one_batch(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        here = f"{folder}/looks/batch={number}"
-        batch.write.mode("overwrite").parquet(here)
-        stored = spark.read.schema(batch.schema).parquet(here)
-        if stored.isEmpty():
-            return
-        since = stored.agg(F.min("observed_nanos").alias("since"))
-        history = spark.read.option("basePath", f"{folder}/looks").parquet(f"{folder}/looks")
-        # One row on the right: the batch's earliest time.
-        history = history.where(F.col("batch") <= number).join(stored.select("home").distinct(), "home", "left_semi")
-        history = history.where(F.col("observed_nanos") >= F.lit(since.first()["since"] - rules.retain_seconds * NANOS))
-        found = find_alerts(history, rules.refresh_seconds, rules.resets, rules.overflow).where(F.col("batch") == number)
-        found.drop("batch").write.mode("overwrite").parquet(f"{folder}/alerts/batch={number}")
+        store = Buckets(spark, f"{folder}/state", ("state", "fired"), ("home",), rules.buckets)
+        before = store.newest(before=number)
+        with passing_scratch(spark):
+            arrived = settle(batch)
+            if arrived.isEmpty():
+                return
+            changed = store.numbers_of(arrived)
+            state, fired = store.read(before, "state", changed), store.read(before, "fired", changed)
+            rows = settle(judge_looks(arrived, rules.refresh_seconds, state))
+            found, spent = alerts_in(rows, rules.refresh_seconds, rules.resets, rules.overflow, fired)
+            found.write.mode("overwrite").parquet(f"{folder}/alerts/batch={number}")
+            after = state_after(rows)
+            if state is not None:
+                after = after.unionByName(state.join(arrived.select("home").distinct(), "home", "left_anti"))
+            store.write("state", number, after)
+            store.write("fired", number, spent if fired is None else spent.unionByName(fired))
+            store.commit(before, number, changed)
+            store.forget(rules.keep_seconds)
 
     return looks.writeStream.foreachBatch(one_batch).option("checkpointLocation", f"{folder}/progress")
 

@@ -55,15 +55,62 @@ def period_usage(events: DataFrame, boundaries: DataFrame) -> DataFrame:
 
 
 def keep_slices(events: DataFrame, folder: str) -> DataStreamWriter:
-    """Add each micro-batch's slices to a table; a batch that is run again replaces its own."""
+    """Add each micro-batch's slices to a table of runs.
+
+    A run holds the sums of some batches in a row. Two runs of as many batches
+    are merged into one, so n batches are log2(n) runs, and a slice that many
+    batches touch is summed up as it ages. A merged run counts once it is
+    complete; what it replaces goes with the next batch, after readers of the
+    older listing. A batch that is run again finds itself stored.
+    """
 
     def one_batch(batch: DataFrame, number: int) -> None:
-        usage_slices(batch).write.mode("overwrite").parquet(f"{folder}/slices/batch={number}")
+        store = _Runs(batch.sparkSession, f"{folder}/slices")
+        runs = store.live(clean=True)
+        if any(a <= number <= b for a, b in runs):
+            return
+        store.write(usage_slices(batch), number, number)
+        runs.append((number, number))
+        while len(runs) > 1 and runs[-1][1] - runs[-1][0] == runs[-2][1] - runs[-2][0]:
+            (a, _), (_, b) = runs[-2:]
+            store.write(_merged(store.read(runs[-2:])), a, b)
+            runs[-2:] = [(a, b)]
 
     return events.writeStream.foreachBatch(one_batch).option("checkpointLocation", f"{folder}/progress")
 
 
 def kept_slices(spark: SparkSession, folder: str) -> DataFrame:
     """What ``keep_slices`` has stored; ``cut_periods`` turns it into periods."""
-    stored = spark.read.option("basePath", f"{folder}/slices").parquet(f"{folder}/slices")
-    return stored.groupBy("home", "second").agg(*[F.sum(n).alias(n) for n in SUMS])
+    store = _Runs(spark, f"{folder}/slices")
+    return _merged(store.read(store.live()))
+
+
+def _merged(slices: DataFrame) -> DataFrame:
+    return slices.groupBy("home", "second").agg(*[F.sum(n).alias(n) for n in SUMS])
+
+
+class _Runs:
+    """Folders ``<first batch>-<last batch>``."""
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder = spark, folder
+        self.Path = spark._jvm.org.apache.hadoop.fs.Path
+        self.fs = self.Path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def live(self, clean: bool = False) -> list[tuple[int, int]]:
+        """Complete runs that no longer one covers, oldest first; ``clean``: the others go."""
+        done = self.fs.globStatus(self.Path(f"{self.folder}/*/_SUCCESS")) or []
+        runs = [tuple(map(int, s.getPath().getParent().getName().split("-"))) for s in done]
+        live: list[tuple[int, int]] = []
+        for a, b in sorted(runs, key=lambda r: (r[0], -r[1])):
+            if not live or b > live[-1][1]:
+                live.append((a, b))
+            elif clean:
+                self.fs.delete(self.Path(f"{self.folder}/{a}-{b}"), True)
+        return live
+
+    def write(self, slices: DataFrame, a: int, b: int) -> None:
+        slices.write.mode("overwrite").parquet(f"{self.folder}/{a}-{b}")
+
+    def read(self, runs: list[tuple[int, int]]) -> DataFrame:
+        return self.spark.read.parquet(*[f"{self.folder}/{a}-{b}" for a, b in runs])

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import pytest
 
-from tallyspark.operators.watching import find_alerts
+from tallyspark.operators.watching import alerts_in, find_alerts, judge_looks, state_after
+from tallyspark.session import settle
 from tallyspark.streaming.alerts import AlertRules, alerts_of, watch
 
 SECOND = 1_000_000_000
@@ -103,3 +104,41 @@ def test_stream_equals_history_and_survives_restarts(spark, tmp_path):
     got = sorted(tuple(r) for r in alerts_of(spark, f"{tmp_path}/watch").select(*columns).collect())
     want = sorted(tuple(r) for r in find_alerts(frame, 300).select(*columns).collect() if r["kind"] == "reset" or r["observed_nanos"] >= cut[0] * SECOND)
     assert got == want
+
+
+def test_state_stands_for_all_earlier_looks(spark):
+    """Looks in many batches, with state carried: the same alerts as at once."""
+    frame = spark.createDataFrame(rows_of(CASES), SCHEMA)
+    times = sorted({r.observed_nanos for r in frame.select("observed_nanos").collect()})
+    found, state, fired = [], None, None
+    for a, b in zip([0, *times[4::8]], [*times[4::8], times[-1] + 1], strict=True):
+        rows = settle(judge_looks(frame.where(f"observed_nanos >= {a} AND observed_nanos < {b}"), 300, state))
+        new, spent = alerts_in(rows, 300, fired=fired)
+        found += [tuple(r) for r in new.collect()]
+        after = state_after(rows)
+        state = settle(after if state is None else after.unionByName(state.join(after, "home", "left_anti")))
+        fired = settle(spent if fired is None else spent.unionByName(fired))
+    assert state.count() == state.select("home").distinct().count()
+    assert sorted(found) == sorted(tuple(r) for r in find_alerts(frame, 300).collect())
+
+
+def test_month_windows_and_state_files(spark, tmp_path):
+    """A look of more than a month ago still counts, and state files do not pile up."""
+    month = 44_640 * 60
+    old = look(0, short=(80.0, NOON + 100), long=(90.0, NOON + month), lengths=(HOUR, month), credits=0.0)
+    late = month - 600
+    source = spark.readStream.schema(SCHEMA).parquet(f"{tmp_path}/in/*")
+    rows = [
+        [("h", *old)],
+        [("o", *look(60))],
+        [("h", *look(late, short=(5.0, NOON + late + 900), long=(95.0, NOON + month), lengths=(HOUR, month)))],
+        [("h", *look(late + 700, short=(5.0, NOON + late + 900), long=(1.0, NOON + 2 * month), lengths=(HOUR, month)))],
+    ]
+    rules = AlertRules(300, buckets=2, keep_seconds=0)
+    for number, part in enumerate(rows):
+        spark.createDataFrame(part, SCHEMA).coalesce(1).write.parquet(f"{tmp_path}/in/{number}")
+        watch(source, rules, f"{tmp_path}/watch").trigger(availableNow=True).start().awaitTermination()
+    got = [tuple(r) for r in alerts_of(spark, f"{tmp_path}/watch").select("home", "kind", "seconds", "value").collect()]
+    assert got == [("h", "reset", month, 99.0)]
+    folders = list((tmp_path / "watch" / "state" / "state").glob("g=*/bucket=*"))
+    assert len(folders) <= 3 and len(list((tmp_path / "watch" / "state" / "log").iterdir())) == 1

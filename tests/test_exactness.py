@@ -6,6 +6,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from tallyspark.operators import blocks, forks
 from tallyspark.operators.blocks import fold_neighbours, ordered_slices, running
 from tallyspark.operators.carry import carry_settings
 from tallyspark.operators.compaction import compact_events
@@ -109,6 +110,44 @@ def test_fork_replay_is_greedy_matching(spark):
     assert got == {k: (v, v - 1) for k, v in expected.items() if v}
 
 
+def test_forks_that_fall_back_at_every_place(spark, monkeypatch):
+    """Two snapshots that take turns: few rounds, then a walk in passes, and still the greedy matches."""
+    rounds = []
+    real = forks._match_round
+    monkeypatch.setattr(forks, "ROUNDS", 3)
+    monkeypatch.setattr(forks, "WALK_EVENTS", 40)
+    monkeypatch.setattr(forks, "_match_round", lambda *a: (rounds.append(1), real(*a))[1])
+    shapes = {"alternate": ("ab" * 60, "aabb" * 40), "short": ("ab" * 90, "aabb" * 30), "plain": ("abcd", "xabcd"), "none": ("z", "ab")}
+    rows, kids = [], []
+    for name, (child, parent) in shapes.items():
+        rows += [("h", f"par-{name}", i // 50, i, i, s) for i, s in enumerate(parent)]
+        rows += [("h", f"kid-{name}", i // 50, i, 1000 + i, s) for i, s in enumerate(child)]
+        kids.append(("h", f"kid-{name}", f"par-{name}", 999))
+    events = settle(spark.createDataFrame(rows, "home string, path string, block bigint, line_no bigint, ts_nanos bigint, sig string"))
+    children = spark.createDataFrame(kids, "home string, path string, parent_id string, root_ts bigint")
+    parents = children.select("home", F.col("parent_id").alias("path"), "parent_id", F.lit(0).cast("bigint").alias("first_ts"))
+    got = {r.fork: r.replayed_events for r in replay_bounds(children, parents, events).collect()}
+    assert got == {f"kid-{n}": v for n, (c, p) in shapes.items() if (v := greedy(c, list(p)))}
+    assert len(rounds) == 3 and max(got.values()) == 80
+
+
+def test_only_hot_keys_are_spread(spark, monkeypatch):
+    facts = settle(spark.range(3000).select(F.when(F.col("id") < 2000, F.lit(7)).otherwise(F.col("id")).alias("k"), "id"))
+    dim = spark.createDataFrame([(7, "hot"), (2500, "cold"), (9999, "none")], "k long, name string")
+    want = sorted(facts.join(dim, "k", "left").collect())
+    assert blocks.hot_keys(facts, ["k"]) == {}
+    monkeypatch.setattr(blocks, "COLD_BYTES", 0)
+    monkeypatch.setattr(blocks, "HOT_ROWS", 300)
+    hot = blocks.hot_keys(facts, ["k"])
+    assert list(hot.values()) == [7]
+    joined = blocks.join_dimension(facts, dim, ["k"], ["id"])
+    assert sorted(joined.collect()) == want
+    # The one hot key has seven rows on the dimension's side, a cold key its own.
+    sizes = [r["n"] for r in joined.groupBy("name").agg(F.count("*").alias("n")).orderBy("name").collect()]
+    assert sizes == [999, 1, 2000]
+    assert sorted(blocks.join_dimension(facts, dim, ["k"], ["id"], "inner").collect()) == sorted(facts.join(dim, "k").collect())
+
+
 def test_copies_in_small_blocks(spark):
     rows = []
     contents = {"a": "abcdefgh", "b": "abcdefgh", "c": "abc", "d": "abd", "e": "", "f": "abcdefghi", "g": "abd", "h": "xbcdefgh"}

@@ -9,11 +9,11 @@ from pyspark.sql import functions as F
 
 from tallyspark.operators.timeline import token_events
 from tallyspark.plans import refresh as refresh_module
-from tallyspark.plans.refresh import LogStore, refresh
+from tallyspark.plans.refresh import log_store, refresh
 from tallyspark.plans.usage_report import EVENT_COLUMNS
 from tallyspark.sources import byte_log
 from tallyspark.sources.log_scan import load_session_logs
-from tallyspark.streaming.windows import cut_periods, daily_usage, keep_slices, kept_slices, period_usage
+from tallyspark.streaming.windows import _Runs, cut_periods, daily_usage, keep_slices, kept_slices, period_usage
 from tests.logs import CHILD, Home, meta, model, nanos, usage
 
 OTHER = "b7405d2c-1e8f-4c6a-a0d3-58e2f9176c4b"
@@ -23,14 +23,15 @@ def whole(df):
     return sorted((str(r) for r in df.select(*sorted(df.columns)).collect()))
 
 
-def check(spark, root, state, **options):
-    """A refresh, held against a cold scan; returns it and its changes by file."""
-    run = refresh(spark, root, "UTC", state, buckets=8, **options)
+def check(spark, root, state, events=False):
+    """A refresh, held against a cold scan; returns it and its changes."""
+    run = refresh(spark, root, "UTC", state, buckets=8)
     cold = load_session_logs(spark, root, "UTC")
     assert whole(run.logs.files) == whole(cold.files)
     assert whole(run.logs.lines) == whole(cold.lines)
-    assert whole(run.events) == whole(token_events(cold.lines).select(*EVENT_COLUMNS))
-    return run, {r.path.rsplit("/", 1)[1][11:19] + r.path.rsplit("/", 1)[1][30:34]: r.change for r in run.changes.collect()}
+    if events:
+        assert whole(run.events) == whole(token_events(cold.lines).select(*EVENT_COLUMNS))
+    return run, sorted(r.change for r in run.changes.collect())
 
 
 def test_refresh_equals_cold_scan(spark, tmp_path):
@@ -39,7 +40,7 @@ def test_refresh_equals_cold_scan(spark, tmp_path):
     grown = home.write([meta(0), usage(1, 100, 100)])
     moved = home.write([meta(0, CHILD), usage(1, 50, 50)], thread=CHILD)
     gone = home.write([meta(0, OTHER), usage(1, 9, 9)], thread=OTHER)
-    check(spark, root, state)
+    refresh(spark, root, "UTC", state, buckets=8)
     time.sleep(0.01)
     home.write([meta(0), usage(1, 100, 100), usage(2, 150, 50)])
     archive = home.root / "archived_sessions"
@@ -47,10 +48,9 @@ def test_refresh_equals_cold_scan(spark, tmp_path):
     os.rename(moved, archive / moved.name)
     gone.unlink()
     home.write([meta(0, OTHER), model(0, "m"), usage(1, 7, 7)], thread=OTHER, stamp="13-00-00")
-    run, changes = check(spark, root, state)
-    assert sorted(r.change for r in run.changes.collect()) == ["appended", "deleted", "moved away", "new", "renamed"]
-    assert grown.exists()
-    again, _ = check(spark, root, state)
+    run, changes = check(spark, root, state, events=True)
+    assert changes == ["appended", "deleted", "moved away", "new", "renamed"] and grown.exists()
+    again = refresh(spark, root, "UTC", state, buckets=8)
     assert {r.change for r in again.changes.collect()} == {"unchanged"} and not again.changed_buckets
     assert again.run.first()["bytes_read"] == 0
 
@@ -62,7 +62,7 @@ def test_bytes_read_are_bytes_appended(spark, tmp_path):
     big = home.write([meta(0), *[usage(i, 10 * i, 10) for i in range(1, 400)]], tail=json.dumps(usage(400, 4000, 10))[:40])
     other = home.write([meta(0, CHILD), usage(1, 5, 5)], thread=CHILD)
     size = big.stat().st_size
-    first, _ = check(spark, root, state)
+    first = refresh(spark, root, "UTC", state, buckets=8)
     assert first.run.first()["bytes_read"] == size + other.stat().st_size and first.run.first()["events_added"] == 400
     with big.open("ab") as f:
         f.write(json.dumps(usage(400, 4000, 10))[40:].encode() + b"\n" + b"\n\r\n")
@@ -70,29 +70,27 @@ def test_bytes_read_are_bytes_appended(spark, tmp_path):
     counts = run.run.first()
     assert counts["bytes_read"] == big.stat().st_size - size < 400 and counts["events_added"] == 1 and counts["files_read"] == 1
     # One bucket is written anew, the other one's generation stays live.
-    store = LogStore(spark, state, root, "UTC", 8)
+    store = log_store(spark, state, root, "UTC", 8)
     assert len(run.changed_buckets) == 1 and set(store.newest().live["lines"].values()) == {0, 1}
 
 
 def test_rewritten_and_truncated_files_are_read_again(spark, tmp_path):
     home, state = Home(), str(tmp_path / "state")
     root = str(home.root)
-    path = home.write([meta(0), usage(1, 100, 100), usage(2, 150, 50)])
-    check(spark, root, state)
-    # Longer than before, but not the same file any more.
+    longer = home.write([meta(0), usage(1, 100, 100), usage(2, 150, 50)])
+    home.write([meta(0, CHILD), usage(1, 100, 100), usage(2, 150, 50)], thread=CHILD)
+    moved = home.write([meta(0, OTHER), usage(1, 3, 3)], thread=OTHER)
+    refresh(spark, root, "UTC", state, buckets=8)
+    # Longer than before, but not the same file any more; shorter; moved, with other content of the same length.
     home.write([meta(0), model(1, "m"), *[usage(i, 7 * i, 7) for i in range(1, 9)]])
-    run, _ = check(spark, root, state)
-    assert [r.change for r in run.changes.collect()] == ["rewritten"] and run.run.first()["bytes_read"] == path.stat().st_size
-    home.write([meta(0), usage(3, 3, 3)])
-    run, _ = check(spark, root, state)
-    assert [r.change for r in run.changes.collect()] == ["rewritten"]
-    # A move onto which other content was written is no move.
-    other = home.root / "archived_sessions" / path.name
+    cut = home.write([meta(0, CHILD), usage(3, 3, 3)], thread=CHILD)
+    other = home.root / "archived_sessions" / moved.name
     other.parent.mkdir()
-    other.write_bytes(path.read_bytes().replace(b'"total_tokens": 3', b'"total_tokens": 8'))
-    path.unlink()
-    run, _ = check(spark, root, state)
-    assert sorted(r.change for r in run.changes.collect()) == ["moved away", "rewritten"]
+    other.write_bytes(moved.read_bytes().replace(b'"total_tokens": 3', b'"total_tokens": 8'))
+    moved.unlink()
+    run, changes = check(spark, root, state)
+    assert changes == ["moved away", "rewritten", "rewritten", "rewritten"]
+    assert run.run.first()["bytes_read"] == sum(p.stat().st_size for p in (longer, cut, other))
 
 
 def test_generations_age(spark, tmp_path):
@@ -101,7 +99,7 @@ def test_generations_age(spark, tmp_path):
     for n in range(1, 4):
         home.write([meta(0), *[usage(i, 10 * i, 10) for i in range(1, n + 1)]])
         run = refresh(spark, root, "UTC", state, buckets=4)
-    store = LogStore(spark, state, root, "UTC", 4)
+    store = log_store(spark, state, root, "UTC", 4)
     entries = store.entries()
     assert [e.number for e in entries] == [0, 1, 2]
     # Readers of an older entry still have its files; a run that died before its entry counts for nothing.
@@ -112,13 +110,13 @@ def test_generations_age(spark, tmp_path):
     assert store.read(store.newest(), "events").count() == 3 and store.forget(keep_seconds=0) == 0
     with pytest.raises(ValueError):
         refresh(spark, root, "UTC", state, buckets=5)
-    assert LogStore(spark, state, root + "/other", "UTC").newest() is None
+    assert log_store(spark, state, root + "/other", "UTC").newest() is None
 
 
 def test_empty_root_and_lost_files(spark, tmp_path, monkeypatch):
     home, state = Home(), str(tmp_path / "state")
     root = str(home.root)
-    run, _ = check(spark, root, state)
+    run = refresh(spark, root, "UTC", state, buckets=8)
     assert run.logs.files.count() == 0 and run.events.count() == 0
     path = home.write([meta(0), usage(1, 100, 100)])
     kept = home.write([meta(0, CHILD), usage(1, 5, 5)], thread=CHILD)
@@ -173,3 +171,21 @@ def test_period_stream_counts_events_before_their_boundary(spark, tmp_path):
         got, batch = now(boundaries)
         assert got == batch
     assert now([("a", 20 * second)])[0] == [("a", 20 * second, 13, 1)]
+
+
+def test_slices_of_many_batches_are_few_runs(spark, tmp_path):
+    schema = "home string, ts_nanos bigint, delta_total bigint, overflow boolean"
+    source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
+    rows = [("a", (n % 3) * 10**9, n, n % 2 == 0) for n in range(11)]
+    for n, row in enumerate(rows):
+        spark.createDataFrame([row], schema).coalesce(1).write.parquet(f"{tmp_path}/in/{n:02}")
+    keep_slices(source, f"{tmp_path}/out").trigger(availableNow=True).start().awaitTermination()
+    # 11 batches: runs of 8, 2 and 1; the two halves of the last merge may still be there.
+    store = _Runs(spark, f"{tmp_path}/out/slices")
+    assert [b - a + 1 for a, b in store.live()] == [8, 2, 1] and len(list((tmp_path / "out" / "slices").iterdir())) <= 7
+    got = {(r.home, r.second): (r.tokens, r.overflow_tokens) for r in kept_slices(spark, f"{tmp_path}/out").collect()}
+    want = {("a", s): (sum(n for _, t, n, o in rows if t == s * 10**9 and not o), sum(n for _, t, n, o in rows if t == s * 10**9 and o)) for s in range(3)}
+    assert got == want
+    # A merge that had not removed its halves counts once.
+    store.write(store.read([(0, 7)]), 0, 3)
+    assert {(r.home, r.second): (r.tokens, r.overflow_tokens) for r in kept_slices(spark, f"{tmp_path}/out").collect()} == want
