@@ -26,6 +26,7 @@ from tallyspark.operators.timeline import token_events
 from tallyspark.operators.watching import find_alerts
 from tallyspark.operators.usage import cache_hit_rate, hit_rate_tenths, usage_volumes
 from tallyspark.operators.windows import local_date
+from tallyspark.plans.history import compact_history, refresh_outcomes, restore_history, thread_outcomes
 from tallyspark.plans.refresh import Refresh, refresh
 from tallyspark.plans.parameters import AS_OF_SPARK, NEWER_PRICE_ROWS, PRICE_ROWS, REFRESH_SECONDS, TZ
 from tallyspark.operators.forks import ancestor_closure, parent_state, replay_bounds
@@ -40,6 +41,7 @@ from tallyspark.plans.usage_report import (
     window_report,
 )
 from tallyspark.session import configure, scratch_folder, settle, write_settled
+from tallyspark.sources.buckets import Buckets
 from tallyspark.sources.byte_log import discover
 from tallyspark.sources.derived_inputs import log_text, response_rows, sheet_rows
 from tallyspark.sources.derived_logs import logged_lines, period_of, user_of, write_stage
@@ -587,3 +589,40 @@ def refresh_counts(spark, sf_dir):
         F.element_at(F.split("home", "/"), -1).alias("home_name"), "files_listed", "files_read", "files_unchanged", "files_failed",
         "lines_read", "events_added", "parse_errors", "folders_failed",
     )
+
+
+@query("dirty_threads")
+def dirty_threads(spark, sf_dir):
+    """Thread outcomes of the first half, brought up to date for the users of whom more has come."""
+    lines = event_lines(spark, sf_dir, variants=True)
+    early = F.col("ts_nanos") < F.expr(nanos_literal(SPLIT_DAY, "spark"))
+
+    def inputs(rows):
+        events = settle(token_events(rows).select(*EVENT_COLUMNS))
+        files = event_files(rows).join(file_profile(events), ["home", "path"], "left")
+        return settle(files.withColumn("n_events", F.coalesce("n_events", F.lit(0).cast("bigint")))), events
+
+    stored = settle(thread_outcomes(*inputs(lines.where(early))))
+    files, events = inputs(lines.where(early | (F.col("user_id") % 3 == 0)))
+    changed = files.where("user_id % 3 = 0")
+    found, _ = refresh_outcomes(stored, files, events, changed)
+    return found
+
+
+@query("restored_history")
+def restored_history(spark, sf_dir):
+    """Stored events after all were trimmed to the second half, and those of every other home restored."""
+    lines = event_lines(spark, sf_dir, variants=True)
+    store = Buckets(spark, scratch_folder(spark, "store"), ("lines", "events", "files"), ("home", "path"), 16)
+    store.write("lines", 0, lines)
+    store.write("events", 0, token_events(lines).select(*EVENT_COLUMNS))
+    store.write("files", 0, event_files(lines).withColumn("history_start_nanos", F.lit(None).cast("bigint")))
+    entry = store.commit(None, 0, set(range(16)))
+    start = F.expr(nanos_literal(SPLIT_DAY, "spark"))
+    homes = settle(lines.select("home").distinct())
+    entry = compact_history(store, entry, homes.withColumn("start_nanos", start))
+    required = homes.withColumn("required_nanos", start - F.when(F.col("home") % 2 == 0, F.lit(NANOS)).otherwise(F.lit(0)))
+    entry, _ = restore_history(store, entry, required)
+    return store.read(entry, "events").groupBy("home", "path").agg(
+        F.count(F.lit(1)).alias("kept"), F.sum("line_no").alias("line_sum"), F.min("line_no").alias("first_line")
+    )

@@ -734,3 +734,14 @@ select home_name, count(*) as files_listed, count(*) filter (is_read) as files_r
   count(*) filter (not is_read and rule <> 'moved') as files_unchanged, cast(0 as bigint) as files_failed,
   cast(sum(lines_read) as bigint) as lines_read, cast(sum(events_added) as bigint) as events_added, cast(0 as bigint) as parse_errors, cast(0 as bigint) as folders_failed
 from files group by home_name"""
+
+# The first half of everybody, the second half of some.
+LINES_DIRTY = LINES_VARIANT.replace(" from placed)", f" from placed where ts_nanos < {_ts(SPLIT_DAY)} or user_id % 3 = 0)")
+
+SQL["dirty_threads"] = f"""with recursive {LINES_DIRTY}, {EVENTS}, {NUMBERED}, {FORKS}, {thread_ctes('thr', 'files', 'home, thread_id')}
+select f.home, f.path, f.thread_id, c.path is not null as is_copy, s.is_sequential,
+  case when f.parent_id is null then true else coalesce(r.usable, false) end as replay_ok, cast(coalesce(r.replayed_events, 0) as bigint) as replayed_events
+from files f left join thr_copies c using (home, thread_id, path) left join thr_seq s using (home, thread_id)
+left join replay r on r.home = f.home and r.path = f.path"""
+
+SQL["restored_history"] = SQL["history_compaction"].replace("where not exists (select 1 from head h", "where n.home % 2 = 0 or not exists (select 1 from head h")

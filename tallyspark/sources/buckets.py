@@ -102,12 +102,16 @@ class Buckets:
     def held(self, table: str, generation: int) -> set[int]:
         return {int(n.split("=")[1]) for n in self._names(f"{self.folder}/{table}/g={generation}") if n.startswith("bucket=")}
 
-    def commit(self, entry: Entry | None, generation: int, changed: set[int]) -> Entry:
-        """The entry after ``changed`` buckets were written as ``generation``."""
+    def commit(self, entry: Entry | None, generation: int, changed: set[int] | dict[str, set[int]]) -> Entry:
+        """The entry after ``changed`` buckets, of all tables or of those named, were written as ``generation``."""
         live = {}
         for table in self.tables:
-            kept = {} if entry is None else {b: g for b, g in entry.live.get(table, {}).items() if b not in changed}
-            live[table] = kept | dict.fromkeys(self.held(table, generation), generation)
+            old = {} if entry is None else entry.live.get(table, {})
+            gone = changed.get(table) if isinstance(changed, dict) else changed
+            if gone is None:
+                live[table] = old
+                continue
+            live[table] = {b: g for b, g in old.items() if b not in gone} | dict.fromkeys(self.held(table, generation), generation)
         new = Entry(generation, time.time(), self.buckets, live)
         part, name = (self.Path(f"{self.folder}/log/{generation}{end}") for end in (".part", ""))
         self.spark.createDataFrame([(new.to_json(),)], "value string").coalesce(1).write.mode("overwrite").text(part.toString())

@@ -423,6 +423,7 @@ def file_table(lines: DataFrame, listed: DataFrame, tz: str) -> DataFrame:
         F.coalesce("token_without_timestamp", false).alias("token_without_timestamp"),
         F.coalesce("parse_errors", F.lit(0)).alias("parse_errors"),
         false.alias("compacted"),
+        F.lit(None).cast("bigint").alias("history_start_nanos"),
         F.coalesce("unread", false).alias("unread"),
         "partition_date",
         local_date(F.unix_micros("modified_at") * 1000, tz).alias("modified_date"),
