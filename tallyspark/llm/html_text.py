@@ -7,13 +7,17 @@ length and punctuation are summed over its blocks; ratios to the number of
 blocks are smoothed over the other paths by how much of the path they share,
 and the two are fused as a geometric mean. Paths whose fused ratio reaches a
 share of the page's length-weighted mean are content, and show the container
-that holds it. All its blocks come out in page order, without the paths
-that are navigation, notes, forms, adverts or comments by their elements or
-names, or that are mostly links. A class or id that names boilerplate does not
+that holds it. All its blocks come out in page order, linked ones too, without
+those that are navigation, notes, forms, adverts or comments by their elements or
+names, or are hidden; only where the page itself is the container do paths that
+are mostly links go. A form, and a class or id that names boilerplate does not
 count if it is a modifier (has-sidebar), the header of a piece (entry-header), or
 that of an element around the page's articles or most of its text; if all that
 is left is named so, names do not count.
 
+A page is read once from front to back, and sums run over the tree of its
+elements, so that time grows with its length, however it is nested or broken.
+
 Nulls and edge cases: a null or empty page, and one without text, gives an
 empty string. Character references are decoded, white space in a block becomes
 one space, blocks are joined by one newline. Cut-off pages, unclosed tags and
@@ -26,7 +30,9 @@ from __future__ import annotations
 import html
 import math
 import re
-from collections.abc import Iterable, Iterator
+from collections import Counter
+from collections.abc import Callable, Iterable, Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -36,7 +42,7 @@ from pyspark.sql import functions as F
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript template iframe noembed noframes xmp".split())
-NEVER = frozenset("head nav aside footer form button select option object svg canvas audio video map dialog menu math".split())
+NEVER = frozenset("head nav aside footer button select option object svg canvas audio video map dialog menu math".split())
 CLOSES = {
     "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",),
     "tbody": ("tr", "td", "th", "thead", "tbody"), "tfoot": ("tr", "td", "th", "thead", "tbody"), "body": ("head",),
@@ -52,23 +58,73 @@ MODIFIER = re.compile(r"^(?:has|with|without|no|not|hide|show)[\s_-]")
 PIECE = re.compile(r"^(?:entry|post|article|content|story|page|section|chapter)[\s_-]+header$")
 ROLES = re.compile(r"^(?:navigation|banner|contentinfo|complementary|search|form|alert|dialog|menu|menubar|toolbar)$")
 CONTAINER = frozenset(("article", "main"))
+HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
+#: Up to the quote that keeps a tag from ending.
+UNCLOSED = re.compile(r"<(?:[^>\"']|\"[^\"]*\"|'[^']*')*+[\"']?")
 #: Elements of a text; what holds them is a container.
 PARTS = frozenset("p h1 h2 h3 h4 h5 h6 pre blockquote figure figcaption ul ol li dl dt dd table caption colgroup thead tbody tfoot tr address details summary hgroup".split())
 CELLS = frozenset(("th", "td"))  #: parts of a table, or of the page's layout
 PAGE = frozenset(("html", "body"))
-TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(>|$)", re.S)
+TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([A-Za-z][A-Za-z0-9:-]*+)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(>|$)", re.S)
 MARK = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 PUNCTUATION = re.compile(r"[.,;:!?…。，、；：！？]")
 SHARE = 0.2  #: of the page's mean ratio that a path needs
 
 
-def blocks_of(page: str) -> list[tuple[tuple[str, ...], str, int, bool]]:
-    """Path, text, characters under links and "boilerplate by name" of each block."""
-    out: list[tuple[tuple[str, ...], str, int, bool]] = []
-    stack: list[tuple[str, str, int]] = []  # element, its label, its number
+class Paths:
+    """Root-to-leaf paths as a tree of labels; the empty path is 0, and a path comes after the one above it."""
+
+    def __init__(self) -> None:
+        self.up, self.label, self.depth = [0], [""], [0]
+        self._known: dict[tuple[int, str], int] = {}
+
+    def add(self, up: int, label: str) -> int:
+        found = self._known.get((up, label))
+        if found is None:
+            found = self._known[up, label] = len(self.up)
+            self.up.append(up)
+            self.label.append(label)
+            self.depth.append(self.depth[up] + 1)
+        return found
+
+    def below(self, test: Callable[[str], bool]) -> list[bool]:
+        """Of each path, whether a label on it passes."""
+        out = [False] * len(self.up)
+        for i in range(1, len(out)):
+            out[i] = out[self.up[i]] or test(self.label[i])
+        return out
+
+    def summed(self, own: list[int]) -> list[int]:
+        """Of each path, the sum over it and all that lie below."""
+        out = own[:]
+        for i in range(len(out) - 1, 0, -1):
+            out[self.up[i]] += out[i]
+        return out
+
+
+@dataclass
+class Block:
+    path: int
+    text: str
+    link_chars: int  #: characters under links
+    bad: bool  #: boilerplate by name
+
+
+@dataclass
+class Page:
+    paths: Paths
+    blocks: list[Block]
+
+
+def blocks_of(page: str) -> Page:
+    """The blocks of a page in order, each with its path. Every character is looked at a bounded number of times."""
+    paths, out = Paths(), []
+    stack: list[tuple[str, int, int]] = []  # element, its path, its number
+    held: Counter[str] = Counter()  # open elements by name
     tree = Tree()
     nodes: list[int] = []  # of each block, its element
     parts: list[str] = []
+    endless: set[str] = set()  # elements that no later end tag closes
     link_chars = links = 0
 
     def end_block() -> None:
@@ -76,21 +132,37 @@ def blocks_of(page: str) -> list[tuple[tuple[str, ...], str, int, bool]]:
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
-                out.append((tuple(x[1] for x in stack), text, link_chars, False))
+                out.append(Block(stack[-1][1] if stack else 0, text, link_chars, False))
                 nodes.append(stack[-1][2] if stack else 0)
             parts.clear()
         link_chars = 0
 
+    def cut(i: int) -> None:
+        for element, _, _ in stack[i:]:
+            held[element] -= 1
+        del stack[i:]
+
     def close(names: tuple[str, ...], until: frozenset[str]) -> None:
         """Close the innermost of these elements, if it is nearer than ``until``."""
+        if not any(held[n] for n in names):
+            return
         for i in range(len(stack) - 1, -1, -1):
             if stack[i][0] in names:
                 end_block()
-                del stack[i:]
+                cut(i)
                 return
             if stack[i][0] in until:
                 return
 
+    def end_of(name: str, start: int) -> int:
+        """Behind the element's end tag, or -1 if there is none any more."""
+        if name in endless:
+            return -1
+        end = re.compile(rf"</{name}\s*>", re.I).search(page, start)
+        if end is None:
+            endless.add(name)
+        return end.end() if end else -1
+
     at, size = 0, len(page)
     scopes = frozenset("table ul ol dl div article section body html td th".split())
     while at < size:
@@ -104,9 +176,11 @@ def blocks_of(page: str) -> list[tuple[tuple[str, ...], str, int, bool]]:
         if found >= size:
             break
         tag = TOKEN.match(page, found)
-        if tag is None:  # a lone "<"
-            parts.append("&lt;")
-            at = found + 1
+        if tag is None:
+            # No tag: a lone "<", or one whose quote is never closed; all up to that quote is text.
+            end = max(found + 1, UNCLOSED.match(page, found).end())
+            parts.append(html.escape(page[found:end], quote=False))
+            at = end
             continue
         at = tag.end()
         name = (tag[2] or "").lower()
@@ -119,24 +193,25 @@ def blocks_of(page: str) -> list[tuple[tuple[str, ...], str, int, bool]]:
                 links = max(0, links - 1)
             if name not in INLINE:
                 end_block()
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] == name:
-                        del stack[i:]
-                        break
+                if held[name]:
+                    for i in range(len(stack) - 1, -1, -1):
+                        if stack[i][0] == name:
+                            cut(i)
+                            break
             continue
         if name in RAW:
-            end = re.compile(rf"</{name}\s*>", re.I).search(page, at)
+            end = end_of(name, at)
             if name not in ("script", "style", "template", "noscript") or not parts:
                 end_block()
-            at = end.end() if end else size
+            at = end if end >= 0 else size
             continue
         if name in INLINE:
             if name == "a":
                 links = 1
             elif name == "br":
                 parts.append(" ")
-            if name not in VOID and NAMED.search(tag[3].lower()) and (hidden := _hidden(tag[3])):
-                at = _skip(page, at, name)
+            if name not in VOID and tag[3] and _hidden(tag[3]):
+                at = max(at, end_of(name, at))
             continue
         end_block()
         if name in ENDS_P:
@@ -146,8 +221,8 @@ def blocks_of(page: str) -> list[tuple[tuple[str, ...], str, int, bool]]:
             close(CLOSES[name], frozenset(("table", "ul", "ol", "dl")) if name != "body" else frozenset())
         if name in VOID or tag[3].rstrip().endswith("/"):
             continue
-        label, bad, named, piece = name, name in NEVER, "", False
-        content = any(x[0] in CONTAINER for x in stack)
+        label, bad, named, piece = name, name in NEVER, "form" if name == "form" else "", False
+        content = any(held[x] for x in CONTAINER)
         if tag[3]:
             names = []
             for m in MARK.finditer(tag[3]):
@@ -156,19 +231,24 @@ def blocks_of(page: str) -> list[tuple[tuple[str, ...], str, int, bool]]:
                     names.append(value)
                     if name not in ("html", "body", "article", "main"):
                         piece |= any(PIECE.match(x) for x in value.split())
-                        named += " ".join(naming_words(value, content)) + " "
+                        named += " " + " ".join(naming_words(value, content))
                 elif key == "role":
-                    bad |= ROLES.match(value) is not None
+                    # A form's role says no more than its element does.
+                    bad |= ROLES.match(value) is not None and not (name == "form" and value == "form")
                 elif key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and "display:none" in value.replace(" ", ""):
                     bad = True
             if names:
                 label = f"{name}.{' '.join(names)}"
         if name == "header" and not content and not piece:
             bad = True
-        stack.append((name, label, tree.add(stack[-1][2] if stack else 0, name, bad, named)))
+        up = stack[-1] if stack else (None, 0, 0)
+        stack.append((name, paths.add(up[1], label), tree.add(up[2], name, bad, named)))
+        held[name] += 1
     end_block()
-    bad_nodes = tree.boilerplate(nodes, [len(b[1]) for b in out])
-    return [(path, text, link, bad_nodes[n]) for (path, text, link, _), n in zip(out, nodes, strict=True)]
+    bad_nodes = tree.boilerplate(nodes, [len(b.text) for b in out])
+    for block, node in zip(out, nodes, strict=True):
+        block.bad = bad_nodes[node]
+    return Page(paths, out)
 
 
 def naming_words(value: str, content: bool) -> list[str]:
@@ -246,73 +326,77 @@ class Tree:
 
 
 def _hidden(attributes: str) -> bool:
-    return re.search(r"\bhidden\b|display\s*:\s*none", attributes, re.I) is not None
-
-
-def _skip(page: str, at: int, name: str) -> int:
-    end = re.compile(rf"</{name}\s*>", re.I).search(page, at)
-    return end.end() if end else at
+    """Whether an element's own attributes take it off the page."""
+    for m in MARK.finditer(attributes):
+        key, value = m[1].lower(), (m[2] or "").strip("\"'").lower()
+        if key == "hidden" or key == "style" and "display:none" in value.replace(" ", ""):
+            return True
+    return False
 
 
-def path_ratios(blocks: list[tuple[tuple[str, ...], str, int, bool]]) -> dict[tuple[str, ...], float]:
+def path_ratios(paths: Paths, blocks: list[Block]) -> dict[int, float]:
     """Smoothed and fused text and punctuation ratio of each path."""
-    sums: dict[tuple[str, ...], list[float]] = {}
-    for path, text, link, _ in blocks:
-        s = sums.setdefault(path, [0.0, 0.0, 0.0])
+    sums: dict[int, list[float]] = {}
+    for b in blocks:
+        s = sums.setdefault(b.path, [0.0, 0.0, 0.0])
         s[0] += 1
-        s[1] += max(0, len(text) - link)
-        s[2] += len(PUNCTUATION.findall(text)) * (1.0 if link < len(text) else 0.0)
-    raw = {p: (chars / n, punct / n) for p, (n, chars, punct) in sums.items()}
+        s[1] += max(0, len(b.text) - b.link_chars)
+        s[2] += len(PUNCTUATION.findall(b.text)) * (1.0 if b.link_chars < len(b.text) else 0.0)
     # Paths are smoothed over those under the same parent, by their share of text.
-    parents: dict[tuple[str, ...], list[float]] = {}
-    for p, (n, chars, punct) in sums.items():
-        s = parents.setdefault(p[:-1], [0.0, 0.0, 0.0])
-        s[0] += n
-        s[1] += chars
-        s[2] += punct
+    parents: dict[int, list[float]] = {}
+    for p, own in sums.items():
+        s = parents.setdefault(paths.up[p], [0.0, 0.0, 0.0])
+        for k in range(3):
+            s[k] += own[k]
     out = {}
-    for p, (length, punct) in raw.items():
-        n, chars, marks = parents[p[:-1]]
-        out[p] = math.sqrt((0.75 * length + 0.25 * chars / n) * (0.75 * punct + 0.25 * marks / n + 0.1))
+    for p, (own, chars, punct) in sums.items():
+        n, all_chars, marks = parents[paths.up[p]]
+        out[p] = math.sqrt((0.75 * chars / own + 0.25 * all_chars / n) * (0.75 * punct / own + 0.25 * marks / n + 0.1))
     return out
 
 
 def main_text(page: str | None) -> str:
     if not page:
         return ""
-    blocks = blocks_of(page)
-    sound = [b for b in blocks if not b[3]]
+    parsed = blocks_of(page)
+    paths, sound = parsed.paths, [b for b in parsed.blocks if not b.bad]
     if not sound:
         return ""
-    ratio = path_ratios(sound)
-    chars: dict[tuple[str, ...], list[int]] = {}
-    for path, text, link, _ in sound:
-        c = chars.setdefault(path, [0, 0])
-        c[0] += len(text)
-        c[1] += min(link, len(text))
-    total = sum(c[0] for c in chars.values())
-    mean = sum(ratio[p] * c[0] for p, c in chars.items()) / total
-    chosen = {p for p, c in chars.items() if ratio[p] >= SHARE * mean and 2 * c[1] <= c[0]}
+    ratio = path_ratios(paths, sound)
+    chars, linked = dict.fromkeys(ratio, 0), dict.fromkeys(ratio, 0)
+    for b in sound:
+        chars[b.path] += len(b.text)
+        linked[b.path] += min(b.link_chars, len(b.text))
+    mean = sum(ratio[p] * n for p, n in chars.items()) / sum(chars.values())
+    chosen = {p for p, n in chars.items() if ratio[p] >= SHARE * mean and 2 * linked[p] <= n}
     if not chosen:
-        chosen = {max(chars, key=lambda p: (ratio[p], p))}
+        chosen = {max(chars, key=lambda p: (ratio[p], -p))}
     # The container: an article or main element with most of the content, else the deepest element that holds it.
-    weight = sum(chars[p][0] for p in chosen)
-    held: dict[tuple[str, ...], int] = {}
-    for p in chosen:
-        for i in range(len(p) + 1):
-            held[p[:i]] = held.get(p[:i], 0) + chars[p][0]
-    marked = [p for p, n in held.items() if p and element(p[-1]) in CONTAINER and 2 * n >= weight]
-    container = max(marked, key=len) if marked else holder(max((p for p, n in held.items() if 10 * n >= 9 * weight), key=len), chars)
+    weight = sum(chars[p] for p in chosen)
+    held = paths.summed([chars[p] if p in chosen else 0 for p in range(len(paths.up))])
+    marked = [p for p, n in enumerate(held) if p and n and element(paths.label[p]) in CONTAINER and 2 * n >= weight]
+    deepest = lambda some: max(some, key=lambda p: (paths.depth[p], -p))
+    container = deepest(marked) if marked else holder(deepest([p for p, n in enumerate(held) if 10 * n >= 9 * weight]), paths, chars)
     # The page itself is no container: of what it holds, the parts of a text count.
-    whole = not container or element(container[-1]) in PAGE
+    whole = not container or element(paths.label[container]) in PAGE
+    inside, as_text = [False] * len(held), [False] * len(held)
+    inside[container] = as_text[container] = True
+    for p in range(container + 1, len(held)):
+        up = paths.up[p]
+        inside[p] = inside[up]
+        as_text[p] = as_text[up] and element(paths.label[p]) in PARTS | CELLS | PAGE
     lines = []
-    for path, text, link, _ in sound:
-        inside = path[: len(container)] == container
-        heading = path and element(path[-1]) in ("h1", "h2", "h3", "h4", "h5", "h6")
-        c = chars[path]
-        held_as_text = inside and (not whole or all(element(x) in PARTS or element(x) in CELLS for x in path[len(container) :] if element(x) not in PAGE))
-        if held_as_text and 2 * c[1] <= c[0] or inside and (path in chosen or heading and link < len(text)) or not inside and not marked and path in chosen:
-            lines.append(text)
+    for b in sound:
+        p = b.path
+        few_links = 2 * linked[p] <= chars[p]
+        heading = element(paths.label[p]) in HEADINGS and b.link_chars < len(b.text)
+        if inside[p]:
+            # Within a container only roles tell what is no part of it; the page's own list of links is one.
+            keep = not whole or as_text[p] and few_links or p in chosen or heading
+        else:
+            keep = not marked and p in chosen
+        if keep:
+            lines.append(b.text)
     return "\n".join(lines)
 
 
@@ -320,10 +404,14 @@ def element(label: str) -> str:
     return label.split(".", 1)[0]
 
 
-def holder(path: tuple[str, ...], paths: Iterable[tuple[str, ...]]) -> tuple[str, ...]:
+def holder(path: int, paths: Paths, with_text: Iterable[int]) -> int:
     """The path, or the nearest one above it that is no part of a text; a cell with blocks in it is none."""
-    while path and (element(path[-1]) in PARTS or element(path[-1]) in CELLS and not any(len(p) > len(path) and p[: len(path)] == path for p in paths)):
-        path = path[:-1]
+    own = [0] * len(paths.up)
+    for p in with_text:
+        own[p] = 1
+    below = [n - o for n, o in zip(paths.summed(own), own, strict=True)]
+    while path and (element(paths.label[path]) in PARTS or element(paths.label[path]) in CELLS and not below[path]):
+        path = paths.up[path]
     return path
 
 

@@ -10,9 +10,12 @@ record type, so a rerun or a retried task writes the same records.
 
 Nulls and edge cases: a null block or payload counts as empty and gives an
 empty conversion. Without a blank line a block is all payload. Bodies that are
-chunked or compressed by gzip or deflate are unpacked; if that fails they are
-read as they are. Bytes that are no text of the stated charset (UTF-8 if none)
-become replacement characters. A response without record id has no derivatives
+chunked (sizes of hexadecimal digits only) or compressed by gzip, deflate (with
+or without a zlib head) or zstd are unpacked; if that fails they are read as they
+are. A body in another encoding, such as br, has no text. Bytes that are no text
+of the stated charset (UTF-8 if there is none, or none of that name, or one that
+is no text encoding) become replacement characters, as do lone surrogates. A
+response without record id has no derivatives
 to refer to it and is left out. Repeated rows give repeated records; an empty
 table gives none.
 """
@@ -29,6 +32,7 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -41,6 +45,9 @@ SCHEMA = (
 NAMES = [x.split()[0] for x in SCHEMA.split(", ")]
 TITLE = re.compile(r"<title[^>]*>(.*?)(?:</title\s*>|$)", re.I | re.S)
 LINK = re.compile(r"""<a\s(?:[^>"']|"[^"]*"|'[^']*')*?href\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
+SIZE = re.compile(rb"[0-9A-Fa-f]+")
+SURROGATE = re.compile("[\ud800-\udfff]")
+PART_BYTES = 1 << 22  #: records are handed on in parts of about so many bytes, or one
 SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # fixed value: the name space of URLs
 
 
@@ -70,26 +77,42 @@ def body_of(headers: list[tuple[str, str]], payload: bytes) -> str:
     try:
         if "chunked" in named.get("transfer-encoding", ""):
             out, at = [], 0
-            while (end := payload.find(b"\r\n", at)) >= 0 and (n := int(payload[at:end].split(b";")[0], 16)):
+            while (end := payload.find(b"\r\n", at)) >= 0:
+                size = payload[at:end].split(b";")[0].strip()
+                if SIZE.fullmatch(size) is None:
+                    raise ValueError("no chunk size")
+                if not (n := int(size, 16)):
+                    break
                 out.append(payload[end + 2 : end + 2 + n])
                 at = end + 4 + n
             payload = b"".join(out)
-        if "gzip" in named.get("content-encoding", ""):
+        packed = named.get("content-encoding", "")
+        if "gzip" in packed:
             payload = gzip.decompress(payload)
-        elif "deflate" in named.get("content-encoding", ""):
-            payload = zlib.decompress(payload)
-    except (ValueError, OSError, EOFError, zlib.error):
+        elif "deflate" in packed:
+            try:
+                payload = zlib.decompress(payload)
+            except zlib.error:
+                payload = zlib.decompress(payload, -zlib.MAX_WBITS)
+        elif "zstd" in packed:
+            payload = zstandard.ZstdDecompressor().decompressobj().decompress(payload)
+        elif packed not in ("", "identity"):
+            return ""
+    except (ValueError, OSError, EOFError, zlib.error, zstandard.ZstdError):
         pass
     charset = re.search(r"charset\s*=\s*[\"']?([\w.:-]+)", named.get("content-type", ""))
     try:
-        return payload.decode(charset[1] if charset else "utf-8", "replace")
-    except LookupError:
-        return payload.decode("utf-8", "replace")
+        text = payload.decode(charset[1] if charset else "utf-8", "replace")
+    except (LookupError, ValueError):  # UnicodeError is a ValueError
+        text = payload.decode("utf-8", "replace")
+    return SURROGATE.sub("\ufffd", text)
 
 
 def visible_text(page: str) -> str:
     """All text of a page but scripts, styles and its head, a line for each block."""
-    return "\n".join(text for path, text, _, _ in blocks_of(page) if "head" not in path)
+    parsed = blocks_of(page)
+    in_head = parsed.paths.below(lambda label: label == "head")
+    return "\n".join(b.text for b in parsed.blocks if not in_head[b.path])
 
 
 def one_line(text: str) -> str:
@@ -144,15 +167,24 @@ def build_derivatives(responses: DataFrame, key: str) -> DataFrame:
     """
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        types = [pa.int64() if n == "content_length" else pa.string() for n in NAMES]
+
+        def part(keys: list, rows: list[tuple]) -> pa.RecordBatch:
+            columns = list(zip(*rows, strict=True)) or [()] * len(NAMES)
+            return pa.record_batch([pa.array(keys, pa.int64()), *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], [key, *NAMES])
+
         for batch in batches:
-            keys, rows = [], []
-            for source in batch.to_pylist():
+            keys, rows, size = [], [], 0
+            for i in range(batch.num_rows):
+                source = batch.slice(i, 1).to_pylist()[0]
                 for row in derivatives(source):
                     keys.append(source[key])
                     rows.append(row)
-            columns = list(zip(*rows, strict=True)) or [()] * len(NAMES)
-            types = [pa.int64() if n == "content_length" else pa.string() for n in NAMES]
-            yield pa.record_batch([pa.array(keys, pa.int64()), *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], [key, *NAMES])
+                    size += len(row[-1])
+                if size >= PART_BYTES:
+                    yield part(keys, rows)
+                    keys, rows, size = [], [], 0
+            yield part(keys, rows)
 
     wanted = [F.col(key).cast("long").alias(key), "record_id", "target_uri", "date", F.col("block").cast("binary").alias("block"), "block_digest", "payload_digest"]
     return responses.where("record_id IS NOT NULL").select(*wanted).mapInArrow(build, f"{key} long, {SCHEMA}")
