@@ -33,6 +33,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallyspark.llm.hashing import LOWER, binaries, groups, hash_windows, hash_words, slices
 
@@ -173,7 +174,7 @@ def find_leaks(documents: DataFrame, benchmark: DataFrame, threshold: float = TH
     size = items.agg(F.sum(F.length("text") / 2 + 1).alias("n")).first()["n"] or 0
     chunks = max(1, -(-int(size) // chunk_words))
     rows = documents.select(F.struct("*").alias("document"), "text", F.array().cast(HITS).alias("hits"))
-    schema = f"document {rows.schema['document'].dataType.simpleString()}, text string, hits {HITS}"
+    schema = T.StructType([T.StructField(n, rows.schema[n].dataType) for n in ("document", "text", "hits")])
     for c in range(chunks):
         part = items.where(F.pmod("place", F.lit(chunks)) == c).toPandas().sort_values(["item_id", "text"])
         words = [hash_words([plain(t.encode())]).hashes for t in part["text"]]

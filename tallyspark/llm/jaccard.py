@@ -23,7 +23,9 @@ Nulls and edge cases: a null or blank text is an empty set and links with
 nothing; a text of fewer words is one shingle. Words are
 ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased. Repeated rows are exact copies.
 A row without doc_id keeps n_shingles, has no component and is no link between
-others. An empty table gives no rows; other columns are ignored.
+others. Rows that share a doc_id but hold other sets are nodes of their own, told
+apart by ``set_key`` and ``group_key``; component_id is the smallest doc_id of
+the group. An empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -34,6 +36,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallyspark.llm.components import components
 from tallyspark.llm.hashing import LOWER, binaries, groups, hash_windows, hash_words, mix, slices
@@ -127,8 +130,20 @@ def compare_blocks(one: list[dict], two: list[dict], percent: int) -> list[tuple
     return [tuple(sorted((one[i]["key"], two[j]["key"]))) for i, j in zip(*np.nonzero(linked), strict=True)]
 
 
+def with_set_key(documents: DataFrame, words: int = 4) -> DataFrame:
+    """document (struct of all input columns) and the set_key of its text, null for an empty set."""
+    rows = documents.select(F.struct("*").alias("document"), "text")
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            keys = [key_of(s) if len(s) else None for s in shingle_sets(binaries(batch["text"]), words)]
+            yield pa.record_batch([batch["document"], pa.array(keys, pa.int64())], ["document", "set_key"])
+
+    return rows.mapInArrow(build, T.StructType([rows.schema["document"], T.StructField("set_key", T.LongType())]))
+
+
 def jaccard_components(documents: DataFrame, words: int = 4, percent: int = 85) -> DataFrame:
-    """doc_id, n_shingles, component_id of each document (doc_id, text)."""
+    """doc_id, n_shingles, component_id, set_key, group_key of each document (doc_id, text)."""
     spark = documents.sparkSession
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
 
@@ -290,5 +305,9 @@ def jaccard_components(documents: DataFrame, words: int = 4, percent: int = 85)
     placed = named.where("key IS NOT NULL").join(comps.withColumnRenamed("node", "key"), "key", "left").withColumn("comp", F.coalesce("comp", "key"))
     # A table of its own: so the join with a hot component can be split.
     least = written(placed.groupBy("comp").agg(F.min("doc_id").alias("component_id")), "components")
-    alone = profiles.where("doc_id IS NULL OR key IS NULL").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    return placed.join(least, "comp").select("doc_id", F.col("n").alias("n_shingles"), "component_id").unionByName(alone)
+    alone = profiles.where("doc_id IS NULL OR key IS NULL").select(
+        "doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.col("key").alias("set_key"), F.lit(None).cast("long").alias("group_key")
+    )
+    return placed.join(least, "comp").select(
+        "doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("key").alias("set_key"), F.col("comp").alias("group_key")
+    ).unionByName(alone)

@@ -10,7 +10,10 @@ of many documents at a time.
 
 Nulls and edge cases: texts that are null or have no letter are ``und`` with
 score 0; without labelled texts every text is. Ties go to the language that
-sorts first. Repeated rows fare alike; other columns come back unchanged.
+sorts first. Repeated rows fare alike; of labelled rows that share a doc_id and
+a language the smallest text is learned from, and texts of more than
+``LONGEST`` bytes are not learned from, but read. An empty table gives no rows.
+The input's columns come back in the struct ``document``, so names cannot clash.
 """
 
 from __future__ import annotations
@@ -31,6 +34,7 @@ from tallyspark.llm.shared import bounded_sample
 UNITS = 6
 STEPS = 64
 SAMPLE = 250  #: labelled texts of each language that the network is trained on, at most
+LONGEST = 1 << 20  #: bytes of a text that the network is trained on
 ROUNDS, ROWS = 240, 128
 LANES = 1024  #: windows that are read side by side
 LETTER = re.compile(r"[^\W\d_]")
@@ -186,18 +190,20 @@ def pooled(net: Network, texts: list[bytes]) -> np.ndarray:
 
 def fit_language(documents: DataFrame, sample: int = SAMPLE) -> Network | None:
     """Train on at most ``sample`` texts of each language (documents: doc_id, text, lang)."""
-    known = documents.where("lang IS NOT NULL AND doc_id IS NOT NULL")
+    known = documents.where("lang IS NOT NULL AND doc_id IS NOT NULL").where(F.coalesce(F.octet_length("text"), F.lit(0)) <= LONGEST)
     chosen = bounded_sample(known.select("doc_id", "lang"), "doc_id", ["lang"], sample)
     # A bounded number of ids is broadcast; texts are not shuffled.
-    rows = known.select("doc_id", "lang", "text").join(F.broadcast(chosen.distinct()), ["doc_id", "lang"]).where("text IS NOT NULL").toPandas()
-    rows = rows.sort_values(["doc_id", "lang", "text"])
+    rows = known.select("doc_id", "lang", "text").join(F.broadcast(chosen.distinct()), ["doc_id", "lang"]).where("text IS NOT NULL")
+    # One text for each id and language, however often the table repeats them: what reaches the driver is bounded.
+    rows = rows.groupBy("doc_id", "lang").agg(F.min("text").alias("text")).toPandas().sort_values(["doc_id", "lang"])
     rows = rows[[LETTER.search(t) is not None for t in rows["text"]]]
     return train([t.encode() for t in rows["text"]], list(rows["lang"])) if len(rows) else None
 
 
 def identify(documents: DataFrame, net: Network | None) -> DataFrame:
-    """``documents`` with columns lang_pred and score."""
-    schema = T.StructType([*documents.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    """document (struct of all input columns), lang_pred and score of each row."""
+    rows = documents.select(F.struct("*").alias("document"), "text")
+    schema = T.StructType([rows.schema["document"], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
     shared = documents.sparkSession.sparkContext.broadcast(net)
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -216,6 +222,6 @@ def identify(documents: DataFrame, net: Network | None) -> DataFrame:
                     for j, best, row in zip(held, p.argmax(axis=1).tolist(), p, strict=True):
                         names[j], scores[j] = net.languages[best], float(min(1.0, row[best]))
                     held, size = [], 0
-            yield pa.record_batch([*batch.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())], [*batch.schema.names, "lang_pred", "score"])
+            yield pa.record_batch([batch["document"], pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["document", "lang_pred", "score"])
 
-    return documents.mapInArrow(predict, schema)
+    return rows.mapInArrow(predict, schema)

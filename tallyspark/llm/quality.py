@@ -10,8 +10,11 @@ a score is the sum of the weights of a text's slots, passed through a sigmoid.
 
 Nulls and edge cases: a null text is scored as an empty one; an empty text has
 no indicators and gets the sigmoid of the bias. Repeated rows are scored
-alike. Without labels of both classes every score is the share of label 1
-(0.5 without any). Other columns are ignored.
+alike. Of labelled rows that share a doc_id the one whose indicators sort first
+is learned from; a doc_id with both labels counts as 1. Without labels of both
+classes every score is the share of label 1 (0.5 without any). An empty table
+gives no rows. The input's columns come back in the struct ``document``, so
+names cannot clash.
 """
 
 from __future__ import annotations
@@ -130,15 +133,18 @@ def fit_quality(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE, c
     known = labels.where(F.col("label").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("label").alias("label"))
     chosen = bounded_sample(known, "doc_id", ["label"], sample)
     # At most 2 x sample ids: a bounded broadcast, and texts are not shuffled.
-    texts = documents.join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "text")
+    own = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    texts = own.join(F.broadcast(chosen.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("label").cast("int").alias("label"))), "doc_id")
+    texts = texts.select("doc_id", "label", "text")
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             slots = [s.astype(np.int32).tobytes() for s in slots_of([t or b"" for t in binaries(batch["text"])])]
             yield pa.record_batch([batch["doc_id"], batch["label"], pa.array(slots, pa.binary())], ["doc_id", "label", "slots"])
 
-    kept = texts.mapInArrow(features, "doc_id long, label int, slots binary").toPandas()
-    kept = kept.sort_values("doc_id", kind="stable").drop_duplicates("doc_id")
+    # One row for each id, however often the table repeats it: what reaches the driver is bounded.
+    kept = texts.mapInArrow(features, "doc_id long, label int, slots binary").groupBy("doc_id").agg(F.min(F.struct("slots", "label")).alias("r"))
+    kept = kept.select("doc_id", "r.*").toPandas().sort_values("doc_id")
     rows = [np.frombuffer(s, np.int32) for s in kept["slots"]]
     y = np.where(kept["label"].to_numpy() == 1, 1.0, -1.0)
     if not len(y) or abs(y.sum()) == len(y):
@@ -155,14 +161,15 @@ def fit_quality(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE, c
 
 
 def score_quality(documents: DataFrame, model: Model) -> DataFrame:
-    """``documents`` with a column ``score``; they keep their other columns."""
-    schema = T.StructType([*documents.schema.fields, T.StructField("score", T.DoubleType())])
+    """document (struct of all input columns) and score of each row."""
+    rows = documents.select(F.struct("*").alias("document"), "text")
+    schema = T.StructType([rows.schema["document"], T.StructField("score", T.DoubleType())])
     shared = documents.sparkSession.sparkContext.broadcast(model)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fitted = shared.value
         for batch in slices(batches):
             out = [fitted.score(slots) for slots in slots_of([t or b"" for t in binaries(batch["text"])])]
-            yield pa.record_batch([*batch.columns, pa.array(out, pa.float64())], [*batch.schema.names, "score"])
+            yield pa.record_batch([batch["document"], pa.array(out, pa.float64())], ["document", "score"])
 
-    return documents.mapInArrow(score, schema)
+    return rows.mapInArrow(score, schema)

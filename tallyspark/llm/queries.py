@@ -40,8 +40,8 @@ def op10_quality_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").cast("int").alias("label"))
     model = fit_quality(documents, labels.where(remainder(F.col("doc_id"), 3) != 1))
     return score_quality(documents, model).select(
-        "doc_id",
-        F.coalesce(remainder(F.col("doc_id"), 3) == 1, F.lit(False)).alias("held_out"),
+        "document.doc_id",
+        F.coalesce(remainder(F.col("document.doc_id"), 3) == 1, F.lit(False)).alias("held_out"),
         "score",
         (F.col("score") >= 0.5).cast("int").alias("predicted"),
     )
@@ -62,7 +62,7 @@ def op9_nearest_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Component of every document under the 4-word shingle Jaccard join."""
-    return jaccard_components(table(spark, sf_dir, "documents"), words=4, percent=85)
+    return jaccard_components(table(spark, sf_dir, "documents"), words=4, percent=85).select("doc_id", "n_shingles", "component_id")
 
 
 @query
@@ -93,7 +93,7 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     held_out = F.coalesce(remainder(F.col("doc_id"), 5) == 0, F.lit(False))
     net = fit_language(documents.where(remainder(F.col("doc_id"), 5) != 0))
-    return identify(documents.select("doc_id", held_out.alias("held_out"), "text"), net).select("doc_id", "held_out", "lang_pred", "score")
+    return identify(documents.select("doc_id", held_out.alias("held_out"), "text"), net).select("document.doc_id", "document.held_out", "lang_pred", "score")
 
 
 @query

@@ -32,6 +32,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallyspark.llm.hashing import WINDOW_BASES, binaries, groups, hash_windows, hash_words, slices
 from tallyspark.llm.shared import written
@@ -287,5 +288,5 @@ def dedup_substrings(documents: DataFrame, window: int = 13) -> DataFrame:
     shared = written(meeting(numbered.mapInArrow(find_anchors, ENTRY), False), "anchors")
     candidates = numbered.join(shared, "key").mapInArrow(extend, ENTRY)
     late = written(meeting(candidates, True), "late")
-    schema = f"document {rows.schema['document'].dataType.simpleString()}, n_words long, n_removed long, kept string"
+    schema = T.StructType([rows.schema["document"], T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType())])
     return rows.join(late, "key", "left").select("document", "text", "told").mapInArrow(remove, schema)

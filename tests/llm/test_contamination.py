@@ -91,3 +91,9 @@ def test_capitals_and_composed_forms_of_any_script(spark):
     forms = [item.upper(), item.lower(), unicodedata.normalize("NFD", item), unicodedata.normalize("NFD", item.upper()), item.title()]
     got = leaks(spark, [(i, f"before it {t} after it") for i, t in enumerate(forms)], [(1, item)])
     assert got == {(i, 1): (1.0, 2, 15) for i in range(len(forms))}
+
+
+def test_columns_of_any_name_come_back(spark):
+    df = frame(spark, [(1, "a b")]).withColumnRenamed("key", "crawl-id").withColumnRenamed("told", "my col")
+    row = find_leaks(df, spark.createDataFrame([(1, "x y z")], "item_id long, text string")).first()
+    assert row["document"]["crawl-id"] == "k" and row["document"]["my col"] == 1 and row["hits"] == []

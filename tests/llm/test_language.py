@@ -50,14 +50,25 @@ def test_held_out_accuracy(spark):
 
 def test_nulls_no_letters_and_no_labels(spark):
     rows = [(1, None), (2, ""), (3, "123 !?"), (4, "abc"), (4, "abc"), (None, "é"), (6, "word " * 30_000)]
-    docs = frame(spark, rows).drop("score")
+    docs = frame(spark, rows)
     net = language.train([b"abc word ", "é à".encode()], ["en", "fr"], rounds=10)
-    got = language.identify(docs, net).collect()
+    found = language.identify(docs, net)
+    assert {(r["document"]["score"], r["document"]["key"]) for r in found.collect()} == {(0.5, "k")}
+    got = found.select("document.doc_id", "lang_pred", "score").collect()
     assert [r["lang_pred"] for r in got if r["doc_id"] in (1, 2, 3)] == ["und"] * 3
     assert all(r["lang_pred"] in ("en", "fr") for r in got if r["doc_id"] not in (1, 2, 3))
-    assert len({(r["lang_pred"], r["score"]) for r in got if r["doc_id"] == 4}) == 1 and got[0]["key"] == "k"
+    assert len({(r["lang_pred"], r["score"]) for r in got if r["doc_id"] == 4}) == 1
     from pyspark.sql import functions as F
 
     assert language.fit_language(docs.withColumn("lang", F.lit(None).cast("string"))) is None
     assert {r["lang_pred"] for r in language.identify(docs, None).collect()} == {"und"}
     assert language.identify(docs.limit(0), net).count() == 0
+
+
+def test_what_is_learned_from_is_bounded(spark, monkeypatch):
+    given = []
+    monkeypatch.setattr(language, "train", lambda texts, languages: given.append((texts, languages)))
+    rows = [(1, f"word number {i % 5}", "en") for i in range(4000)] + [(2, "x" * (language.LONGEST + 1), "en"), (3, "mot é", "fr"), (3, "mot é", "fr"), (4, "123", "fr")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    language.fit_language(docs)
+    assert given == [([b"word number 0", "mot é".encode()], ["en", "fr"])]

@@ -48,3 +48,9 @@ def test_empty_table_and_columns_come_back(spark):
     assert dedup_substrings(df).count() == 0
     row = dedup_substrings(frame(spark, [(1, "a b")])).first()
     assert row["document"]["key"] == "k" and row["document"]["told"] == 1 and row["kept"] == "a b"
+
+
+def test_columns_of_any_name_come_back(spark):
+    df = frame(spark, [(1, "a b")]).withColumnRenamed("key", "crawl-id").withColumnRenamed("told", "my col")
+    row = dedup_substrings(df).first()
+    assert row["document"]["crawl-id"] == "k" and row["document"]["my col"] == 1
