@@ -51,9 +51,9 @@ from tallyspark.llm.shared import written
 
 LEAST, SHARE, TOP = 10, 50, 2000
 #: Texts are added up in parts of so many bytes, or one longer text.
-PART_BYTES = 1 << 24
+PART_BYTES = 1 << 23
 #: Records of a slice, about; and how many wait before they are summed up.
-SLICE_RECORDS, WAITING = 2_000_000, 4_000_000
+SLICE_RECORDS, WAITING = 1_500_000, 2_500_000
 #: The sample that shows hot nodes: rows, and code points of each.
 SAMPLE_ROWS, SAMPLE_CHARS, SAMPLE_LEAST = 2_000, 10_000, 8
 _BITS = 21  # of an index of words in a part, three to a 64-bit key
