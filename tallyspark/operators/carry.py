@@ -7,14 +7,17 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyspark.operators.blocks import carry_into_blocks, last_known, upto, within_block
+from tallyspark.operators.blocks import carry_into_blocks, last_known, spread_over_blocks, upto, within_block
 
 FILE = ("home", "path")
 
 
-def carry_settings(lines: DataFrame, keys: Sequence[str] = FILE) -> DataFrame:
+def carry_settings(lines: DataFrame, keys: Sequence[str] = FILE, state: DataFrame | None = None) -> DataFrame:
     """Add ``model``, ``tier_kind``, ``tier_text`` in force at every line.
 
+    ``state``: per file the ``model`` and ``tier`` that earlier lines left (see
+    ``streaming.parse_table``).
+
     Input columns: ``model_set`` (NULL when the line names no model),
     ``sets_tier`` and the ``tier_set_kind``/``tier_set_text`` it sets. A line
     may set the tier to NULL, which clears it; the struct wrapper keeps that
@@ -45,6 +48,10 @@ def carry_settings(lines: DataFrame, keys: Sequence[str] = FILE) -> DataFrame:
         F.last("_tier", ignorenulls=True).over(spec).alias("_tier"),
     )
     joined = local.join(carried, [*keys, "block"], "left")
+    if state is not None:
+        earlier = state.select(*keys, F.col("model").alias("_s_model"), F.col("tier").alias("_s_tier"))
+        joined = joined.join(spread_over_blocks(earlier, lines, keys), [*keys, "block"], "left")
+        joined = joined.withColumns({"_in_model": F.coalesce("_in_model", "_s_model"), "_in_tier": F.coalesce("_in_tier", "_s_tier")})
     tier_now = F.coalesce("_tier", "_in_tier")
     return joined.select(
         *lines.columns,

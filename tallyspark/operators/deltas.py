@@ -14,7 +14,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from tallyspark.fixed_values import CAPPED_PERCENT
@@ -25,6 +25,7 @@ from tallyspark.operators.blocks import (
     continued_blocks,
     highest,
     last_known,
+    spread_over_blocks,
     upto,
     within_block,
 )
@@ -39,15 +40,23 @@ def is_capped(primary: Column, secondary: Column) -> Column:
     return F.coalesce(primary >= full, F.lit(False)) | F.coalesce(secondary >= full, F.lit(False))
 
 
-def _source_peaks(totals: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Per-source peak carried into each block.
+def _in_source(keys: Sequence[str]) -> WindowSpec:
+    return Window.partitionBy(*keys, "block", "_source", "_has_total").orderBy("line_no")
 
-    ``totals``: total-bearing events of files with several blocks, with
-    ``_run`` (model changes so far in the block).
 
-    A peak lives while the source's model stays the same. On block level the
-    runs are numbered through, so "still the same run" is an equality of run
-    numbers and the carried peak is a plain running maximum.
+def _with_runs(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Add ``_run``: the model changes of the source so far in the block."""
+    previous_model = F.lag(F.struct("model")).over(_in_source(keys))
+    changed = previous_model.isNotNull() & ~previous_model.getField("model").eqNullSafe(F.col("model"))
+    marked = rows.select(*rows.columns, changed.cast("bigint").alias("_change"))
+    return marked.select(*rows.columns, F.sum("_change").over(upto(_in_source(keys))).alias("_run"))
+
+
+def _numbered_runs(totals: DataFrame, keys: Sequence[str], state: DataFrame | None = None) -> DataFrame:
+    """Per source and block: its first run's number, its last run's peak and model, numbered through the file.
+
+    ``totals``: total-bearing events with ``_run``. ``state``: the peaks that
+    earlier lines left; they stand as a block before the first.
     """
     by_source = [*keys, "_source"]
     blocks = totals.groupBy(*by_source, "block").agg(
@@ -56,6 +65,15 @@ def _source_peaks(totals: DataFrame, keys: Sequence[str]) -> DataFrame:
         F.max("_run").alias("_changes"),
         F.max(F.struct("_run", "_teff", "_neg_line", "sig")).alias("_peak"),
     )
+    if state is not None:
+        edge = F.struct(F.lit(-1).cast("bigint").alias("line_no"), "model")
+        peak = F.struct(F.lit(0).cast("bigint").alias("_run"), F.col("teff").alias("_teff"), F.col("neg_line").alias("_neg_line"), "sig")
+        blocks = blocks.unionByName(
+            state.select(
+                *by_source, F.lit(-1).cast("bigint").alias("block"), edge.alias("_head"), edge.alias("_tail"),
+                F.lit(0).cast("bigint").alias("_changes"), peak.alias("_peak"),
+            )
+        )
     order = Window.partitionBy(*by_source).orderBy("block")
     blocks = blocks.select(
         *blocks.columns, F.lag(F.struct("_tail", "_changes")).over(order).alias("_lag")
@@ -69,7 +87,19 @@ def _source_peaks(totals: DataFrame, keys: Sequence[str]) -> DataFrame:
         F.col("_peak._neg_line").alias("neg_line"),
         F.col("_peak.sig").alias("sig"),
     )
-    blocks = blocks.select(*by_source, "block", "_run_first", run_peak.alias("_run_peak"))
+    return blocks.select(*by_source, "block", "_run_first", run_peak.alias("_run_peak"), F.col("_tail.model").alias("_end_model"))
+
+
+def _source_peaks(totals: DataFrame, keys: Sequence[str], state: DataFrame | None = None) -> DataFrame:
+    """Per-source peak carried into each block.
+
+    A peak lives while the source's model stays the same. On block level the
+    runs are numbered through, so "still the same run" is an equality of run
+    numbers and the carried peak is a plain running maximum.
+    """
+    by_source = [*keys, "_source"]
+    blocks = _numbered_runs(totals, keys, state)
+    order = Window.partitionBy(*by_source).orderBy("block")
     carried = blocks.select(
         *by_source, "block", "_run_first", F.max("_run_peak").over(before(order)).alias("_in")
     )
@@ -107,9 +137,41 @@ def flatten_events(events: DataFrame) -> DataFrame:
     )
 
 
-def token_timeline(flat: DataFrame, keys: Sequence[str] = FILE) -> DataFrame:
+def timeline_state(
+    flat: DataFrame, carry: DataFrame | None, peaks: DataFrame | None, keys: Sequence[str] = FILE
+) -> tuple[DataFrame, DataFrame]:
+    """What events leave behind, added to what earlier ones left.
+
+    Per file ``prev`` (the last event's model, signature and whether it was
+    capped), ``seen`` and ``high_*``; per file and ``_source`` the peak of its
+    last run and the run's model.
+    """
+    names = [f"high_{n}" for n in HIGH_WATER]
+    ends = flat.groupBy(*keys).agg(
+        F.max(F.struct("line_no", "model", "sig", "capped")).alias("_end"),
+        F.max("_has_total").alias("seen"),
+        *[F.max(f"_t_{n}").alias(f"high_{n}") for n in HIGH_WATER],
+    )
+    ends = ends.select(*keys, F.struct("_end.model", "_end.sig", "_end.capped").alias("prev"), "seen", *names)
+    if carry is not None:
+        old = carry.select(*keys, *[F.col(c).alias(f"_old_{c}") for c in ("prev", "seen", *names)])
+        ends = ends.join(old, list(keys), "full_outer")
+        ends = ends.select(
+            *keys, F.coalesce("prev", "_old_prev").alias("prev"), F.greatest("seen", "_old_seen").alias("seen"),
+            *[F.greatest(n, f"_old_{n}").alias(n) for n in names],
+        )
+    runs = _numbered_runs(_with_runs(flat.where("_has_total"), keys), keys, peaks)
+    last = runs.groupBy(*keys, "_source").agg(F.max("_run_peak").alias("_p"), F.max_by(F.struct("_end_model"), "block").alias("_m"))
+    return ends, last.select(*keys, "_source", F.col("_m._end_model").alias("model"), "_p.teff", "_p.neg_line", "_p.sig")
+
+
+def token_timeline(
+    flat: DataFrame, keys: Sequence[str] = FILE, carry: DataFrame | None = None, peaks: DataFrame | None = None
+) -> DataFrame:
     """Add deltas, the repeat/stale verdict and the overflow flag.
 
+    ``carry``, ``peaks``: what earlier events left (``timeline_state``).
+
     ``flat``: token events as given by ``flatten_events``, preferably a table,
     with ``block, line_no, source, model``. Adds ``is_duplicate, is_stale,
     overflow, delta_total, delta_uncached, delta_cached, delta_output``.
@@ -117,14 +179,6 @@ def token_timeline(flat: DataFrame, keys: Sequence[str] = FILE) -> DataFrame:
     math = CounterMath.of(flat, "_teff")
     base = flat
 
-    in_source = Window.partitionBy(*keys, "block", "_source", "_has_total").orderBy("line_no")
-    previous_model = F.lag(F.struct("model")).over(in_source)
-    changed = previous_model.isNotNull() & ~previous_model.getField("model").eqNullSafe(F.col("model"))
-
-    def with_runs(rows: DataFrame) -> DataFrame:
-        marked = rows.select(*rows.columns, changed.cast("bigint").alias("_change"))
-        return marked.select(*rows.columns, F.sum("_change").over(upto(in_source)).alias("_run"))
-
     in_file = within_block(keys)
     seen_before = before(in_file)
     local = base.select(
@@ -133,8 +187,8 @@ def token_timeline(flat: DataFrame, keys: Sequence[str] = FILE) -> DataFrame:
         *[F.max(f"_t_{name}").over(seen_before).alias(f"_hw_{name}") for name in HIGH_WATER],
         F.max("_has_total").over(seen_before).alias("_hw_seen"),
     )
-    local = with_runs(local)
-    peak = F.max(F.struct("_run", "_teff", "_neg_line", "sig")).over(before(in_source))
+    local = _with_runs(local, keys)
+    peak = F.max(F.struct("_run", "_teff", "_neg_line", "sig")).over(before(_in_source(keys)))
     local = local.select(*local.columns, peak.alias("_peak"))
 
     file_carry = carry_into_blocks(
@@ -152,12 +206,26 @@ def token_timeline(flat: DataFrame, keys: Sequence[str] = FILE) -> DataFrame:
     )
     # Peaks are scanned per source over the blocks of longer files; files that
     # fit one block drop out before the sort.
-    longer = base.where("_has_total").join(continued_blocks(base, keys), [*keys, "block"], "left_semi")
-    source_carry = _source_peaks(with_runs(longer), keys)
+    scanned = continued_blocks(base, keys)
+    if peaks is not None:
+        scanned = scanned.union(spread_over_blocks(peaks.select(*keys).distinct(), base, keys).select(*keys, "block")).distinct()
+    longer = base.where("_has_total").join(scanned, [*keys, "block"], "left_semi")
+    source_carry = _source_peaks(_with_runs(longer, keys), keys, peaks)
 
     joined = local.join(file_carry, [*keys, "block"], "left").join(
         source_carry, [*keys, "block", "_source", "_has_total"], "left"
     )
+    if carry is not None:
+        old = carry.select(*keys, F.col("prev").alias("_old_prev"), F.col("seen").alias("_old_seen"), *[F.col(f"high_{n}").alias(f"_old_{n}") for n in HIGH_WATER])
+        joined = joined.join(spread_over_blocks(old, base, keys), [*keys, "block"], "left")
+        end = F.struct(F.lit(-1).cast("bigint").alias("line_no"), "_old_prev.model", "_old_prev.sig", "_old_prev.capped")
+        joined = joined.withColumns(
+            {
+                "_in_prev": F.coalesce("_in_prev", F.when(F.col("_old_prev").isNotNull(), end)),
+                "_in_seen": F.greatest("_in_seen", "_old_seen"),
+                **{f"_in_{n}": F.greatest(f"_in_{n}", f"_old_{n}") for n in HIGH_WATER},
+            }
+        )
     carried_prev = F.when(
         F.col("_in_prev").isNotNull(), F.struct("_in_prev.model", "_in_prev.sig", "_in_prev.capped")
     )

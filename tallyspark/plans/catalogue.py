@@ -51,6 +51,7 @@ from tallyspark.sources.price_sheets import parse_price_sheets
 from tallyspark.sources.responses import parse_rate_limits
 from tallyspark.sources.session_logs import parse_text
 from tallyspark.streaming.alerts import AlertRules, alerts_of, watch
+from tallyspark.streaming.parse_table import events_of, parse_lines
 from tallyspark.streaming.windows import SUMS, cut_periods, keep_slices, kept_slices
 from tallyspark.streaming.parse_state import (
     OUTPUT,
@@ -626,3 +627,17 @@ def restored_history(spark, sf_dir):
     return store.read(entry, "events").groupBy("home", "path").agg(
         F.count(F.lit(1)).alias("kept"), F.sum("line_no").alias("line_sum"), F.min("line_no").alias("first_line")
     )
+
+
+@query("followed_deltas")
+def followed_deltas(spark, sf_dir):
+    """The lines of every file as a stream in order, parsed from the carried values of the batches before."""
+    lines = settle(event_lines(spark, sf_dir))
+    folder = scratch_folder(spark, "stream")
+    incoming = spark.readStream.schema(lines.schema).parquet(f"{folder}/in/*")
+    columns = ["home", "path", "line_no", "is_duplicate", "is_stale", *DELTAS]
+    cuts = [r["cut"] for r in lines.agg(F.percentile_approx("line_no", F.array(F.lit(0.3), F.lit(0.6)), 1000).alias("cuts")).select(F.explode("cuts").alias("cut")).collect()]
+    for number, (low, high) in enumerate(zip([-1, *cuts], [*cuts, 2**62], strict=True)):
+        lines.where((F.col("line_no") > low) & (F.col("line_no") <= high)).write.parquet(f"{folder}/in/{number}")
+        parse_lines(incoming, columns, folder).trigger(availableNow=True).start().awaitTermination()
+    return events_of(spark, folder).select(*columns)

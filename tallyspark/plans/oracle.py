@@ -745,3 +745,4 @@ from files f left join thr_copies c using (home, thread_id, path) left join thr_
 left join replay r on r.home = f.home and r.path = f.path"""
 
 SQL["restored_history"] = SQL["history_compaction"].replace("where not exists (select 1 from head h", "where n.home % 2 = 0 or not exists (select 1 from head h")
+SQL["followed_deltas"] = SQL["token_deltas"]
