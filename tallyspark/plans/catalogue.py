@@ -463,7 +463,7 @@ def display_texts(spark, sf_dir):
 @query("log_line_fields")
 def log_line_fields(spark, sf_dir):
     """Usage fields read back from JSON log text."""
-    parsed = parse_text(settle(log_text(spark, sf_dir))).where("is_marked")
+    parsed = parse_text(settle(log_text(spark, sf_dir).drop("ts_nanos"))).where("is_marked")
     sides = [
         F.col(f"{side}.{name}").cast("bigint").alias(f"{side}_{name}")
         for side in ("total", "last") for name in ("input", "cached_input", "output", "total")
