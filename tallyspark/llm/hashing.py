@@ -21,7 +21,6 @@ LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 # Odd bases of the polynomial hashes.
 BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 WINDOW_BASES = (0xA0761D6478BD642F, 0xE7037ED1A0B428DB)
-MASK = (1 << 64) - 1
 #: Texts are hashed in groups of so many bytes, or one longer text.
 GROUP_BYTES = 1 << 18
 #: Batches are worked on in parts of so many bytes, or one longer text.
@@ -56,11 +55,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def mix_int(x: int) -> int:
-    """``mix`` of one value."""
-    return int(mix(np.array([x & MASK], np.uint64))[0])
-
-
 @dataclass
 class Words:
     """Hashed words of several texts, in a row."""
@@ -101,15 +95,6 @@ def hash_windows(hashes: np.ndarray, n: int, base: int = WINDOW_BASES[0]) -> np.
     return mix((total[n:] - total[:-n]) * down[: len(hashes) - n + 1])
 
 
-def windows_inside(words: Words, n: int) -> np.ndarray:
-    """Positions from which n words lie in one text."""
-    text = words.text_of()
-    count = len(text) - n + 1
-    if count <= 0:
-        return np.zeros(0, np.int64)
-    return np.flatnonzero(text[:count] == text[n - 1 :])
-
-
 def binaries(column: pa.Array) -> list[bytes | None]:
     """A string column as UTF-8 bytes."""
     return column.cast(pa.large_binary()).to_pylist()
