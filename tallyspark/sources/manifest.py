@@ -60,8 +60,3 @@ def manifest_diff(listing: DataFrame, stored: DataFrame) -> DataFrame:
         .cast("bigint")
         .alias("resume_at"),
     )
-
-
-def needs_full_run(diff: DataFrame) -> DataFrame:
-    """Accounts with deleted files: whatever those files fed must be redone."""
-    return diff.where(F.col("change") == "deleted").select("home").distinct()

@@ -1,14 +1,17 @@
 from __future__ import annotations
 
 import io
+import os
 import random
 
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from tallyspark.sources import byte_log
 from tallyspark.sources.byte_log import canonical, discover, is_reachable, lines_of, read_lines, split_ranges
-from tests.logs import CHILD, Home, meta, usage
+from tallyspark.sources.log_scan import load_session_logs, load_window_logs
+from tests.logs import CHILD, PARENT, Home, meta, usage
 
 
 class Bytes(io.BytesIO):
@@ -100,6 +103,28 @@ def test_folders_that_cannot_be_listed(spark, monkeypatch):
     assert files.count() == 0 and [(r.home, r.errors) for r in errors.collect()] == [(canonical(str(home.root / "gone")), 1)]
 
 
+def test_windows_read_what_they_need(spark):
+    """By listing: files of the windows, and the parents of forks among them; others are not opened."""
+    home, other = Home(), "b7405d2c-1e8f-4c6a-a0d3-58e2f9176c4b"
+    grand = "0f3a9c52-6b1d-4e87-b2a4-7c5d8e9f1a06"
+    fork = home.write([meta(0, CHILD, forked_from_id=PARENT), usage(1, 5, 5)], thread=CHILD, day="2026/08/10")
+    parent = home.write([meta(0, forked_from_id=grand), usage(1, 7, 7)], day="2026/07/02")
+    origin = home.write([meta(0, grand), usage(1, 9, 9)], thread=grand, day="2026/07/01")
+    unused = home.write([meta(0, other), usage(1, 3, 3)], thread=other, day="2026/07/03")
+    for old in (parent, origin, unused):
+        os.utime(old, (1_780_000_000, 1_780_000_000))
+    starts = spark.createDataFrame([(canonical(str(home.root)), "2026-08-08")], "home string, day string").select("home", F.col("day").cast("date").alias("period_start_date"))
+    logs, counts = load_window_logs(spark, str(home.root), "UTC", F.lit("2026-08-10").cast("date"), starts)
+    assert {r.path.rsplit("/", 1)[1] for r in logs.files.collect()} == {p.name for p in (fork, parent, origin)}
+    row = counts.first()
+    assert (row.files_listed, row.files_read, row.files_pruned) == (4, 3, 1)
+    assert row.bytes_read == sum(p.stat().st_size for p in (fork, parent, origin))
+    cold = load_session_logs(spark, str(home.root), "UTC")
+    read = F.element_at(F.split("path", "/"), -1) != unused.name
+    same = lambda df: sorted(str(r) for r in df.collect())
+    assert same(logs.lines) == same(cold.lines.where(read)) and same(logs.files.select(*sorted(logs.files.columns))) == same(cold.files.where(read).select(*sorted(logs.files.columns)))
+
+
 def test_places():
     assert canonical("/a b") == canonical("file:/a b") == canonical("file:///a b") == "file:///a b"
     assert canonical("s3a://bucket/x") == "s3a://bucket/x" and canonical("hdfs://n:1") == "hdfs://n:1/"
