@@ -5,10 +5,14 @@ A document is the set of its distinct 4-word shingles; two link when
 (their key is a 64-bit digest of the set), so exact copies are never paired.
 
 1. Rare-first order: tokens are ranked by how many sets hold them, counted over
-   all documents in the window from which prefixes are drawn, then by hash.
-   Linked sets share a token among their first ``n - ceil(0.85 n) + 1``. That
-   the counted table is cut at a bounded size only changes the order, which is
-   the same for all documents, so no link is lost.
+   all documents in a window of twice the prefix length, then by hash. Linked
+   sets share a token among their first ``n - ceil(0.85 n) + 1``. That the
+   counted table is cut at a bounded size only changes the order, which is
+   the same for all documents, so no link is lost. The texts are read once for
+   the windows; a text is read again only if its window holds too few rare
+   tokens for its prefix. Counts and prefixes cross the shuffle packed, in
+   slices of the token; tokens of a single set end there, and those that several
+   sets of one map task share are dealt by set, so a hot token fills no slice.
 2. A list (the sets that share a token) of up to ``SMALL`` members is compared
    whole. Of a longer one, a centre, the set with most common tokens, is first
    compared with all members. Only if the list then still has members in
@@ -30,11 +34,12 @@ the group. An empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -47,7 +52,10 @@ BLOCK, BLOCK_TOKENS = 64, 32_768  #: sets of longer lists that are compared at a
 RANKED = 1 << 18  #: entries of the table of frequent tokens, at most
 FREQUENT = 8  #: sets that must hold a token before it counts as frequent
 BROADCAST_IDS = 1 << 20  #: ids that are broadcast at most; beyond, texts are shuffled
+SLICE_TOKENS = 1 << 23  #: tokens of all sets for each slice of the packed shuffles; a fifth of them or so are posted
+PORTION = 1 << 20  #: tokens that a map task packs at a time
 SECOND = np.uint64(0x5851F42D4C957F2D)
+LOW = np.uint64(0xFFFFFFFF)
 
 
 def shingle_sets(texts: list[bytes | None], words: int) -> Iterator[np.ndarray]:
@@ -75,6 +83,61 @@ def needed(n: int, percent: int) -> int:
     return -(-percent * n // 100)
 
 
+def prefix(n: int, percent: int) -> int:
+    """So many first tokens of a set of n, in any one order, meet those of every set that it links with."""
+    return n - needed(n, percent) + 1
+
+
+def slice_of(hashes: np.ndarray, parts: int) -> np.ndarray:
+    """Slice of each hash, from bits that the order of hashes does not favour."""
+    return ((hashes >> np.uint64(32)) & np.uint64(0xFFFF)) * np.uint64(parts) >> np.uint64(16)
+
+
+def ids_of(tokens: np.ndarray, parts: int) -> np.ndarray:
+    """A token as its slice and its low 32 bits. Tokens that become one share a list; links are verified on whole sets."""
+    return slice_of(tokens, parts) << np.uint64(32) | tokens & LOW
+
+
+def portions[X](rows: Iterator[X], size: Callable[[X], int]) -> Iterator[list[X]]:
+    """Rows in lists of about ``PORTION`` tokens, or one longer row."""
+    held, total = [], 0
+    for row in rows:
+        held.append(row)
+        total += size(row)
+        if total >= PORTION:
+            yield held
+            held, total = [], 0
+    if held:
+        yield held
+
+
+def packed(part: np.ndarray, columns: list[np.ndarray], names: list[str] | None = None) -> Iterator[pa.RecordBatch]:
+    """A row for each part, with the bytes of its columns; names beyond the columns are null."""
+    if not len(part):
+        return
+    order = np.argsort(part, kind="stable")
+    part = part[order]
+    edges = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1], [True])))
+    sorted_ = [c[order] for c in columns]
+    arrays = [pa.array([c[a:b].tobytes() for a, b in zip(edges[:-1], edges[1:], strict=True)], pa.binary()) for c in sorted_]
+    names = names or [f"c{i}" for i in range(len(columns))]
+    arrays += [pa.nulls(len(edges) - 1, pa.binary())] * (len(names) - len(arrays))
+    yield pa.record_batch([pa.array(part[edges[:-1]].astype(np.int32)), *arrays], ["part", *names])
+
+
+def by_slice(batches: Iterator[pa.RecordBatch], types: list[type]) -> Iterator[tuple[int, list[np.ndarray]]]:
+    """Of each slice in a partition its columns, unpacked."""
+    found: dict[int, list[list[bytes]]] = {}
+    for batch in batches:
+        columns = [batch[f"c{i}"].to_pylist() for i in range(len(types))]
+        for i, part in enumerate(batch["part"].to_pylist()):
+            held = found.setdefault(part, [[] for _ in types])
+            for h, c in zip(held, columns, strict=True):
+                h.append(c[i])
+    for part in sorted(found):
+        yield part, [np.frombuffer(b"".join(h), t) for h, t in zip(found.pop(part), types, strict=True)]
+
+
 def second_order(tokens: np.ndarray) -> np.ndarray:
     return np.sort(mix(tokens ^ SECOND))
 
@@ -149,88 +212,175 @@ def jaccard_components(documents: DataFrame, words: int = 4, percent: int = 85)
 
     def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            out = [(len(s), key_of(s) if len(s) else None) for s in shingle_sets(binaries(batch["text"]), words)]
-            yield pa.record_batch([batch["doc_id"], pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], ["doc_id", "n", "key"])
-
-    profiles = written(docs.mapInArrow(profile, "doc_id long, n long, key long"), "profiles")
-    named = profiles.where("doc_id IS NOT NULL")
-
-    def distinct_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray]]:
-        """Key and set of each document, once per batch."""
-        for batch in slices(batches):
-            seen = set()
-            for s in shingle_sets(binaries(batch["text"]), words):
-                if len(s) and (k := key_of(s)) not in seen:
+            size, keys, windows, seen = [], [], [], set()
+            for s, i in zip(shingle_sets(binaries(batch["text"]), words), batch["doc_id"].is_valid().to_pylist(), strict=True):
+                k = key_of(s) if len(s) else None
+                size.append(len(s))
+                keys.append(k)
+                # Once of equal sets in a part.
+                windows.append(None if k is None or not i or k in seen else s[: 2 * prefix(len(s), percent)].tobytes())
+                if i:
                     seen.add(k)
-                    yield k, s
-
-    def in_parts(rows: Iterator[tuple], names: list[str], types: list[pa.DataType]) -> Iterator[pa.RecordBatch]:
-        """Batches of about 100,000 rows from tuples of arrays."""
-        held, size = [], 0
-        for row in rows:
-            held.append(row)
-            size += len(row[0])
-            if size >= 100_000:
-                yield pa.record_batch([pa.array(np.concatenate(c), t) for c, t in zip(zip(*held, strict=True), types, strict=True)], names)
-                held, size = [], 0
-        if held:
-            yield pa.record_batch([pa.array(np.concatenate(c), t) for c, t in zip(zip(*held, strict=True), types, strict=True)], names)
-
-    def window(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Tokens up to twice the prefix length in hash order: where rare-first prefixes come from."""
-        rows = ((s[: 2 * (len(s) - needed(len(s), percent) + 1)].view(np.int64),) for _, s in distinct_sets(batches))
-        return in_parts(rows, ["token"], [pa.int64()])
-
-    counted = docs.where("doc_id IS NOT NULL").mapInArrow(window, "token long").groupBy("token").count().where(F.col("count") >= FREQUENT)
-    counted = written(counted, "counts")
-    floor, total = FREQUENT, 0
+            yield pa.record_batch([batch["doc_id"], pa.array(size, pa.int64()), pa.array(keys, pa.int64()), pa.array(windows, pa.binary())], ["doc_id", "n", "key", "window"])
+
+    profiles = written(docs.mapInArrow(profile, "doc_id long, n long, key long, window binary"), "profiles")
+    named = profiles.where("doc_id IS NOT NULL").select("doc_id", "n", "key")
+    held = profiles.where("window IS NOT NULL").select("key", "n", "window")
+    total = profiles.agg(F.sum("n")).first()[0] or 0
+    parts = min(1 << 16, max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // SLICE_TOKENS))
+
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(token, count) of a few million window tokens at a time, packed by slice."""
+        for some in portions((np.frombuffer(w, np.uint64) for batch in batches for w in batch["window"].to_pylist()), len):
+            ids, counts = np.unique(ids_of(np.concatenate(some), parts), return_counts=True)
+            yield from packed(ids >> np.uint64(32), [(ids & LOW).astype(np.uint32), counts.astype(np.uint32)])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Tokens of a slice that are held often."""
+        for part, (low, counts) in by_slice(batches, [np.uint32, np.uint32]):
+            order = np.argsort(low, kind="stable")
+            low, counts = low[order], counts[order].astype(np.int64)
+            first = np.flatnonzero(np.concatenate(([True], low[1:] != low[:-1])))
+            sums = np.add.reduceat(counts, first)
+            often = sums >= FREQUENT
+            ids = (np.uint64(part) << np.uint64(32)) | low[first][often].astype(np.uint64)
+            yield pa.record_batch([pa.array(ids.view(np.int64)), pa.array(sums[often])], ["token", "count"])
+
+    counted = held.select("window").mapInArrow(tally, "part int, c0 binary, c1 binary").repartitionById(parts, F.col("part"))
+    counted = written(counted.mapInArrow(count, "token long, count long"), "counts")
+    floor, sum_ = FREQUENT, 0
     for row in counted.groupBy(F.floor(F.log2("count")).cast("int").alias("level")).count().orderBy(F.desc("level")).collect():
-        if total + row["count"] > RANKED:
+        if sum_ + row["count"] > RANKED:
             floor = max(floor, 2 ** (row["level"] + 1))
             break
-        total += row["count"]
+        sum_ += row["count"]
     ranked = counted.where(F.col("count") >= floor).toPandas()
     ranked = ranked.assign(token=ranked["token"].to_numpy(np.int64).view(np.uint64)).sort_values("token")
     shared = spark.sparkContext.broadcast((ranked["token"].to_numpy(np.uint64), np.log2(ranked["count"].to_numpy(np.float64) + 0.5).astype(np.uint8)))
 
-    def postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def ranks(tokens: np.ndarray) -> np.ndarray:
         frequent, level = shared.value
+        if not len(frequent) or not len(tokens):
+            return np.zeros(len(tokens), np.uint8)
+        ids = ids_of(tokens, parts)
+        at = np.minimum(np.searchsorted(frequent, ids), len(frequent) - 1)
+        return np.where(frequent[at] == ids, level[at], np.uint8(0))
+
+    def enough(n: int, rank: np.ndarray) -> bool:
+        """The window holds the whole prefix in rare-first order."""
+        return len(rank) == n or int(np.count_nonzero(rank == 0)) >= prefix(n, percent)
+
+    def windows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, 256):
+                some = batch.slice(start, 256)
+                sets = [np.frombuffer(w, np.uint64) for w in some["window"].to_pylist()]
+                rank = np.split(ranks(np.concatenate(sets)), np.cumsum([len(s) for s in sets])[:-1])
+                yield from zip(some["key"].to_pylist(), some["n"].to_pylist(), sets, rank, strict=True)
+
+    def short_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys = [k for k, n, _, rank in windows_of(batches) if not enough(n, rank)]
+        yield pa.record_batch([pa.array(keys, pa.int64())], ["key"])
+
+    def post(rows: Iterator[tuple[int, int, np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        """Prefixes of (key, n, tokens, their ranks), packed.
+
+        Postings whose token several sets of a portion share are dealt by key, but for one, which
+        goes to the token's slice and tells there that the token is shared (``common`` of 128 or more).
+        """
+
+        def chosen() -> Iterator[tuple[np.ndarray, int, int, int]]:
+            for key, n, tokens, rank in rows:
+                yield tokens[np.argsort(rank, kind="stable")[: prefix(n, percent)]], key, n, 127 * int(np.count_nonzero(rank)) // len(rank)
+
+        for some in portions(chosen(), lambda x: len(x[0])):
+            sizes = [len(x[0]) for x in some]
+            ids = ids_of(np.concatenate([x[0] for x in some]), parts)
+            key, n, common = (np.repeat(np.array([x[i] for x in some], t), sizes) for i, t in ((1, np.int64), (2, np.int32), (3, np.uint8)))
+            order = np.lexsort((key, ids))
+            ids, key, n, common = ids[order], key[order], n[order], common[order]
+            own = np.concatenate(([True], (ids[1:] != ids[:-1]) | (key[1:] != key[:-1])))
+            ids, key, n, common = ids[own], key[own], n[own], common[own]
+            first = np.concatenate(([True], ids[1:] != ids[:-1]))
+            common = common + np.where(first & np.concatenate((~first[1:], [False])), np.uint8(128), np.uint8(0))
+            yield from packed(ids[first] >> np.uint64(32), [(ids[first] & LOW).astype(np.uint32), key[first], n[first], common[first]], ["c0", "c1", "c2", "c3", "c4"])
+            rest = ~first
+            to = slice_of(mix(key[rest].view(np.uint64)), parts)
+            yield from packed(to, [(ids[rest] & LOW).astype(np.uint32), key[rest], n[rest], common[rest], (ids[rest] >> np.uint64(32)).astype(np.uint16)])
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Postings of tokens that several sets share."""
+        types = [np.uint32, np.int64, np.int32, np.uint8]
+
+        def told() -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                known = batch["c4"].is_valid()
+                if known.true_count:
+                    for row in batch.filter(known).to_pylist():
+                        low, key, n, common, part = (np.frombuffer(row[f"c{i}"], t) for i, t in enumerate([*types, np.uint16]))
+                        out.append(rows(part.astype(np.uint64) << np.uint64(32) | low, key, n, common))
+                yield batch.filter(pc.invert(known))
+
+        def rows(ids: np.ndarray, key: np.ndarray, n: np.ndarray, common: np.ndarray) -> pa.RecordBatch:
+            share = (common & np.uint8(127)).astype(np.float32)
+            return pa.record_batch([pa.array(ids.view(np.int64)), pa.array(key), pa.array(n), pa.array(share)], ["token", "key", "n", "common"])
+
+        out: list[pa.RecordBatch] = []
+        for part, (low, key, n, common) in by_slice(told(), types):
+            order = np.lexsort((key, low))
+            low, key, n, common = low[order], key[order], n[order], common[order]
+            first = np.flatnonzero(np.concatenate(([True], low[1:] != low[:-1])))
+            size = np.diff(np.append(first, len(low)))
+            # Keys are in order: several, if the first and the last differ.
+            keep = (key[first] != key[first + size - 1]) | (np.maximum.reduceat(common, first) >= 128)
+            keep = np.repeat(keep, size)
+            ids = np.uint64(part) << np.uint64(32) | low[keep].astype(np.uint64)
+            out.append(rows(ids, key[keep], n[keep], common[keep]))
+        for batch in out:
+            for start in range(0, batch.num_rows, 100_000):
+                yield batch.slice(start, 100_000)
 
-        def rows() -> Iterator[tuple]:
-            for key, s in distinct_sets(batches):
-                rank = np.zeros(len(s), np.uint8)
-                if len(frequent):
-                    at = np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)
-                    rank = np.where(frequent[at] == s, level[at], 0)
-                p = len(s) - needed(len(s), percent) + 1
-                chosen = s[np.argsort(rank, kind="stable")[:p]]
-                common = float(np.count_nonzero(rank)) / len(s)
-                yield chosen.view(np.int64), np.full(p, key), np.full(p, len(s)), np.full(p, common, np.float32)
-
-        return in_parts(rows(), ["token", "key", "n", "common"], [pa.int64(), pa.int64(), pa.int32(), pa.float32()])
-
-    posted = written(docs.where("doc_id IS NOT NULL").mapInArrow(postings, "token long, key long, n int, common float"), "postings")
-    several = posted.groupBy("token").agg(F.min("key").alias("x"), F.max("key").alias("y")).where("x <> y").select("token")
-    lists = written(posted.join(several, "token", "left_semi").distinct(), "lists")
     one_of = named.where("key IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("doc_id"))
 
-    def sets_of(keys: DataFrame, as_signature: bool) -> DataFrame:
-        """Whole sets or signatures of these keys, from the text of one document each."""
+    def texts_of(keys: DataFrame) -> DataFrame:
+        """key, text of one document of each of these keys; a doc_id that is repeated brings its other texts too."""
         chosen = written(one_of.join(keys, "key", "left_semi").select("doc_id", "key"), "chosen")
         near = F.broadcast(chosen) if chosen.count() <= BROADCAST_IDS else chosen
+        return docs.join(near, "doc_id").select("key", "text")
+
+    def whole_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray]]:
+        """Key and set of each text; texts of another key are left out."""
+        for batch in slices(batches):
+            for s, k in zip(shingle_sets(binaries(batch["text"]), words), batch["key"].to_pylist(), strict=True):
+                if len(s) and key_of(s) == k:
+                    yield k, s
+
+    def sets_of(keys: DataFrame, as_signature: bool) -> DataFrame:
+        """Whole sets or signatures of these keys."""
 
         def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in slices(batches):
-                found = list(shingle_sets(binaries(batch["text"]), words))
-                # A doc_id that is repeated with other texts is told apart by the key.
-                own = [len(s) > 0 and key_of(s) == k for s, k in zip(found, batch["key"].to_pylist(), strict=True)]
-                pairs = [signature(s) if as_signature else (s.tobytes(), b"") for s, o in zip(found, own, strict=True) if o]
-                yield pa.record_batch(
-                    [batch["key"].filter(pa.array(own, pa.bool_())), pa.array([len(s) for s, o in zip(found, own, strict=True) if o], pa.int64()), pa.array([p[0] for p in pairs], pa.binary()), pa.array([p[1] for p in pairs], pa.binary())],
-                    ["key", "n", "s1", "s2"],
-                )
-
-        return written(docs.join(near, "doc_id").mapInArrow(build, "key long, n long, s1 binary, s2 binary").dropDuplicates(["key"]), "sets")
+            for some in portions(whole_sets(batches), lambda x: len(x[1])):
+                pairs = [signature(s) if as_signature else (s.tobytes(), b"") for _, s in some]
+                columns = [pa.array([k for k, _ in some], pa.int64()), pa.array([len(s) for _, s in some], pa.int64())]
+                yield pa.record_batch([*columns, *(pa.array([p[i] for p in pairs], pa.binary()) for i in (0, 1))], ["key", "n", "s1", "s2"])
+
+        return written(texts_of(keys).mapInArrow(build, "key long, n long, s1 binary, s2 binary").dropDuplicates(["key"]), "sets")
+
+    def post_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return post(x for x in windows_of(batches) if enough(x[1], x[3]))
+
+    def post_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return post((k, len(s), s, ranks(s)) for k, s in whole_sets(batches))
+
+    entry = "part int, c0 binary, c1 binary, c2 binary, c3 binary, c4 binary"
+    posted = held.mapInArrow(post_windows, entry)
+    if len(ranked):
+        short = written(held.mapInArrow(short_of, "key long").distinct(), "short")
+        if not short.isEmpty():
+            posted = posted.union(texts_of(short).mapInArrow(post_texts, entry))
+    met = posted.repartitionById(parts, F.col("part")).mapInArrow(meet, "token long, key long, n int, common float")
+    # Copies of a set in several map tasks may have gone by token and by key.
+    lists = written(met.distinct(), "lists")
 
     def passing(pairs: DataFrame, as_signature: bool) -> DataFrame:
         """The pairs (a, b) that pass the hash-order filters, or that link."""
@@ -258,9 +408,11 @@ def jaccard_components(documents: DataFrame, words: int = 4, percent: int = 85)
         component. A row stands for two blocks, not for two members.
         """
         one = rest.groupBy("key").agg(F.min("token").alias("home"), F.first("comp").alias("comp"), F.first("n").alias("n"))
-        crowd = one.groupBy("comp").agg(F.count("*").alias("crowd"))
-        one = one.join(crowd, "comp").withColumn("home", F.when(F.col("crowd") >= BLOCK, F.xxhash64("comp")).otherwise(F.col("home")))
-        one = one.join(one.groupBy("home").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_TOKENS)).alias("near")), "home")
+        one = written(one, "rest")
+        crowd = written(one.groupBy("comp").agg(F.count("*").alias("crowd")).where(F.col("crowd") >= BLOCK), "crowds")
+        one = one.join(crowd, "comp", "left").withColumn("home", F.when(F.col("crowd") >= BLOCK, F.xxhash64("comp")).otherwise(F.col("home")))
+        near = written(one.groupBy("home").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_TOKENS)).alias("near")), "homes")
+        one = one.join(near, "home")
         block = F.xxhash64("home", F.pmod(F.xxhash64("key"), F.col("near")))
         one = written(one.select("key", "comp", block.alias("block")), "members")
         sets = sets_of(one.select("key"), False).select("key", "s1").join(one, "key")
@@ -282,12 +434,12 @@ def jaccard_components(documents: DataFrame, words: int = 4, percent: int = 85)
 
         return meets.join(one, "block").join(two, "block_b").select("sets", "sets_b").mapInArrow(compare, "a long, b long").distinct()
 
-    # First the centres of long lists and all pairs of short ones.
-    sizes = lists.groupBy("token").agg(F.count("*").alias("g"))
-    order = Window.partitionBy("token").orderBy(F.desc("common"), "key")
-    places = lists.join(sizes, "token").withColumn("place", F.row_number().over(order)).where(F.col("place") <= SMALL)
-    centres = places.where(F.col("place") <= F.when(F.col("g") <= SMALL, SMALL).otherwise(1))
-    centres = centres.select("token", F.col("key").alias("c"), F.col("n").alias("n_c"))
+    # First the centres of long lists and all pairs of short ones. What is joined with a hot token
+    # or component is a table of its own, so that the other side can be split.
+    sizes = lists.groupBy("token").agg(F.count("*").alias("g"), F.max_by("key", F.struct("common", "key")).alias("top"))
+    sizes = written(sizes, "sizes")
+    centres = lists.join(sizes, "token").where((F.col("g") <= SMALL) | (F.col("key") == F.col("top")))
+    centres = written(centres.select("token", F.col("key").alias("c"), F.col("n").alias("n_c")), "centres")
     close = (F.least("n", "n_c") * 100 >= F.greatest("n", "n_c") * percent) & (F.col("key") != F.col("c"))
     pairs = lists.join(centres, "token").where(close).select(F.least("key", "c").alias("a"), F.greatest("key", "c").alias("b")).distinct()
     links = passing(passing(written(pairs, "candidates"), True), False)
@@ -296,7 +448,7 @@ def jaccard_components(documents: DataFrame, words: int = 4, percent: int = 85)
     # Then the rest of the lists that are not in one component yet.
     members = lists.join(sizes.where(F.col("g") > SMALL), "token").join(comps.withColumnRenamed("node", "key"), "key", "left")
     members = members.select("token", "key", "n", F.coalesce("comp", "key").alias("comp"))
-    still = members.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("token")
+    still = written(members.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("token"), "still")
     rest = written(members.join(still, "token"), "open")
     if not rest.isEmpty():
         links = written(links.union(linked_blocks(rest)), "linked")

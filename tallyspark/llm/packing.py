@@ -22,12 +22,16 @@ An empty table gives no rows; other columns are ignored.
 from __future__ import annotations
 
 from bisect import bisect_left, insort
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyspark.llm.hashing import WINDOW_BASES, binaries, groups, hash_words, mix, powers, slices
+
 CAPACITY = 2048
 SHARD = 8192  #: documents of a shard, on average
 
@@ -93,6 +97,21 @@ def pack_shard(sizes: list[int], sources: list[int], clusters: list[int], capaci
     return out
 
 
+def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each text its number of words and a digest of them that neither case nor white space changes."""
+    for batch in slices(batches):
+        texts = [b"" if t is None else t.lower() if t.isascii() else t.decode("utf-8", "replace").lower().encode() for t in binaries(batch["text"])]
+        n, cluster = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+        for start, end in groups(texts):
+            words = hash_words(texts[start:end])
+            up, down = powers(WINDOW_BASES[0], len(words.hashes))
+            total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(words.hashes * up[: len(words.hashes)], dtype=np.uint64)))
+            n.append(words.end - words.begin)
+            cluster.append(mix((total[words.end] - total[words.begin]) * down[words.begin] + n[-1].astype(np.uint64)))
+        columns = [batch[c] for c in ("doc_id", "source", "place")]
+        yield pa.record_batch([*columns, pa.array(np.concatenate(cluster).view(np.int64)), pa.array(np.concatenate(n))], ["doc_id", "source", "place", "cluster", "n"])
+
+
 def joined(clusters: list[int], groups: list[int]) -> np.ndarray:
     """Clusters of documents that share a cluster or a group, directly or by others; -1: no group."""
     top = list(range(len(clusters)))  # by cluster
@@ -115,15 +134,12 @@ def pack_documents(documents: DataFrame, capacity: int = CAPACITY, shard: int =
 
     ``groups``: component_id of each doc_id; documents of one group conflict.
     """
-    text = F.coalesce("text", F.lit(""))
-    words = r"[^\x20\x09-\x0D]+"
     items = documents.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.col("source").cast("string").alias("source"),
-        F.xxhash64(F.lower(F.regexp_replace(F.trim(text), r"[\x20\x09-\x0D]+", " "))).alias("cluster"),
-        F.regexp_count(text, F.lit(words)).cast("long").alias("n"),
+        "text",
         F.monotonically_increasing_id().alias("place"),
-    )
+    ).mapInArrow(measure, "doc_id long, source string, place long, cluster long, n long")
     # Joined after the places are given: those of a scan are the same when a task runs again.
     if groups is None:
         items = items.withColumn("component", F.lit(None).cast("long"))
@@ -133,7 +149,7 @@ def pack_documents(documents: DataFrame, capacity: int = CAPACITY, shard: int =
     # Dealt by place, so that neither a hot source nor a group of copies fills a shard.
     dealt = items.withColumn("shard", F.pmod(F.xxhash64("place"), F.lit(shards)).cast("int"))
 
-    def pack(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+    def pack(shard: int, pdf: pd.DataFrame) -> pd.DataFrame:
         n = pdf["n"].to_numpy(np.int64)
         pieces = np.maximum(1, -(-n // capacity))
         own = np.repeat(np.arange(len(n)), pieces)
@@ -145,7 +161,14 @@ def pack_documents(documents: DataFrame, capacity: int = CAPACITY, shard: int =
         order = order[size[order] > 0]
         bins = np.full(len(own), -1, np.int64)
         bins[order] = pack_shard(size[order].tolist(), source[own[order]].tolist(), cluster[own[order]].tolist(), capacity)
-        bin_id = pd.Series(np.where(bins < 0, 0, (np.int64(key[0]) << 32) + bins), dtype="Int64").mask(bins < 0)
+        bin_id = pd.Series(np.where(bins < 0, 0, (np.int64(shard) << 32) + bins), dtype="Int64").mask(bins < 0)
         return pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64").to_numpy()[own], "piece": piece, "start": piece * capacity, "n_tokens": size, "bin_id": bin_id.to_numpy()})
 
-    return dealt.groupBy("shard").applyInPandas(pack, "doc_id long, piece int, start long, n_tokens long, bin_id long")
+    def pack_all(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = list(batches)
+        if held:
+            for shard_, pdf in pd.concat(held, ignore_index=True).groupby("shard"):
+                yield pack(shard_, pdf.reset_index(drop=True))
+
+    # A task for each shard, so that no task gets several.
+    return dealt.repartitionById(shards, F.col("shard")).mapInPandas(pack_all, "doc_id long, piece int, start long, n_tokens long, bin_id long")
