@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyspark.functions import display
-from tallyspark.operators.alerts import early_restores, overflow_alerts, reset_events
+from tallyspark.operators.alerts import early_restores, merge_messages, overflow_alerts, reset_events
 from tallyspark.operators.carry import carry_settings
 from tallyspark.operators.compaction import compact_events, compactable_files
 from tallyspark.operators.credits import credits_debits
@@ -16,6 +16,7 @@ from tallyspark.operators.pricing import price_frame, price_issues, price_volume
 from tallyspark.operators.quota import (
     NANOS,
     latest_quota,
+    merge_snapshots,
     period_boundary,
     quota_status,
     rate_limit_observations,
@@ -43,12 +44,12 @@ from tallyspark.plans.usage_report import (
 from tallyspark.session import configure, scratch_folder, settle, write_settled
 from tallyspark.sources.buckets import Buckets
 from tallyspark.sources.byte_log import discover
-from tallyspark.sources.derived_inputs import log_text, response_rows, sheet_rows
+from tallyspark.sources.derived_inputs import account_rows, log_text, response_rows, sheet_rows, split_snapshots
 from tallyspark.sources.derived_logs import logged_lines, period_of, user_of, write_stage
 from tallyspark.sources.event_feed import SPLIT_DAY, event_files, event_lines, nanos_literal
 from tallyspark.sources.manifest import manifest_diff
 from tallyspark.sources.price_sheets import parse_price_sheets
-from tallyspark.sources.responses import parse_rate_limits
+from tallyspark.sources.responses import parse_accounts, parse_rate_limits
 from tallyspark.sources.session_logs import parse_text
 from tallyspark.streaming.alerts import AlertRules, alerts_of, watch
 from tallyspark.streaming.parse_table import events_of, parse_lines
@@ -489,6 +490,40 @@ def rate_limit_rejects(spark, sf_dir):
     return rejects.groupBy("home", "reason").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("account_responses")
+def account_responses(spark, sf_dir):
+    return parse_accounts(account_rows(spark, sf_dir))
+
+
+@query("merged_snapshots")
+def merged_snapshots(spark, sf_dir):
+    """Latest limits of two sources of looks, as one of each home."""
+    merged = merge_snapshots(*split_snapshots(spark, sf_dir))
+    return merged.select(
+        "home", "ts_nanos", F.col("primary.resets_at").alias("resets_at"), F.col("secondary.resets_at").alias("long_resets_at"), "plan_type"
+    )
+
+
+@query("merged_messages")
+def merged_messages(spark, sf_dir):
+    """Alert texts of each account and day, those of one kind and window order as one."""
+    looks = event_lines(spark, sf_dir).where("is_token").select(
+        "home", F.expr("ts_nanos div 86400000000000 * 86400000000000").alias("ts_nanos"),
+        F.when(F.col("line_no") % 2 == 0, "reset").otherwise("restored").alias("kind"),
+        (F.col("line_no") % 3).cast("int").alias("rank"),
+    )
+    return merge_messages(looks.distinct().withColumn("body", F.concat("kind", F.lit(" "), F.col("rank").cast("string"))))
+
+
+@query("money_texts")
+def money_texts(spark, sf_dir):
+    """Amounts of every order in cents as the report prints them."""
+    cents = spark.read.parquet(f"{sf_dir}/orders.parquet").selectExpr("cast(o_orderkey as bigint) as k", "cast(o_orderkey % 30011 as bigint) as cents")
+    return cents.select(
+        "k", display.usd((F.col("cents") - 100) / F.lit(100.0)).alias("usd"), display.credits_text(F.col("cents") / F.lit(100.0)).alias("credits")
+    )
+
+
 @query("price_sheet_rows")
 def price_sheet_rows(spark, sf_dir):
     prices, _ = parse_price_sheets(sheet_rows(spark, sf_dir))

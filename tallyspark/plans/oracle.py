@@ -678,6 +678,31 @@ SQL["rate_limit_rejects"] = f"""with {LINES_PLAIN}
 select home, case k % 10 when 3 then 'no primary window' when 4 then 'negative reset' when 6 then 'no bucket' else 'malformed' end as reason,
   cast(count(*) as bigint) as n from lines where k % 10 in (3, 4, 6, 9) group by all"""
 
+SQL["account_responses"] = f"""with {LINES_PLAIN}
+select home, ts_nanos, case when k % 7 not in (2, 3) then 'plan-' || k % 5 end as plan_type from lines where k % 7 <> 4"""
+
+SQL["merged_snapshots"] = f"""with {LINES_PLAIN},
+looks as (select *, k % 4 >= 2 as newer, case when k % 2 = 0 then 'plan-' || k % 5 end as plan from lines
+  where case when k % 4 < 2 then user_id % 5 <> 1 else user_id % 5 <> 2 end),
+latest as (select * from looks qualify row_number() over (partition by home, newer order by ts_nanos desc, k desc) = 1)
+select home, max(ts_nanos) as ts_nanos, cast(1700000000 + arg_max(k, (ts_nanos, newer)) as bigint) as resets_at,
+  cast(case when arg_max(k, (ts_nanos, newer)) % 3 <> 0 then 1800000000 + arg_max(k, (ts_nanos, newer)) end as bigint) as long_resets_at,
+  case when arg_max(newer, (ts_nanos, newer)) then coalesce(max(plan) filter (newer), max(plan) filter (not newer))
+    else max(plan) filter (not newer) end as plan_type
+from latest group by home"""
+
+SQL["merged_messages"] = f"""with {LINES_PLAIN},
+parts as (select distinct home, ts_nanos // 86400000000000 * 86400000000000 as ts_nanos, case when line_no % 2 = 0 then 'reset' else 'restored' end as kind,
+  line_no % 3 as rank from lines where is_token)
+select home, ts_nanos, kind, string_agg(kind || ' ' || rank, '；' order by rank) as body from parts group by home, ts_nanos, kind"""
+
+SQL["money_texts"] = """with p as (select cast(o_orderkey as bigint) as k, cast(o_orderkey % 30011 as bigint) as c, cast(o_orderkey % 30011 as bigint) - 100 as u from orders)
+select k, case when u <= 0 then '$0.00'
+    when u >= 10000 then '$' || (u // 100 + case when u % 100 > 50 or (u % 100 = 50 and u // 100 % 2 = 1) then 1 else 0 end)
+    else printf('$%d.%02d', u // 100, u % 100) end as usd,
+  case when c % 100 = 0 then cast(c // 100 as varchar) else printf('%d.%02d', c // 100, c % 100) end as credits
+from p"""
+
 SQL["price_sheet_rows"] = """with p as (select cast(p_partkey as bigint) as k, cast(floor(p_retailprice) as bigint) as price from part where p_partkey % 5 = 0),
 t(tier, f) as (values ('standard', 1), ('fast', 2), ('ultrafast', 4))
 select cast(k as varchar) as sheet_id, 'part-' || k as model, tier, false as is_split, cast(price * f as double) as short_input,

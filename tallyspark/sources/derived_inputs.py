@@ -78,6 +78,32 @@ def response_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def account_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Account responses as JSON bodies, one for each event; by ``k`` some name
+    no plan, have no account, or are broken text."""
+    body = """to_json(named_struct('account', if(k % 7 = 2, null, named_struct('type', 'user',
+        'planType', if(k % 7 = 3, null, concat('plan-', k % 5))))))"""
+    return _feed(spark, sf_dir).select(
+        "home", F.col("ts_nanos").alias("received_nanos"), F.expr(f"if(k % 7 = 4, left({body}, length({body}) - 1), {body})").alias("body")
+    )
+
+
+def split_snapshots(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Two sets of latest limits of each home, from events that alternate; some
+    homes are in one of them only, some looks name no plan."""
+    looks = _feed(spark, sf_dir).selectExpr(
+        "home", "user_id", "k", "ts_nanos", "named_struct('used_percent', cast(k % 101 as double), 'window_minutes', 300L, 'resets_at', 1700000000 + k) as primary",
+        "if(k % 3 = 0, null, named_struct('used_percent', cast(k % 103 as double), 'window_minutes', 10080L, 'resets_at', 1800000000 + k)) as secondary",
+        "if(k % 2 = 0, concat('plan-', k % 5), null) as plan_type",
+    )
+
+    def latest(rows: DataFrame) -> DataFrame:
+        look = F.struct("ts_nanos", "primary", "secondary", "plan_type")
+        return rows.groupBy("home").agg(F.max_by(look, F.struct("ts_nanos", "k")).alias("_l")).select("home", "_l.*")
+
+    return latest(looks.where("k % 4 < 2 and user_id % 5 <> 1")), latest(looks.where("k % 4 >= 2 and user_id % 5 <> 2"))
+
+
 def sheet_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One small price sheet per part; by key some are faulty."""
     parts = spark.read.parquet(f"{sf_dir}/part.parquet").selectExpr(
