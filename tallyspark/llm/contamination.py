@@ -1,15 +1,19 @@
 """Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
 Words are runs of ASCII letters, digits and all bytes beyond ASCII, of the text
-with cases folded and in composed form (NFC). Every word trigram of a test item is a seed, as edits and excerpts
-leave no saying which ones a copy still holds. Where a seed occurs in a
-document, the passage around it that the whole item could cover is aligned with
+with cases folded and in composed form (NFC). Seeds are the rare word trigrams
+of the test items: in every run of ``run_words`` words of an item, those that
+occur least in the items (of its chunk, see below). Edits and excerpts leave no
+saying which ones a copy still holds, so all that tie are seeds: trigrams that
+occur once always are, and every exact run of ``run_words`` words holds one. A
+phrase that many items share is only a seed where there is nothing rarer around
+it. Where a seed occurs in a document, the passage around it that the whole item could cover is aligned with
 the item (match 2, mismatch and gap -1); passages of one item that overlap are
 one. The score is that of the best local alignment over that of an exact copy.
 A hit scores at least ``threshold``, or its alignment is worth at least
 ``run_words`` matching words, as an excerpt of a long item may be. Passages that
 share too few words with the item for either, in any order, are not aligned:
-most seeds are common trigrams, and their passages end there.
+where a seed is a common trigram of documents, its passages end there.
 Documents are matched where they are read; nothing of them is shuffled.
 
 The test items are taken in chunks of a bounded number of words, which are
@@ -25,7 +29,6 @@ struct ``document``, so their names cannot clash.
 from __future__ import annotations
 
 import unicodedata
-from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -66,9 +69,29 @@ class Seeds:
         hit = self.grams[gram] == hashes[at] if len(self.grams) else np.zeros(0, bool)
         return at[hit], gram[hit]
 
-
-def seeds_of(ids: list, words: list[np.ndarray]) -> Seeds:
-    """All n-grams of the items."""
+    def by_item(self, at: np.ndarray, gram: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """Each item with one of these n-grams, in order: its number, positions and places."""
+        sizes = self.first[gram + 1] - self.first[gram]
+        entry = np.repeat(self.first[gram] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+        order = np.argsort(self.item[entry], kind="stable")
+        at, entry = np.repeat(at, sizes)[order], entry[order]
+        item = self.item[entry]
+        edges = np.flatnonzero(np.concatenate(([True], item[1:] != item[:-1], [True])))
+        for a, b in zip(edges[:-1], edges[1:], strict=True):
+            yield int(item[a]), at[a:b], self.place[entry[a:b]]
+
+
+def rarest(counts: np.ndarray, run: int) -> np.ndarray:
+    """Places whose count is the least in some run of so many places, or in all if there are fewer."""
+    run = min(run, len(counts))
+    least = np.lib.stride_tricks.sliding_window_view(counts, run).min(axis=1)
+    # Of all runs around a place, the one with the greatest least count decides.
+    around = np.pad(least, run - 1)
+    return counts <= np.lib.stride_tricks.sliding_window_view(around, run).max(axis=1)
+
+
+def seeds_of(ids: list, words: list[np.ndarray], run_words: int = RUN_WORDS) -> Seeds:
+    """The n-grams that are rarest in some run of ``run_words`` words of an item."""
     h, item, place = [], [], []
     for i, w in enumerate(words):
         n = min(GRAM, len(w))
@@ -77,6 +100,11 @@ def seeds_of(ids: list, words: list[np.ndarray]) -> Seeds:
             h.append(g)
             item.append(np.full(len(g), i))
             place.append(np.arange(len(g)))
+    if h:
+        _, gram, count = np.unique(np.concatenate(h), return_inverse=True, return_counts=True)
+        counts = np.split(count[gram], np.cumsum([len(g) for g in h])[:-1])
+        rare = [rarest(c, max(1, run_words - GRAM + 1)) for c in counts]
+        h, item, place = ([x[r] for x, r in zip(xs, rare, strict=True)] for xs in (h, item, place))
     h, item, place = (np.concatenate(x) if x else np.zeros(0, t) for x, t in ((h, np.uint64), (item, np.int64), (place, np.int64)))
     order = np.argsort(h, kind="stable")
     grams, first = np.unique(h[order], return_index=True)
@@ -186,22 +214,17 @@ def find_leaks(documents: DataFrame, benchmark: DataFrame, threshold: float = TH
 
 def _matcher(spark, ids: list, words: list[np.ndarray], short: list[int], threshold: float, run_words: int):
     """Adds one chunk's hits to the documents that are read."""
-    every = spark.sparkContext.broadcast((seeds_of(ids, words), short))
+    every = spark.sparkContext.broadcast((seeds_of(ids, words, run_words), short))
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seeds, short = every.value
         for batch in slices(batches):
             hits = batch["hits"].to_pylist()
             for r, hashes, at, gram in gram_hits(binaries(batch["text"]), seeds, short):
-                by_item = defaultdict(list)
-                for p, g in zip(at.tolist(), gram.tolist(), strict=True):
-                    for k in range(seeds.first[g], seeds.first[g + 1]):
-                        by_item[int(seeds.item[k])].append((p, int(seeds.place[k])))
-                for i, found in sorted(by_item.items()):
+                for i, spots, places in seeds.by_item(at, gram):
                     item = seeds.words[i]
-                    spots = np.array(found)
                     best = (0, 0, 0)
-                    for a, b in passages(spots[:, 0], spots[:, 1], len(item), len(hashes)):
+                    for a, b in passages(spots, places, len(item), len(hashes)):
                         most = shared_words(item, hashes[a:b])
                         if most / len(item) < threshold and most < run_words:
                             continue

@@ -6,7 +6,8 @@ import unicodedata
 import numpy as np
 from pyspark.sql import functions as F
 
-from tallyspark.llm.contamination import align, find_leaks
+from tallyspark.llm.contamination import align, find_leaks, rarest, seeds_of
+from tallyspark.llm.hashing import hash_words
 from tests.llm.brute import frame, smith_waterman
 
 
@@ -97,3 +98,34 @@ def test_columns_of_any_name_come_back(spark):
     df = frame(spark, [(1, "a b")]).withColumnRenamed("key", "crawl-id").withColumnRenamed("told", "my col")
     row = find_leaks(df, spark.createDataFrame([(1, "x y z")], "item_id long, text string")).first()
     assert row["document"]["crawl-id"] == "k" and row["document"]["my col"] == 1 and row["hits"] == []
+
+
+def test_rarest_of_every_run():
+    r = random.Random(9)
+    for _ in range(100):
+        counts, run = [r.randrange(1, 5) for _ in range(r.randrange(1, 30))], r.randrange(1, 14)
+        runs = [range(a, a + min(run, len(counts))) for a in range(max(1, len(counts) - run + 1))]
+        expected = [any(i in x and counts[i] == min(counts[j] for j in x) for x in runs) for i in range(len(counts))]
+        assert rarest(np.array(counts), run).tolist() == expected
+
+
+def test_phrases_of_many_items_are_no_seeds_but_where_nothing_is_rarer(spark):
+    r = random.Random(10)
+    asked = "which of the following statements best describes the main point of this passage and why would its author say so".split()
+    # Shorter than a run: never a seed. As long as one: a copy of it alone is an excerpt of every item.
+    items = [(i, asked[:8] + [f"u{r.randrange(500)}" for _ in range(22)]) for i in range(40)] + [(i, asked + [f"u{r.randrange(500)}" for _ in range(22)]) for i in range(40, 60)]
+    words = [hash_words([" ".join(t).encode()]).hashes for _, t in items]
+    seeds = seeds_of([i for i, _ in items], words)
+    assert max(np.diff(seeds.first)) <= 20 < 60
+    rows = [(i, " ".join(["x"] * 30 + [w if k % 4 else "changed" for k, w in enumerate(t)] + ["y"] * 30)) for i, t in items[::4]]
+    rows += [(100 + i, " ".join(["x"] * 9 + items[i][1][-14:] + ["y"] * 9)) for i in range(0, 60, 7)]
+    rows += [(200, " ".join(["x", *asked, "y"])), (201, " ".join(["x", *asked[:12], "y"]))]
+    expected = {}
+    for doc_id, text in rows:
+        for i, t in items:
+            top = smith_waterman(t, text.split())
+            if top >= len(t) or top >= 26:
+                expected[(doc_id, i)] = top / (2 * len(t))
+    got = leaks(spark, rows, [(i, " ".join(t)) for i, t in items])
+    assert {k: v[0] for k, v in got.items()} == expected
+    assert {i for d, i in expected if d == 200} == set(range(40, 60)) and not any(d == 201 for d, _ in expected)
