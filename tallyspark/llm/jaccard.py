@@ -19,8 +19,9 @@ A document is the set of its distinct 4-word shingles; two link when
    different components, these are compared in blocks; pairs within one
    component, such as a large group around its original, never are.
 3. Two hash orders: a candidate pair must also overlap enough in its prefixes
-   under each of two other orders. The prefixes hold a fifth of a set; what they
-   share plus all that lies behind them bounds the intersection.
+   under each of two other orders: the windows, which are at hand, then, where
+   whole sets meet, the first fifths under the other order. What prefixes share
+   plus all that lies behind them bounds the intersection.
 4. Pairs that pass both filters are verified on whole sets.
 
 Nulls and edge cases: a null or blank text is an empty set and links with
@@ -51,11 +52,16 @@ SMALL = 16  #: lists up to this long are compared whole
 BLOCK, BLOCK_TOKENS = 64, 32_768  #: sets of longer lists that are compared at a time, and their tokens
 RANKED = 1 << 18  #: entries of the table of frequent tokens, at most
 FREQUENT = 8  #: sets that must hold a token before it counts as frequent
-BROADCAST_IDS = 1 << 20  #: ids that are broadcast at most; beyond, texts are shuffled
+BROADCAST_IDS = 1 << 20  #: ids or keys that are broadcast at most; beyond, texts or windows are shuffled
 SLICE_TOKENS = 1 << 23  #: tokens of all sets for each slice of the packed shuffles; a fifth of them or so are posted
 PORTION = 1 << 20  #: tokens that a map task packs at a time
 SECOND = np.uint64(0x5851F42D4C957F2D)
 LOW = np.uint64(0xFFFFFFFF)
+LAST = np.uint64((1 << 22) - 1)
+SPREAD, MASK = 0xD1342543DE82EF95, (1 << 64) - 1
+
+
+_FIRST = np.array([True])
 
 
 def shingle_sets(texts: list[bytes | None], words: int) -> Iterator[np.ndarray]:
@@ -65,7 +71,8 @@ def shingle_sets(texts: list[bytes | None], words: int) -> Iterator[np.ndarray]:
         windows = hash_windows(hashed.hashes, words)
         for b, e in zip(hashed.begin.tolist(), hashed.end.tolist(), strict=True):
             if e - b >= words:
-                yield np.unique(windows[b : e - words + 1])
+                s = np.sort(windows[b : e - words + 1])
+                yield s[np.concatenate((_FIRST, s[1:] != s[:-1]))]
             elif e > b:
                 yield mix(hash_windows(hashed.hashes[b:e], e - b) + np.uint64(e - b))
             else:
@@ -73,9 +80,12 @@ def shingle_sets(texts: list[bytes | None], words: int) -> Iterator[np.ndarray]:
 
 
 def key_of(tokens: np.ndarray) -> int:
-    """64-bit digest of a set."""
-    total = np.bitwise_xor.reduce(mix(tokens + SECOND)) ^ mix(np.array([tokens.sum(dtype=np.uint64) + np.uint64(len(tokens))]))[0]
-    return int(total.astype(np.int64))
+    """64-bit digest of a set of hashes: of their sum and their exclusive or, which do not depend on each other's carries."""
+    x = (int(tokens.sum(dtype=np.uint64)) * SPREAD ^ int(np.bitwise_xor.reduce(tokens)) + len(tokens)) & MASK
+    x = (x ^ x >> 31) * SPREAD & MASK
+    x = (x ^ x >> 29) * SPREAD & MASK
+    x ^= x >> 32
+    return x - (1 << 64) if x >> 63 else x
 
 
 def needed(n: int, percent: int) -> int:
@@ -142,24 +152,28 @@ def second_order(tokens: np.ndarray) -> np.ndarray:
     return np.sort(mix(tokens ^ SECOND))
 
 
-def signature(tokens: np.ndarray) -> tuple[bytes, bytes]:
-    """The first fifth of a set under both hash orders, as 32-bit prefixes of the hashes."""
-    q = -(-len(tokens) // 5)
-    return tuple((order[:q] >> np.uint64(32)).astype(np.uint32).tobytes() for order in (tokens, second_order(tokens)))
+def signature(ordered: np.ndarray, q: int) -> np.ndarray:
+    """The first q of a set in an order of its hashes, as their upper 32 bits."""
+    return (ordered[:q] >> np.uint64(32)).astype(np.uint32)
+
+
+def may_link(n_a: int, x: np.ndarray, n_b: int, y: np.ndarray, percent: int) -> bool:
+    """A hash order allows that two sets of these sizes link, given their signatures."""
+    least = -(-percent * (n_a + n_b) // (100 + percent))
+    # Hashes cut to 32 bits may repeat within a prefix; counting them all keeps the bound safe.
+    shared = min(int(np.isin(x, y).sum()), int(np.isin(y, x).sum())) if len(x) and len(y) else 0
+    # Behind the prefix that ends first, everything may be shared.
+    behind = n_a - len(x) if x[-1] < y[-1] else n_b - len(y) if y[-1] < x[-1] else max(n_a - len(x), n_b - len(y))
+    return shared + behind >= least
 
 
-def may_link(a: tuple[int, bytes, bytes], b: tuple[int, bytes, bytes], percent: int) -> bool:
-    """Both hash orders allow that the sets link. a, b: size, signature."""
-    least = -(-percent * (a[0] + b[0]) // (100 + percent))
-    for i in (1, 2):
-        x, y = np.frombuffer(a[i], np.uint32), np.frombuffer(b[i], np.uint32)
-        # Hashes cut to 32 bits may repeat within a prefix; counting them all keeps the bound safe.
-        shared = min(int(np.isin(x, y).sum()), int(np.isin(y, x).sum())) if len(x) and len(y) else 0
-        # Behind the prefix that ends first, everything may be shared.
-        behind = a[0] - len(x) if x[-1] < y[-1] else b[0] - len(y) if y[-1] < x[-1] else max(a[0] - len(x), b[0] - len(y))
-        if shared + behind < least:
-            return False
-    return True
+def links(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Two sets link: by the second order first, then by all they share."""
+    fifths = (signature(second_order(s), -(-len(s) // 5)) for s in (x, y))
+    if not may_link(len(x), next(fifths), len(y), next(fifths), percent):
+        return False
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * both >= percent * (len(x) + len(y) - both)
 
 
 def compare_blocks(one: list[dict], two: list[dict], percent: int) -> list[tuple[int, int]]:
@@ -256,15 +270,20 @@ def jaccard_components(documents: DataFrame, words: int = 4, percent: int = 85)
         sum_ += row["count"]
     ranked = counted.where(F.col("count") >= floor).toPandas()
     ranked = ranked.assign(token=ranked["token"].to_numpy(np.int64).view(np.uint64)).sort_values("token")
-    shared = spark.sparkContext.broadcast((ranked["token"].to_numpy(np.uint64), np.log2(ranked["count"].to_numpy(np.float64) + 0.5).astype(np.uint8)))
+    # Most tokens are ruled out by their last bits.
+    last = np.zeros(int(LAST) + 1, bool)
+    last[(ranked["token"].to_numpy(np.uint64) & LAST).astype(np.int64)] = True
+    shared = spark.sparkContext.broadcast((ranked["token"].to_numpy(np.uint64), np.log2(ranked["count"].to_numpy(np.float64) + 0.5).astype(np.uint8), last))
 
     def ranks(tokens: np.ndarray) -> np.ndarray:
-        frequent, level = shared.value
-        if not len(frequent) or not len(tokens):
-            return np.zeros(len(tokens), np.uint8)
-        ids = ids_of(tokens, parts)
-        at = np.minimum(np.searchsorted(frequent, ids), len(frequent) - 1)
-        return np.where(frequent[at] == ids, level[at], np.uint8(0))
+        frequent, level, last = shared.value
+        out = np.zeros(len(tokens), np.uint8)
+        some = np.flatnonzero(last[(tokens & LAST).astype(np.int64)])
+        if len(some):
+            ids = ids_of(tokens[some], parts)
+            at = np.minimum(np.searchsorted(frequent, ids), len(frequent) - 1)
+            out[some] = np.where(frequent[at] == ids, level[at], np.uint8(0))
+        return out
 
     def enough(n: int, rank: np.ndarray) -> bool:
         """The window holds the whole prefix in rare-first order."""
@@ -283,24 +302,28 @@ def jaccard_components(documents: DataFrame, words: int = 4, percent: int = 85)
         yield pa.record_batch([pa.array(keys, pa.int64())], ["key"])
 
     def post(rows: Iterator[tuple[int, int, np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
-        """Prefixes of (key, n, tokens, their ranks), packed.
+        """Prefixes of (key, n, tokens, their ranks), packed; each key once in a task.
 
         Postings whose token several sets of a portion share are dealt by key, but for one, which
         goes to the token's slice and tells there that the token is shared (``common`` of 128 or more).
         """
 
         def chosen() -> Iterator[tuple[np.ndarray, int, int, int]]:
+            seen = set()
             for key, n, tokens, rank in rows:
-                yield tokens[np.argsort(rank, kind="stable")[: prefix(n, percent)]], key, n, 127 * int(np.count_nonzero(rank)) // len(rank)
+                if key in seen:
+                    continue
+                seen.add(key)
+                common = int(np.count_nonzero(rank))
+                p = prefix(n, percent)
+                yield tokens[np.argsort(rank, kind="stable")[:p]] if common else tokens[:p], key, n, 127 * common // len(rank)
 
         for some in portions(chosen(), lambda x: len(x[0])):
             sizes = [len(x[0]) for x in some]
             ids = ids_of(np.concatenate([x[0] for x in some]), parts)
             key, n, common = (np.repeat(np.array([x[i] for x in some], t), sizes) for i, t in ((1, np.int64), (2, np.int32), (3, np.uint8)))
-            order = np.lexsort((key, ids))
+            order = np.argsort(ids)
             ids, key, n, common = ids[order], key[order], n[order], common[order]
-            own = np.concatenate(([True], (ids[1:] != ids[:-1]) | (key[1:] != key[:-1])))
-            ids, key, n, common = ids[own], key[own], n[own], common[own]
             first = np.concatenate(([True], ids[1:] != ids[:-1]))
             common = common + np.where(first & np.concatenate((~first[1:], [False])), np.uint8(128), np.uint8(0))
             yield from packed(ids[first] >> np.uint64(32), [(ids[first] & LOW).astype(np.uint32), key[first], n[first], common[first]], ["c0", "c1", "c2", "c3", "c4"])
@@ -318,13 +341,20 @@ def jaccard_components(documents: DataFrame, words: int = 4, percent: int = 85)
                 if known.true_count:
                     for row in batch.filter(known).to_pylist():
                         low, key, n, common, part = (np.frombuffer(row[f"c{i}"], t) for i, t in enumerate([*types, np.uint16]))
-                        out.append(rows(part.astype(np.uint64) << np.uint64(32) | low, key, n, common))
+                        by_key.append((part.astype(np.uint64) << np.uint64(32) | low, key, n, common))
                 yield batch.filter(pc.invert(known))
 
         def rows(ids: np.ndarray, key: np.ndarray, n: np.ndarray, common: np.ndarray) -> pa.RecordBatch:
             share = (common & np.uint8(127)).astype(np.float32)
             return pa.record_batch([pa.array(ids.view(np.int64)), pa.array(key), pa.array(n), pa.array(share)], ["token", "key", "n", "common"])
 
+        def once(ids: np.ndarray, key: np.ndarray, *rest: np.ndarray) -> tuple[np.ndarray, ...]:
+            order = np.lexsort((key, ids))
+            ids, key = ids[order], key[order]
+            own = np.concatenate((_FIRST, (ids[1:] != ids[:-1]) | (key[1:] != key[:-1])))
+            return ids[own], key[own], *(r[order][own] for r in rest)
+
+        by_key: list[tuple[np.ndarray, ...]] = []
         out: list[pa.RecordBatch] = []
         for part, (low, key, n, common) in by_slice(told(), types):
             order = np.lexsort((key, low))
@@ -335,7 +365,10 @@ def jaccard_components(documents: DataFrame, words: int = 4, percent: int = 85)
             keep = (key[first] != key[first + size - 1]) | (np.maximum.reduceat(common, first) >= 128)
             keep = np.repeat(keep, size)
             ids = np.uint64(part) << np.uint64(32) | low[keep].astype(np.uint64)
-            out.append(rows(ids, key[keep], n[keep], common[keep]))
+            if len(ids):
+                out.append(rows(*once(ids, key[keep], n[keep], common[keep])))
+        if by_key:
+            out.append(rows(*once(*(np.concatenate(x) for x in zip(*by_key, strict=True)))))
         for batch in out:
             for start in range(0, batch.num_rows, 100_000):
                 yield batch.slice(start, 100_000)
@@ -355,16 +388,26 @@ def jaccard_components(documents: DataFrame, words: int = 4, percent: int = 85)
                 if len(s) and key_of(s) == k:
                     yield k, s
 
-    def sets_of(keys: DataFrame, as_signature: bool) -> DataFrame:
-        """Whole sets or signatures of these keys."""
+    def signatures_of(keys: DataFrame) -> DataFrame:
+        """key, n, x of these keys: their windows as signatures."""
+
+        def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                cut = [signature(w := np.frombuffer(x, np.uint64), len(w)).tobytes() for x in batch["window"].to_pylist()]
+                yield pa.record_batch([batch["key"], batch["n"], pa.array(cut, pa.binary())], ["key", "n", "x"])
+
+        near = F.broadcast(keys) if keys.count() <= BROADCAST_IDS else keys
+        return written(held.join(near, "key", "left_semi").mapInArrow(build, "key long, n long, x binary").dropDuplicates(["key"]), "signatures")
+
+    def sets_of(keys: DataFrame) -> DataFrame:
+        """key, n, x of these keys: their whole sets."""
 
         def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for some in portions(whole_sets(batches), lambda x: len(x[1])):
-                pairs = [signature(s) if as_signature else (s.tobytes(), b"") for _, s in some]
-                columns = [pa.array([k for k, _ in some], pa.int64()), pa.array([len(s) for _, s in some], pa.int64())]
-                yield pa.record_batch([*columns, *(pa.array([p[i] for p in pairs], pa.binary()) for i in (0, 1))], ["key", "n", "s1", "s2"])
+                columns = [pa.array([k for k, _ in some], pa.int64()), pa.array([len(s) for _, s in some], pa.int64()), pa.array([s.tobytes() for _, s in some], pa.binary())]
+                yield pa.record_batch(columns, ["key", "n", "x"])
 
-        return written(texts_of(keys).mapInArrow(build, "key long, n long, s1 binary, s2 binary").dropDuplicates(["key"]), "sets")
+        return written(texts_of(keys).mapInArrow(build, "key long, n long, x binary").dropDuplicates(["key"]), "sets")
 
     def post_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return post(x for x in windows_of(batches) if enough(x[1], x[3]))
@@ -379,23 +422,22 @@ def jaccard_components(documents: DataFrame, words: int = 4, percent: int = 85)
         if not short.isEmpty():
             posted = posted.union(texts_of(short).mapInArrow(post_texts, entry))
     met = posted.repartitionById(parts, F.col("part")).mapInArrow(meet, "token long, key long, n int, common float")
-    # Copies of a set in several map tasks may have gone by token and by key.
-    lists = written(met.distinct(), "lists")
+    # A set whose copies went by token in one task and by key in another may be twice in a list, which does no harm.
+    lists = written(met, "lists")
 
-    def passing(pairs: DataFrame, as_signature: bool) -> DataFrame:
-        """The pairs (a, b) that pass the hash-order filters, or that link."""
-        sets = sets_of(pairs.select(F.col("a").alias("key")).union(pairs.select(F.col("b").alias("key"))).distinct(), as_signature)
-        one, two = (sets.select(F.col("key").alias(k), *(F.col(c).alias(f"{c}_{k}") for c in ("n", "s1", "s2"))) for k in "ab")
+    def passing(pairs: DataFrame, whole: bool) -> DataFrame:
+        """The pairs (a, b) whose windows allow a link, or that link."""
+        keys = pairs.select(F.col("a").alias("key")).union(pairs.select(F.col("b").alias("key"))).distinct()
+        sets = sets_of(keys) if whole else signatures_of(written(keys, "keys"))
+        one, two = (sets.select(F.col("key").alias(k), F.col("n").alias(f"n_{k}"), F.col("x").alias(f"x_{k}")) for k in "ab")
 
         def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                keep = []
-                for n_a, x1, x2, n_b, y1, y2 in zip(*(batch[c].to_pylist() for c in ("n_a", "s1_a", "s2_a", "n_b", "s1_b", "s2_b")), strict=True):
-                    if as_signature:
-                        keep.append(may_link((n_a, x1, x2), (n_b, y1, y2), percent))
-                    else:
-                        both = len(np.intersect1d(np.frombuffer(x1, np.uint64), np.frombuffer(y1, np.uint64), assume_unique=True))
-                        keep.append(100 * both >= percent * (n_a + n_b - both))
+                rows = zip(*(batch[c].to_pylist() for c in ("n_a", "x_a", "n_b", "x_b")), strict=True)
+                if whole:
+                    keep = [links(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent) for _, x, _, y in rows]
+                else:
+                    keep = [may_link(n_a, np.frombuffer(x, np.uint32), n_b, np.frombuffer(y, np.uint32), percent) for n_a, x, n_b, y in rows]
                 yield pa.record_batch([batch["a"], batch["b"]], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
         return written(pairs.join(one, "a").join(two, "b").mapInArrow(test, "a long, b long"), "pairs")
@@ -415,7 +457,7 @@ def jaccard_components(documents: DataFrame, words: int = 4, percent: int = 85)
         one = one.join(near, "home")
         block = F.xxhash64("home", F.pmod(F.xxhash64("key"), F.col("near")))
         one = written(one.select("key", "comp", block.alias("block")), "members")
-        sets = sets_of(one.select("key"), False).select("key", "s1").join(one, "key")
+        sets = sets_of(one.select("key")).select("key", F.col("x").alias("s1")).join(one, "key")
         packed = sets.groupBy("block").agg(F.collect_list(F.struct("key", "comp", "s1")).alias("sets"), F.min("comp").alias("low"), F.max("comp").alias("high"))
         packed = written(packed, "blocks")
         held = rest.join(one.select("key", "block"), "key").select("token", "block").distinct()
@@ -442,8 +484,8 @@ def jaccard_components(documents: DataFrame, words: int = 4, percent: int = 85)
     centres = written(centres.select("token", F.col("key").alias("c"), F.col("n").alias("n_c")), "centres")
     close = (F.least("n", "n_c") * 100 >= F.greatest("n", "n_c") * percent) & (F.col("key") != F.col("c"))
     pairs = lists.join(centres, "token").where(close).select(F.least("key", "c").alias("a"), F.greatest("key", "c").alias("b")).distinct()
-    links = passing(passing(written(pairs, "candidates"), True), False)
-    comps = components(links)
+    linked = passing(passing(written(pairs, "candidates"), False), True)
+    comps = components(linked)
 
     # Then the rest of the lists that are not in one component yet.
     members = lists.join(sizes.where(F.col("g") > SMALL), "token").join(comps.withColumnRenamed("node", "key"), "key", "left")
@@ -451,8 +493,8 @@ def jaccard_components(documents: DataFrame, words: int = 4, percent: int = 85)
     still = written(members.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("token"), "still")
     rest = written(members.join(still, "token"), "open")
     if not rest.isEmpty():
-        links = written(links.union(linked_blocks(rest)), "linked")
-        comps = components(links)
+        linked = written(linked.union(linked_blocks(rest)), "linked")
+        comps = components(linked)
 
     placed = named.where("key IS NOT NULL").join(comps.withColumnRenamed("node", "key"), "key", "left").withColumn("comp", F.coalesce("comp", "key"))
     # A table of its own: so the join with a hot component can be split.

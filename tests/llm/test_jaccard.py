@@ -4,7 +4,7 @@ import random
 
 import numpy as np
 
-from tallyspark.llm.jaccard import by_slice, ids_of, jaccard_components, may_link, packed, second_order, shingle_sets, signature, slice_of
+from tallyspark.llm.jaccard import by_slice, ids_of, jaccard_components, links, may_link, packed, prefix, second_order, shingle_sets, signature, slice_of
 from tests.llm.brute import frame, jaccard
 
 
@@ -62,5 +62,9 @@ def test_filters_keep_every_link():
         a, b = (next(shingle_sets([near(r, base, r.randrange(0, 3)).encode()], 4)) for _ in range(2))
         both = len(np.intersect1d(a, b))
         if 100 * both >= 85 * (len(a) + len(b) - both):
-            assert may_link((len(a), *signature(a)), (len(b), *signature(b)), 85)
+            for q, one, two in ((prefix, a, b), (lambda n, _: -(-n // 10), second_order(a), second_order(b))):
+                assert may_link(len(a), signature(one, 2 * q(len(a), 85)), len(b), signature(two, 2 * q(len(b), 85)), 85)
+            assert links(a, b, 85)
+        else:
+            assert not links(a, b, 85)
     assert len(second_order(a)) == len(a)
