@@ -24,6 +24,10 @@ A document is the set of its distinct 4-word shingles; two link when
    plus all that lies behind them bounds the intersection.
 4. Pairs that pass both filters are verified on whole sets.
 
+Neither texts nor windows cross a shuffle: where some of them are wanted, the
+tasks that read them pick these by a bitmap of hashed ids (``member_bits``). What it
+lets through beside them is not in any pair, so it changes no result.
+
 Nulls and edge cases: a null or blank text is an empty set and links with
 nothing; a text of fewer words is one shingle. Words are
 ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased. Repeated rows are exact copies.
@@ -46,18 +50,19 @@ from pyspark.sql import types as T
 
 from tallyspark.llm.components import components
 from tallyspark.llm.hashing import LOWER, binaries, groups, hash_windows, hash_words, mix, slices
-from tallyspark.llm.shared import written
+from tallyspark.llm.shared import may_hold, member_bits, written
 
 SMALL = 16  #: lists up to this long are compared whole
 BLOCK, BLOCK_TOKENS = 64, 32_768  #: sets of longer lists that are compared at a time, and their tokens
-RANKED = 1 << 18  #: entries of the table of frequent tokens, at most
+#: Entries of the table of frequent tokens, at most (9 bytes each in every worker). Where it is too small, common tokens count
+#: as rare, stand in prefixes, and their long lists are compared in blocks: the cost of a cut table is far above that of its bytes.
+RANKED = 1 << 22
 FREQUENT = 8  #: sets that must hold a token before it counts as frequent
-BROADCAST_IDS = 1 << 20  #: ids or keys that are broadcast at most; beyond, texts or windows are shuffled
 SLICE_TOKENS = 1 << 23  #: tokens of all sets for each slice of the packed shuffles; a fifth of them or so are posted
 PORTION = 1 << 20  #: tokens that a map task packs at a time
 SECOND = np.uint64(0x5851F42D4C957F2D)
 LOW = np.uint64(0xFFFFFFFF)
-LAST = np.uint64((1 << 22) - 1)
+LAST_BITS = (22, 25)  #: last bits of a token by which most are told not to be frequent, at least and at most
 SPREAD, MASK = 0xD1342543DE82EF95, (1 << 64) - 1
 
 
@@ -268,17 +273,19 @@ def jaccard_components(documents: DataFrame, words: int = 4, percent: int = 85)
             floor = max(floor, 2 ** (row["level"] + 1))
             break
         sum_ += row["count"]
-    ranked = counted.where(F.col("count") >= floor).toPandas()
-    ranked = ranked.assign(token=ranked["token"].to_numpy(np.int64).view(np.uint64)).sort_values("token")
+    ranked = counted.where(F.col("count") >= floor).toArrow()
+    tokens, counts = (ranked[c].to_numpy() for c in ("token", "count"))
+    order = np.argsort(tokens.view(np.uint64))
+    tokens, levels = tokens.view(np.uint64)[order], np.log2(counts[order] + 0.5).astype(np.uint8)
     # Most tokens are ruled out by their last bits.
-    last = np.zeros(int(LAST) + 1, bool)
-    last[(ranked["token"].to_numpy(np.uint64) & LAST).astype(np.int64)] = True
-    shared = spark.sparkContext.broadcast((ranked["token"].to_numpy(np.uint64), np.log2(ranked["count"].to_numpy(np.float64) + 0.5).astype(np.uint8), last))
+    last = np.zeros(1 << min(LAST_BITS[1], max(LAST_BITS[0], (16 * len(tokens)).bit_length())), bool)
+    last[(tokens & np.uint64(len(last) - 1)).astype(np.int64)] = True
+    shared = spark.sparkContext.broadcast((tokens, levels, last))
 
     def ranks(tokens: np.ndarray) -> np.ndarray:
         frequent, level, last = shared.value
         out = np.zeros(len(tokens), np.uint8)
-        some = np.flatnonzero(last[(tokens & LAST).astype(np.int64)])
+        some = np.flatnonzero(last[(tokens & np.uint64(len(last) - 1)).astype(np.int64)])
         if len(some):
             ids = ids_of(tokens[some], parts)
             at = np.minimum(np.searchsorted(frequent, ids), len(frequent) - 1)
@@ -375,60 +382,62 @@ def jaccard_components(documents: DataFrame, words: int = 4, percent: int = 85)
 
     one_of = named.where("key IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("doc_id"))
 
-    def texts_of(keys: DataFrame) -> DataFrame:
-        """key, text of one document of each of these keys; a doc_id that is repeated brings its other texts too."""
-        chosen = written(one_of.join(keys, "key", "left_semi").select("doc_id", "key"), "chosen")
-        near = F.broadcast(chosen) if chosen.count() <= BROADCAST_IDS else chosen
-        return docs.join(near, "doc_id").select("key", "text")
+    def sets_among(keys: DataFrame) -> tuple[DataFrame, Callable[[Iterator[pa.RecordBatch]], Iterator[tuple[int, np.ndarray]]]]:
+        """The texts, and what tells key and set of one text of each of these keys, and of a few others."""
+        ids = one_of.join(keys, "key", "left_semi").select(F.xxhash64("doc_id").alias("h"))
+        ids, bits = member_bits(written(ids, "chosen"), "h"), member_bits(keys, "key")
 
-    def whole_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray]]:
-        """Key and set of each text; texts of another key are left out."""
-        for batch in slices(batches):
-            for s, k in zip(shingle_sets(binaries(batch["text"]), words), batch["key"].to_pylist(), strict=True):
-                if len(s) and key_of(s) == k:
-                    yield k, s
+        def whole_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray]]:
+            for batch in batches:
+                some = batch.filter(pa.array(may_hold(ids.value, batch["h"].to_numpy(zero_copy_only=False))))
+                for part in slices(iter([some])):
+                    sets = [s for s in shingle_sets(binaries(part["text"]), words) if len(s)]
+                    found = np.array([key_of(s) for s in sets], np.int64)
+                    yield from ((k, s) for k, s, held in zip(found.tolist(), sets, may_hold(bits.value, found), strict=True) if held)
+
+        return docs.where("doc_id IS NOT NULL").select("text", F.xxhash64("doc_id").alias("h")), whole_sets
 
     def signatures_of(keys: DataFrame) -> DataFrame:
-        """key, n, x of these keys: their windows as signatures."""
+        """key, n, x of these keys, and of a few others: their windows as signatures."""
+        bits = member_bits(keys, "key")
 
         def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
+                batch = batch.filter(pa.array(may_hold(bits.value, batch["key"].to_numpy())))
                 cut = [signature(w := np.frombuffer(x, np.uint64), len(w)).tobytes() for x in batch["window"].to_pylist()]
                 yield pa.record_batch([batch["key"], batch["n"], pa.array(cut, pa.binary())], ["key", "n", "x"])
 
-        near = F.broadcast(keys) if keys.count() <= BROADCAST_IDS else keys
-        return written(held.join(near, "key", "left_semi").mapInArrow(build, "key long, n long, x binary").dropDuplicates(["key"]), "signatures")
+        return written(held.mapInArrow(build, "key long, n long, x binary").dropDuplicates(["key"]), "signatures")
 
     def sets_of(keys: DataFrame) -> DataFrame:
-        """key, n, x of these keys: their whole sets."""
+        """key, n, x of these keys, and of a few others: their whole sets."""
+        texts, whole_sets = sets_among(keys)
 
         def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for some in portions(whole_sets(batches), lambda x: len(x[1])):
                 columns = [pa.array([k for k, _ in some], pa.int64()), pa.array([len(s) for _, s in some], pa.int64()), pa.array([s.tobytes() for _, s in some], pa.binary())]
                 yield pa.record_batch(columns, ["key", "n", "x"])
 
-        return written(texts_of(keys).mapInArrow(build, "key long, n long, x binary").dropDuplicates(["key"]), "sets")
+        return written(texts.mapInArrow(build, "key long, n long, x binary").dropDuplicates(["key"]), "sets")
 
     def post_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return post(x for x in windows_of(batches) if enough(x[1], x[3]))
 
-    def post_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return post((k, len(s), s, ranks(s)) for k, s in whole_sets(batches))
-
     entry = "part int, c0 binary, c1 binary, c2 binary, c3 binary, c4 binary"
     posted = held.mapInArrow(post_windows, entry)
-    if len(ranked):
+    if ranked.num_rows:
         short = written(held.mapInArrow(short_of, "key long").distinct(), "short")
         if not short.isEmpty():
-            posted = posted.union(texts_of(short).mapInArrow(post_texts, entry))
+            texts, whole_sets = sets_among(short)
+            posted = posted.union(texts.mapInArrow(lambda batches: post((k, len(s), s, ranks(s)) for k, s in whole_sets(batches)), entry))
     met = posted.repartitionById(parts, F.col("part")).mapInArrow(meet, "token long, key long, n int, common float")
     # A set whose copies went by token in one task and by key in another may be twice in a list, which does no harm.
     lists = written(met, "lists")
 
     def passing(pairs: DataFrame, whole: bool) -> DataFrame:
         """The pairs (a, b) whose windows allow a link, or that link."""
-        keys = pairs.select(F.col("a").alias("key")).union(pairs.select(F.col("b").alias("key"))).distinct()
-        sets = sets_of(keys) if whole else signatures_of(written(keys, "keys"))
+        keys = written(pairs.select(F.col("a").alias("key")).union(pairs.select(F.col("b").alias("key"))).distinct(), "keys")
+        sets = sets_of(keys) if whole else signatures_of(keys)
         one, two = (sets.select(F.col("key").alias(k), F.col("n").alias(f"n_{k}"), F.col("x").alias(f"x_{k}")) for k in "ab")
 
         def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -10,6 +12,8 @@ from tallyspark.session import scratch_folder
 #: Spark's setting that a query's shuffle files are removed when it ends.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
+MOST_BITS = 1 << 28  #: bits of a bitmap of ids, at most; with more than a sixteenth of that in ids, more others pass
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -49,3 +53,25 @@ def bounded_sample(df: DataFrame, key: str, by: list[str], rows: int) -> DataFra
     """
     order = Window.partitionBy(*by).orderBy(F.xxhash64(key), key)
     return df.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= rows).drop("_rank")
+
+
+def member_bits(ids: DataFrame, column: str) -> Broadcast[np.ndarray]:
+    """A bitmap of hashed ids, 16 bits each, in which every id has two, at its lower and its upper half."""
+    spark = ids.sparkSession
+    bits = min(MOST_BITS, max(1 << 15, 1 << (16 * ids.count() - 1).bit_length()))
+    places = F.array(*[F.shiftrightunsigned(column, half).bitwiseAND(F.lit(bits - 1)) for half in (0, 32)])
+    places = ids.select(F.explode(places).alias("at"))
+    maps = places.groupBy(F.shiftright("at", 15).alias("part")).agg(F.bitmap_construct_agg(F.col("at").bitwiseAND(F.lit((1 << 15) - 1))).alias("bits"))
+    out = np.zeros((bits >> 15, 1 << 12), np.uint8)
+    for row in maps.collect():
+        out[row["part"]] = np.frombuffer(row["bits"], np.uint8)
+    return spark.sparkContext.broadcast(out.reshape(-1))
+
+
+def may_hold(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Whether each hash is in the bitmap; about one in 70 of the others is too."""
+    out = np.ones(len(hashes), bool)
+    for half in (0, 32):
+        at = hashes.view(np.uint64) >> np.uint64(half) & np.uint64(len(bits) * 8 - 1)
+        out &= (bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+    return out
