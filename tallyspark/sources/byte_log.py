@@ -22,7 +22,7 @@ from __future__ import annotations
 import hashlib
 import os
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import pyarrow as pa
@@ -41,7 +41,7 @@ cloudpickle.register_pickle_by_value(tallyspark)
 
 SPLIT_BYTES = 64 << 20  #: a range of a larger file is cut into such pieces
 BLOCK_BYTES = 32 << 20  #: lines that start in one such stretch are one block
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES, CHUNK_ROWS = 4 << 20, 10_000
 LOOK_BACK = 64 << 10
 TAIL_BYTES = 256  #: bytes before the resume point that must not have changed
 
@@ -150,7 +150,8 @@ def discover(spark: SparkSession, root: str, homes: list[str] | None = None) ->
     walk = homes is None
     levels = []
     while True:
-        spread = frontier.repartition("path") if levels else frontier
+        # By number: adaptive execution would put so few bytes in one task, which then lists every folder.
+        spread = frontier.repartition(spark.sparkContext.defaultParallelism, "path") if levels else frontier
         level = settle(spread.mapInArrow(lambda b: _list_level(b, walk), FOUND))
         if not levels and walk and (lost := level.where("kind = 'failed'").first()) is not None:
             raise OSError(f"cannot list {lost['path']}: {lost['reason']}")
@@ -235,16 +236,28 @@ def is_wanted(text: bytes) -> bool:
 
 
 def _read_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for given in batches:
-        for row in given.to_pylist():
-            yield from read_range(row["path"], row["from_byte"], row["to_byte"])
+    return read_ranges((row["path"], row["from_byte"], row["to_byte"]) for given in batches for row in given.to_pylist())
+
+
+def read_ranges(ranges: Iterable[tuple[str, int, int]]) -> Iterator[pa.RecordBatch]:
+    """Rows of many small ranges share a batch; a batch has about ``CHUNK_BYTES`` of text."""
+    rows: list[tuple] = []
+    size = 0
+    for path, begin, end in ranges:
+        for found in read_range(path, begin, end):
+            rows.append(found)
+            size += len(found[2] or b"")
+            if size > CHUNK_BYTES or len(rows) == CHUNK_ROWS:
+                yield _row_batch(rows)
+                rows, size = [], 0
+    if rows:
+        yield _row_batch(rows)
 
 
-def read_range(path: str, begin: int, end: int) -> Iterator[pa.RecordBatch]:
+def read_range(path: str, begin: int, end: int) -> Iterator[tuple]:
     """Rows of ``READ``: the wanted lines, and one row about the range itself."""
-    lines = size = 0
+    lines = 0
     tail = error = None
-    rows: list[tuple[int, bytes]] = []
     try:
         store, place = opened(path)
         with store.open_input_file(place) as file:
@@ -252,27 +265,16 @@ def read_range(path: str, begin: int, end: int) -> Iterator[pa.RecordBatch]:
             for start, text in lines_of(file, begin, end):
                 lines += 1
                 if is_wanted(text):
-                    rows.append((start, text))
-                    size += len(text)
-                    if size > CHUNK_BYTES:
-                        yield _line_batch(path, rows)
-                        rows, size = [], 0
+                    yield path, start, text, None, None, None, None, None
             tail = tail_digest(file, end)
     except (OSError, pa.ArrowException) as problem:
         error = type(problem).__name__
-    if rows:
-        yield _line_batch(path, rows)
-    status = [path, None, None, end, lines, max(0, end - begin), tail, error]
-    types = [pa.string(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-    yield pa.record_batch([pa.array([v], t) for v, t in zip(status, types, strict=True)], READ_NAMES)
+    yield path, None, None, end, lines, max(0, end - begin), tail, error
 
 
-def _line_batch(path: str, rows: list[tuple[int, bytes]]) -> pa.RecordBatch:
-    n = len(rows)
-    nothing = [pa.nulls(n, t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())]
-    return pa.record_batch(
-        [pa.array([path] * n), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary()), *nothing], READ_NAMES
-    )
+def _row_batch(rows: list[tuple]) -> pa.RecordBatch:
+    types = [pa.string(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+    return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], READ_NAMES)
 
 
 def split_ranges(ranges: DataFrame, split_bytes: int = SPLIT_BYTES) -> DataFrame:
@@ -310,7 +312,8 @@ def _probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def probe_tails(places: DataFrame) -> DataFrame:
     """``path, same_tail``: whether a file still ends a stored read where it did (``path, consumed, tail``)."""
-    return places.select("path", "consumed", "tail").repartition("path").mapInArrow(_probe, "path string, same_tail boolean")
+    tasks = places.sparkSession.sparkContext.defaultParallelism
+    return places.select("path", "consumed", "tail").repartition(tasks, "path").mapInArrow(_probe, "path string, same_tail boolean")
 
 
 # --- writing -----------------------------------------------------------------

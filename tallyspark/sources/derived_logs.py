@@ -7,7 +7,10 @@ archive, deleted and added, so that a resumed scan has all of it to follow.
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+from itertools import groupby
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,12 +55,8 @@ def write_stage(lines: DataFrame, root: str, stage: int) -> None:
     """Write the tree as of a stage, 1 or 2. Every file is written whole, so a task may run again."""
     top = canonical(root)
 
-    def put(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["ts_nanos", "line_no"])
-        rule, user = pdf["rule"].iloc[0], int(pdf["user_id"].iloc[0])
-        home, folder, name = key
+    def put(home: str, folder: str, name: str, rule: str, user: int, values: list[str], early: list[bool]) -> str:
         path = f"{top}/{home}/sessions/{folder}/{name}"
-        values, early = pdf["value"].tolist(), pdf["early"].tolist()
         first = [v for v, e in zip(values, early, strict=True) if e]
         text = None
         if stage == 1:
@@ -77,6 +76,21 @@ def write_stage(lines: DataFrame, root: str, stage: int) -> None:
                 store.delete_file(place)
         if text is not None:
             write_text(path, text.encode())
-        return pd.DataFrame({"path": [path]})
+        return path
+
+    def put_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Files one after the other: the rows of one are in a row."""
+        rows = (row for batch in batches for row in zip(*(batch[c].to_pylist() for c in columns), strict=True))
+        paths = []
+        for key, group in groupby(rows, lambda row: row[:5]):
+            values, early = zip(*(row[5:] for row in group), strict=True)
+            paths.append(put(*key, list(values), list(early)))
+            if len(paths) == 10_000:
+                yield pa.record_batch([pa.array(paths)], ["path"])
+                paths = []
+        yield pa.record_batch([pa.array(paths, pa.string())], ["path"])
 
-    lines.groupBy("home_name", "folder", "name").applyInPandas(put, "path string").write.format("noop").mode("overwrite").save()
+    file = ["home_name", "folder", "name"]
+    columns = [*file, "rule", "user_id", "value", "early"]
+    dealt = lines.repartition(*file).sortWithinPartitions(*file, "ts_nanos", "line_no").select(*columns)
+    dealt.mapInArrow(put_files, "path string").write.format("noop").mode("overwrite").save()

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 
-from tallyspark.sources.byte_log import SPLIT_BYTES, block_of, canonical, list_folder, read_range
+from tallyspark.sources.byte_log import SPLIT_BYTES, block_of, canonical, list_folder, read_ranges
 from tallyspark.sources.session_logs import LOG_FOLDERS, LOG_PATH, parse_text
 
 SCHEMA = "path string, epoch int, start bigint, value binary"
@@ -78,7 +78,7 @@ class LogBytesStream(DataSourceStreamReader):
         return out
 
     def read(self, partition: ByteRange) -> Iterator[pa.RecordBatch]:
-        for batch in read_range(partition.path, partition.begin, partition.end):
+        for batch in read_ranges([(partition.path, partition.begin, partition.end)]):
             lines = batch.filter(pa.compute.is_valid(batch["start"]))
             epoch = pa.array([partition.epoch] * lines.num_rows, pa.int32())
             yield pa.record_batch([lines["path"], epoch, lines["start"], lines["value"]], ["path", "epoch", "start", "value"])

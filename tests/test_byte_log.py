@@ -131,3 +131,18 @@ def test_places():
     assert is_reachable("/tmp") and not is_reachable("viewfs://c/x")
     assert byte_log.opened("file:///a/b")[1] == "/a/b"
     assert isinstance(byte_log.opened("file:///a")[0], pa.fs.LocalFileSystem)
+
+
+def test_small_files_share_batches(tmp_path):
+    import pyarrow as pa
+
+    from tallyspark.sources.byte_log import CHUNK_ROWS, RANGES, _read_batches, canonical, write_text
+
+    paths = [canonical(str(tmp_path / f"{i}.jsonl")) for i in range(500)]
+    for i, path in enumerate(paths):
+        write_text(path, b"".join(b'{"timestamp":"x","type":"event_msg","payload":{"type":"token_count","n":%d}}\n' % (i * 3 + j) for j in range(3)))
+    given = pa.record_batch([pa.array(paths), pa.array([0] * 500), pa.array([1 << 20] * 500)], [f.split()[0] for f in RANGES.split(", ")])
+    found = list(_read_batches(iter([given])))
+    assert len(found) == 1 < CHUNK_ROWS and found[0].num_rows == 2_000
+    rows = found[0].to_pylist()
+    assert [r["path"] for r in rows if r["value"] is None] == paths and {r["range_lines"] for r in rows if r["value"] is None} == {3}
