@@ -10,8 +10,8 @@ Components become integers ``floor(256 x)``; a score is an integer inner product
   bit is set; sums over the groups, shifted by b and added over the planes (the
   top plane counts negative), are the full exact scores of the block.
 
-Every anchor meets every block: chunks of anchors are sent to all blocks, and
-one (block, chunk) is one task's work. A first pass finds the anchor's nearest
+Every anchor meets every block: blocks and chunks of anchors are tables of their
+own, and their product is one row for each (block, chunk), never copied for a shuffle. A first pass finds the anchor's nearest
 rows of the same label, a second one the best rows of other labels within each
 positive's band. Each block reports a few rows for each anchor, and windows
 over these reports keep the best. No pair outlives its block.
@@ -125,12 +125,17 @@ def pack_chunk(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"d": [key[0]], "ids": [ids], "labels": [labels], "vectors": [matrix(pdf["values"], int(key[0])).tobytes()], "highs": [highs.tobytes()], "lows": [lows.tobytes()], "places": [places.tobytes()]})
 
 
-def tiles(blocks: DataFrame, anchors: DataFrame, n_blocks: int) -> DataFrame:
-    """One row for each (block, chunk of anchors); anchors: vec_id, label, d, values, bands."""
+def tiles(blocks: DataFrame, anchors: DataFrame) -> DataFrame:
+    """One row for each (block, chunk of anchors) of one length; anchors: vec_id, label, d, values, bands.
+
+    A product of two written tables. Were the chunks repeated for every block and joined by key,
+    Spark would take them for as small as one of each and broadcast all the repeats.
+    """
     chunks = max(1, -(-anchors.count() // CHUNK))
     dealt = anchors.groupBy("d", F.pmod(F.xxhash64("vec_id"), F.lit(chunks)).alias("chunk")).applyInPandas(pack_chunk, CHUNKS)
-    everywhere = dealt.select("d", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("part"), F.col("ids").alias("anchor_ids"), F.col("labels").alias("anchor_labels"), "vectors", "highs", "lows", "places")
-    return blocks.join(everywhere, ["d", "part"])
+    dealt = dealt.select(F.col("d").alias("anchor_d"), F.col("ids").alias("anchor_ids"), F.col("labels").alias("anchor_labels"), "vectors", "highs", "lows", "places")
+    # Not as an equality of columns: that would deal all blocks of one length to one task.
+    return blocks.crossJoin(written(dealt, "chunks")).where("d - anchor_d = 0").drop("anchor_d")
 
 
 def unpacked(tile: dict) -> Iterator[tuple]:
@@ -153,7 +158,7 @@ def reported(found: list[tuple], names: list[str]) -> pa.RecordBatch:
     return pa.record_batch([pa.array(c.astype(np.int64)) for c in columns], names)
 
 
-def nearest_of_label(blocks: DataFrame, anchors: DataFrame, n_blocks: int, positives: int) -> DataFrame:
+def nearest_of_label(blocks: DataFrame, anchors: DataFrame, positives: int) -> DataFrame:
     """anchor_id, place (from 1), positive_id, positive_score."""
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,13 +170,13 @@ def nearest_of_label(blocks: DataFrame, anchors: DataFrame, n_blocks: int, posit
                 found.append((np.full(len(at), anchor), ids[at], score[at]))
             yield reported(found, ["anchor_id", "positive_id", "positive_score"])
 
-    found = tiles(blocks, anchors.withColumn("bands", F.array().cast("array<struct<place:long,high:long,low:long>>")), n_blocks)
+    found = tiles(blocks, anchors.withColumn("bands", F.array().cast("array<struct<place:long,high:long,low:long>>")))
     found = found.mapInArrow(search, "anchor_id long, positive_id long, positive_score long")
     order = Window.partitionBy("anchor_id").orderBy(F.desc("positive_score"), "positive_id")
     return found.withColumn("place", F.row_number().over(order)).where(F.col("place") <= positives)
 
 
-def best_of_bands(blocks: DataFrame, anchors: DataFrame, n_blocks: int, negatives: int) -> DataFrame:
+def best_of_bands(blocks: DataFrame, anchors: DataFrame, negatives: int) -> DataFrame:
     """anchor_id, place, rank, negative_id, negative_score; anchors with their bands."""
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,7 +193,7 @@ def best_of_bands(blocks: DataFrame, anchors: DataFrame, n_blocks: int, negative
                         found.append((np.full(len(at), anchor), np.full(len(at), place), ids[at], score[at]))
             yield reported(found, ["anchor_id", "place", "negative_id", "negative_score"])
 
-    found = tiles(blocks, anchors, n_blocks).mapInArrow(search, "anchor_id long, place long, negative_id long, negative_score long")
+    found = tiles(blocks, anchors).mapInArrow(search, "anchor_id long, place long, negative_id long, negative_score long")
     order = Window.partitionBy("anchor_id", "place").orderBy(F.desc("negative_score"), "negative_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= negatives)
 
@@ -203,14 +208,16 @@ def mine_negatives(rows: DataFrame, is_anchor: Column, positives: int = 5, negat
     kept = written(scaled_rows(rows).withColumn("deal", F.monotonically_increasing_id()), "vectors")
     n_blocks = max(1, -(-kept.count() // BLOCK))
     part = F.pmod(F.xxhash64("deal"), F.lit(n_blocks)).cast("int").alias("part")
-    blocks = written(kept.groupBy("d", part).applyInPandas(pack_block, BLOCKS), "blocks")
+    # By number: a file holds a block or a few, and the products are spread over the files.
+    dealt = kept.withColumn("part", part).repartition(n_blocks, "d", "part")
+    blocks = written(dealt.groupBy("d", "part").applyInPandas(pack_block, BLOCKS), "blocks")
     anchors = kept.where(is_anchor).groupBy("vec_id").agg(F.min(F.struct("label", "d", "values")).alias("r")).select("vec_id", "r.*")
     anchors = written(anchors, "anchors")
-    near = written(nearest_of_label(blocks, anchors, n_blocks, positives), "positives")
+    near = written(nearest_of_label(blocks, anchors, positives), "positives")
     # Whole numbers: 100 n <= high p and low p <= 100 n. A negative positive score leaves no room.
     share = lambda percent: F.col("positive_score").cast("decimal(38,0)") * percent / 100
     band = F.struct(F.col("place").cast("long").alias("place"), F.floor(share(high)).cast("long").alias("high"), F.ceil(share(low)).cast("long").alias("low"))
     bands = near.groupBy(F.col("anchor_id").alias("vec_id")).agg(F.collect_list(band).alias("bands"))
-    found = best_of_bands(blocks, anchors.join(bands, "vec_id"), n_blocks, negatives)
+    found = best_of_bands(blocks, anchors.join(bands, "vec_id"), negatives)
     joined = found.join(near.withColumn("place", F.col("place").cast("long")), ["anchor_id", "place"])
     return joined.select("anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score")

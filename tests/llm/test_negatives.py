@@ -65,3 +65,25 @@ def test_unsound_rows_signs_and_few_rows(spark):
     assert got == brute(rows, lambda i: True) and {0, 15} <= {g[0] for g in got} and 13 not in {g[0] for g in got}
     assert mine_negatives(frame(spark, rows).limit(0), F.lit(True)).count() == 0
     assert mine_negatives(frame(spark, [(0, 1, [1.0])]), F.lit(True)).count() == 0
+
+
+def test_chunks_are_not_repeated_for_each_block(spark, monkeypatch):
+    """What a driver or a shuffle holds of the anchors does not grow with the blocks."""
+    monkeypatch.setattr(negatives, "BLOCK", 20)
+    monkeypatch.setattr(negatives, "CHUNK", 4)
+    made, product = [], negatives.tiles
+
+    def keep(*given):
+        made.append(product(*given))
+        return made[-1]
+
+    monkeypatch.setattr(negatives, "tiles", keep)
+    r = np.random.default_rng(7)
+    rows = [(i, int(r.integers(3)), (v / 3).tolist()) for i, v in enumerate(r.standard_normal((200, 8)))]
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert result(mine_negatives(frame(spark, rows), F.col("vec_id") % 20 == 0)) == brute(rows, lambda i: i % 20 == 0)
+        plans = [t._jdf.queryExecution().executedPlan().toString() for t in made]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert len(plans) == 2 and all("CartesianProduct" in p and "Generate" not in p for p in plans)
