@@ -24,6 +24,7 @@ from tallyspark.fixed_values import (
     UNPRICED_SECTIONS,
 )
 from tallyspark.operators.pricing import PRICES
+from tallyspark.session import settle
 
 SNAPSHOT_VERSION = 1
 SHEET_TIERS = ("standard", "fast", "ultrafast")
@@ -114,8 +115,8 @@ def _table_rows(lines: DataFrame) -> DataFrame:
 def parse_price_sheets(sheets: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Returns ``(prices with sheet_id, faults)``; a sheet with any fault has
     no prices. ``faults`` lists ``sheet_id, fault`` and is the reject table."""
-    lines = _marked_lines(sheets)
-    rows = _table_rows(lines)
+    # Every check below reads the table rows; the sheets are taken apart and scanned once.
+    rows = settle(_table_rows(_marked_lines(sheets)))
     special = F.col("section") == "specialized"
     header, cells = F.col("header"), F.col("cells")
 
@@ -136,7 +137,7 @@ def parse_price_sheets(sheets: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.coalesce(F.bool_or(F.when(F.col("at") == 2, separator)), F.lit(True)).alias("_bad")
     )
     body = rows.where("at > 2").withColumn("ragged", ragged)
-    entries = _entries(body)
+    entries = settle(_entries(body))
     conflicts = (
         entries.where("fault is null")
         .groupBy("sheet_id", "model", "tier")
@@ -150,10 +151,11 @@ def parse_price_sheets(sheets: DataFrame) -> tuple[DataFrame, DataFrame]:
         "sheet_id",
         "left",
     )
+    # Of the sheets themselves: a line that states the threshold needs nothing carried to it.
+    text = sheets.select("sheet_id", F.explode(F.split("text", r"\r?\n")).alias("line")).select("sheet_id", F.trim("line").alias("line"))
     compact = F.regexp_replace("line", r"\s", "")
-    threshold = lines.where(F.col("line").startswith(THRESHOLD_START))
     stated = sheets.select("sheet_id").join(
-        threshold.groupBy("sheet_id").agg(F.bool_and(compact == THRESHOLD_COMPACT).alias("_ok")), "sheet_id", "left"
+        text.where(F.col("line").startswith(THRESHOLD_START)).groupBy("sheet_id").agg(F.bool_and(compact == THRESHOLD_COMPACT).alias("_ok")), "sheet_id", "left"
     )
     faults = (
         heads.where("fault is not null")

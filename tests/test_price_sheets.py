@@ -155,3 +155,11 @@ def test_manifest_diff(spark):
         "to": ("renamed", "from", 9), "from": ("moved away", None, None), "gone": ("deleted", None, None), "fresh": ("new", None, 0),
         "swap": ("rewritten", None, 0),
     }
+
+
+def test_sheets_are_scanned_once(spark):
+    """The checks read stored rows; none of them sorts the lines of all sheets again."""
+    sheets = spark.createDataFrame([("a", "nothing here")], "sheet_id string, text string")
+    _, faults = parse_price_sheets(sheets)
+    assert "Window" not in faults._jdf.queryExecution().optimizedPlan().toString()
+    assert {r["fault"] for r in faults.collect()} == {"missing main table", "context threshold"}
