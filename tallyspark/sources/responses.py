@@ -17,6 +17,15 @@ def _parsed(body: Column, schema: str) -> Column:
     return F.from_json(body, schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
 
 
+def _with_parsed(rows: DataFrame, schema: str) -> DataFrame:
+    """Add ``_r``, the parsed body of every row.
+
+    As the one item of an exploded array it is parsed once: conditions on its
+    fields are not moved before it, where each mention would parse the text again.
+    """
+    return rows.withColumn("_r", F.explode(F.array(_parsed(F.col("body"), schema))))
+
+
 def _whole(window: Column) -> Column:
     """Absent, or with all three values in range."""
     full = (
@@ -41,7 +50,7 @@ def parse_rate_limits(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     The bucket named like the usage limit is preferred over the general one.
     Rejected: malformed bodies, no bucket, no primary window, negative reset.
     """
-    df = rows.withColumn("_r", _parsed(F.col("body"), RATE_LIMITS))
+    df = _with_parsed(rows, RATE_LIMITS)
     by_id = F.col("_r.rateLimitsByLimitId")
     limit = F.coalesce(F.try_element_at(by_id, F.lit(USAGE_LIMIT_ID)), F.col("_r.rateLimits"))
     df = df.withColumn("_limit", limit)
@@ -81,7 +90,7 @@ def parse_rate_limits(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def parse_accounts(rows: DataFrame) -> DataFrame:
     """``home, received_nanos, body`` to the plan named in each response."""
-    df = rows.withColumn("_r", _parsed(F.col("body"), ACCOUNT))
+    df = _with_parsed(rows, ACCOUNT)
     return df.where(F.col("_r._corrupt").isNull() & F.col("_r").isNotNull()).select(
         "home", F.col("received_nanos").alias("ts_nanos"), F.col("_r.account.planType").alias("plan_type")
     )

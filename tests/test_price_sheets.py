@@ -141,6 +141,13 @@ def test_rate_limit_responses(spark):
     assert {r.home: r.plan_type for r in parse_accounts(plans).collect()} == {"a": "plus", "b": None}
 
 
+def test_bodies_are_parsed_once(spark):
+    """Conditions on a parsed body read its fields; none of them parses the text again."""
+    rows = spark.range(1).selectExpr("'a' as home", "'b' as account_id", "id as received_nanos", "concat('{', id, '}') as body")
+    for parsed in (*parse_rate_limits(rows), parse_accounts(rows)):
+        assert parsed._jdf.queryExecution().optimizedPlan().toString().count("from_json(") == 1
+
+
 def test_manifest_diff(spark):
     schema = "home string, path string, identity string, length bigint, consumed bigint, modified_at bigint"
     old = spark.createDataFrame(
