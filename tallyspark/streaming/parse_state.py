@@ -13,6 +13,8 @@ batch's intake limit, not by the length of its history.
 
 from __future__ import annotations
 
+import json
+
 from collections.abc import Iterator
 from decimal import Decimal
 
@@ -30,6 +32,7 @@ from tallyspark.fixed_values import U64_MAX
 cloudpickle.register_pickle_by_value(tallyspark)
 
 SPILL_LINES = 50_000
+CHUNK_LINES = 256
 TOTALS = ("input", "cached_input", "output", "total")
 LINE_COLUMNS = (
     "line_no", "ts_nanos", "model_set", "sets_tier", "tier_set_kind", "tier_set_text", "is_token", "source", "sig",
@@ -76,7 +79,8 @@ PEAK = T.StructType(
     ]
 )
 SOURCE_KEY = T.StructType([T.StructField("source", T.StringType())])
-LINE_KEY = T.StructType([T.StructField("line_no", T.LongType())])
+CHUNK_KEY = T.StructType([T.StructField("chunk", T.LongType())])
+CHUNK = T.StructType([T.StructField("lines", T.StringType())])
 
 
 def stream_lines(lines: DataFrame) -> DataFrame:
@@ -169,65 +173,118 @@ class FileState:
         return dict(zip(("delta_total", "delta_uncached", "delta_cached", "delta_output"), values, strict=True))
 
 
+class Peaks:
+    """Peak of each source of one file, read from state when first asked for."""
+
+    def __init__(self, stored, empty: bool):
+        self.stored, self.empty = stored, empty
+        self.known: dict[str, tuple | None] = {}
+        self.raised: set[str] = set()
+
+    def of(self, source: str) -> tuple | None:
+        if source not in self.known:
+            peak = None if self.empty else self.stored.getValue((source,))
+            self.known[source] = None if peak is None else tuple(peak)
+        return self.known[source]
+
+    def raise_to(self, source: str, peak: tuple) -> None:
+        self.known[source] = peak
+        self.raised.add(source)
+
+    def keep(self) -> None:
+        for source in self.raised:
+            self.stored.updateValue((source,), self.known[source])
+
+
+class Waiting:
+    """Lines of one file beyond a hole.
+
+    In state they are packed by ``CHUNK_LINES`` numbers: a batch reads and writes
+    each chunk it touches once, however many lines that holds.
+    """
+
+    def __init__(self, stored, empty: bool):
+        self.stored, self.empty = stored, empty
+        self.chunks: dict[int, dict[int, tuple]] = {}
+        self.merged: dict[int, bool] = {}  # chunks with their stored lines; does state hold any?
+        self.count = 0
+
+    def add(self, line: tuple) -> None:
+        self.chunks.setdefault(line[0] // CHUNK_LINES, {})[line[0]] = line
+        self.count += 1
+
+    def take(self, number: int) -> tuple | None:
+        at = number // CHUNK_LINES
+        self._merge(at)
+        return self.chunks[at].pop(number, None)
+
+    def _merge(self, at: int) -> None:
+        if at not in self.merged:
+            packed = None if self.empty else self.stored.getValue((at,))
+            lines = {} if packed is None else {line[0]: tuple(line) for line in json.loads(packed[0])}
+            self.chunks[at] = lines | self.chunks.get(at, {})
+            self.merged[at] = packed is not None
+
+    def set_aside(self, next_line: int) -> None:
+        """Move to state what is still ahead of ``next_line``."""
+        written = False
+        for at in list(self.chunks):
+            self._merge(at)
+            left = [line for number, line in self.chunks[at].items() if number >= next_line]
+            if left:
+                self.stored.updateValue((at,), (json.dumps(left, default=lambda value: value.item()),))
+                written = True
+            elif self.merged[at]:
+                self.stored.removeKey((at,))
+        self.empty = self.empty and not written
+        self.chunks, self.merged, self.count = {}, {}, 0
+
+
 class LogParser(StatefulProcessor):
     """Emits the token events of a file as its lines become contiguous."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.file = handle.getValueState("file", STATE)
         self.peaks = handle.getMapState("peaks", SOURCE_KEY, PEAK)
-        self.waiting = handle.getMapState("waiting", LINE_KEY, _line_schema())
+        self.waiting = handle.getMapState("waiting", CHUNK_KEY, CHUNK)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        state = FileState(self.file.get() if self.file.exists() else None)
-        early: dict[int, dict] = {}  # lines beyond a hole, moved to state when many
-        peaks: dict[str, tuple | None] = {}
+        known = self.file.get()
+        state, peaks = FileState(known), Peaks(self.peaks, known is None)
+        early = Waiting(self.waiting, known is None)
         for frame in rows:
-            frame = frame[list(LINE_COLUMNS)].sort_values("line_no").astype(object)
             found = []
-            for line in frame.where(frame.notna(), None).to_dict("records"):
-                number = int(line["line_no"])
+            for line in _lines_of(frame):
                 # Redelivered lines are behind the counter and drop out here.
-                if number == state.values["next_line"]:
+                if line[0] == state.values["next_line"]:
                     found += self._advance(key, state, line, peaks, early)
-                elif number > state.values["next_line"]:
-                    early[number] = line
-            if len(early) > SPILL_LINES:
-                self._set_aside(early)
+                elif line[0] > state.values["next_line"]:
+                    early.add(line)
+            if early.count > SPILL_LINES:
+                early.set_aside(state.values["next_line"])
             if found:
                 yield pd.DataFrame(found, columns=OUTPUT.fieldNames())
-        self._set_aside(early)
-        for source, peak in peaks.items():
-            if peak is not None:
-                self.peaks.updateValue((source,), peak)
+        early.set_aside(state.values["next_line"])
+        peaks.keep()
         self.file.update(state.row())
 
-    def _set_aside(self, early: dict[int, dict]) -> None:
-        for number, line in early.items():
-            self.waiting.updateValue((number,), tuple(line[c] for c in LINE_COLUMNS))
-        early.clear()
-
-    def _advance(self, key, state: FileState, line: dict | None, peaks: dict, early: dict) -> list[tuple]:
+    def _advance(self, key, state: FileState, line: tuple | None, peaks: Peaks, early: Waiting) -> list[tuple]:
         """Take ``line`` and whatever waiting lines it makes contiguous."""
         found = []
         while line is not None:
-            state.settings(line)
-            if line["is_token"]:
-                found.append(self._event(key, state, line, peaks))
+            values = dict(zip(LINE_COLUMNS, line, strict=True))
+            state.settings(values)
+            if values["is_token"]:
+                found.append(self._event(key, state, values, peaks))
             at = state.values["next_line"] = state.values["next_line"] + 1
-            line = early.pop(at, None)
-            if line is None and self.waiting.containsKey((at,)):
-                line = dict(zip(LINE_COLUMNS, self.waiting.getValue((at,)), strict=True))
-                self.waiting.removeKey((at,))
+            line = early.take(at)
         return found
 
-    def _event(self, key, state: FileState, line: dict, peaks: dict) -> tuple:
+    def _event(self, key, state: FileState, line: dict, peaks: Peaks) -> tuple:
         source = "" if line["source"] is None else "=" + line["source"]
-        if source not in peaks:
-            stored = self.peaks.containsKey((source,))
-            peaks[source] = tuple(self.peaks.getValue((source,))) if stored else None
-        out, raised = state.event(line, peaks[source])
+        out, raised = state.event(line, peaks.of(source))
         if raised is not None:
-            peaks[source] = raised
+            peaks.raise_to(source, raised)
         v = state.values
         stamp = line["ts_nanos"]
         return (
@@ -240,15 +297,11 @@ class LogParser(StatefulProcessor):
         pass
 
 
-def _line_schema() -> T.StructType:
-    kinds = {"line_no": T.LongType(), "ts_nanos": T.LongType()}
-    flags = {"sets_tier", "is_token", "capped", "has_total", "has_last"}
-    return T.StructType(
-        [
-            T.StructField(c, kinds.get(c, T.BooleanType() if c in flags else T.StringType()))
-            for c in LINE_COLUMNS
-        ]
-    )
+def _lines_of(frame: pd.DataFrame) -> list[tuple]:
+    """Rows in line order as plain values; absent ones are None."""
+    columns = [[None if v is None or v != v else v for v in frame[c].tolist()] for c in LINE_COLUMNS]
+    columns[0] = [int(v) for v in columns[0]]
+    return sorted(zip(*columns, strict=True), key=lambda line: line[0])
 
 
 def process_lines(flat: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tallyspark.operators.timeline import token_events
 from tallyspark.sources.event_feed import event_lines
-from tallyspark.streaming.parse_state import configure_streaming, parse_stream
+from tallyspark.streaming.parse_state import Waiting, configure_streaming, parse_stream
 
 SF = "/root/testdata/sf0.001"
 FIELDS = [
@@ -38,3 +38,42 @@ def test_stream_equals_batch_with_segments_out_of_order(spark):
     query.awaitTermination()
     got = spark.read.parquet(f"{folder}/out")
     assert rows(got) == rows(token_events(ranked))
+
+
+class CountedMap(dict):
+    """A state map that counts what is asked of it."""
+
+    calls = 0
+
+    def getValue(self, key):
+        self.calls += 1
+        return self.get(key)
+
+    def updateValue(self, key, value):
+        self.calls += 1
+        self[key] = value
+
+    def removeKey(self, key):
+        self.calls += 1
+        del self[key]
+
+
+def test_waiting_lines_share_calls_to_state():
+    """Lines of one chunk come and go together; what was set aside early is found again."""
+    stored, lines = CountedMap(), [(n, None, "m" if n % 2 else None, n % 3 == 0) for n in range(600)]
+    early = Waiting(stored, True)
+    for line in lines[1::2]:
+        early.add(line)
+    early.set_aside(0)
+    assert len(stored) == 3 and stored.calls == 3
+    early, taken = Waiting(stored, False), []
+    for line in lines[300::2]:
+        early.add(line)
+    early.set_aside(0)  # as a batch of many lines does between its frames
+    for line in lines[0:300:2]:
+        early.add(line)
+    while (line := early.take(len(taken))) is not None:
+        taken.append(line)
+    early.set_aside(len(taken))
+    assert taken == lines and not stored
+    assert stored.calls < 20
