@@ -259,8 +259,9 @@ def fork_replay(spark, sf_dir):
 
 
 def _tables(spark, sf_dir) -> UsageTables:
-    lines = event_lines(spark, sf_dir, variants=True)
-    return usage_tables(lines, event_files(lines), now(), TZ, REFRESH_SECONDS)
+    # Nine branches read the lines and five the files; each would derive them again.
+    lines = settle(event_lines(spark, sf_dir, variants=True))
+    return usage_tables(lines, settle(event_files(lines)), now(), TZ, REFRESH_SECONDS)
 
 
 @query("window_usage")

@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyspark.operators.pricing import price_frame
+from tallyspark.plans import catalogue
 from tallyspark.plans.usage_report import report_issues, usage_report, usage_tables, window_report
 from tallyspark.sources.log_scan import load_session_logs
 from tests.logs import BASE, CHILD, PARENT, Home, meta, model, nanos, settings, usage
@@ -190,3 +191,12 @@ def test_cost_and_texts(report):
     assert {i for i in issues if i[0] == "unpriced"} == {("unpriced", "gap", "model"), ("unpriced", "diagnostic", "details_missing")}
     # No usage costs nothing as long as there are prices.
     assert found["h10", "today"].cost == 0.0
+
+
+def test_report_reads_stored_lines(spark, monkeypatch):
+    """Lines and files are derived once; the report's branches read them back."""
+    given = []
+    monkeypatch.setattr(catalogue, "usage_tables", lambda lines, files, *rest: given.extend((lines, files)))
+    catalogue._tables(spark, "/root/testdata/sf0.001")
+    assert len(given) == 2
+    assert all("get_json_object" not in t._jdf.queryExecution().optimizedPlan().toString() for t in given)
