@@ -8,13 +8,12 @@ from pyspark.sql import functions as F
 
 from tallyspark.fixed_values import LONG_COLUMNS, SHORT_COLUMNS, UNIT_LINE, USAGE_LIMIT_ID
 from tallyspark.functions.counters import counter_struct_type
-from tallyspark.sources.event_feed import _columns
+from tallyspark.sources.event_feed import _columns, event_rows
 
 
 def _feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     basics, feed = _columns("spark")
-    raw = spark.read.parquet(f"{sf_dir}/events.parquet")
-    rows = raw.selectExpr(*[f"{e} as {n}" for n, e in basics.items()])
+    rows = event_rows(spark, sf_dir).selectExpr(*[f"{e} as {n}" for n, e in basics.items()])
     return rows.selectExpr(*[f"{e} as {n}" for n, e in feed.items()])
 
 

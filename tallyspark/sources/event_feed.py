@@ -126,14 +126,23 @@ def nanos_literal(text: str, dialect: str) -> str:
     return _DIALECT[dialect]["ts"].format(text)
 
 
+def event_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table's rows dealt over all tasks by ``event_id``.
+
+    A file of few row groups is read by few tasks, however large it is; what is
+    derived from a row costs far more than to read it.
+    """
+    raw = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return raw.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "event_id")
+
+
 def event_lines(
     spark: SparkSession, sf_dir: str, variants: bool = False, block_rows: int = BLOCK_ROWS
 ) -> DataFrame:
     """Parsed log lines, one file per user, or with derived files when
     ``variants``: archive copies, resumed, overlapping and forked sessions."""
     basics, feed = _columns("spark")
-    raw = spark.read.parquet(f"{sf_dir}/events.parquet")
-    rows = raw.selectExpr(*[f"{e} as {n}" for n, e in basics.items()])
+    rows = event_rows(spark, sf_dir).selectExpr(*[f"{e} as {n}" for n, e in basics.items()])
     rows = rows.selectExpr(*[f"{e} as {n}" for n, e in feed.items()])
     rows = _with_files(rows) if variants else rows.withColumn("path", F.expr("concat('u', user_id)"))
     return with_blocks(_pack(rows), block_rows)
