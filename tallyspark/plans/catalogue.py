@@ -652,6 +652,7 @@ def restored_history(spark, sf_dir):
     lines = event_lines(spark, sf_dir, variants=True)
     store = Buckets(spark, scratch_folder(spark, "store"), ("lines", "events", "files"), ("home", "path"), 16)
     store.write("lines", 0, lines)
+    lines = store.written("lines", 0, lines)
     store.write("events", 0, token_events(lines).select(*EVENT_COLUMNS))
     store.write("files", 0, event_files(lines).withColumn("history_start_nanos", F.lit(None).cast("bigint")))
     entry = store.commit(None, 0, set(range(16)))

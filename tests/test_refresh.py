@@ -8,10 +8,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyspark.operators.timeline import token_events
+from tallyspark.plans import catalogue
 from tallyspark.plans import refresh as refresh_module
 from tallyspark.plans.refresh import log_store, refresh
 from tallyspark.plans.usage_report import EVENT_COLUMNS
 from tallyspark.sources import byte_log
+from tallyspark.sources.event_feed import event_files, event_lines
 from tallyspark.sources.log_scan import load_session_logs
 from tallyspark.streaming.windows import _Runs, cut_periods, daily_usage, keep_slices, kept_slices, period_usage
 from tests.logs import CHILD, Home, meta, model, nanos, usage
@@ -189,3 +191,19 @@ def test_slices_of_many_batches_are_few_runs(spark, tmp_path):
     # A merge that had not removed its halves counts once.
     store.write(store.read([(0, 7)]), 0, 3)
     assert {(r.home, r.second): (r.tokens, r.overflow_tokens) for r in kept_slices(spark, f"{tmp_path}/out").collect()} == want
+
+
+def test_history_is_restored_from_stored_lines(spark, monkeypatch):
+    """Events and files come from the store's lines, which are derived once."""
+    given = []
+    monkeypatch.setattr(catalogue, "event_files", lambda lines: given.append(lines) or event_files(lines))
+    catalogue.QUERIES["restored_history"](spark, "/root/testdata/sf0.001")
+    assert given and "get_json_object" not in given[0]._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_event_rows_are_dealt_over_tasks(spark):
+    """One row group is one task's to read, not to derive lines from."""
+    sf = "/root/testdata/sf0.001"
+    assert spark.read.parquet(f"{sf}/events.parquet").rdd.getNumPartitions() == 1
+    parts = event_lines(spark, sf).select(F.spark_partition_id().alias("part")).distinct()
+    assert parts.count() == int(spark.conf.get("spark.sql.shuffle.partitions"))
