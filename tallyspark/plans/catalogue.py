@@ -669,7 +669,8 @@ def restored_history(spark, sf_dir):
 @query("followed_deltas")
 def followed_deltas(spark, sf_dir):
     """The lines of every file as a stream in order, parsed from the carried values of the batches before."""
-    lines = settle(event_lines(spark, sf_dir))
+    # A batch derives its own lines only, as the condition on their numbers reaches the scan.
+    lines = event_lines(spark, sf_dir)
     folder = scratch_folder(spark, "stream")
     incoming = spark.readStream.schema(lines.schema).parquet(f"{folder}/in/*")
     columns = ["home", "path", "line_no", "is_duplicate", "is_stale", *DELTAS]

@@ -7,12 +7,15 @@ a block before the first. All of it is columns: a hot file is spread over its
 blocks like in batch, and no row goes through Python.
 
 Lines of a file come in order, batch by batch, as a source by bytes delivers
-them; lines that are delivered again are behind the last line and drop out.
+them; lines that are delivered again are behind the last line and drop out. Only
+if a file has such lines are a batch's lines compared with the last ones and
+written anew. Of a line, only what parsing or the wanted columns need is stored.
 Segments that may overtake each other are for ``parse_state``.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -27,21 +30,39 @@ from tallyspark.session import passing_scratch, settle
 from tallyspark.sources.buckets import KEEP_SECONDS, Buckets
 
 
+#: What parsing reads of a line.
+LINE = (
+    *FILE, "block", "line_no", "is_token", "model_set", "sets_tier", "tier_set_kind", "tier_set_text", "source", "total", "last",
+    "primary_percent", "secondary_percent",
+)
+#: What the timeline reads of an event, beside the columns that begin with an underscore.
+EVENT = (*FILE, "block", "line_no", "model", "sig", "capped")
+
+
 @dataclass(frozen=True)
 class ParseRules:
     buckets: int = 64
     keep_seconds: float = KEEP_SECONDS  #: how long replaced state files stay
 
 
-def parse_batch(lines: DataFrame, carry: DataFrame | None, peaks: DataFrame | None) -> tuple[DataFrame, DataFrame, DataFrame]:
+def parse_batch(
+    lines: DataFrame, carry: DataFrame | None, peaks: DataFrame | None, columns: Sequence[str] | None = None
+) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Token events of new lines (a table with ``block``), and the carried values and peaks after them.
 
     ``carry``: per file ``last_line, model, tier, prev, seen, high_*``.
+    ``columns``: those of the events that are wanted, all if not given.
     """
     if carry is not None:
-        known = spread_over_blocks(carry.select(*FILE, "last_line"), lines)
-        lines = settle(lines.join(known, [*FILE, "block"], "left").where("last_line IS NULL OR line_no > last_line").drop("last_line"))
-    flat = settle(flat_events(lines, FILE, carry))
+        first = lines.groupBy(*FILE).agg(F.min("line_no").alias("_first"))
+        again = settle(carry.join(first, list(FILE)).where("_first <= last_line").select(*FILE, "last_line"))
+        if not again.isEmpty():
+            known = spread_over_blocks(again, lines)
+            lines = settle(lines.join(known, [*FILE, "block"], "left").where("last_line IS NULL OR line_no > last_line").drop("last_line"))
+    flat = flat_events(lines, FILE, carry)
+    if columns is not None:
+        flat = flat.select(*[c for c in flat.columns if c.startswith("_") or c in EVENT or c in columns])
+    flat = settle(flat)
     events = token_timeline(flat, FILE, carry, peaks)
     ends, new_peaks = timeline_state(flat, carry, peaks)
     tier = F.struct(F.col("tier_set_kind").alias("kind"), F.col("tier_set_text").alias("text"))
@@ -67,6 +88,8 @@ def parse_lines(lines: DataFrame, columns: list[str], folder: str, rules: ParseR
     A batch that is run again starts from the state before it and replaces its
     own events.
     """
+    # A batch is read as it is written: what it does not name is left out before.
+    needed = lines.select(*[c for c in lines.columns if c in LINE or c in columns])
 
     def one_batch(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
@@ -74,11 +97,11 @@ def parse_lines(lines: DataFrame, columns: list[str], folder: str, rules: ParseR
         before = store.newest(before=number)
         with passing_scratch(spark):
             arrived = settle(batch)
-            if arrived.isEmpty():
-                return
             changed = store.numbers_of(arrived)
+            if not changed:
+                return
             carry, peaks = store.read(before, "carry", changed), store.read(before, "peaks", changed)
-            events, new_carry, new_peaks = parse_batch(arrived, carry, peaks)
+            events, new_carry, new_peaks = parse_batch(arrived, carry, peaks, columns)
             events.select(*columns).write.mode("overwrite").parquet(f"{folder}/events/batch={number}")
             # Files of these buckets that no line came for keep what they had.
             store.write("carry", number, new_carry)
@@ -86,7 +109,7 @@ def parse_lines(lines: DataFrame, columns: list[str], folder: str, rules: ParseR
             store.commit(before, number, changed)
             store.forget(rules.keep_seconds)
 
-    return lines.writeStream.foreachBatch(one_batch).option("checkpointLocation", f"{folder}/progress")
+    return needed.writeStream.foreachBatch(one_batch).option("checkpointLocation", f"{folder}/progress")
 
 
 def events_of(spark, folder: str) -> DataFrame:

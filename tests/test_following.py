@@ -10,6 +10,7 @@ from tallyspark.operators.timeline import token_events
 from tallyspark.session import settle
 from tallyspark.sources.event_feed import event_lines
 from tallyspark.sources.log_scan import load_session_logs
+from tallyspark.streaming import parse_table
 from tallyspark.streaming.log_source import stream_log_lines, walk
 from tallyspark.streaming.parse_table import events_of, parse_batch, parse_lines
 from tests.logs import CHILD, Home, meta, model, usage
@@ -64,3 +65,19 @@ def test_stream_by_bytes_into_carried_values(spark, tmp_path):
     got = events_of(spark, folder)
     assert rows(got) == rows(token_events(cold.lines)) and got.select("batch").distinct().count() == 3
     assert set(walk("file://" + root).values()) == {p.stat().st_size for p in home.root.rglob("*.jsonl")}
+
+
+def test_batches_in_order_are_stored_once_and_narrow(spark, tmp_path, monkeypatch):
+    """Lines that come in order are written once a batch, without what neither parsing nor the wanted columns read."""
+    stored = []
+    monkeypatch.setattr(parse_table, "settle", lambda df: stored.append(df.columns) or settle(df))
+    lines = settle(event_lines(spark, SF))
+    incoming = spark.readStream.schema(lines.schema).parquet(f"{tmp_path}/in/*")
+    columns = ["home", "path", "line_no", "delta_total"]
+    for number, (low, high) in enumerate([(-1, 500), (500, 2**62)]):
+        lines.where((F.col("line_no") > low) & (F.col("line_no") <= high)).write.parquet(f"{tmp_path}/in/{number}")
+        parse_lines(incoming, columns, f"{tmp_path}/out").trigger(availableNow=True).start().awaitTermination()
+    assert sum("total" in c for c in stored) == 2
+    assert not {"limits", "balance", "ts_nanos", "user_id"} & {c for some in stored for c in some}
+    found = events_of(spark, f"{tmp_path}/out").select(*columns)
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, token_events(lines).select(*columns).collect()))
