@@ -17,12 +17,14 @@ import pyarrow.compute as pc
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
+SPACES = _SPACE.tobytes()
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 # Odd bases of the polynomial hashes.
 BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 WINDOW_BASES = (0xA0761D6478BD642F, 0xE7037ED1A0B428DB)
-#: Texts are hashed in groups of so many bytes, or one longer text.
-GROUP_BYTES = 1 << 18
+#: Texts are hashed in groups of so many bytes, whose sums a core's cache holds, or one longer text.
+GROUP_BYTES = 1 << 17
+TABLE = 1 << 18  #: powers that are kept
 #: Batches are worked on in parts of so many bytes, or one longer text.
 PART_BYTES = 1 << 22
 
@@ -33,14 +35,14 @@ def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     """The powers of a base and of its inverse, from 0 to at least n."""
     have = _powers.get(base)
     if have is None or len(have[0]) <= n:
-        size = max(GROUP_BYTES + 2, n + 1)
+        size = max(TABLE + 2, n + 1)
         out = []
         for b in (base, pow(base, -1, 1 << 64)):
             steps = np.full(size, b, np.uint64)
             steps[0] = 1
             out.append(np.cumprod(steps, dtype=np.uint64))
         have = (out[0], out[1])
-        if n <= GROUP_BYTES + 1:
+        if n <= TABLE + 1:
             _powers[base] = have  # tables for longer texts are not kept
     return have
 
@@ -71,19 +73,23 @@ class Words:
 def hash_words(texts: list[bytes], base: int = BASES[0]) -> Words:
     joined = b"\n".join(texts) + b"\n"
     data = np.frombuffer(joined, np.uint8)
-    space = _SPACE[data]
-    word = ~space
-    first = np.flatnonzero(word & np.concatenate(([True], space[:-1])))
-    last = np.flatnonzero(space & np.concatenate(([False], word[:-1])))
+    space = np.frombuffer(joined.translate(SPACES), np.bool_)
+    edge = np.flatnonzero(space[1:] != space[:-1]) + 1
+    if not space[0]:
+        edge = np.concatenate((np.zeros(1, edge.dtype), edge))
+    # A word's first byte, the byte after its last, by turns: the last byte of all is white space.
+    first = edge[::2]
     up, down = powers(base, len(data))
-    total = (data.astype(np.uint64) + np.uint64(1)) * up[: len(data)]
-    np.cumsum(total, out=total)
-    before = np.where(first > 0, total[first - 1], np.uint64(0)) if len(first) else np.zeros(0, np.uint64)
-    hashes = mix((total[last - 1] - before) * down[first]) if len(first) else before
+    total = np.zeros(len(data) + 1, np.uint64)
+    body = total[1:]
+    np.add(data, np.uint64(1), out=body, dtype=np.uint64)
+    body *= up[: len(data)]
+    np.cumsum(body, out=body)
+    at = total[edge]
+    hashes = mix((at[1::2] - at[::2]) * down[first])
     lengths = np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts))
-    edges = np.concatenate(([0], np.cumsum(lengths)))
-    at = np.searchsorted(first, edges)
-    return Words(hashes, at[:-1], at[1:])
+    words = np.searchsorted(first, np.concatenate(([0], np.cumsum(lengths))))
+    return Words(hashes, words[:-1], words[1:])
 
 
 def hash_windows(hashes: np.ndarray, n: int, base: int = WINDOW_BASES[0]) -> np.ndarray:

@@ -77,7 +77,9 @@ def shingle_sets(texts: list[bytes | None], words: int) -> Iterator[np.ndarray]:
         for b, e in zip(hashed.begin.tolist(), hashed.end.tolist(), strict=True):
             if e - b >= words:
                 s = np.sort(windows[b : e - words + 1])
-                yield s[np.concatenate((_FIRST, s[1:] != s[:-1]))]
+                own = np.ones(len(s), bool)
+                np.not_equal(s[1:], s[:-1], out=own[1:])
+                yield s[own]
             elif e > b:
                 yield mix(hash_windows(hashed.hashes[b:e], e - b) + np.uint64(e - b))
             else:
