@@ -30,6 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -204,6 +205,13 @@ def regroup(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([pa.array(keys[edges[some]]), pa.array(told, pa.binary())], ["key", "told"])
 
 
+def with_text(batches: Iterator[pa.RecordBatch], place: int) -> Iterator[pa.RecordBatch]:
+    """The batches, and of each document its text, the column at this place; nothing is copied."""
+    for batch in batches:
+        document = batch["document"]
+        yield pa.record_batch([document, pc.struct_field(document, [place]), batch["told"]], ["document", "text", "told"])
+
+
 def meeting(entries: DataFrame, late: bool) -> DataFrame:
     """(key, told) of every row that gets replies; entries as packed by ``pack``."""
     parts = int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -218,6 +226,8 @@ def dedup_substrings(documents: DataFrame, window: int = 13) -> DataFrame:
     spark = documents.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = documents.select(F.struct("*").alias("document"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    names = documents.columns
+    text_at = names.index("text") if "text" in names else [n.lower() for n in names].index("text")
     # The key of a row: equal for rows that are equal in id and text, which fare alike.
     rows = rows.select("document", "doc_id", "text", F.xxhash64("doc_id", "text").alias("key"))
     numbered = rows.where("doc_id IS NOT NULL").select("doc_id", "text", "key")
@@ -262,7 +272,7 @@ def dedup_substrings(documents: DataFrame, window: int = 13) -> DataFrame:
                 yield from pack(h, np.concatenate(checks), np.concatenate(owner).astype(np.int32), keys, docs, parts, True)
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(with_text(batches, text_at)):
             texts = binaries(batch["text"])
             told = batch["told"].to_pylist()
             counts, removed, kept = [], [], []
@@ -289,4 +299,5 @@ def dedup_substrings(documents: DataFrame, window: int = 13) -> DataFrame:
     candidates = numbered.join(shared, "key").mapInArrow(extend, ENTRY)
     late = written(meeting(candidates, True), "late")
     schema = T.StructType([rows.schema["document"], T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType())])
-    return rows.join(late, "key", "left").select("document", "text", "told").mapInArrow(remove, schema)
+    # A text crosses this join inside its document alone.
+    return rows.select("document", "key").join(late, "key", "left").select("document", "told").mapInArrow(remove, schema)

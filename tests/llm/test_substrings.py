@@ -54,3 +54,16 @@ def test_columns_of_any_name_come_back(spark):
     df = frame(spark, [(1, "a b")]).withColumnRenamed("key", "crawl-id").withColumnRenamed("told", "my col")
     row = dedup_substrings(df).first()
     assert row["document"]["crawl-id"] == "k" and row["document"]["my col"] == 1
+
+
+def test_a_text_crosses_the_last_join_once(spark):
+    """The join with the late windows carries each document and no second copy of its text; a text by another case is found too."""
+    rows = [(1, " ".join(f"w{i}" for i in range(30))), (2, " ".join(f"w{i}" for i in range(9, 50))), (3, None), (None, "x y")]
+    df = frame(spark, rows).withColumnRenamed("text", "Text").select("source", "Text", "doc_id", "key")
+    found = dedup_substrings(df)
+    plan = found._jdf.queryExecution().optimizedPlan()
+    while plan.nodeName() != "Join":
+        plan = plan.children().head()
+    assert [c.split("#")[0] for c in plan.left().output().mkString(" ").split()] == ["document", "key"]
+    assert result(df, 13) == sorted(substrings(rows, 13), key=str)
+    assert {r["document"]["Text"] for r in found.collect()} == {t for _, t in rows}
